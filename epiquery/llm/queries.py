@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Scratch, table
-from . import neardup, overlap
+from . import langid, neardup, overlap, sharedspans
 
 
 def _content():
@@ -50,3 +50,47 @@ SELECT split, source, count(*) AS rows, count(t.key) AS leaked FROM d LEFT JOIN
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_counts": p4_counts}
 ORACLE = {"p4_counts": P4_COUNTS}
+
+
+def _language_model(d: DataFrame):
+    return langid.fit(*langid.labelled_sample(d, F.col("item_id"), _content(), F.col("lang")))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "corpus_item")
+    fields = {"content": (_content(), F.col("lang")), "translation": (F.col("private.englishtranslation.content"), F.lit("en"))}
+    return langid.wrong_labels(d, _language_model(d), F.col("item_id"), fields).distinct().withColumnRenamed("id", "item_id")
+
+
+def p3_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of every paragraph of contents and translations."""
+    d = table(spark, sf, "corpus_item")
+    fields = {"content": _content(), "translation": F.col("private.englishtranslation.content")}
+    return langid.label_paragraphs(d, _language_model(d), F.col("item_id"), fields).withColumnRenamed("id", "item_id")
+
+
+QUERIES |= {"p3_found": p3_found, "p3_segments": p3_segments}
+
+
+def _spans(spark: SparkSession, sf: str, name: str):
+    return sharedspans.SharedSpans(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"), Scratch(spark, name))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _spans(spark, sf, "p10_found").found().withColumnRenamed("id", "doc_id")
+
+
+def p10_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch of a document that also stands in another row."""
+    s = _spans(spark, sf, "p10_spans").spans()
+    return s.select(F.col("id").alias("doc_id"), F.col("start").cast("bigint").alias("span_start"), F.col("end").cast("bigint").alias("span_end"))
+
+
+def p10_share(spark: SparkSession, sf: str) -> DataFrame:
+    """For each document with shared spans, how much of its text stands elsewhere."""
+    s = p10_spans(spark, sf).groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"))
+    d = table(spark, sf, "documents").select("doc_id", F.length("text").cast("bigint").alias("chars")).dropDuplicates(["doc_id"])
+    return s.join(d, "doc_id").select("doc_id", "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("share"))
+
+
+QUERIES |= {"p10_found": p10_found, "p10_spans": p10_spans, "p10_share": p10_share}
