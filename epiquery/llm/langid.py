@@ -1,7 +1,7 @@
 """Language of texts and of their paragraphs: multinomial naive Bayes over hashed character trigrams.
 
 ``fit`` takes a bounded sample of labelled texts; labels may be partly wrong, so each round relabels the sample's paragraphs
-with the model so far. The log-probability matrix (languages x 2^15, 1 MB whatever the data) goes to every task, and whole
+that clearly speak against theirs. The log-probability matrix (languages x 2^15, 1 MB whatever the data) goes to every task, and whole
 batches are scored in numpy: one gather and one segmented sum for each language.
 
 Defined results: a paragraph is a line with at least `min_words` words; null and empty texts and texts with fewer than
@@ -28,6 +28,8 @@ LANGUAGES = {
 }
 CODES = list(LANGUAGES)
 BITS = 15
+#: nats a character: what a paragraph needs against the language of its text, and a sample's paragraph against its label
+MARGIN, RELABEL = 0.6, 0.5
 _NAMES = {x: c for c, xs in LANGUAGES.items() for x in (c, *xs)}
 
 
@@ -65,15 +67,29 @@ def paragraphs(texts: list[str], min_words: int, min_text_words: int) -> tuple[n
     return _features(cp, inside), begin[ok], end[ok], text[ok]
 
 
-def score(logp: np.ndarray, buckets: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each segment: the best language's index, and a confidence: its posterior, tempered by the root of the length."""
+def likelihoods(logp: np.ndarray, buckets: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(languages, segments) log-likelihoods."""
     if not len(begin):
-        return np.zeros(0, dtype=int), np.zeros(0)
+        return np.zeros((len(logp), 0), dtype=np.float32)
     cuts = np.empty(2 * len(begin), dtype=np.intp)
     cuts[0::2], cuts[1::2] = begin, end
-    total = np.stack([np.add.reduceat(row[buckets], cuts)[0::2] for row in logp])
+    return np.stack([np.add.reduceat(row[buckets], cuts)[0::2] for row in logp])
+
+
+def score(logp: np.ndarray, buckets: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment: the best language's index, and a confidence: its posterior, tempered by the root of the length.
+
+    A segment that speaks against the language of its whole text by less than MARGIN a character (a line of names, say) is
+    read in the language of the text.
+    """
+    total = likelihoods(logp, buckets, begin, end)
+    if not len(begin):
+        return np.zeros(0, dtype=int), np.zeros(0)
+    best, at = total.argmax(axis=0), np.arange(len(begin))
+    whole = np.stack([np.bincount(text, weights=row) for row in total]).argmax(axis=0)[text]
+    best = np.where(total[best, at] - total[whole, at] < MARGIN * (end - begin), whole, best)
     z = (total - total.max(axis=0)) / np.sqrt(np.maximum(end - begin, 1))
-    return total.argmax(axis=0), 1 / np.exp(z).sum(axis=0)
+    return best, np.exp(z)[best, at] / np.exp(z).sum(axis=0)
 
 
 def fit(texts: list[str], labels: list[str | None], rounds: int = 3, smoothing: float = 0.5) -> np.ndarray:
@@ -91,7 +107,9 @@ def fit(texts: list[str], labels: list[str | None], rounds: int = 3, smoothing:
         ok = owner >= 0
         counts = np.bincount(owner[ok] * (1 << BITS) + b[ok], minlength=len(CODES) << BITS).reshape(len(CODES), -1) + smoothing
         logp = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-        lang, _ = score(logp, b, begin, end)
+        total = likelihoods(logp, b, begin, end)
+        best, at = total.argmax(axis=0), np.arange(len(begin))
+        lang = np.where(total[best, at] - total[lang, at] > RELABEL * (end - begin), best, lang)
     return logp
 
 
@@ -123,7 +141,7 @@ def _scored(batches: Iterator[pa.RecordBatch], logp: np.ndarray, fields: list[st
         for field in fields:
             for rows, texts in K.chunks(ids, K.columns(batch, field)[0], 1 << 19):
                 b, begin, end, text = paragraphs(texts, min_words, min_text_words)
-                lang, sure = score(logp, b, begin, end)
+                lang, sure = score(logp, b, begin, end, text)
                 yield rows, field, text, lang, sure
 
 
@@ -141,7 +159,7 @@ def wrong_labels(df: DataFrame, logp: np.ndarray, id_col: Column, fields: dict[s
                 out = []
                 for rows, texts in K.chunks(list(zip(ids, labs)), K.columns(batch, field)[0], 1 << 19):
                     b, begin, end, text = paragraphs(texts, min_words, min_text_words)
-                    lang, _ = score(logp, b, begin, end)
+                    lang, _ = score(logp, b, begin, end, text)
                     seen: dict[int, set[int]] = {}
                     for t, c in zip(text.tolist(), lang.tolist()):
                         seen.setdefault(t, set()).add(c)

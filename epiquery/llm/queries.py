@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Scratch, table
-from . import langid, neardup, overlap, sharedspans
+from . import langid, leakage, neardup, overlap, sharedspans
 
 
 def _content():
@@ -94,3 +94,20 @@ def p10_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p10_found": p10_found, "p10_spans": p10_spans, "p10_share": p10_share}
+
+
+def _leaked(spark: SparkSession, sf: str, name: str, **how) -> DataFrame:
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_item")
+    return leakage.leaked(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"), Scratch(spark, name), **how)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaked(spark, sf, "p9_found").select("doc_id", "item_id")
+
+
+def p9_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that repeat at least 40 words of an item with other numbers, names or units put in consistently."""
+    return _leaked(spark, sf, "p9_templates", least=40, mode="consistent")
+
+
+QUERIES |= {"p9_found": p9_found, "p9_templates": p9_templates}
