@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Scratch, table
-from . import langid, leakage, neardup, overlap, sharedspans
+from . import boilerplate, langid, leakage, neardup, overlap, sharedspans
 
 
 def _content():
@@ -111,3 +111,23 @@ def p9_templates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_templates": p9_templates}
+
+
+def _labeller(spark: SparkSession, sf: str) -> boilerplate.Labeller:
+    pages, items = table(spark, sf, "scrape_result"), table(spark, sf, "corpus_item")
+    sample = boilerplate.training_pages(pages, F.col("scrape_id"), F.col("htmlcontent"), F.col("item_name"), items, F.col("name"), _content(), F.col("code") >= 400)
+    return boilerplate.fit(sample)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    model = _labeller(spark, sf)
+    return boilerplate.paragraph_keys(table(spark, sf, "scrape_result"), F.col("scrape_id"), F.col("htmlcontent"), model).withColumnRenamed("id", "scrape_id")
+
+
+def p5_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The article of each page, one row for each of its paragraphs."""
+    model = _labeller(spark, sf)
+    return boilerplate.main_text(table(spark, sf, "scrape_result"), F.col("scrape_id"), F.col("htmlcontent"), model).withColumnRenamed("id", "scrape_id")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_text": p5_text}
