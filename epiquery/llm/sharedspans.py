@@ -1,8 +1,9 @@
 """Long exact spans shared between records: winnowed anchors, extension both ways, maximal repeats.
 
 A shared span of `least` characters always contains a common anchor (anchors are the winnowing minima of SEED-grams over
-windows of least - SEED + 1). Anchors that stand in one text only are dropped by a count; pairs of texts that share an
-anchor are then compared along the anchors' diagonals, which gives every common run exactly.
+windows of least - SEED + 1). Anchors that stand in one text only are dropped by a count. The rest, few, get hashes of
+STEPS wider contexts, of which a shared span round the anchor has at least one in common; pairs of texts that pass are
+compared along the anchors' diagonals, which gives every common run exactly.
 
 An anchor that stands in more than HOT texts would give quadratically many pairs. Its texts take another, equally exact way:
 all least-character windows round the anchor are hashed, and a window that stands in two texts is shared: linear work,
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ..storage import Scratch, small_enough
 from . import textkit as K
 
-SEED, HOT = 64, 64
+SEED, HOT, STEPS = 100, 64, 3
 _INDEX = 26  # bits of a position inside a chunk; a single text may have 64 M characters
 
 
@@ -104,6 +105,36 @@ def _compare(least: int):
     return rows
 
 
+def _contexts(least: int):
+    """Rows (id, text, at: [(pos, h)]) -> (id, pos, h, c0, c1, c2): hashes of contexts that lie more and more to the left.
+
+    With step = (least - SEED) / STEPS, a span that goes L to the left and R to the right of the anchor, L + R >= least - SEED,
+    covers context i = min(STEPS - 1, L // step). Contexts that leave the text are null."""
+    step = (least - SEED) // STEPS
+    size = SEED + step * (STEPS - 1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(3 + STEPS)]
+            for i, text, at in zip(*K.columns(batch, "id", "text", "at")):
+                cp = K.codepoints(text)
+                prefix, pos = K.prefix_hash(K.mix(cp)), np.array([x["pos"] for x in at], dtype=np.int64)
+                out[0] += [i] * len(at)
+                out[1] += pos.tolist()
+                out[2] += [x["h"] for x in at]
+                for c in range(STEPS):
+                    b = pos - step * c
+                    ok = (b >= 0) & (b + size <= len(cp))
+                    h = np.zeros(len(b), dtype=K.U64)
+                    h[ok] = K.range_hash(prefix, b[ok], b[ok] + size)
+                    out[3 + c] += [int(x) if y else None for x, y in zip(h.view(np.int64), ok)]
+            if out[0]:
+                types = (pa.int64(), pa.int32(), *[pa.int64()] * (1 + STEPS))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["id", "pos", "h", *[f"c{c}" for c in range(STEPS)]])
+
+    return rows
+
+
 def _windows(least: int):
     """Rows (id, text, at) -> (id, start, w): all windows of `least` characters that contain one of the anchors at `at`."""
 
@@ -141,12 +172,16 @@ class SharedSpans:
         found = self.scratch.save(self.reps.mapInArrow(_anchor_rows(self.least), "id bigint, pos int, h bigint"))
         shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("h", "n")
         shared = self.scratch.save(shared)
-        kept = found.join(self._hint(shared, shared.count(), 16), "h")
-        self.cold, self.hot = kept.where(F.col("n") <= HOT), kept.where(F.col("n") > HOT)
-        self.any_hot = not shared.where(F.col("n") > HOT).isEmpty()
-        x, y = (self.cold.select("h", F.col("id").alias(i), F.col("pos").alias(p)) for i, p in (("a", "pa"), ("b", "pb")))
-        met = x.join(y, "h").where("a < b").groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.count("*").alias("n"))
-        #: (a, b, n, shifts): pairs of texts that share anchors, and the diagonals these lie on
+        kept = self.scratch.save(found.join(self._hint(shared, shared.count(), 16), "h"))
+        self.hot = kept.where(F.col("n") > HOT)
+        self.any_hot = not self.hot.isEmpty()
+        at = kept.where(F.col("n") <= HOT).groupBy("id").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
+        rows = self.reps.dropDuplicates(["id"]).join(self._hint(at, kept.count(), 64), "id")
+        cold = rows.mapInArrow(_contexts(self.least), "id bigint, pos int, h bigint, " + ", ".join(f"c{c} bigint" for c in range(STEPS)))
+        x, y = (cold.withColumnsRenamed({"id": i, "pos": p} | {f"c{c}": f"{i}{c}" for c in range(STEPS)}) for i, p in (("a", "pa"), ("b", "pb")))
+        alike = " or ".join(f"a{c} = b{c}" for c in range(STEPS))
+        met = x.join(y, "h").where(f"a < b and ({alike})").groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.count("*").alias("n"))
+        #: (a, b, n, shifts): pairs of texts that share anchors in context, and the diagonals these lie on
         self.pairs = self.scratch.save(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.collect_list("shift").alias("shifts")))
 
     def runs(self, pairs: DataFrame) -> DataFrame:
@@ -173,8 +208,8 @@ class SharedSpans:
         best = self.scratch.save(best)
         first = self.scratch.save(self.runs(best).select("id").distinct())
         n = first.count()
-        open_ = self.pairs.join(best.select("a", "b"), ["a", "b"], "left_anti")
         fa, fb = (self._hint(first.select(F.col("id").alias(c), F.lit(True).alias(f"f{c}")), n, 16) for c in ("a", "b"))
+        open_ = self.pairs.join(self._hint(best.select("a", "b"), best.count(), 16), ["a", "b"], "left_anti")
         rest = self.scratch.save(open_.join(fa, "a", "left").join(fb, "b", "left").where("fa is null or fb is null").select("a", "b", "shifts"))
         ids = first.union(self.copies.select("id"))
         if not rest.isEmpty():
@@ -182,9 +217,9 @@ class SharedSpans:
         hot = self.hot_runs()
         if hot is not None:
             ids = ids.union(hot.select("id"))
-        reps = self.copies.select(F.col("rep").alias("id"), F.col("id").alias("copy")).where("id != copy")
-        ids = ids.distinct()
-        return ids.union(reps.join(ids, "id", "left_semi").select(F.col("copy").alias("id"))).distinct()
+        ids = self.scratch.save(ids.distinct())
+        others = self.copies.select(F.col("rep").alias("id"), F.col("id").alias("copy")).where("id != copy")
+        return ids.union(others.join(self._hint(ids, ids.count(), 8), "id", "left_semi").select(F.col("copy").alias("id"))).distinct()
 
     def spans(self) -> DataFrame:
         """(id, start, end): maximal stretches of each record that are covered by shared spans."""
