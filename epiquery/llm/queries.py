@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Scratch, table
-from . import boilerplate, langid, leakage, neardup, overlap, sharedspans
+from . import boilerplate, langid, leakage, mojibake, neardup, overlap, sharedspans
 
 
 def _content():
@@ -131,3 +131,15 @@ def p5_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_text": p5_text}
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.garbled_rows(table(spark, sf, "scrape_result"), F.col("scrape_id"), F.col("htmlcontent")).withColumnRenamed("id", "scrape_id")
+
+
+def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """The garbled pages with their text restored."""
+    return mojibake.repaired_rows(table(spark, sf, "scrape_result"), F.col("scrape_id"), F.col("htmlcontent")).withColumnRenamed("id", "scrape_id")
+
+
+QUERIES |= {"p1_found": p1_found, "p1_repaired": p1_repaired}
