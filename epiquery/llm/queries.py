@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Scratch, table
-from . import boilerplate, langid, leakage, mojibake, neardup, overlap, sharedspans
+from . import boilerplate, langid, leakage, mojibake, neardup, overlap, packing, sharedspans
 
 
 def _content():
@@ -143,3 +143,18 @@ def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p1_found": p1_found, "p1_repaired": p1_repaired}
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of 2,048 tokens that each document, or piece of a longer one, goes into."""
+    sizes = packing.token_counts(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+    return packing.packed(sizes, Scratch(spark, "p8_containers")).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the containers are filled."""
+    p = p8_containers(spark, sf).groupBy("container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    return p.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.sum("n").alias("pieces")).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * packing.CAPACITY), 6))
+
+
+QUERIES |= {"p8_containers": p8_containers, "p8_fill": p8_fill}
