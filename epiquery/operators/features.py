@@ -14,12 +14,6 @@ from ..functions import text as X
 LINKED = "[linked] "
 
 
-def token_rows(docs: DataFrame, doc: str, text: Column, lower: bool = True) -> DataFrame:
-    """(doc, pos, toks, token): one row per token, with the text's token array beside it."""
-    d = docs.select(doc, X.tokens(text, lower).alias("toks"))
-    return d.select(doc, "toks", F.posexplode("toks").alias("pos", "token"))
-
-
 def token_counts(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     """(token, docs, total)."""
     return docs.select(doc, F.explode(X.tokens(text)).alias("token")).groupBy(doc, "token").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
@@ -31,14 +25,18 @@ def keyword_table(keywords: DataFrame, keyword: str, most: int = 5) -> DataFrame
     return k.select(F.array_join("t", " ").alias("keyword"), F.col("t")[0].alias("first"), F.size("t").alias("n")).distinct()
 
 
+def keyword_windows(toks: Column, most: int = 5) -> Column:
+    """For each token a struct of it and of the run of up to `most` tokens it begins, each followed by a blank."""
+    return F.transform(toks, lambda x, i: F.struct(x.alias("first"), F.concat(F.array_join(F.slice(toks, i + 1, most), " "), F.lit(" ")).alias("run")))
+
+
 def keyword_counts(docs: DataFrame, doc: str, text: Column, keywords: DataFrame, keyword: str) -> DataFrame:
     """(doc, keyword, n): how often each keyword of up to five tokens stands in each text, overlaps included.
 
-    Only positions whose token begins a keyword are expanded, so no n-gram is built that no keyword can equal."""
-    k = keyword_table(keywords, keyword)
-    d = docs.select(doc, X.tokens(text).alias("toks"))
-    at = d.select(doc, F.posexplode("toks").alias("pos", "first"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: i).alias("_"), "toks").drop("_")
-    met = at.join(k, "first").where(F.array_join(F.slice("toks", F.col("pos") + 1, F.col("n")), " ") == F.col("keyword"))
+    Each position carries the five tokens that begin there, and meets the keywords that begin with its token; n-grams of the
+    other lengths are never built."""
+    at = docs.select(doc, F.explode(keyword_windows(X.tokens(text))).alias("w")).select(doc, "w.first", "w.run")
+    met = at.join(keyword_table(keywords, keyword), "first").where(F.startswith("run", F.concat("keyword", F.lit(" "))))
     return met.groupBy(doc, "keyword").agg(F.count("*").alias("n"))
 
 

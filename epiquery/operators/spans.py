@@ -30,15 +30,13 @@ def pattern_spans(docs: DataFrame, doc: str, text: Column, pattern: str) -> Data
 def keyword_spans(docs: DataFrame, doc: str, text: Column, keywords: DataFrame) -> DataFrame:
     """(doc, type, start, end, label) of the keywords (type, keyword, case_sensitive) in each text.
 
-    Token offsets are computed once a text; only tokens that begin a keyword are expanded. The label is the keyword as
+    Each token carries the run of five that begins there with its offsets, and meets the keywords that begin with it. The label is the keyword as
     written for case-sensitive ones, else in lower case."""
     k = keywords.select("type", "keyword", "case_sensitive", X.tokens(F.col("keyword")).alias("kt"), X.tokens(F.col("keyword"), lower=False).alias("kraw"))
     k = k.where("size(kt) between 1 and 5").select("type", F.array_join("kt", " ").alias("k"), F.array_join("kraw", " ").alias("kraw"), "case_sensitive", F.col("kt")[0].alias("first"), F.size("kt").alias("n")).distinct()
-    t = docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(_offsets(doc), f"{doc} bigint, toks array<string>, starts array<int>, ends array<int>")
-    at = t.select(doc, "toks", "starts", "ends", F.posexplode(F.transform("toks", F.lower)).alias("pos", "first"))
-    raw = F.array_join(F.slice("toks", F.col("pos") + 1, F.col("n")), " ")
-    met = at.join(k, "first").where((F.lower(raw) == F.col("k")) & (~F.col("case_sensitive") | (raw == F.col("kraw"))) & (F.col("pos") + F.col("n") <= F.size("toks")))
-    return met.select(doc, "type", F.expr("starts[pos]").alias("start"), F.expr("ends[pos + n - 1]").alias("end"), F.when(F.col("case_sensitive"), F.col("kraw")).otherwise(F.col("k")).alias("label")).distinct()
+    t = docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(_offsets(doc), f"{doc} bigint, first string, run string, starts array<int>, ends array<int>")
+    met = t.join(k, "first").where(F.startswith(F.lower("run"), F.concat("k", F.lit(" "))) & (~F.col("case_sensitive") | F.startswith("run", F.concat("kraw", F.lit(" ")))))
+    return met.select(doc, "type", F.expr("starts[0]").alias("start"), F.expr("ends[n - 1]").alias("end"), F.when(F.col("case_sensitive"), F.col("kraw")).otherwise(F.col("k")).alias("label")).distinct()
 
 
 def _offsets(doc: str):
@@ -48,12 +46,14 @@ def _offsets(doc: str):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
-            got = [[(m[0], m.start(), m.end()) for m in token.finditer(t)] for t in texts]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([[x[0] for x in g] for g in got], pa.list_(pa.string())),
-                pa.array([[x[1] for x in g] for g in got], pa.list_(pa.int32())), pa.array([[x[2] for x in g] for g in got], pa.list_(pa.int32())),
-            ], names=[doc, "toks", "starts", "ends"])
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, t in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                found = [(m[0], m.start(), m.end()) for m in token.finditer(t)]
+                for n in range(len(found)):
+                    run = found[n : n + 5]
+                    for column, value in zip(out, (i, found[n][0].lower(), " ".join(x[0] for x in run) + " ", [x[1] for x in run], [x[2] for x in run])):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=[doc, "first", "run", "starts", "ends"])
 
     return rows
 
