@@ -17,6 +17,11 @@ first well way even new want because any these give day most us
 """.split()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once; plain reuse of a column copies its expression into every place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, BLANK_ENDS, "")
 
@@ -50,10 +55,12 @@ def english_matches(text: Column) -> Column:
 def is_english(text: Column) -> Column:
     """True iff, at some word seen for the first time, more than min(5, n) different words and more than n words were met,
     n being a hundredth of the length. Equivalent to: enough different words, and the last new one comes late enough."""
-    found, n = english_matches(text), F.floor(F.length(text) / 100)
-    distinct = F.array_distinct(found)
-    last_new = F.array_max(F.transform(distinct, lambda w: F.array_position(found, w)))
-    return F.coalesce((F.size(distinct) > F.least(F.lit(5), n)) & (last_new > n), F.lit(False) & text.isNotNull())
+    n = F.floor(F.length(text) / 100)
+
+    def late(found: Column) -> Column:
+        return let(F.array_distinct(found), lambda words: (F.size(words) > F.least(F.lit(5), n)) & (F.array_max(F.transform(words, lambda w: F.array_position(found, w))) > n))
+
+    return F.coalesce(let(english_matches(text), late), F.lit(False) & text.isNotNull())
 
 
 def selected_text(translation: Column, content: Column) -> Column:

@@ -17,19 +17,18 @@ def accepted(items: DataFrame, name: Column, diseases: Column, labels: DataFrame
     """items with `labels` (sorted, distinct), `accepted` and `reason`.
 
     Overrides count as they are. Otherwise every disease must be in the label table; a null disease rejects the item too, and
-    so does having none. The label table is joined on the exploded diseases, whatever its size."""
+    so does having none. The label table, whatever its size, meets each distinct list of diseases once."""
     over = overrides if overrides is not None else OVERRIDES
-    d = items.withColumn("__row", F.monotonically_increasing_id()) if "__row" not in items.columns else items
     given = F.create_map(*[x for k, v in over.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))]) if over else F.lit(None).cast("map<string,array<string>>")
-    d = d.withColumn("__over", given[name]).withColumn("__found", F.coalesce(diseases, F.array().cast("array<string>")))
+    d = items.withColumn("__over", given[name]).withColumn("__found", F.coalesce(diseases, F.array().cast("array<string>")))
     known = labels.select(F.col(label).alias("__d"), F.lit(1).alias("__ok")).where("__d is not null").distinct()
-    each = d.select("__row", F.explode("__found").alias("__d")).join(known, "__d", "left")
-    bad = each.where("__ok is null").select("__row").distinct().withColumn("__bad", F.lit(True))
-    d = d.join(bad, "__row", "left")
+    lists = d.select("__found").distinct()
+    bad = lists.select("__found", F.explode("__found").alias("__d")).join(known, "__d", "left").where("__ok is null").select("__found").distinct().withColumn("__bad", F.lit(True))
+    d = d.join(bad, "__found", "left")
     own = F.array_sort(F.array_distinct(F.filter("__found", lambda x: x.isNotNull())))
     chosen = F.when(F.col("__over").isNotNull(), F.array_sort("__over")).otherwise(own)
     reason = F.when(F.col("__over").isNull() & F.col("__bad").isNotNull(), "unknown label").when(F.size(chosen) == 0, "no label")
-    return d.withColumn("labels", chosen).withColumn("reason", reason).withColumn("accepted", reason.isNull()).drop("__row", "__over", "__found", "__bad")
+    return d.withColumn("labels", chosen).withColumn("reason", reason).withColumn("accepted", reason.isNull()).drop("__over", "__found", "__bad")
 
 
 def is_usable(private: str = "private", events: str = "meta.events") -> Column:
@@ -60,12 +59,11 @@ def modular_split(number: Column, total: int, most: int = 18_000) -> Column:
 def earliest_split(rows: DataFrame, label: str, ts: str, tie: str, first: int = 5, least: int = 10) -> DataFrame:
     """rows with `split`: of labels with at least `least` rows the `first` earliest are test, everything else training.
 
-    Only the few earliest rows of a label are ranked, kept by a bounded aggregate; a hot label is never sorted in one task."""
-    stamp = F.struct(F.col(ts).isNull().alias("z"), F.col(ts).alias("t"), F.col(tie).alias("k"))
-    salted = rows.select(F.col(label), stamp.alias("s"), F.pmod(F.xxhash64(tie), F.lit(64)).alias("salt"))
-    part = salted.groupBy(label, "salt").agg(F.slice(F.sort_array(F.collect_list("s")), 1, first).alias("a"), F.count("*").alias("n"))
-    whole = part.groupBy(label).agg(F.slice(F.sort_array(F.flatten(F.collect_list("a"))), 1, first).alias("a"), F.sum("n").alias("n"))
-    early = whole.where(F.col("n") >= least).select(label, F.explode("a").alias("s")).select(label, F.col("s.k").alias(tie), F.lit("test").alias("split"))
+    The rank is cut at `first`, which Spark applies before its shuffle too, so a hot label is never sorted in one task."""
+    order = Window.partitionBy(label).orderBy(F.col(ts).asc_nulls_last(), tie)
+    early = rows.select(label, ts, tie).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= first)
+    size = rows.groupBy(label).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    early = early.join(size, label).select(label, tie, F.lit("test").alias("split"))
     return rows.join(early, [label, tie], "left").withColumn("split", F.coalesce("split", F.lit("training")))
 
 

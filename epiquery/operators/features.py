@@ -35,7 +35,8 @@ def keyword_counts(docs: DataFrame, doc: str, text: Column, keywords: DataFrame,
 
     Each position carries the five tokens that begin there, and meets the keywords that begin with its token; n-grams of the
     other lengths are never built."""
-    at = docs.select(doc, F.explode(keyword_windows(X.tokens(text))).alias("w")).select(doc, "w.first", "w.run")
+    d = docs.select(doc, X.tokens(text).alias("toks"))  # a column of its own, or each token would cut the text anew
+    at = d.select(doc, F.explode(keyword_windows(F.col("toks"))).alias("w")).select(doc, "w.first", "w.run")
     met = at.join(keyword_table(keywords, keyword), "first").where(F.startswith("run", F.concat("keyword", F.lit(" "))))
     return met.groupBy(doc, "keyword").agg(F.count("*").alias("n"))
 

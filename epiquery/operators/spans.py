@@ -18,13 +18,18 @@ COUNT = r"\b(\d{1,7}) (suspected cases?|samples positive|deaths?|patients?|new a
 
 
 def pattern_spans(docs: DataFrame, doc: str, text: Column, pattern: str) -> DataFrame:
-    """(doc, start, end, label): all matches of a pattern, left to right, found by splitting at the matches."""
-    d = docs.select(doc, text.alias("t"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    gaps = F.split("t", pattern, -1)
-    d = d.where(F.size("m") > 0).withColumn("g", gaps)
-    d = d.select(doc, "g", F.posexplode("m").alias("i", "label"), "m")
-    start = F.aggregate(F.slice("g", F.lit(1), F.col("i") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("m", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
-    return d.select(doc, start.alias("start"), (start + F.length("label")).alias("end"), "label")
+    """(doc, start, end, label): all matches of a pattern, left to right, in one linear pass over each text."""
+    import re
+
+    found = re.compile(pattern)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(i, m.start(), m.end(), m[0]) for i, t in zip(*(batch.column(c).to_pylist() for c in (0, 1))) for m in found.finditer(t)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=[doc, "start", "end", "label"])
+
+    return docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(rows, f"{doc} bigint, start int, end int, label string")
 
 
 def keyword_spans(docs: DataFrame, doc: str, text: Column, keywords: DataFrame) -> DataFrame:
@@ -64,9 +69,8 @@ def without_overlaps(spans: DataFrame, others: DataFrame, doc: str) -> DataFrame
     Both are bucketed by blocks of 256 characters, so the join is an equi-join whatever a text's length."""
     block = lambda d: d.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / 256), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / 256))))
     o = block(others.select(doc, "start", "end")).withColumnsRenamed({"start": "os", "end": "oe"})
-    s = spans.withColumn("__id", F.monotonically_increasing_id())
     hit = block(spans.select(doc, "start", "end").distinct()).join(o, [doc, "__b"]).where("start < oe and os < end").select(doc, "start", "end").distinct()
-    return s.join(hit, [doc, "start", "end"], "left_anti").drop("__id")
+    return spans.join(hit, [doc, "start", "end"], "left_anti")
 
 
 def grouped_offsets(spans: DataFrame, doc: str, *by: str) -> DataFrame:
