@@ -158,3 +158,23 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p8_containers": p8_containers, "p8_fill": p8_fill}
+
+
+# Brute force in SQL: all runs of words, or all windows of characters, as text.
+_W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_SETS = f"""w AS (SELECT item_id, name, split, {_W.format('private.cleancontent.content')} AS w FROM corpus_item),
+g AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 20)),
+n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
+o AS (SELECT a.item_id AS x, b.item_id AS y, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.item_id < b.item_id GROUP BY ALL),
+near AS (SELECT x AS item_id_a, y AS item_id_b FROM o JOIN n a ON a.item_id = x JOIN n b ON b.item_id = y WHERE 2 * o >= a.n + b.n - o)"""
+ORACLE["p2_found"] = f"WITH {_SETS} SELECT * FROM near"
+ORACLE["p4_found"] = f"""WITH {_SETS}, s AS (SELECT item_id, CASE WHEN split = 'training' THEN 0 WHEN split IN ('mixed_test', 'time_offset_test') THEN 1 END AS side,
+nullif(lower(regexp_replace(name, '^\\s+|\\s+$', '', 'g')), '') AS name FROM corpus_item)
+SELECT item_id_a, item_id_b FROM near JOIN s a ON a.item_id = item_id_a JOIN s b ON b.item_id = item_id_b WHERE a.side + b.side = 1
+UNION SELECT a.item_id, b.item_id FROM s a JOIN s b ON a.name = b.name AND a.item_id < b.item_id WHERE a.side + b.side = 1"""
+ORACLE["p9_found"] = f"""WITH e AS (SELECT item_id, {_W.format('text')} AS w FROM eval_item), d AS (SELECT doc_id, {_W.format('text')} AS w FROM documents),
+er AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 19], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS i FROM e WHERE len(w) >= 20)),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 19], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN er USING (r)"""
+ORACLE["p10_found"] = """WITH w AS (SELECT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) SELECT DISTINCT doc_id FROM w JOIN s USING (h)"""
