@@ -42,6 +42,7 @@ PATHS, ATTRS, WORDS, FIGURES = 32, 32, 96, 24
 WIDTH = PATHS + ATTRS + WORDS + FIGURES
 
 _SPLIT = re.compile(r"(<!--.*?-->|<[!/?a-zA-Z][^>]*>)", re.S)
+_RAW = re.compile(r"<(script|style|template|textarea)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>?", re.S)
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*["']?([^"'>]*)""")
 _WORD = re.compile(r"[a-z]+")
@@ -98,7 +99,7 @@ def blocks(page: str) -> tuple[list[Block], str]:
                 out.append(Block(clean, min(1.0, linked / len(clean)), names, words, top[3], stack[-2][3] if len(stack) > 1 else 0, (top[0], top[2]), len(stack)))
             linked = 0
 
-    for n, part in enumerate(_SPLIT.split(page)):
+    for n, part in enumerate(_SPLIT.split(_RAW.sub("", page))):
         if not part:
             continue
         if not n & 1:

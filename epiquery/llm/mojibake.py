@@ -47,10 +47,11 @@ def cost(text: str) -> float:
     """How implausible the characters of a word are; 0 for plain ASCII."""
     if text.isascii() and "?" not in text:
         return 0.0
-    total, before, lower = 0.0, "", any(c.islower() for c in text)
+    total, before, lower, run = 0.0, "", any(c.islower() for c in text), 0
     for n, c in enumerate(text):
         o = ord(c)
         if o < 128:
+            run = 0
             if before >= "Ѐ" and before <= "ӿ" and c.isalpha():
                 total += 3
         elif c == "�":
@@ -60,12 +61,17 @@ def cost(text: str) -> float:
         elif 0x400 <= o <= 0x4FF:
             low = c.lower()
             total += _CYRILLIC.get(low, 4.0)
+            hard = low not in "аеёиоуыэюяьъй"
+            run = (run + 1 if run > 0 else 1) if hard else (run - 1 if run < 0 else -1)
+            total += 1.0 if run > 3 else 0.7 if run < -2 else 0.0
             if c != low:
                 total += 2.0 if lower and before.isalpha() else 0.3
             if before.isalpha() and before < "Ѐ":
                 total += 3
         elif c.isalpha() and c not in "ªºµ":
             low = c.lower()
+            run = run + 1 if before.isalpha() and ord(before) > 127 else 1
+            total += 1.0 if run > 2 and low < "ă" else 0.0
             total += 0.3 if low in _COMMON else 1.0 if low in _ACCENTED else 4.0
             if c != low:
                 total += 0.2
@@ -73,6 +79,8 @@ def cost(text: str) -> float:
                     total += 3 if before.islower() else 1
             if "Ѐ" <= before <= "ӿ":
                 total += 3
+        elif c in "²³" and before == "m":
+            total += 0.5
         elif c in _OPEN:
             closing = c in "“‘" and not text[n + 1 : n + 2].isalnum()
             total += 2.5 if before.isalnum() and not closing else 0.3
