@@ -79,7 +79,7 @@ def squashed_label(c: Column) -> Column:
 
 
 def split_trimmed(c: Column, separator: str) -> Column:
-    return F.filter(F.transform(F.split(c, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def without_qualifier(c: Column) -> Column:
