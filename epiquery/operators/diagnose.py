@@ -1,7 +1,9 @@
-"""The flagship: ranked labels with probabilities and explanations for every text, as one lazy plan."""
+"""The flagship: ranked labels with probabilities and explanations for every text, from keyword matches to explanations."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,29 +19,45 @@ class LabelModel:
     ancestors. Classes score their own keyword with `own` and their linked one with `inferred`."""
 
     def __init__(self, labels: DataFrame, scratch: Scratch, own: float = 2.0, inferred: float = 1.0, intercept: float = -1.0):
-        edges = scratch.save(H.with_missing_parents(scratch.save(H.parent_edges(labels, "label", "parent_label", "row_no"))))
-        resolved = scratch.save(H.resolve_hierarchy(edges, scratch))
-        self.edges, self.resolved = edges, resolved
-        pairs = H.ancestor_pairs(edges, resolved, scratch)
-        self.ancestors = pairs.select(F.col("label").alias("class"), "ancestor")
+        self.scratch, self.own, self.inferred, self.intercept = scratch, own, inferred, intercept
+        self.edges = scratch.save(H.with_missing_parents(scratch.save(H.parent_edges(labels, "label", "parent_label", "row_no"))))
+        self.keywords = self.edges.select("label", FE.X.normalised_keyword(F.col("label")).alias("keyword"))
+
+    @functools.cached_property
+    def pairs(self) -> DataFrame:
+        """(label, ancestor, distance); the hierarchy is resolved only for queries that need it."""
+        resolved = self.scratch.save(H.resolve_hierarchy(self.edges, self.scratch))
+        return H.ancestor_pairs(self.edges, resolved, self.scratch)
+
+    @property
+    def ancestors(self) -> DataFrame:
+        return self.pairs.select(F.col("label").alias("class"), "ancestor")
+
+    @property
+    def links(self) -> DataFrame:
         norm = FE.X.normalised_keyword
-        self.keywords = edges.select("label", norm(F.col("label")).alias("keyword"))
-        self.links = pairs.select(norm(F.col("label")).alias("keyword"), norm(F.col("ancestor")).alias("linked")).distinct()
-        k = self.keywords
-        self.coefficients = k.select(F.col("label").alias("class"), F.col("keyword").alias("feature"), F.lit(own).alias("coef")).unionByName(
-            k.select(F.col("label").alias("class"), F.concat(F.lit(FE.LINKED), "keyword").alias("feature"), F.lit(inferred).alias("coef")))
-        self.intercepts = k.select(F.col("label").alias("class"), F.lit(intercept).alias("intercept"))
+        return self.pairs.select(norm(F.col("label")).alias("keyword"), norm(F.col("ancestor")).alias("linked")).distinct()
+
+    @property
+    def coefficients(self) -> DataFrame:
+        one = lambda feature, coef: self.keywords.select(F.col("label").alias("class"), feature.alias("feature"), F.lit(coef).alias("coef"))
+        return one(F.col("keyword"), self.own).unionByName(one(F.concat(F.lit(FE.LINKED), "keyword"), self.inferred))
+
+    @property
+    def intercepts(self) -> DataFrame:
+        return self.keywords.select(F.col("label").alias("class"), F.lit(self.intercept).alias("intercept"))
 
     def base(self, docs: DataFrame, doc: str, text: Column) -> DataFrame:
-        return FE.keyword_counts(docs, doc, text, self.keywords, "label")
+        """Keyword counts, saved: small beside the texts, and read more than once by what follows."""
+        return self.scratch.save(FE.keyword_counts(docs, doc, text, self.keywords, "label"))
 
     def features(self, base: DataFrame, doc: str) -> DataFrame:
-        return FE.clamped(FE.linked(base, self.links, doc))
+        return self.scratch.save(FE.clamped(FE.linked(base, self.links, doc)))
 
 
 def diagnose(docs: DataFrame, doc: str, text: Column, model: LabelModel, ratio: float = S.CUTOFF) -> DataFrame:
     """(doc, class, p): the labels of each text. Texts without any keyword have none."""
-    p = S.probabilities(model.features(model.base(docs, doc, text), doc), model.coefficients, model.intercepts, doc)
+    p = model.scratch.save(S.probabilities(model.features(model.base(docs, doc, text), doc), model.coefficients, model.intercepts, doc))
     return S.best_guess(p, model.ancestors, doc, ratio)
 
 

@@ -1,8 +1,8 @@
 """Parent-child rows to full hierarchies.
 
 Bottom-up peeling takes one distributed round per level of the deepest chain, which very long chains make too many.
-The operator therefore doubles pointers: every unfinished node replaces its pointer by its pointer's pointer, so a chain
-of length L needs ceil(log2 L) rounds. Finished nodes (pointer is a root) leave the working set, so a parent with very
+The operator therefore jumps: every unfinished node replaces its pointer by its pointer's pointer, twice a round, so a
+chain of length L needs about log4 L rounds. Finished nodes (pointer is a root) leave the working set, so a parent with very
 many children costs one round; a round without newly finished nodes proves that all that is left is in or below a cycle.
 
 Defined results: null and blank labels name no node; blanks around labels and parents are ignored; of several rows the
@@ -46,19 +46,22 @@ def resolve_hierarchy(edges: DataFrame, scratch: Scratch) -> DataFrame:
     finished, known, rounds = [roots], None, 0
     while True:
         new, active = state.where("done"), state.where("not done")
-        if new.isEmpty():
+        n_new, n_active = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        if not n_new:
             break
         finished.append(new.select("label", F.col("ptr").alias("root_label"), F.col("dist").alias("depth"), F.lit(False).alias("in_cycle")))
         known = new if known is None else known.unionByName(new)
-        if active.isEmpty():
+        if not n_active:
             state = active
             break
-        state, rounds = scratch.save(_jump(active, known.unionByName(active))), rounds + 1
-    # all that is left follows a cycle; 2^rounds must reach the number of these nodes
+        once = _jump(active, known.unionByName(active))
+        twice = _jump(once.where("not done"), known.unionByName(once))
+        state, rounds = scratch.save(once.where("done").unionByName(twice)), rounds + 1
+    # all that is left follows a cycle; 4^rounds must reach the number of these nodes
     left = state
     n = left.count()
     if n:
-        cyc, reach = left, 2**rounds
+        cyc, reach = left, 4**rounds
         while reach < n:
             cyc = scratch.save(_jump(cyc, cyc))
             reach *= 2
@@ -79,16 +82,22 @@ def _jump(active: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def ancestor_pairs(edges: DataFrame, resolved: DataFrame, scratch: Scratch) -> DataFrame:
-    """(label, ancestor, distance) for every acyclic label and each of its ancestors, by doubling the distance per round."""
+    """(label, ancestor, distance) for every acyclic label and each of its ancestors, with four times the distance per round."""
     ok = resolved.where("depth > 0").select("label")
     full = scratch.save(edges.join(ok, "label").select("label", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")))
     reach, far = 1, full
+
+    def further(far: DataFrame, known: DataFrame) -> DataFrame:
+        steps = known.select(F.col("label").alias("ancestor"), F.col("ancestor").alias("a2"), F.col("distance").alias("d2"))
+        return far.join(steps, "ancestor").select("label", F.col("a2").alias("ancestor"), (F.col("distance") + F.col("d2")).alias("distance"))
+
     while True:
-        steps = full.select(F.col("label").alias("ancestor"), F.col("ancestor").alias("a2"), F.col("distance").alias("d2"))
-        new = scratch.save(far.join(steps, "ancestor").select("label", F.col("a2").alias("ancestor"), (F.col("distance") + F.col("d2")).alias("distance")))
+        once = further(far, full)
+        twice = further(once.where(F.col("distance") == 2 * reach), full.unionByName(once))
+        new = scratch.save(once.unionByName(twice))
         if new.isEmpty():
             return full
-        reach *= 2
+        reach *= 4
         full, far = full.unionByName(new), new.where(F.col("distance") == reach)
 
 

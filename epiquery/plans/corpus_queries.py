@@ -10,7 +10,7 @@ from ..operators import features as FE
 from ..operators import timestamps as TS
 from ..functions import text as X
 from ..sources import readers as R
-from ..storage import Scratch, table
+from ..storage import Scratch, spread, table
 from . import shared as H
 
 QUERIES, ORACLE = {}, {}
@@ -183,12 +183,12 @@ m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pr, CA
 
 def _evaluated(spark, sf, name):
     s = Scratch(spark, name)
-    up = s.save(H.ancestors(spark, sf, s))
+    edges = H.label_edges(spark, sf, s)
+    up = H.H.ancestor_pairs(edges, s.save(H.H.resolve_hierarchy(edges, s)), s)
     o = _items(spark, sf).select("item_id", F.explode(H.diseases()).alias("label")).where("label is not null").distinct()
     truth = o.unionByName(o.join(up, "label").select("item_id", F.col("ancestor").alias("label"))).distinct()
-    edges = H.label_edges(spark, sf, s)
     k = edges.select("label", X.normalised_keyword(F.col("label")).alias("keyword"))
-    got = FE.keyword_counts(_items(spark, sf), "item_id", F.col("private.cleancontent.content"), edges, "label")
+    got = FE.keyword_counts(spread(_items(spark, sf)), "item_id", F.col("private.cleancontent.content"), edges, "label")
     return truth, got.join(k, "keyword").select("item_id", "label").distinct()
 
 

@@ -13,7 +13,7 @@ from ..operators import posts as P
 from ..operators import spans as SP
 from ..operators import timestamps as TS
 from ..sources import readers as R
-from ..storage import Scratch, table
+from ..storage import Scratch, spread, table
 from . import shared as H
 
 QUERIES, ORACLE = {}, {}
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 #: subject lines of the documents' own posts, in the grammar of the mailing list

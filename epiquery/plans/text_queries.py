@@ -10,7 +10,7 @@ from ..functions import url as U
 from ..operators import diagnose as D
 from ..operators import features as FE
 from ..operators import scoring as S
-from ..storage import Scratch, table
+from ..storage import Scratch, spread, table
 from . import shared as H
 
 QUERIES, ORACLE = {}, {}
@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 @query(f"""SELECT token, count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM (SELECT doc_id, token, count(*) AS n FROM
@@ -182,7 +182,7 @@ def explain_scores(spark, sf):
     m = _model(spark, sf, "explain_scores")
     base = m.base(_docs(spark, sf), "doc_id", F.col("text"))
     f = m.features(base, "doc_id")
-    g = S.best_guess(S.probabilities(f, m.coefficients, m.intercepts, "doc_id"), m.ancestors, "doc_id")
+    g = S.best_guess(m.scratch.save(S.probabilities(f, m.coefficients, m.intercepts, "doc_id")), m.ancestors, "doc_id")
     return S.explanations(g, f, base.withColumnRenamed("keyword", "feature"), m.coefficients, "doc_id").withColumn("score", F.round("score", 9))
 
 
@@ -192,7 +192,7 @@ def diagnose_json(spark, sf):
     m = _model(spark, sf, "diagnose_json")
     base = m.base(_docs(spark, sf), "doc_id", F.col("text"))
     f = m.features(base, "doc_id")
-    g = S.best_guess(S.probabilities(f, m.coefficients, m.intercepts, "doc_id"), m.ancestors, "doc_id")
+    g = S.best_guess(m.scratch.save(S.probabilities(f, m.coefficients, m.intercepts, "doc_id")), m.ancestors, "doc_id")
     return D.as_json(g, S.explanations(g, f, base.withColumnRenamed("keyword", "feature"), m.coefficients, "doc_id"), "doc_id")
 
 

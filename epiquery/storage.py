@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for operators that spend much time on each row.
+
+    A no-op (no shuffle) wherever the input has enough splits, which any large table has; one small file has a single one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a local one is set only where none is configured (tests)."""
     sc = spark.sparkContext
@@ -37,7 +45,9 @@ class Scratch:
         self.n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Write df as Parquet and read it back: cuts lineage and survives the loss of executors."""
+        """Write df as Parquet and read it back: cuts lineage and survives the loss of executors. A saved table stays as it is."""
+        if getattr(df, "_scratch_path", None):
+            return df
         path = f"{self.root}/{self.n}"
         self.n += 1
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
