@@ -6,7 +6,7 @@ reads the whole sequence, so a teaser that looks like a paragraph is known by it
 
 The model is trained here, on at most SAMPLE pages whose article is known from the stored contents (a documented bound that
 holds at every size); a block counts as article text if it is a line of the stored content and not one of the lines that stand
-on pages of several articles. Training takes a fixed number of steps.
+on pages of several articles, whole or with another beginning (an outlet's name, a year). Training takes a fixed number of steps.
 
 Defined results: null and empty pages, and pages without article text, have no paragraphs; markup that is not well-formed is
 read as browsers do (missing end tags are implied, unknown ones ignored); a text of any length is one block if nothing splits
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
@@ -337,9 +337,9 @@ def training_pages(pages: DataFrame, page_id: Column, page: Column, name: Column
     if names:
         wanted = pages.sparkSession.createDataFrame([(x,) for x in names], "name string")
         i = items.select(item_name.alias("name"), content.alias("content")).where("content is not null").join(F.broadcast(wanted), "name", "left_semi")
-        four = i.groupBy("name").agg(F.slice(F.sort_array(F.collect_set(F.substring("content", 1, 1 << 16))), 1, 4).alias("c"))
-        for r in four.collect():
-            known[r.name] = list(r.c)
+        order = Window.partitionBy("name").orderBy(F.xxhash64("content"), "content")  # cut at four before the shuffle too
+        for r in i.withColumn("r", F.row_number().over(order)).where("r <= 4").collect():
+            known[r.name].append(r.content)
     return [(r.page, known.get(r.name, []), r.failed) for r in got]
 
 
@@ -352,15 +352,19 @@ def fit(sample: list[tuple[str, list[str], bool]]) -> Labeller:
         lines = [{k for line in c.split("\n") if (k := squeezed(line))} for c in contents]
         parsed.append((b, title, keys, lines, failed))
     seen = Counter(k for _, _, keys, _, _ in parsed for k in set(keys))
+    tails = Counter(t for _, _, keys, _, _ in parsed for t in {k[-40:] for k in keys})
+    notice = lambda k: seen[k] >= 4 or len(k) <= 150 and tails[k[-40:]] >= 6
     xs, ys = [], []
     for b, title, keys, lines, failed in parsed:
         if not b:
             continue
         have = set(keys)
         best = max(lines, key=lambda s: len(s & have) / max(1, len(s)), default=set())
-        own = {k for k in best if seen[k] < 4}
+        own = {k for k in best if not notice(k)}
         if not failed and len(own & have) < 0.9 * max(1, len(own)):
             continue  # another text was stored under the name, or it was edited
+        if any(seen[k] >= 4 and len(k) > 130 for k in best):
+            continue  # an article that stands on many pages: its lines can't be told from notices
         xs.append(vectors([b], [title]))
         ys.append(np.array([not failed and k in own for k in keys], dtype=np.float32))
     model = Labeller()
