@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -43,6 +45,14 @@ class Scratch:
         self.spark = spark
         self.root = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
         self.n = 0
+        atexit.register(self.clear)
+
+    def clear(self) -> None:
+        """Deletes the tables; by default at the end of the driver, since results are read from them lazily."""
+        with contextlib.suppress(Exception):
+            jvm = self.spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(self.root)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet and read it back: cuts lineage and survives the loss of executors. A saved table stays as it is."""
