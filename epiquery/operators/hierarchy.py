@@ -1,9 +1,12 @@
 """Parent-child rows to full hierarchies.
 
-Bottom-up peeling takes one distributed round per level of the deepest chain, which very long chains make too many.
-The operator therefore jumps: every unfinished node replaces its pointer by its pointer's pointer, twice a round, so a
-chain of length L needs about log4 L rounds. Finished nodes (pointer is a root) leave the working set, so a parent with very
-many children costs one round; a round without newly finished nodes proves that all that is left is in or below a cycle.
+``peel_hierarchy`` peels leaves from the bottom up. A plain peel takes one distributed round for each level, which a very long
+chain makes too many, so a round peels whole leaf chains: every leaf with the nodes above it that have no other child left.
+The ends of the chains are found by pointer jumps (log of the chain's length), and the number of rounds is at most the logarithm of
+the number of leaves, however deep the trees are. Each round sends the subtree sizes of its chains' tops to their parents; the
+reverse order of the rounds assigns roots and depths; what no round peels lies on a cycle.
+
+``resolve_hierarchy`` gives the same roots and depths by pointer jumps alone (fewer rounds, no sizes), for use inside other plans.
 
 Defined results: null and blank labels name no node; blanks around labels and parents are ignored; of several rows the
 last (highest order) with a non-empty parent counts; a parent without a row is a node and, having no parent, a root;
@@ -114,3 +117,62 @@ def with_missing_parents(edges: DataFrame) -> DataFrame:
     """edges plus a row (parent, null) for each parent without a row of its own."""
     extra = edges.where("parent is not null").select(F.col("parent").alias("label")).distinct().join(edges.select("label"), "label", "left_anti")
     return edges.unionByName(extra.withColumn("parent", F.lit(None).cast("string")))
+
+
+def _chains(active: DataFrame, scratch: Scratch) -> DataFrame:
+    """(label, leaf, height): the nodes of all leaf chains of the active nodes (label, parent)."""
+    kids = active.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.count("*").alias("n"), F.max("label").alias("child"))
+    t = active.join(kids, "label", "left").where("n is null or n = 1")
+    leaf = F.col("n").isNull()
+    # a pointer at a node with several children meets nothing and ends its row
+    state = scratch.save(t.select("label", F.when(leaf, F.col("label")).otherwise(F.col("child")).alias("ptr"), F.when(leaf, 0).otherwise(1).cast("bigint").alias("dist"), F.col("label").alias("least"), leaf.alias("done")))
+    known = None
+    while True:
+        new, left = state.where("done"), state.where("not done")
+        n_new, n_left = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        known = new if known is None else known.unionByName(new)
+        if not n_new or not n_left:
+            return known.select("label", F.col("ptr").alias("leaf"), F.col("dist").alias("height"))
+        once = _jump(left, known.unionByName(left))
+        twice = _jump(once.where("not done"), known.unionByName(once))
+        state = scratch.save(once.where("done").unionByName(twice))
+
+
+def peel_hierarchy(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """edges (label, parent or null), labels unique, all parents among them -> (label, root_label, depth, in_cycle, size).
+
+    depth is -1 and root_label the smallest label of the cycle for nodes in or below a cycle; in_cycle marks those on it. size
+    counts the node and all below it (for nodes on a cycle: the node and the trees that hang from it)."""
+    active = scratch.save(edges.select("label", "parent", F.lit(1).cast("bigint").alias("size")))
+    rounds = []
+    while True:
+        chains = _chains(active, scratch)
+        sizes = F.expr("sum(size) over (partition by leaf order by height)").alias("size")  # one chain is one path
+        peeled = scratch.save(chains.join(active, "label").select("label", "parent", "leaf", "height", sizes))
+        if peeled.isEmpty():
+            break
+        tops = peeled.groupBy("leaf").agg(F.max(F.struct("height", "label", "parent", "size")).alias("t")).select("leaf", "t.*")
+        rounds.append((peeled, tops))
+        sent = tops.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.sum("size").alias("more"))
+        rest = active.join(peeled.select("label"), "label", "left_anti").join(sent, "label", "left")
+        active = scratch.save(rest.select("label", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        if active.isEmpty():
+            break
+    least = _least_of_cycles(active, scratch)
+    known = active.join(least, "label").select("label", "root_label", F.lit(-1).cast("bigint").alias("depth"), F.lit(True).alias("in_cycle"), "size")
+    for peeled, tops in reversed(rounds):
+        above = known.select(F.col("label").alias("parent"), F.col("root_label").alias("up_root"), F.col("depth").alias("up"))
+        base = tops.withColumnRenamed("height", "top").join(above, "parent", "left").select("leaf", "top", F.coalesce("up_root", "label").alias("root_label"), F.when(F.col("parent").isNull(), 0).when(F.col("up") < 0, -1).otherwise(F.col("up") + 1).alias("base"))
+        depth = F.when(F.col("base") < 0, F.lit(-1)).otherwise(F.col("base") + F.col("top") - F.col("height")).cast("bigint")
+        done = peeled.join(base, "leaf").select("label", "root_label", depth.alias("depth"), F.lit(False).alias("in_cycle"), "size")
+        known = known.unionByName(scratch.save(done))
+    return known
+
+
+def _least_of_cycles(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(label, root_label) of nodes (label, parent) that all lie on cycles: the smallest label of each one's cycle."""
+    n, reach = nodes.count(), 1
+    state = nodes.select("label", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("dist"), F.col("parent").alias("least"), F.lit(False).alias("done"))
+    while reach < n:
+        state, reach = scratch.save(_jump(state, state)), reach * 2
+    return state.select("label", F.col("least").alias("root_label"))

@@ -116,3 +116,10 @@ def count_features(spans: DataFrame, doc: str) -> DataFrame:
     value = F.regexp_extract("label", r"^(\d+)", 1).cast("bigint")
     types = F.when(F.col("label").contains("case"), F.array(F.lit("count"), F.lit("caseCount"))).otherwise(F.array(F.lit("count")))
     return spans.select(doc, F.explode(types).alias("type"), "start", "end", "label", value.alias("value"))
+
+
+def location_features(spans: DataFrame, gazetteer: DataFrame, doc: str) -> DataFrame:
+    """(doc, geonameid, name, offsets): spans whose label is a name in the gazetteer (geonameid, name), grouped by place."""
+    g = gazetteer.select("geonameid", "name", F.lower("name").alias("k")).distinct()
+    met = spans.withColumn("k", F.lower("label")).join(g, "k").select(doc, "geonameid", "name", "start", "end")
+    return grouped_offsets(met, doc, "geonameid", "name")

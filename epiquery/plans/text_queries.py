@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pages as PG
+from ..functions import structs as ST
 from ..functions import text as X
 from ..functions import url as U
 from ..operators import diagnose as D
@@ -219,3 +221,23 @@ def event_windows(spark, sf):
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings""")
 def vector_norm(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 6).alias("norm"))
+
+
+@query("""SELECT item_id, private.cleancontent.malformed AS "private/cleancontent/malformed", private.scrapeddata.url AS "private/scrapeddata/url", private.englishtranslation.error AS "private/englishtranslation/error" FROM corpus_item""")
+def squashed_items(spark, sf):
+    """Nested items as flat columns named by path."""
+    flat = ST.squashed(table(spark, sf, "corpus_item").select("item_id", "private"))
+    return flat.select("item_id", *[F.col(f"`private/{c}`") for c in ("cleancontent/malformed", "scrapeddata/url", "englishtranslation/error")])
+
+
+@query()
+def page_content(spark, sf):
+    """Main text of pages by the plain density rule, and whether it is malformed."""
+    s = table(spark, sf, "scrape_result").where("htmlcontent is not null").select("scrape_id", PG.main_text(F.col("htmlcontent")).alias("content"))
+    return s.withColumn("malformed", PG.malformed(F.col("content")))
+
+
+@query("""SELECT scrape_id, md5(sourceurl) AS same FROM scrape_result WHERE sourceurl IS NOT NULL""")
+def decoded_bytes(spark, sf):
+    s = table(spark, sf, "scrape_result").where("sourceurl is not null")
+    return s.select("scrape_id", F.md5(PG.decoded(F.encode("sourceurl", "utf-8"), F.lit("utf-8"))).alias("same"))

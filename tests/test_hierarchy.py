@@ -25,10 +25,10 @@ def brute(table):
     return out
 
 
-def resolve(spark, scratch, table):
+def resolve(spark, scratch, table, how=H.peel_hierarchy):
     df = spark.createDataFrame(table, "label string, parent string, o bigint")
     edges = scratch.save(H.with_missing_parents(scratch.save(H.parent_edges(df, "label", "parent", "o"))))
-    return edges, scratch.save(H.resolve_hierarchy(edges, scratch))
+    return edges, scratch.save(how(edges, scratch))
 
 
 CASES = {
@@ -44,18 +44,32 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-def test_roots_and_depths(spark, scratch, name):
-    _, got = resolve(spark, scratch, CASES[name])
+@pytest.mark.parametrize("how", [H.peel_hierarchy, H.resolve_hierarchy])
+def test_roots_and_depths(spark, scratch, name, how):
+    _, got = resolve(spark, scratch, CASES[name], how)
     assert {r.label: (r.root_label, r.depth) for r in got.collect()} == brute(CASES[name])
 
 
-def test_random_forests(spark, scratch):
+@pytest.mark.parametrize("how", [H.peel_hierarchy, H.resolve_hierarchy])
+def test_random_forests(spark, scratch, how):
     r = random.Random(4)
     table = [(f"x{r.randrange(120)}", f"x{r.randrange(120)}" if r.random() < 0.9 else None, i) for i in range(200)]
-    _, got = resolve(spark, scratch, table)
+    _, got = resolve(spark, scratch, table, how)
     assert {x.label: (x.root_label, x.depth) for x in got.collect()} == brute(table)
 
 
+def test_sizes_and_deep_branches(spark, scratch):
+    table = [(f"a{i:03d}", f"a{i + 1:03d}", i) for i in range(90)] + [(f"b{i:03d}", f"a{2 * i + 1:03d}", 100 + i) for i in range(40)] + [(f"c{i}", "b007", 200 + i) for i in range(5)]
+    _, got = resolve(spark, scratch, table)
+    parent = {x: p for x, p, _ in table}
+    size = {}
+    for x in set(parent) | set(parent.values()):
+        while x is not None:
+            size[x] = size.get(x, 0) + 1
+            x = parent.get(x)
+    assert {r.label: r["size"] for r in got.collect()} == size
+
+
 def test_paths_and_descendants(spark, scratch):
     edges, got = resolve(spark, scratch, [("a", "b", 1), ("b", "c", 2), ("d", "b", 3), ("e", "e", 4)])
     pairs = H.ancestor_pairs(edges, got, scratch)

@@ -68,3 +68,34 @@ def test_links_clamp_rename(spark):
 
 def test_html(spark):
     assert one(spark, X.html_to_text, "<p>a<br/>b  c</p><script>x</script><b>d</b>") == ["\n\na\nb c\n\n d"]
+
+
+def test_structs(spark):
+    import pytest
+
+    from epiquery.functions import structs as ST
+
+    df = spark.sql("select 1 as a, named_struct('b', 2, 'c', named_struct('d', 'x')) as s")
+    assert ST.squashed(df).columns == ["a", "s/b", "s/c/d"]
+    with pytest.raises(ValueError):
+        ST.squashed(spark.sql("select named_struct('b', 2) as s, 3 as `s/b`"))
+    got = spark.sql("select array('infection', 'x') as v, array(array(1), array(2)) as n, timestamp_ntz '2014-01-02 03:04:05' as t, cast(null as string) as z")
+    r = got.select(ST.remapped(F.col("v"), {"infection": "case"}), ST.flattened(F.col("n"), 1), ST.json_row("t", "z")).first()
+    assert tuple(r) == (["case", "x"], [1, 2], '{"t":"2014-01-02T03:04:05","z":null}')
+
+
+def test_pages(spark):
+    from epiquery.functions import pages as PG
+
+    html = "<nav><a href=/>Home</a> <a href=/x>News</a></nav><p>" + "Long enough sentence about an outbreak. " * 3 + "</p><div>Share this</div>"
+    assert one(spark, PG.main_text, html, "<p>short</p>", None) == [("Long enough sentence about an outbreak. " * 3).strip(), "short", None]
+    df = spark.createDataFrame([(bytearray("é".encode("latin-1")), "latin-1"), (bytearray(b"\xff"), "nope"), (None, None)], "b binary, e string")
+    assert [r[0] for r in df.select(PG.decoded("b", "e")).collect()] == ["é", "�", None]
+
+
+def test_locations(spark):
+    from epiquery.operators import spans as SP
+
+    s = spark.createDataFrame([(1, 0, 4, "Rome"), (1, 9, 13, "ROME"), (1, 5, 8, "xyz")], "id bigint, start int, end int, label string")
+    g = spark.createDataFrame([(7, "Rome")], "geonameid bigint, name string")
+    assert rows(SP.location_features(s, g, "id")) == [(1, 7, "Rome", "0-4 9-13")]
