@@ -423,3 +423,41 @@ def paragraph_keys(df: DataFrame, page_id: Column, page: Column, model: Labeller
 
     d = df.select(page_id.cast("bigint").alias("id"), page.alias("page")).where("id is not null and page is not null")
     return d.mapInArrow(rows, "id bigint, para_key string")
+
+
+def _line_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(squeezed(text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def notices(df: DataFrame, page_id: Column, page: Column, model: Labeller, least_pages: int = 3) -> DataFrame:
+    """(key): hashes of blocks that stand on at least `least_pages` pages and are article text on none of them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, pages in K.chunks(*K.columns(batch, "id", "page"), 1 << 19):
+                found: dict[int, bool] = {}
+                count: Counter[int] = Counter()
+                for labelled in label_blocks(model, pages):
+                    own = {_line_hash(t): p >= 0.5 for t, p in sorted(labelled, key=lambda x: x[1])}
+                    count.update(own.keys())
+                    for k, article in own.items():
+                        found[k] = found.get(k, False) or article
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.bool_()), pa.array([count[k] for k in found], pa.int64())], names=["key", "article", "pages"])
+
+    d = df.select(page_id.cast("bigint").alias("id"), page.alias("page")).where("id is not null and page is not null")
+    k = d.mapInArrow(rows, "key bigint, article boolean, pages bigint").groupBy("key").agg(F.max("article").alias("article"), F.sum("pages").alias("pages"))
+    return k.where(~F.col("article") & (F.col("pages") >= least_pages)).select("key")
+
+
+def leftovers(items: DataFrame, item_id: Column, content: Column, notice_keys: DataFrame) -> DataFrame:
+    """(id, line, text): lines of stored contents that are page furniture; line counts from 0."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, n, line, _line_hash(line)) for i, t in zip(*K.columns(batch, "id", "t")) for n, line in enumerate(t.split("\n")) if squeezed(line)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.string(), pa.int64()))], names=["id", "line", "text", "key"])
+
+    d = items.select(item_id.cast("bigint").alias("id"), content.alias("t")).where("id is not null and t is not null")
+    return d.mapInArrow(rows, "id bigint, line int, text string, key bigint").join(notice_keys, "key", "left_semi").select("id", "line", "text")

@@ -78,8 +78,8 @@ def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == x
 
 
-def _window_rows(model: Templates, least: int, window: int):
-    """Rows (id, text) -> (id, pos, template, slots): the winnowed windows."""
+def _window_rows(model: Templates, least: int, window: int, with_slots: bool):
+    """Rows (id, text) -> (id, pos, template, slots): the winnowed windows; without slots these are 0 and don't choose."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +89,7 @@ def _window_rows(model: Templates, least: int, window: int):
                 if n <= 0:
                     continue
                 with np.errstate(over="ignore"):
-                    fill = np.where(h == t, K.U64(0), h)
+                    fill = np.where(h == t, K.U64(0), h) if with_slots else np.zeros_like(h)
                 at = np.arange(n)
                 tw, sw = (K.range_hash(K.prefix_hash(K.splitmix(x)), at, at + window) for x in (t, fill))
                 valid = np.zeros(n + 1, dtype=np.int32)
@@ -105,23 +105,6 @@ def _window_rows(model: Templates, least: int, window: int):
     return rows
 
 
-def _template_rows(model: Templates, window: int):
-    """As _window_rows, but winnowed by the template alone, for runs of templates."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts in K.chunks(*K.columns(batch, "id", "text"), 1 << 19):
-                h, t, first = model.of(texts)
-                runs, begin = K.run_hashes(t, first, window)
-                if len(runs):
-                    text = np.repeat(np.arange(len(texts)), np.diff(begin))
-                    pos = np.arange(len(runs)) - begin[text]
-                    keep = (runs % K.U64(8) == 0) | (pos == 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[text[keep]]), pa.array(pos[keep].astype(np.int32)), pa.array(runs[keep].view(np.int64)), pa.array(np.zeros(int(keep.sum()), dtype=np.int64))], names=["id", "pos", "template", "slots"])
-
-    return rows
-
-
 def _same(least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +163,9 @@ def leaked(docs: DataFrame, doc_id: Column, doc_text: Column, items: DataFrame,
     """(doc_id, item_id, words[, changed]): the documents that hold at least `least` consecutive words (or template slots) of an item."""
     model = Templates(vocabulary(items, item_text))
     d, e = _rows(docs, doc_id, doc_text), _rows(items, item_id, item_text).dropDuplicates(["id"])
-    window = window or (WINDOW if mode == "same" else least)
-    make = _window_rows(model, least, min(window, least)) if mode == "same" else _template_rows(model, window)
+    same = mode == "same"
+    window = min(least, window or (WINDOW if same else max(WINDOW, least - 8)))
+    make = _window_rows(model, least, window, same)
     schema = "id bigint, pos int, template bigint, slots bigint"
     ew = scratch.save(e.mapInArrow(make, schema)).withColumnsRenamed({"id": "b", "pos": "pb"})
     small = F.broadcast if small_enough(ew.count(), 96) else (lambda x: x)
@@ -193,6 +177,6 @@ def leaked(docs: DataFrame, doc_id: Column, doc_text: Column, items: DataFrame,
     ta = d.withColumnsRenamed({"id": "a", "text": "ta"}).join(hint(pairs.select("a").distinct()), "a", "left_semi").dropDuplicates(["a"])
     tb = e.withColumnsRenamed({"id": "b", "text": "tb"})
     both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "shifts", "ta", "tb")
-    if mode == "same":
+    if same:
         return both.mapInArrow(_same(least), "doc_id bigint, item_id bigint, words bigint")
     return both.mapInArrow(_consistent(model, least), "doc_id bigint, item_id bigint, words bigint, changed bigint")

@@ -178,3 +178,12 @@ dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 19], ' ') AS r FROM (SELE
 SELECT DISTINCT doc_id, item_id FROM dr JOIN er USING (r)"""
 ORACLE["p10_found"] = """WITH w AS (SELECT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
 s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) SELECT DISTINCT doc_id FROM w JOIN s USING (h)"""
+
+
+def p5_leftovers(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of stored contents that are page furniture."""
+    keys = boilerplate.notices(table(spark, sf, "scrape_result"), F.col("scrape_id"), F.col("htmlcontent"), _labeller(spark, sf))
+    return boilerplate.leftovers(table(spark, sf, "corpus_item"), F.col("item_id"), _content(), keys).withColumnRenamed("id", "item_id")
+
+
+QUERIES["p5_leftovers"] = p5_leftovers

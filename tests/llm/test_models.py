@@ -110,6 +110,9 @@ def test_main_text(spark):
     df = spark.createDataFrame([(1, held[0][0]), (1, held[0][0]), (2, None), (3, ""), (4, "<p>" + "x " * 300_000)], "i bigint, p string").withColumn("id", F.lit("clash"))
     assert {r.para_key for r in B.paragraph_keys(df, F.col("i"), F.col("p"), model).where("id = 1").collect()} >= {B.para_key(p) for p in held[0][1][:1]}
     assert B.main_text(df.where("false"), F.col("i"), F.col("p"), model).count() == 0
+    items = spark.createDataFrame([(1, held[0][1][0] + "\n© All rights reserved\n\nunseen line"), (2, None), (3, "")], "i bigint, c string").withColumn("key", F.lit(1))
+    left = B.leftovers(items, F.col("i"), F.col("c"), B.notices(df, F.col("i"), F.col("p"), model, 2))
+    assert rows(left) == [(1, 1, "© All rights reserved")]
     none = B.fit([])
     assert not [1 for x in B.label_blocks(none, [h for h, _ in held]) for _, p in x if p >= 0.5]
 
