@@ -8,7 +8,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: One broadcast side may be this large; every explicit broadcast in the package is guarded by it.
@@ -27,6 +28,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
+def hashed_part(df: DataFrame, key: Column, rows: int, spare: int = 4) -> DataFrame:
+    """df with `__k`, the hash of a key, cut to about spare x rows rows by that hash: what a bounded sample is drawn from.
+
+    A top-n over the whole table would send n rows of every partition to the driver; of this part few partitions have any."""
+    n = df.count()  # from Parquet footers
+    d = df.withColumn("__k", F.xxhash64(key))
+    return d.where(F.col("__k") < F.lit(-(1 << 63) + (1 << 64) * spare * rows // n)) if n > spare * rows else d
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a local one is set only where none is configured (tests)."""
     sc = spark.sparkContext
