@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import let
 
 LEAST, FALLBACK = 50, 1
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(data: pd.Series, encoding: pd.Series) -> pd.Series:
     """Bytes to text in the named encoding (UTF-8 if none or unknown); bytes that do not fit become replacement characters."""
 
