@@ -67,7 +67,7 @@ def test_links_clamp_rename(spark):
 
 
 def test_html(spark):
-    assert one(spark, X.html_to_text, "<p>a<br/>b  c</p><script>x</script><b>d</b>") == ["\n\na\nb c\n\n d"]
+    assert one(spark, X.html_to_text, "<p>a<br/>b  c</p><script>x</script><b>d</b>") == ["\n\na\nb c\n\nd"]
 
 
 def test_structs(spark):
