@@ -57,9 +57,7 @@ def resolve_hierarchy(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if not n_active:
             state = active
             break
-        once = _jump(active, known.unionByName(active))
-        twice = _jump(once.where("not done"), known.unionByName(once))
-        state, rounds = scratch.save(once.where("done").unionByName(twice)), rounds + 1
+        state, rounds = scratch.save(_hops(active, known)), rounds + 1
     # all that is left follows a cycle; 4^rounds must reach the number of these nodes
     left = state
     n = left.count()
@@ -119,23 +117,31 @@ def with_missing_parents(edges: DataFrame) -> DataFrame:
     return edges.unionByName(extra.withColumn("parent", F.lit(None).cast("string")))
 
 
-def _chains(active: DataFrame, scratch: Scratch) -> DataFrame:
-    """(label, leaf, height): the nodes of all leaf chains of the active nodes (label, parent)."""
+def _hops(left: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Two jumps of the unfinished nodes; finished ones among them stay as they are."""
+    with_known = lambda d: d if known is None else known.unionByName(d)
+    once = _jump(left, with_known(left))
+    return once.where("done").unionByName(_jump(once.where("not done"), with_known(once)))
+
+
+def _chains(active: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, int]:
+    """(label, leaf, height) of the nodes of all leaf chains of the active nodes (label, parent), and their number."""
     kids = active.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.count("*").alias("n"), F.max("label").alias("child"))
     t = active.join(kids, "label", "left").where("n is null or n = 1")
     leaf = F.col("n").isNull()
     # a pointer at a node with several children meets nothing and ends its row
-    state = scratch.save(t.select("label", F.when(leaf, F.col("label")).otherwise(F.col("child")).alias("ptr"), F.when(leaf, 0).otherwise(1).cast("bigint").alias("dist"), F.col("label").alias("least"), leaf.alias("done")))
-    known = None
+    start = t.select("label", F.when(leaf, F.col("label")).otherwise(F.col("child")).alias("ptr"), F.when(leaf, 0).otherwise(1).cast("bigint").alias("dist"), F.col("label").alias("least"), leaf.alias("done"))
+    once = _jump(start.where("not done"), start)
+    state = scratch.save(start.where("done").unionByName(once))
+    known, total = None, 0
     while True:
-        new, left = state.where("done"), state.where("not done")
         n_new, n_left = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
-        known = new if known is None else known.unionByName(new)
+        if n_new:
+            known, total = (state.where("done") if known is None else known.unionByName(state.where("done"))), total + n_new
         if not n_new or not n_left:
-            return known.select("label", F.col("ptr").alias("leaf"), F.col("dist").alias("height"))
-        once = _jump(left, known.unionByName(left))
-        twice = _jump(once.where("not done"), known.unionByName(once))
-        state = scratch.save(once.where("done").unionByName(twice))
+            chains = None if known is None else known.select("label", F.col("ptr").alias("leaf"), F.col("dist").alias("height"))
+            return chains, total
+        state = scratch.save(_hops(state.where("not done"), known))
 
 
 def peel_hierarchy(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -144,20 +150,18 @@ def peel_hierarchy(edges: DataFrame, scratch: Scratch) -> DataFrame:
     depth is -1 and root_label the smallest label of the cycle for nodes in or below a cycle; in_cycle marks those on it. size
     counts the node and all below it (for nodes on a cycle: the node and the trees that hang from it)."""
     active = scratch.save(edges.select("label", "parent", F.lit(1).cast("bigint").alias("size")))
-    rounds = []
-    while True:
-        chains = _chains(active, scratch)
+    rounds, left = [], active.count()
+    while left:
+        chains, n = _chains(active, scratch)
+        if not n:
+            break
         sizes = F.expr("sum(size) over (partition by leaf order by height)").alias("size")  # one chain is one path
         peeled = scratch.save(chains.join(active, "label").select("label", "parent", "leaf", "height", sizes))
-        if peeled.isEmpty():
-            break
         tops = peeled.groupBy("leaf").agg(F.max(F.struct("height", "label", "parent", "size")).alias("t")).select("leaf", "t.*")
         rounds.append((peeled, tops))
         sent = tops.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.sum("size").alias("more"))
         rest = active.join(peeled.select("label"), "label", "left_anti").join(sent, "label", "left")
-        active = scratch.save(rest.select("label", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        if active.isEmpty():
-            break
+        active, left = scratch.save(rest.select("label", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))), left - n
     least = _least_of_cycles(active, scratch)
     known = active.join(least, "label").select("label", "root_label", F.lit(-1).cast("bigint").alias("depth"), F.lit(True).alias("in_cycle"), "size")
     for peeled, tops in reversed(rounds):
