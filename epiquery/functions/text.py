@@ -82,6 +82,11 @@ def split_trimmed(c: Column, separator: str) -> Column:
     return F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def lemma_name(c: Column) -> Column:
+    """The text before the first full stop, underscores as blanks."""
+    return F.replace(F.split_part(c, F.lit("."), F.lit(1)), F.lit("_"), F.lit(" "))
+
+
 def without_qualifier(c: Column) -> Column:
     """Drops " (disorder)", " (morphologic abnormality)", " (finding)" and empty brackets."""
     return F.regexp_replace(c, r"\s\((disorder|(morphologic abnormality)|finding)?\)", "")

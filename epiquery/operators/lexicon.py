@@ -50,6 +50,12 @@ def build(synsets: DataFrame, synonyms: str = "synonyms", parents: str = "parent
     return k.select("keyword", "category", "linked_keywords", is_case_sensitive(F.col("keyword")).alias("case_sensitive"), (F.row_number().over(order) > 1).alias("duplicate"))
 
 
+def excluding(synsets: DataFrame, terms: list[str], *columns: str) -> DataFrame:
+    """synsets without the given terms in any of the array columns (synonyms and parent_synonyms by default)."""
+    gone = F.array(*map(F.lit, terms)).cast("array<string>")
+    return synsets.withColumns({c: F.array_except(c, gone) for c in columns or ("synonyms", "parent_synonyms")})
+
+
 def for_training(keywords: DataFrame) -> DataFrame:
     return keywords.where(F.col("category").isin(TRAINING_CATEGORIES))
 

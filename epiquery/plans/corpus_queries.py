@@ -30,7 +30,7 @@ def _items(spark, sf):
     return table(spark, sf, "corpus_item")
 
 
-_FLAGS = ", ".join(f"{c}" for c in R.LABEL_FLAGS)
+_FLAGS = ", ".join(R.LABEL_FLAGS)
 
 
 @query(rf"""SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, nullif(regexp_replace(parent_label, '^\s+|\s+$', '', 'g'), '') AS parent_label, nullif(regexp_replace(synonym, '^\s+|\s+$', '', 'g'), '') AS synonym, {_FLAGS}
@@ -39,8 +39,8 @@ def label_clean(spark, sf):
     return R.cleaned_labels(table(spark, sf, "label_table").select("row_no", "label", "parent_label", "synonym", *[F.col(c) for c in R.LABEL_FLAGS]))
 
 
-@query("""SELECT label, coalesce(arg_min(is_not_disease, row_no), arg_min(not_human_disease, row_no)) AS not_human FROM (SELECT row_no, regexp_replace(label, '^\\s+|\\s+$', '', 'g') AS label, is_not_disease, not_human_disease FROM label_table
-WHERE coalesce(is_not_disease, not_human_disease) IS NOT NULL) WHERE label <> '' GROUP BY label""".replace("coalesce(arg_min(is_not_disease, row_no), arg_min(not_human_disease, row_no))", "arg_min(coalesce(is_not_disease, not_human_disease), row_no)"))
+@query(r"""SELECT label, arg_min(coalesce(is_not_disease, not_human_disease), row_no) AS not_human FROM (SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, is_not_disease, not_human_disease FROM label_table
+WHERE coalesce(is_not_disease, not_human_disease) IS NOT NULL) WHERE label <> '' GROUP BY label""")
 def label_predicates(spark, sf):
     """Whether a label is no human disease, by its first row that says so."""
     t = label_clean(spark, sf).withColumn("v", F.coalesce("is_not_disease", "not_human_disease")).where("v is not null")
@@ -94,9 +94,6 @@ def modular_split(spark, sf):
     return d.select("item_id", C.modular_split(F.col("k"), d.where("k is not null").count()).alias("part"))
 
 
-_CUR = """c AS (SELECT id, label, arg_max(created, created) AS created FROM (SELECT id, created, unnest(labels) AS label FROM curated_item) WHERE label IS NOT NULL GROUP BY ALL)"""
-
-
 @query("""WITH c AS (SELECT label, id FROM (SELECT id, unnest(labels) AS label FROM curated_item) WHERE label IS NOT NULL GROUP BY ALL), t AS (SELECT id, min(md5(content)) AS k FROM curated_item GROUP BY id),
 r AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY k NULLS LAST, id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM c JOIN t USING (id))
 SELECT label, id, CASE WHEN n >= 10 AND rn <= 5 THEN 'test' ELSE 'training' END AS split FROM r""")

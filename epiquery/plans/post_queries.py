@@ -216,9 +216,6 @@ def linked_keywords(spark, sf):
     return O.linked_labels(pairs, O.labels_of(triples))
 
 
-_DATE_SQL = SP.DATE.replace("(\\d{1,2}) (" + SP.MONTH + ")", "\\d{1,2} (?:" + SP.MONTH + ")").replace("(" + SP.MONTH + ") (\\d{1,2})", "(?:" + SP.MONTH + ") \\d{1,2}")
-_COUNT_SQL = SP.COUNT
-
 
 def _spans(spark, sf, pattern):
     return SP.pattern_spans(_docs(spark, sf), "doc_id", F.col("text"), pattern)
@@ -310,7 +307,7 @@ def newest_versions(spark, sf):
 
 @query("""SELECT source, count(*)::BIGINT AS n, count(*) FILTER (WHERE code >= 300)::BIGINT AS failed FROM (SELECT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS source, code FROM scrape_result) GROUP BY source""")
 def grouped_fetches(spark, sf):
-    return table(spark, sf, "scrape_result").select(F.coalesce(U.host(F.col("url")), F.lit("")).alias("source"), F.col("url").isNull().alias("none"), "code").select(F.when(~F.col("none"), F.col("source")).alias("source"), "code").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("code") >= 300).alias("failed"))
+    return table(spark, sf, "scrape_result").select(F.when(F.col("url").isNotNull(), F.coalesce(U.host(F.col("url")), F.lit(""))).alias("source"), "code").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("code") >= 300).alias("failed"))
 
 
 @query("""SELECT item_id, position FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS position FROM corpus_item WHERE split = 'mixed_test') WHERE position < 100""")

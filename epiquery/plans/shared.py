@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators import hierarchy as H
 from ..storage import Scratch, table
 
@@ -75,6 +72,3 @@ def inline(spark: SparkSession, values: str, columns: str) -> DataFrame:
 def diseases(column: str = "meta.events"):
     """All diseases of an item's events, nulls kept; null without events."""
     return F.flatten(F.transform(F.col(column), lambda e: F.coalesce(e["diseases"], F.array().cast("array<string>"))))
-
-
-__all__ = [n for n in dir() if not re.match("__", n)] + ["X"]

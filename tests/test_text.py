@@ -99,3 +99,13 @@ def test_locations(spark):
     s = spark.createDataFrame([(1, 0, 4, "Rome"), (1, 9, 13, "ROME"), (1, 5, 8, "xyz")], "id bigint, start int, end int, label string")
     g = spark.createDataFrame([(7, "Rome")], "geonameid bigint, name string")
     assert rows(SP.location_features(s, g, "id")) == [(1, 7, "Rome", "0-4 9-13")]
+
+
+def test_lemmas_and_exclusions(spark):
+    from epiquery.operators import lexicon as L
+
+    assert one(spark, X.lemma_name, "red_fox.n.01", None) == ["red fox", None]
+    assert one(spark, X.without_qualifier, "Flu (disorder)", "Pox ()", "Flu (x)") == ["Flu", "Pox", "Flu (x)"]
+    s = spark.createDataFrame([(["a", "b"], ["c", None], "hm/disease")], "synonyms array<string>, parent_synonyms array<string>, category string")
+    k = L.build(L.excluding(s, ["b"])).collect()
+    assert [(r.keyword, r.linked_keywords, r.duplicate) for r in k] == [("a", ["[linked] c"], False)]
