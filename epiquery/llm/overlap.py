@@ -50,13 +50,28 @@ def overlap_pairs(df: DataFrame, id_col: str, name: Column, text: Column, split:
     return N.all_pairs(pairs, copies, cross=True).unionByName(same_key_pairs(d, id_col, canonical_name(name), side)).distinct()
 
 
-def exact_overlap_counts(df: DataFrame, id_col: str, text: Column, split: Column, source: Column) -> DataFrame:
-    """(split, source, rows, leaked): evaluation records, and those whose canonical text is also a training text.
+def _evaluation_rows(df: DataFrame, id_col: str, text: Column, split: Column, source: Column) -> DataFrame:
+    """(id, split, source, hit): evaluation records; hit is 1 where the canonical text is also a training text, else null.
 
-    Both sides are reduced to distinct hashes before the join, so copies cost nothing; every evaluation record counts."""
+    Both sides are reduced to distinct hashes before the join, so copies cost nothing."""
     side = side_of(split)
     t = canonical_text(text)
     d = df.select(F.col(id_col).alias("id"), split.alias("split"), source.alias("source"), side.alias("side"), F.when(t != "", F.sha2(t, 256)).alias("key"))
     train = d.where("side = 0 and key is not null").select("key").distinct().withColumn("hit", F.lit(1))
-    ev = d.where("side = 1").join(train, "key", "left")
-    return ev.groupBy("split", "source").agg(F.count("*").alias("rows"), F.count("hit").alias("leaked"))
+    return d.where("side = 1").join(train, "key", "left").select("id", "split", "source", "hit")
+
+
+def exact_overlap_counts(df: DataFrame, id_col: str, text: Column, split: Column, source: Column) -> DataFrame:
+    """(split, source, rows, leaked): evaluation records, and those whose canonical text is also a training text; every record counts."""
+    return _evaluation_rows(df, id_col, text, split, source).groupBy("split", "source").agg(F.count("*").alias("rows"), F.count("hit").alias("leaked"))
+
+
+def overlap_counts(df: DataFrame, id_col: str, name: Column, text: Column, split: Column, source: Column, scratch: Scratch, jaccard: float = 0.8, k: int = 5, min_words: int = 20) -> DataFrame:
+    """(split, source, rows, leaked, exact, pairs): evaluation records by id; those that overlap with training by name, nearly the same
+    or equal canonical text (also one too short for overlap_pairs); those with equal text; and their pairs of overlap_pairs."""
+    pairs = scratch.save(overlap_pairs(df, id_col, name, text, split, scratch, jaccard, k, min_words))
+    ends = pairs.select(F.col("item_id_a").alias("id")).unionAll(pairs.select("item_id_b")).groupBy("id").agg(F.count("*").alias("n"))
+    ev = _evaluation_rows(df, id_col, text, split, source).groupBy("id", "split", "source").agg(F.max("hit").alias("hit"))
+    leaked = F.col("hit").isNotNull() | F.col("n").isNotNull()
+    return ev.join(ends, "id", "left").groupBy("split", "source").agg(
+        F.count("*").alias("rows"), F.count_if(leaked).alias("leaked"), F.count("hit").alias("exact"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("pairs"))

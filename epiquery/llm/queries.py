@@ -37,8 +37,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation records whose canonical text stands in training, per split and source."""
-    return overlap.exact_overlap_counts(table(spark, sf, "corpus_item"), "item_id", _content(), F.col("split"), F.col("source"))
+    """Evaluation records that overlap with training by name or content, and their pairs, per split and source.
+
+    P4_COUNTS states only the share with equal text: its `leaked` is `exact` here."""
+    scratch = Scratch(spark, "p4_counts")
+    return overlap.overlap_counts(table(spark, sf, "corpus_item"), "item_id", F.col("name"), _content(), F.col("split"), F.col("source"), scratch, 0.5)
 
 
 P4_COUNTS = """

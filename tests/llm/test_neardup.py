@@ -95,3 +95,12 @@ def test_split_overlap(spark, scratch):
     counts = O.exact_overlap_counts(df.withColumn("source", F.lit("s")), "i", F.col("t"), F.col("split"), F.col("source"))
     assert counts.agg(F.sum("rows")).first()[0] == sum(s == 1 for s in side.values())
     assert O.overlap_pairs(df.where("false"), "i", F.col("name"), F.col("t"), F.col("split"), scratch).count() == 0
+
+
+def test_overlap_counts(spark, scratch):
+    t = text(60)
+    data = [(1, "training", "a", "n1", t), (2, "mixed_test", "a", "n2", edited(t, 1)), (3, "mixed_test", "a", " N1 ", text(60)), (4, "mixed_test", "a", "n4", text(60)),
+            (5, "time_offset_test", None, "n5", t.upper()), (6, "training", "b", "n6", "too short"), (7, "mixed_test", "b", None, "Too short!"), (8, None, "b", "n1", t)]
+    df = spark.createDataFrame(data, "i bigint, split string, source string, name string, t string")
+    got = O.overlap_counts(df, "i", F.col("name"), F.col("t"), F.col("split"), F.col("source"), scratch, 0.5)
+    assert rows(got.select("split", "source", "rows", "leaked", "exact", "pairs")) == [("mixed_test", "a", 3, 2, 0, 2), ("mixed_test", "b", 1, 1, 1, 0), ("time_offset_test", None, 1, 1, 1, 1)]
