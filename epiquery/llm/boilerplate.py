@@ -430,35 +430,63 @@ def _line_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(squeezed(text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def notices(df: DataFrame, page_id: Column, page: Column, model: Labeller, least_pages: int = 3) -> DataFrame:
-    """(key): hashes of blocks that stand on at least `least_pages` pages and are article text on none of them."""
+def line_counts(df: DataFrame, page_id: Column, page: Column, model: Labeller, name: Column | None = None) -> DataFrame:
+    """(name, key, article, pages): per name of pages and hash of a block, the pages it stands on and those on which it is article text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, pages in K.chunks(*K.columns(batch, "id", "page"), 1 << 19):
-                found: dict[int, bool] = {}
-                count: Counter[int] = Counter()
-                for labelled in label_blocks(model, pages):
+            texts, names = K.columns(batch, "page", "name")
+            for places, pages in K.chunks(list(range(len(texts))), texts, 1 << 19):
+                article: Counter[tuple] = Counter()
+                count: Counter[tuple] = Counter()
+                for i, labelled in zip(places, label_blocks(model, pages)):
                     own = {_line_hash(t): p >= 0.5 for t, p in sorted(labelled, key=lambda x: x[1])}
-                    count.update(own.keys())
-                    for k, article in own.items():
-                        found[k] = found.get(k, False) or article
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.bool_()), pa.array([count[k] for k in found], pa.int64())], names=["key", "article", "pages"])
+                    count.update((names[i], k) for k in own)
+                    article.update((names[i], k) for k, a in own.items() if a)
+                if count:
+                    got = [(n, k, article[n, k], c) for (n, k), c in count.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["name", "key", "article", "pages"])
 
-    d = df.select(page_id.cast("bigint").alias("id"), page.alias("page")).where("id is not null and page is not null")
-    k = d.mapInArrow(rows, "key bigint, article boolean, pages bigint").groupBy("key").agg(F.max("article").alias("article"), F.sum("pages").alias("pages"))
-    return k.where(~F.col("article") & (F.col("pages") >= least_pages)).select("key")
+    named = F.lit(None) if name is None else name
+    d = df.select(page_id.cast("bigint").alias("id"), page.alias("page"), named.cast("string").alias("name")).where("id is not null and page is not null")
+    return d.mapInArrow(rows, "name string, key bigint, article bigint, pages bigint").groupBy("name", "key").agg(F.sum("article").alias("article"), F.sum("pages").alias("pages"))
+
+
+def furniture(counts: DataFrame, least_pages: int = 1) -> DataFrame:
+    """(key): hashes of blocks that stand on at least `least_pages` pages and are article text on less than half of them."""
+    k = counts.groupBy("key").agg(F.sum("article").alias("article"), F.sum("pages").alias("pages"))
+    return k.where((2 * F.col("article") < F.col("pages")) & (F.col("pages") >= least_pages)).select("key")
+
+
+def notices(df: DataFrame, page_id: Column, page: Column, model: Labeller, least_pages: int = 3) -> DataFrame:
+    """(key): hashes of blocks that stand on at least `least_pages` pages and are article text on less than half of them."""
+    return furniture(line_counts(df, page_id, page, model), least_pages)
+
+
+def own_exceptions(counts: DataFrame, keys: DataFrame, many: int = 3) -> DataFrame:
+    """(name, key, furniture): blocks of the pages of a name that are, on these pages, something else than `keys` says of all pages.
 
+    What is furniture on most of `many` pages or more stays so: one page read wrongly weighs less than the others."""
+    own = counts.where("name is not null").select("name", "key", (2 * F.col("article") < F.col("pages")).alias("furniture"))
+    other = own.join(keys.withColumn("common", F.lit(True)), "key", "left").where("furniture != (common is not null)")
+    return other.join(furniture(counts, many), "key", "left_anti").select("name", "key", "furniture")
 
-def leftovers(items: DataFrame, item_id: Column, content: Column, notice_keys: DataFrame) -> DataFrame:
-    """(id, line, text): lines of stored contents that are page furniture; line counts from 0."""
+
+def leftovers(items: DataFrame, item_id: Column, content: Column, notice_keys: DataFrame, name: Column | None = None, exceptions: DataFrame | None = None) -> DataFrame:
+    """(id, line, text): lines of stored contents that are page furniture; line counts from 0.
+
+    A line that stands on a page stored under the item's own name is judged by it (exceptions), any other by all pages."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, n, line, _line_hash(line)) for i, t in zip(*K.columns(batch, "id", "t")) for n, line in enumerate(t.split("\n")) if squeezed(line)]
+            out = [(i, n, line, _line_hash(line), own) for i, t, own in zip(*K.columns(batch, "id", "t", "name")) for n, line in enumerate(t.split("\n")) if squeezed(line)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.string(), pa.int64()))], names=["id", "line", "text", "key"])
-
-    d = items.select(item_id.cast("bigint").alias("id"), content.alias("t")).where("id is not null and t is not null")
-    return d.mapInArrow(rows, "id bigint, line int, text string, key bigint").join(notice_keys, "key", "left_semi").select("id", "line", "text")
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()))], names=["id", "line", "text", "key", "name"])
+
+    named = F.lit(None) if name is None else name
+    d = items.select(item_id.cast("bigint").alias("id"), content.alias("t"), named.cast("string").alias("name")).where("id is not null and t is not null")
+    lines = d.mapInArrow(rows, "id bigint, line int, text string, key bigint, name string")
+    if exceptions is None:
+        return lines.join(notice_keys, "key", "left_semi").select("id", "line", "text")
+    judged = lines.join(notice_keys.withColumn("common", F.lit(True)), "key", "left").join(exceptions, ["key", "name"], "left")
+    return judged.where("coalesce(furniture, common, false)").select("id", "line", "text")

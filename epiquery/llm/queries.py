@@ -185,8 +185,11 @@ s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) SELECT DISTI
 
 def p5_leftovers(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of stored contents that are page furniture."""
-    keys = boilerplate.notices(table(spark, sf, "scrape_result"), F.col("scrape_id"), F.col("htmlcontent"), _labeller(spark, sf))
-    return boilerplate.leftovers(table(spark, sf, "corpus_item"), F.col("item_id"), _content(), keys).withColumnRenamed("id", "item_id")
+    scratch = Scratch(spark, "p5_leftovers")
+    counts = scratch.save(boilerplate.line_counts(table(spark, sf, "scrape_result"), F.col("scrape_id"), F.col("htmlcontent"), _labeller(spark, sf), F.col("item_name")))
+    keys = scratch.save(boilerplate.furniture(counts))
+    own = boilerplate.own_exceptions(counts, keys)
+    return boilerplate.leftovers(table(spark, sf, "corpus_item"), F.col("item_id"), _content(), keys, F.col("name"), own).withColumnRenamed("id", "item_id")
 
 
 QUERIES["p5_leftovers"] = p5_leftovers

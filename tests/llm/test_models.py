@@ -117,6 +117,25 @@ def test_main_text(spark):
     assert not [1 for x in B.label_blocks(none, [h for h, _ in held]) for _, p in x if p >= 0.5]
 
 
+def test_leftovers_by_share_and_own_page(spark):
+    class Stub:  # all but lines with © is article text, on long pages these too
+        def predict(self, x, mask):
+            return np.where((x[:, :, B.PATHS + B.ATTRS + B.WORDS + 6] > 0) & (mask.sum(axis=0) < 10), 0.0, 1.0)
+
+    often, rare, mine = "© all rights", "© seen once", "quoted © words"
+    pages = [(i, f"<p>text {i}<p>{often}", f"n{i}") for i in range(8)] + [(8, "<p>text" * 12 + f"<p>{often}", "n8"), (9, f"<p>a<p>{rare}", "n9")]
+    pages += [(10, "<p>text" * 12 + f"<p>{mine}", "own"), (11, f"<p>a<p>{mine}", "other"), (12, None, "n9"), (13, f"<p>b<p>{mine}", None)]
+    df = spark.createDataFrame(pages[:9], "i bigint, p string, name string")
+    items = spark.createDataFrame([(1, f"x\n{often}", "unknown"), (2, f"y\n{rare}", "n9"), (3, f"z\n{often}\n{rare}", None), (4, f"text 1\n{mine}", "own"), (5, often, "n8")], "i bigint, c string, name string")
+    found = B.leftovers(items, F.col("i"), F.col("c"), B.notices(df, F.col("i"), F.col("p"), Stub()))
+    assert rows(found.select("id", "line")) == [(1, 1), (3, 1), (5, 0)]  # article text on one page of nine
+    counts = B.line_counts(spark.createDataFrame(pages[:12], "i bigint, p string, name string"), F.col("i"), F.col("p"), Stub(), F.col("name"))
+    keys = B.furniture(counts)
+    found = B.leftovers(items, F.col("i"), F.col("c"), keys, F.col("name"), B.own_exceptions(counts, keys))
+    assert rows(found.select("id", "line")) == [(1, 1), (2, 1), (3, 1), (3, 2), (5, 0)]
+    assert rows(B.own_exceptions(counts, keys.where("false")).select("name", "furniture")) == [("n9", True), ("other", True)]
+
+
 def brute_best_fit(sizes, capacity):
     gaps = []
     for s in sorted(sizes, reverse=True):
