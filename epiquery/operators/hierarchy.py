@@ -82,9 +82,12 @@ def _jump(active: DataFrame, state: DataFrame) -> DataFrame:
     return active.join(nxt, "ptr").select("label", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("least", "least2").alias("least"), F.col("done2").alias("done"))
 
 
-def ancestor_pairs(edges: DataFrame, resolved: DataFrame, scratch: Scratch) -> DataFrame:
-    """(label, ancestor, distance) for every acyclic label and each of its ancestors, with four times the distance per round."""
-    ok = resolved.where("depth > 0").select("label")
+def ancestor_pairs(edges: DataFrame, resolved: DataFrame, scratch: Scratch, below_cycles: bool = False) -> DataFrame:
+    """(label, ancestor, distance) for every acyclic label and each of its ancestors, with four times the distance per round.
+
+    With below_cycles also for labels below a cycle, up to the first label on it: a label on a cycle is the ancestor of the trees
+    that hang from it, and has no ancestors itself, so it descends from none and no way round the cycle counts."""
+    ok = resolved.where("depth != 0 and not in_cycle" if below_cycles else "depth > 0").select("label")
     full = scratch.save(edges.join(ok, "label").select("label", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")))
     reach, far = 1, full
 
@@ -104,11 +107,11 @@ def ancestor_pairs(edges: DataFrame, resolved: DataFrame, scratch: Scratch) -> D
 
 def hierarchy_paths(edges: DataFrame, resolved: DataFrame, pairs: DataFrame, separator: str = " > ") -> DataFrame:
     """(label, root_label, depth, path, n_descendants). path runs from the root to the label and is null in or below a cycle;
-    a path has depth + 1 entries, so no group is larger than the tree is deep. Descendants are counted, not gathered."""
+    a path has depth + 1 entries, so no group is larger than the tree is deep. n_descendants is the peeled size without the label
+    itself: for a label on a cycle, the trees that hang from it."""
     up = pairs.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False).alias("up"))
-    down = pairs.groupBy(F.col("ancestor").alias("label")).agg(F.count("*").alias("n_descendants"))
     path = F.when(F.col("depth") >= 0, F.concat_ws(separator, F.coalesce(F.col("up")["ancestor"], F.array().cast("array<string>")), "label"))
-    return resolved.join(up, "label", "left").join(down, "label", "left").select("label", "root_label", "depth", path.alias("path"), F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"))
+    return resolved.join(up, "label", "left").select("label", "root_label", "depth", path.alias("path"), (F.col("size") - 1).alias("n_descendants"))
 
 
 def with_missing_parents(edges: DataFrame) -> DataFrame:

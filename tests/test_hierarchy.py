@@ -82,3 +82,11 @@ def test_clashing_columns(spark, scratch):
     df = spark.createDataFrame([("a", "b", 1, "x", "y")], "label string, parent_label string, row_no bigint, ptr string, dist string")
     edges = H.with_missing_parents(H.parent_edges(df, "label", "parent_label", "row_no"))
     assert rows(H.resolve_hierarchy(edges, scratch).select("label", "root_label", "depth")) == [("a", "b", 1), ("b", "b", 0)]
+
+
+def test_descendants_below_cycles(spark, scratch):
+    edges, got = resolve(spark, scratch, [("A", "B", 1), ("B", "A", 2), ("C", "A", 3), ("D", "C", 4), ("E", "D", 5), ("s", "s", 6), ("t", "s", 7), ("u", "r", 8)])
+    pairs = H.ancestor_pairs(edges, got, scratch, below_cycles=True)
+    assert rows(pairs) == [("C", "A", 1), ("D", "A", 2), ("D", "C", 1), ("E", "A", 3), ("E", "C", 2), ("E", "D", 1), ("t", "s", 1), ("u", "r", 1)]
+    paths = {r.label: (r.path, r.n_descendants) for r in H.hierarchy_paths(edges, got, H.ancestor_pairs(edges, got, scratch)).collect()}
+    assert paths == {"A": (None, 3), "B": (None, 0), "C": (None, 2), "D": (None, 1), "E": (None, 0), "s": (None, 1), "t": (None, 0), "r": ("r", 1), "u": ("r > u", 0)}
