@@ -1,4 +1,5 @@
 import math
+import random
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -118,3 +119,18 @@ def test_training_separates(spark, scratch):
     assert p[1, "Flu"] > 0.7 > 0.3 > p[0, "Flu"]
     v = [tuple(r) for r in T.vocabulary(f).orderBy("index").collect()]
     assert v == [("flu", 0), ("noise", 1), ("pox", 2)]
+
+
+def test_training_reaches_the_optimum(spark, scratch):
+    r = random.Random(1)
+    x = {i: {c: r.choice([1.0, 0.5]) for c in "abcde" if r.random() < 0.4} | {"all": 1.0} for i in range(60)}
+    y = {(i, k) for i in x for k in ("K", "L") if "b" not in x[i] and r.random() < (0.7 if "a" in x[i] else 0.2)}  # b stands in negatives only
+    f = spark.createDataFrame([(i, c, v) for i in x for c, v in x[i].items()], "id bigint, feature string, value double")
+    w, b = T.one_vs_rest(f, spark.createDataFrame(sorted(y) + [(99, "K"), (98, "none")], "id bigint, label string"), "id", scratch)
+    w, b = {(q["class"], q.feature): q.coef for q in w.collect()}, {q["class"]: q.intercept for q in b.collect()}
+    assert set(w) == {(k, c) for k in "KL" for c in ["a", "all", "b", "c", "d", "e"]} and set(b) == {"K", "L"} and w["K", "b"] < -0.5
+    for k in "KL":
+        err = {i: 1 / (1 + math.exp(-b[k] - sum(w[k, c] * v for c, v in x[i].items()))) - ((i, k) in y) for i in x}
+        assert abs(b[k] + sum(err.values())) < 1e-4
+        assert all(abs(w[k, c] + sum(err[i] * x[i].get(c, 0) for i in x)) < 1e-4 for c in ["a", "all", "b", "c", "d", "e"])
+    assert T.one_vs_rest(f.where("false"), spark.createDataFrame([], "id bigint, label string"), "id", scratch)[0].count() == 0
