@@ -1,8 +1,8 @@
-"""Near-duplicate records by a byte-position inverted index with count filtering.
+"""Near-duplicate records by a byte-position inverted index (banded min-hash) with exact verification.
 
 Every text becomes a signature of min-wise hashes of its word runs, two bytes a position. The positions are indexed in groups
 of three (six bytes), so a posting is shared by chance only about once in 2^48 even between very large collections. Pairs
-are tallied over the groups they share; a pair with at least `least_groups` goes on to an exact check of its sets of runs.
+that share a group go on to an exact check of their sets of runs; a higher minimum of shared groups would only lose more pairs.
 With the default 60 groups a pair at Jaccard 0.5 shares none with probability (1 - 0.5^3)^60 = 0.03 %, at 0.8 with 1e-19.
 
 Exact copies (equal sets) are folded into one representative before the index is built and unfolded at the end, so a group
