@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..storage import hashed_part
 from . import textkit as K
 
-SAMPLE, STEPS, BATCH, HIDDEN = 2000, 500, 32, 24
+SAMPLE, STEPS, BATCH, HIDDEN, SPAN = 2000, 500, 32, 24, 4096
 BLOCK_TAGS = frozenset(
     """address article aside blockquote body br button center dd details dialog div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hr html li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul""".split()
@@ -42,14 +42,50 @@ CLOSES_P = BLOCK_TAGS - {"br", "button", "html", "body", "noscript", "td", "th",
 PATHS, ATTRS, WORDS, FIGURES = 32, 32, 96, 24
 WIDTH = PATHS + ATTRS + WORDS + FIGURES
 
-_SPLIT = re.compile(r"(<!--.*?-->|<[!/?a-zA-Z][^>]*>)", re.S)
-_RAW = re.compile(r"<(script|style|template|textarea)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_SPLIT = re.compile(r"(<[!/?a-zA-Z][^>]*>)", re.S)
+#: what is cut out before the page is split at tags
+_HIDDEN = re.compile(r"<!--|<(script|style|template|textarea)\b[^>]*>", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "template", "textarea")}
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>?", re.S)
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*["']?([^"'>]*)""")
 _WORD = re.compile(r"[a-z]+")
 _tags: dict[str, tuple] = {}
 
 
+def visible(page: str) -> str:
+    """The page up to its last tag without comments and raw elements, and the text after it. Ends that are missing once are not
+    looked for again and tags end before the cut, so the time is linear, whatever is left unclosed."""
+    last = page.rfind(">") + 1
+    out, at, start, missing = [], 0, 0, set()
+    while m := _HIDDEN.search(page, start, last):
+        name = (m[1] or "").lower()
+        end = -1
+        if name not in missing:
+            if name:
+                closing = _ENDS[name].search(page, m.end(), last)
+                end = closing.end() if closing else -1
+            else:
+                found = page.find("-->", m.end(), last)
+                end = found + 3 if found >= 0 else -1
+            if end < 0:
+                missing.add(name)
+        if end < 0:
+            start = m.end()
+            continue
+        out.append(page[at : m.start()])
+        at = start = end
+    return "".join([*out, page[at:]])
+
+
+def pieces(page: str) -> list[str]:
+    """The page cut at tags: text at even places, tags at odd ones."""
+    clean = visible(page)
+    last = clean.rfind(">") + 1
+    got = _SPLIT.split(clean[:last])
+    got[-1] += clean[last:]
+    return got
+
+
 def _bucket(text: str, n: int) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % n
 
@@ -100,7 +136,7 @@ def blocks(page: str) -> tuple[list[Block], str]:
                 out.append(Block(clean, min(1.0, linked / len(clean)), names, words, top[3], stack[-2][3] if len(stack) > 1 else 0, (top[0], top[2]), len(stack)))
             linked = 0
 
-    for n, part in enumerate(_SPLIT.split(_RAW.sub("", page))):
+    for n, part in enumerate(pieces(page)):
         if not part:
             continue
         if not n & 1:
@@ -169,10 +205,12 @@ def vectors(pages: list[list[Block]], titles: list[str]) -> np.ndarray:
     texts = [b.text for b in flat]
     h, _, _, first = K.words(texts)
     count = np.diff(first)
-    owner = np.repeat(np.arange(n), count)
-    col = (h % K.U64(WORDS)).astype(np.int64)
-    bag = np.bincount(owner * WORDS + col, minlength=n * WORDS).reshape(n, WORDS)
-    x[:, PATHS + ATTRS : PATHS + ATTRS + WORDS] = np.minimum(bag, 3) / np.sqrt(np.maximum(count, 1))[:, None]
+    for lo in range(0, n, 16 * SPAN):
+        hi = min(n, lo + 16 * SPAN)
+        owner = np.repeat(np.arange(hi - lo), count[lo:hi])
+        col = (h[first[lo] : first[hi]] % K.U64(WORDS)).astype(np.int64)
+        bag = np.bincount(owner * WORDS + col, minlength=(hi - lo) * WORDS).reshape(hi - lo, WORDS)
+        x[lo:hi, PATHS + ATTRS : PATHS + ATTRS + WORDS] = np.minimum(bag, 3) / np.sqrt(np.maximum(count[lo:hi], 1))[:, None]
     size = np.array([len(t) for t in texts], dtype=np.float64)
     linked = np.array([b.linked for b in flat])
     last = [t[-1] for t in texts]
@@ -254,27 +292,32 @@ class Labeller:
         self.p["o"] = (r.standard_normal((2 * hidden,)) / np.sqrt(2 * hidden)).astype(np.float32)
         self.p["ob"] = np.full(1, -1, dtype=np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Outputs of one direction; with keep also what back-propagation needs. Gates are made for SPAN steps at a time."""
         steps, size, width = x.shape
         n = self.hidden
-        gates = (x.reshape(-1, width) @ self.p["x" + d] + self.p["c" + d]).reshape(steps, size, 4 * n)
         h, c = np.zeros((size, n), dtype=np.float32), np.zeros((size, n), dtype=np.float32)
         out, kept = np.zeros((steps, size, n), dtype=np.float32), []
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            g = gates[t] + h @ self.p["h" + d]
-            s = _sigmoid(g[:, : 3 * n])
-            i, f, o, u = s[:, :n], s[:, n : 2 * n], s[:, 2 * n :], np.tanh(g[:, 3 * n :])
-            m = mask[t][:, None]
-            c2 = f * c + i * u
-            tc = np.tanh(c2)
-            kept.append((t, h, c, i, f, o, u, tc, m))
-            h, c = m * (o * tc) + (1 - m) * h, m * c2 + (1 - m) * c
-            out[t] = h
+        spans = [(lo, min(lo + SPAN, steps)) for lo in range(0, steps, SPAN)]
+        for lo, hi in spans if d == "f" else reversed(spans):
+            gates = (x[lo:hi].reshape(-1, width) @ self.p["x" + d] + self.p["c" + d]).reshape(hi - lo, size, 4 * n)
+            for t in range(lo, hi) if d == "f" else range(hi - 1, lo - 1, -1):
+                g = gates[t - lo] + h @ self.p["h" + d]
+                s = _sigmoid(g[:, : 3 * n])
+                i, f, o, u = s[:, :n], s[:, n : 2 * n], s[:, 2 * n :], np.tanh(g[:, 3 * n :])
+                m = mask[t][:, None]
+                c2 = f * c + i * u
+                tc = np.tanh(c2)
+                if keep:
+                    kept.append((t, h, c, i, f, o, u, tc, m))
+                h, c = m * (o * tc) + (1 - m) * h, m * c2 + (1 - m) * c
+                out[t] = h
         return out, kept
 
     def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        a, b = self._run(x, mask, "f")[0], self._run(x, mask, "b")[0]
-        return _sigmoid(np.concatenate([a, b], axis=2) @ self.p["o"] + self.p["ob"])
+        a, b = self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0]
+        n = self.hidden
+        return _sigmoid(a @ self.p["o"][:n] + b @ self.p["o"][n:] + self.p["ob"])
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         n, grads = self.hidden, {}

@@ -4,7 +4,8 @@ A page is read word by word (words are what ASCII white space and markup leave b
 implausible starts a search: its states are texts, hashed once visited; its steps undo an escape, or take the text's bytes in
 one encoding and read them in another; its order is the plausibility cost of the text plus the cost of the steps so far. The
 cheapest text reached is the restored one, and the word counts as garbled if that is better by at least GAIN and needed a
-decoding step. Replacement characters, question marks inside a word and left-over control characters are garbled
+decoding step. A garbled word that the first, short search leaves is searched on at length; what that leaves too at its bound is
+counted as given up. Replacement characters, question marks inside a word and left-over control characters are garbled
 although nothing restores them. Words are searched once for each task (bounded cache).
 
 Defined results: null and empty texts hold nothing garbled; a text of any length is read whole, in one pass; equal words give
@@ -25,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 
 from . import textkit as K
 
-GAIN, CERTAIN, POPS = 2.0, 7.0, 40
+#: gain at which a restoration counts, cost at which a word is garbled without one, most expansions of a first search and of the second
+#: for garbled words that the first leaves, most steps, and the length above which a word is searched in pieces, cut after ASCII characters
+GAIN, CERTAIN, POPS, MORE_POPS, DEPTH, LONG = 2.0, 7.0, 40, 4000, 4, 2048
 
 SINGLE = ("cp1252", "latin-1", "cp1251", "koi8-r", "mac_roman", "cp437", "cp1250", "iso8859-2", "mac_cyrillic", "cp866", "cp850")
 READ_AS = ("cp1252", "cp1251", "koi8-r", "cp866", "mac_roman", "cp1250", "cp437")
@@ -38,7 +41,10 @@ _RUSSIAN = """о 10.97 е 8.45 а 8.01 и 7.35 н 6.70 т 6.26 с 5.47 р 4.73 
 ь 1.74 г 1.70 з 1.65 б 1.59 ч 1.44 й 1.21 х 0.97 ж 0.94 ш 0.73 ю 0.64 ц 0.48 щ 0.36 э 0.32 ф 0.26 ё 0.60 ъ 0.20""".split()
 _CYRILLIC = {c: max(0.0, -math.log2(float(p) / 100) - 4.6) * 0.4 for c, p in zip(_RUSSIAN[::2], _RUSSIAN[1::2])}
 
-_WORD = re.compile(r"""[^ \t\r\n\f\v<>"]*(?:[^\x00-\x7f]|&#?[A-Za-z0-9]{2,8};|\\u[0-9a-fA-F]{4})[^ \t\r\n\f\v<>"]*|(?<![A-Za-z/=&?.%-])[A-Za-z]+\?[a-z]+(?![=&/A-Za-z])""")
+#: a word is what blanks and markup leave between them; one that holds SUSPECT is looked at whole, in others only letters cut by a "?"
+_WORD = re.compile(r"""[^ \t\r\n\f\v<>"]+""")
+_SUSPECT = re.compile(r"""[^\x00-\x7f]|&#?[A-Za-z0-9]{2,8};|\\u[0-9a-fA-F]{4}""")
+_CUT = re.compile(r"(?<![A-Za-z/=&?.%-])[A-Za-z]+\?[a-z]+(?![=&/A-Za-z])")
 _JSON = re.compile(r"\\u([0-9a-fA-F]{4})")
 _LOST = re.compile(r"[a-zA-ZÀ-ɏẠ-ỹ]\?[a-zß-ÿ]")
 
@@ -157,36 +163,37 @@ def _steps(text: str, deep: bool) -> Iterator[tuple[str, float, bool]]:
                 yield got, 0.9, True
 
 
-def search(word: str) -> tuple[str, float, bool]:
-    """(best text, what it is cheaper by, whether it was decoded anew) of the cheapest reachable text."""
+def search(word: str, pops: int = POPS, depth: int = DEPTH) -> tuple[str, float, bool, bool]:
+    """(best text, what it is cheaper by, whether it was decoded anew, whether the search came to its end) of the cheapest reachable text.
+
+    It ends when nothing that is left can be much cheaper; after `pops` expansions it is given up, which the caller reports."""
     start = cost(word)
     best = (start, 0, word, False)
     queue = [(start, 0, word, 0.0, False, False)]
     seen = {hash(word)}
-    for _ in range(POPS):
+    for _ in range(pops):
         if not queue:
-            break
-        _, depth, text, spent, decoded, deep = heapq.heappop(queue)
+            return best[2], start - best[0], best[3], True
+        _, steps, text, spent, decoded, deep = heapq.heappop(queue)
         if best[0] <= 0.45 * max(1, best[1]) + 1.0 and deep:
-            break  # nothing that is left can be much cheaper
+            return best[2], start - best[0], best[3], True
         if not deep:
-            heapq.heappush(queue, (cost(text) + spent + 0.9, depth, text, spent, decoded, True))
+            heapq.heappush(queue, (cost(text) + spent + 0.9, steps, text, spent, decoded, True))
         for got, price, by_decoding in _steps(text, deep):
             if got == text or hash(got) in seen:
                 continue
             seen.add(hash(got))
-            paid, now = spent + price, cost(got)
-            if "\x00" in got or depth >= 4:
+            if "\x00" in got or steps >= depth:
                 continue
-            state = (now + paid, depth + 1, got, decoded or by_decoding)
-            best = min(best, state)
-            heapq.heappush(queue, (now + paid, depth + 1, got, paid, decoded or by_decoding, False))
-    return best[2], start - best[0], best[3]
+            paid, now = spent + price, cost(got)
+            best = min(best, (now + paid, steps + 1, got, decoded or by_decoding))
+            heapq.heappush(queue, (now + paid, steps + 1, got, paid, decoded or by_decoding, False))
+    return best[2], start - best[0], best[3], not queue
 
 
 @functools.lru_cache(maxsize=200_000)
-def restored(word: str) -> tuple[bool, str]:
-    """(garbled, the word as it was where that can be had)."""
+def looked_up(word: str) -> tuple[bool, str, bool]:
+    """(garbled, the word as it was where that can be had, whether its search was given up at the bound)."""
     plain = word
     if "&" in plain:
         plain = htmllib.unescape(plain)
@@ -194,16 +201,56 @@ def restored(word: str) -> tuple[bool, str]:
         plain = _JSON.sub(lambda m: chr(int(m[1], 16)), plain)
     c = cost(plain)
     if c < GAIN:
-        return False, word
-    best, gain, decoded = search(plain)
+        return False, word, False
+    best, gain, decoded, ended = search(plain)
     if decoded and gain >= GAIN:
-        return True, best
+        return True, best, False
     lost = "�" in plain or any(0x80 <= ord(x) < 0xA0 for x in plain) or bool(_LOST.search(plain) and "/" not in plain and "=" not in plain)
-    return lost or c >= CERTAIN + 0.5 * len(plain), word
+    if not lost and c < CERTAIN + 0.5 * len(plain):
+        return False, word, False
+    if not ended:
+        best, gain, decoded, ended = search(plain, MORE_POPS)
+        if decoded and gain >= GAIN:
+            return True, best, False
+    return True, word, not ended
+
+
+def restored(word: str) -> tuple[bool, str]:
+    """(garbled, the word as it was where that can be had)."""
+    return looked_up(word)[:2]
+
+
+def suspects(text: str) -> Iterator[tuple[int, int]]:
+    """[start, end) of the pieces of a text that may be garbled, in order; every character is looked at a bounded number of times."""
+    if text.isascii() and "&" not in text and "\\u" not in text:
+        yield from (m.span() for m in _CUT.finditer(text))  # a piece has no blank, so cutting at blanks changes nothing
+        return
+    for m in _WORD.finditer(text):
+        word = m[0]
+        if not word.isascii() or ("&" in word or "\\u" in word) and _SUSPECT.search(word):
+            yield from _cut(word, m.start())
+        elif "?" in word:
+            yield from ((m.start() + c.start(), m.start() + c.end()) for c in _CUT.finditer(word))
+
+
+def _cut(word: str, at: int) -> Iterator[tuple[int, int]]:
+    """A word's span, or those of its suspect pieces of at most LONG characters."""
+    lo = 0
+    while len(word) - lo > LONG:
+        hi = lo + LONG
+        while hi > lo + LONG // 2 and word[hi - 1] > "\x7f":
+            hi -= 1
+        if word[hi - 1] > "\x7f":
+            hi = lo + LONG
+        if _SUSPECT.search(word, lo, hi):
+            yield at + lo, at + hi
+        lo = hi
+    if not lo or _SUSPECT.search(word, lo):
+        yield at + lo, at + len(word)
 
 
 def garbled_words(text: str) -> Iterator[str]:
-    return (w for w in _WORD.findall(text) if restored(w)[0])
+    return (w for s, e in suspects(text) if restored(w := text[s:e])[0])
 
 
 def is_garbled(text: str) -> bool:
@@ -212,7 +259,11 @@ def is_garbled(text: str) -> bool:
 
 def repair(text: str) -> str:
     """The text with each garbled word as it was, if that can be had."""
-    return _WORD.sub(lambda m: restored(m[0])[1], text)
+    out, at = [], 0
+    for s, e in suspects(text):
+        out += [text[at:s], restored(text[s:e])[1]]
+        at = e
+    return "".join([*out, text[at:]])
 
 
 def garbled_rows(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
@@ -228,7 +279,7 @@ def garbled_rows(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
 
 
 def repaired_rows(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
-    """(id, n_garbled, n_restored, text) of the garbled records."""
+    """(id, n_garbled, n_restored, n_given_up, text) of the garbled records; given up: words whose search ended at its bound."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,11 +287,11 @@ def repaired_rows(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
             for i, t in zip(*K.columns(batch, "id", "text")):
                 bad = list(garbled_words(t))
                 if bad:
-                    out.append((i, len(bad), sum(restored(w)[1] != w for w in bad), repair(t)))
+                    out.append((i, len(bad), sum(restored(w)[1] != w for w in bad), sum(looked_up(w)[2] for w in bad), repair(t)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["id", "n_garbled", "n_restored", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["id", "n_garbled", "n_restored", "n_given_up", "text"])
 
-    return _texts(df, id_col, text).mapInArrow(rows, "id bigint, n_garbled int, n_restored int, text string")
+    return _texts(df, id_col, text).mapInArrow(rows, "id bigint, n_garbled int, n_restored int, n_given_up int, text string")
 
 
 def _texts(df: DataFrame, id_col: Column, text: Column) -> DataFrame:

@@ -31,7 +31,7 @@ def canonical_text(c: Column) -> Column:
 
 
 def canonical_name(c: Column) -> Column:
-    t = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    t = F.lower(F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", ""))
     return F.when(t != "", t)
 
 

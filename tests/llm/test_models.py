@@ -179,3 +179,34 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "вода"), (5, "a " * 50_000)], "i bigint, t string").withColumn("id", F.lit("clash"))
     got = dict(rows(P.token_counts(df, F.col("i"), F.col("t"))))
     assert got[1] == 2 and set(got) == {1, 4, 5} and got[5] >= 50_000
+
+
+def test_blocks_take_linear_time_and_hidden_parts_go():
+    import time
+
+    from epiquery.llm import boilerplate as B
+
+    def took(text):
+        began = time.perf_counter()
+        B.blocks(text)
+        return time.perf_counter() - began
+
+    for piece in ("<!-- ", "<script>", "<a ", "x", "<p"):
+        assert took(piece * (5_000_000 // len(piece))) < 12 * max(took(piece * (1_250_000 // len(piece))), 0.05)
+    page = "<p>a<!-- <p>x</p> --></p><SCRIPT>if (a<b) '<p>y'</SCRIPT ><p>b</p><!-- open <p>c</p>"
+    assert [b.text for b in B.blocks(page)[0]] == ["a", "b", "c"]
+
+
+def test_prediction_in_spans_equals_one_run():
+    import numpy as np
+
+    from epiquery.llm import boilerplate as B
+
+    m, x = B.Labeller(), np.random.default_rng(1).standard_normal((B.SPAN + 50, 1, B.WIDTH)).astype(np.float32)
+    mask = np.ones((len(x), 1), dtype=np.float32)
+    whole = m.predict(x, mask)
+    try:
+        B.SPAN, span = 64, B.SPAN
+        assert np.allclose(m.predict(x, mask), whole, atol=1e-5)
+    finally:
+        B.SPAN = span

@@ -48,3 +48,43 @@ def test_rows(spark):
     got = M.repaired_rows(df, F.col("i"), F.col("t")).where("id = 5").first()
     assert got.text == "word " * 200_000 + "© end" and got.n_garbled == 1
     assert M.garbled_rows(df.where("false"), F.col("i"), F.col("t")).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["x", "&", "Ð¿Ñ€", "a?b", "\\u00"])
+def test_time_is_linear_in_a_text_without_blanks(piece):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        M.is_garbled(piece * (n // len(piece)))
+        return time.perf_counter() - began
+
+    took(10_000)
+    assert took(5_000_000) < 12 * max(took(1_250_000), 0.05)
+
+
+def test_long_words_are_searched_in_pieces():
+    word = "é" * 3 + "x" * 5000 + "Ã©tÃ©" + "y" * 5000
+    assert M.repair(word) == "é" * 3 + "x" * 5000 + "été" + "y" * 5000
+
+
+def test_searches_given_up_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(M, "MORE_POPS", 1)
+    assert M.search("Verdachtsf\u00c3\u0192\u00c2\u00a4lle", 1)[3] is False and M.search("Verdachtsf\u00c3\u0192\u00c2\u00a4lle")[0] == "Verdachtsfälle"
+
+
+def test_restored_words_equal_the_planted_ones(spark):
+    """Words of stored contents, garbled by five wrong decodings: nine of ten come back as they were."""
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/corpus_item.parquet").where("private.cleancontent.content is not null").selectExpr("private.cleancontent.content").collect()]
+    words = sorted({w for t in texts for w in t.split() if not w.isascii() and not M.restored(w)[0]})
+    right = total = 0
+    for wrong in ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437"):
+        for w in words:
+            try:
+                bad = w.encode().decode(wrong)
+            except UnicodeDecodeError:
+                continue
+            if not set(" \t\r\n\x0b\x0c\x85\xa0<>") & set(bad):
+                total += 1
+                right += M.restored(bad)[1] == w
+    assert total > 1000 and right >= 0.9 * total, (right, total)
