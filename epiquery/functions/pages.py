@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import let
+from .text import BLANK_ENDS, let, up_to_last, without_elements, without_tags
 
 LEAST, FALLBACK = 50, 1
 
@@ -28,12 +28,15 @@ def decoded(data: pd.Series, encoding: pd.Series) -> pd.Series:
 
 
 def paragraphs(html: Column) -> Column:
-    """array of (text, linked): the page cut at block tags, with the share of each piece that lies inside links."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|title|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
-    pieces = F.split(t, r"(?i)<(?:/?(?:p|div|td|tr|table|li|ul|ol|h[1-6]|br|hr|section|article|aside|header|footer|nav|main|blockquote|center|body|html|head))\b[^>]*>")
-    plain = lambda x: F.regexp_replace(F.regexp_replace(x, r"<[/!a-zA-Z][^>]*>", ""), r"^\s+|\s+$", "")
-    links = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(r"(?is)<a\b[^>]*>(.*?)(?:</a>|$)"), F.lit(1)), F.lit(0), lambda a, y: a + F.length(y))
-    got = F.transform(pieces, lambda x: F.struct(plain(x).alias("text"), (links(x) / F.greatest(F.length(plain(x)), F.lit(1))).alias("linked")))
+    """array of (text, linked): the page cut at block tags, with the share of each piece that lies inside links. Linear in the page."""
+    block = r"(?i)<(?:/?(?:p|div|td|tr|table|li|ul|ol|h[1-6]|br|hr|section|article|aside|header|footer|nav|main|blockquote|center|body|html|head))\b"
+    t = up_to_last(html, "-->", lambda h: F.regexp_replace(h, r"(?s)<!--.*?-->", ""))
+    for name in ("script", "style", "title", "noscript"):
+        t = let(t, lambda x, name=name: without_elements(x, name))
+    pieces = let(t, lambda x: F.split(without_tags(x, block, "\u0001"), "\u0001"))
+    plain = lambda x: F.regexp_replace(without_tags(x, r"<[/!a-zA-Z]", ""), BLANK_ENDS, "")
+    links = lambda x: F.aggregate(F.regexp_extract_all(F.regexp_extract(x, "(?s)^.*</a>", 0), F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), F.lit(0), lambda a, y: a + F.length(y))
+    got = F.transform(pieces, lambda x: let(plain(x), lambda t: F.struct(t.alias("text"), (links(x) / F.greatest(F.length(t), F.lit(1))).alias("linked"))))
     return F.filter(got, lambda p: p["text"] != "")
 
 

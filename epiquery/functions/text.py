@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"http\S*[\p{L}\p{N}_]|[\p{L}\p{N}_]+"
-BLANK_ENDS = r"(?U)^\s+|\s+$"
+BLANK_ENDS = r"(?U)^\s+|(?<!\s)\s+$"  # the look-behind keeps long runs of blanks linear
 
 # Common English words that Spanish does not share.
 ENGLISH_WORDS = """
@@ -92,15 +92,38 @@ def without_qualifier(c: Column) -> Column:
     return F.regexp_replace(c, r"\s\((disorder|(morphologic abnormality)|finding)?\)", "")
 
 
+def up_to_last(text: Column, end: str, body) -> Column:
+    """body(the text up to its last match of `end`) and what follows. Within it every opening finds an end, so a pattern from an opening
+    to its end takes linear time, however many openings are never closed."""
+    head = F.regexp_extract(text, f"(?is)^.*{end}", 0)
+    return let(head, lambda h: F.concat(body(h), F.substring(text, F.length(h) + 1, F.length(text))))
+
+
+def without_elements(html: Column, *names: str, by: str = "") -> Column:
+    """The markup with closed elements of these names, tags included, replaced."""
+    for n in names:
+        html = up_to_last(html, rf"</{n}\s*>", lambda h, n=n: F.regexp_replace(h, rf"(?is)<{n}\b.*?</{n}\s*>", by))
+    return html
+
+
+def without_tags(html: Column, tag: str, by: str) -> Column:
+    """The markup with tags that match `tag` (a pattern that begins with < and leaves out the rest up to >) replaced."""
+    return up_to_last(html, ">", lambda h: F.regexp_replace(h, tag + "[^>]*>", by))
+
+
 def html_to_text(html: Column) -> Column:
-    """Markup to plain text: paragraphs and headings end in a blank line, br in a line end; other white space is one blank."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, " |&nbsp;", " ")
-    t = F.regexp_replace(t, r"[ \t\r\n\f]+", " ")
-    t = F.regexp_replace(t, r"(?i)<br[^>]*>", "\n")
-    t = F.regexp_replace(t, r"(?i)</?(h[0-9]|p)[^>]*>", "\n\n")
-    t = F.regexp_replace(t, r"<[/!a-zA-Z][^>]*>", "")
-    return F.regexp_replace(F.regexp_replace(t, r" *\n *", "\n"), r"\n{3,}", "\n\n")
+    """Markup to plain text: paragraphs and headings end in a blank line, br in a line end; other white space is one blank.
+
+    Each step is linear in the text, whatever is left unclosed."""
+
+    def plain(h: Column) -> Column:
+        t = F.regexp_replace(h, "\u00a0|&nbsp;", " ")
+        t = F.regexp_replace(t, r"[ \t\r\n\f]+", " ")
+        t = let(without_tags(t, r"(?i)<br", "\n"), lambda x: without_tags(x, r"(?i)</?(?:h[0-9]|p)", "\n\n"))
+        t = let(t, lambda x: without_tags(x, r"<[/!a-zA-Z]", ""))
+        return F.regexp_replace(F.regexp_replace(t, r"(?<! ) *+\n *+", "\n"), r"\n{3,}", "\n\n")
+
+    return let(let(without_elements(html, "script", by=" "), lambda h: without_elements(h, "style", by=" ")), plain)
 
 
 def bool_argument(c: Column) -> Column:

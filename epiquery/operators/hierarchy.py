@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch
 
-_BLANKS = "^\\s+|\\s+$"
+_BLANKS = r"^\s+|(?<!\s)\s+$"
 
 
 def trimmed(c: Column) -> Column:

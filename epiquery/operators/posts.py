@@ -83,7 +83,7 @@ def sane_date(found: Column, post: Column) -> Column:
 def sections(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     """keep + (idx, section): the stripped sections between lines of stars or hashes."""
     s = df.select(*keep, F.posexplode(F.split(text, SECTION)).alias("idx", "section"))
-    return s.withColumn("section", F.regexp_replace("section", r"(?U)^\s+|\s+$", ""))
+    return s.withColumn("section", F.regexp_replace("section", r"(?U)^\s+|(?<!\s)\s+$", ""))
 
 
 def article_fields(section: Column) -> dict[str, Column]:
@@ -97,7 +97,7 @@ def article_fields(section: Column) -> dict[str, Column]:
     content = F.when(cut.rlike(source_rx), F.regexp_replace(cut, r"(?s)^.*?" + source_rx, "")).when(cut.rlike(date_rx), F.regexp_replace(cut, r"(?ms)^.*?^Date:\s[^(\[\n]+", "")).otherwise(cut)
     return {
         "date_text": _group(section, date_rx, 1), "source_name": _group(section, source_rx, 1), "source_edits": _group(section, source_rx, 2), "source_url": _group(section, source_rx, 3),
-        "heading": _group(before, r"(?m)^(?:\[\d\]\s)?(\S.*)$", 1), "communicated_by": _group(section, COMMUNICATED, 1), "content": F.regexp_replace(content, r"(?U)^\s+|\s+$", ""),
+        "heading": _group(before, r"(?m)^(?:\[\d\]\s)?(\S.*)$", 1), "communicated_by": _group(section, COMMUNICATED, 1), "content": F.regexp_replace(content, r"(?U)^\s+|(?<!\s)\s+$", ""),
     }
 
 

@@ -109,3 +109,19 @@ def test_lemmas_and_exclusions(spark):
     s = spark.createDataFrame([(["a", "b"], ["c", None], "hm/disease")], "synonyms array<string>, parent_synonyms array<string>, category string")
     k = L.build(L.excluding(s, ["b"])).collect()
     assert [(r.keyword, r.linked_keywords, r.duplicate) for r in k] == [("a", ["[linked] c"], False)]
+
+
+@pytest.mark.parametrize("piece", ["x", "<script>", "<a ", "<br ", "<!-- ", "<b> </b> ", "<p "])
+def test_markup_takes_linear_time(spark, piece):
+    import time
+
+    from epiquery.functions import pages as PG
+
+    def took(n):
+        df = spark.createDataFrame([(piece * (n // len(piece)),)], "t string")
+        began = time.perf_counter()
+        df.select(F.length(X.html_to_text(F.col("t"))), F.length(PG.main_text(F.col("t"))), F.length(X.trim(F.col("t")))).collect()
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(4_000_000) < 10 * max(took(1_000_000), 0.3)
