@@ -1,20 +1,25 @@
-"""Near-duplicate records by a byte-position inverted index (banded min-hash) with exact verification.
+"""Near-duplicate records by an inverted index over positions of hashed word runs, with a count filter and exact verification.
 
-Every text becomes a signature of min-wise hashes of its word runs, two bytes a position. The positions are indexed in groups
-of three (six bytes), so a posting is shared by chance only about once in 2^48 even between very large collections. Pairs
-that share a group go on to an exact check of their sets of runs; a higher minimum of shared groups would only lose more pairs.
-With the default 60 groups a pair at Jaccard 0.5 shares none with probability (1 - 0.5^3)^60 = 0.03 %, at 0.8 with 1e-19.
+A text is the set of its runs of k words, each hashed to eight bytes, in one order that all texts share: frequent runs last, else by
+hash. A text of n runs is indexed at its first n - ceil(t n) + 1 positions. Two texts of x and y runs with Jaccard >= t have at least
+a = ceil(t (x + y) / (1 + t)) runs in common. Of the text whose indexed part ends first in the common order, at most ceil(t m) - 1
+runs (m: the larger of x and y) lie behind that part, so the index shows at least a - ceil(t m) + 1 common ones: the guaranteed
+minimum (34 of 101 for two texts of 200 runs at t = 0.5). Pairs are tallied, those below their minimum dropped, the rest verified on
+their whole sets. No pair is missed by chance: the order only decides how many chance pairs are tallied, never which are found.
 
-Exact copies (equal sets) are folded into one representative before the index is built and unfolded at the end, so a group
-of copies that holds a third of all rows costs one row per copy, and only the stated pairs are ever written.
+Frequent runs (notices, mastheads) are listed from a bounded sample, and being last in the order they are hardly ever indexed. Texts
+that have nothing else meet in a join of their own, salted over SALTS tasks. Exact copies (equal sets) are folded into one
+representative before the index is built and unfolded at the end, so a group of copies that holds a third of all rows costs one row
+a copy. Texts are read once for each pass; nothing but ids, counts and indexed hashes is stored.
 
 Defined results: null texts and texts with fewer than `min_words` words take part in nothing; the record with the smallest id
 represents a set of copies; repeated ids count as one record; an empty table gives an empty result; other columns of the
-input are never carried along, so their names cannot clash.
+input are never carried along, so their names cannot clash. Runs are equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,101 +27,191 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, small_enough
+from ..storage import Scratch, hashed_part, small_enough
 from . import textkit as K
 
-GROUPS, GROUP = 60, 3
-SIGNED = "id bigint, side int, cls bigint, n int, postings array<bigint>, runs array<int>"
+#: texts the frequent runs are sought in, the share of them a frequent run stands in, how many are listed, and the tasks a frequent key is spread over
+SAMPLE, FREQUENT, LISTED, SALTS = 5000, 0.001, 1 << 16, 16
 
 
-def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
-    r = K.splitmix(np.arange(2 * k))
-    return (r[:k] >> K.U64(32)).astype(np.uint32) | np.uint32(1), (r[k:] >> K.U64(32)).astype(np.uint32)
-
-
-def run_sets(texts: list[str], k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts with at least min_words words: their places in the list, their sorted distinct 32-bit run hashes, and offsets."""
+def run_sets(texts: list[str], k: int, min_words: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with at least min_words words: their places in the list, the hash of all their words in order, their distinct run
+    hashes in the common order, offsets, and how many of each text's runs are not frequent (these come first)."""
     h, _, _, first = K.words(texts)
     runs, begin = K.run_hashes(h, first, k)
-    doc = np.repeat(np.arange(len(texts), dtype=K.U64), np.diff(begin))
-    doc_ok = np.diff(first) >= max(min_words, k)
-    keep = np.repeat(doc_ok, np.diff(begin))
-    both = np.sort((doc[keep] << K.U64(32)) | (runs[keep] >> K.U64(32)))
-    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
-    places = np.flatnonzero(doc_ok)
-    offsets = np.append(np.searchsorted(both, places.astype(K.U64) << K.U64(32)), len(both)).astype(np.int32)
-    return places, (both & K.U64(0xFFFFFFFF)).astype(np.uint32), offsets
-
-
-def postings_of(runs: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """(texts, groups) index keys: the group's number and its six signature bytes."""
-    a, b = _permutations(groups * GROUP)
-    out = np.zeros((len(offsets) - 1, groups), dtype=K.U64)
-    with np.errstate(over="ignore"):
-        for g in range(groups):
-            key = np.full(len(offsets) - 1, g, dtype=K.U64)
-            for j in range(g * GROUP, (g + 1) * GROUP):
-                low = np.minimum.reduceat(runs * a[j] + b[j], offsets[:-1])
-                key = (key << K.U64(16)) | ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(K.U64)
-            out[:, g] = key
-    return out.view(np.int64)
-
-
-def signer(k: int, min_words: int, groups: int):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ok = np.diff(first) >= max(min_words, k)
+    places = np.flatnonzero(ok)
+    keep = np.repeat(ok, np.diff(begin))
+    owner, runs = np.repeat(np.cumsum(ok) - 1, np.diff(begin))[keep], runs[keep]
+    late = np.zeros(len(runs), dtype=bool) if frequent is None or not len(frequent) else _member(runs, frequent)
+    order = np.lexsort((runs, late, owner))
+    owner, runs, late = owner[order], runs[order], late[order]
+    if len(runs):
+        fresh = np.concatenate(([True], (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])))
+        owner, runs, late = owner[fresh], runs[fresh], late[fresh]
+    offsets = np.searchsorted(owner, np.arange(len(places) + 1))
+    rare = np.bincount(owner[~late], minlength=len(places))
+    prefix = K.prefix_hash(K.splitmix(h))
+    whole = K.range_hash(prefix, first[places], first[places + 1]) if len(places) else np.zeros(0, dtype=K.U64)
+    return places, whole, runs, offsets, rare
+
+
+def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(table, x)
+    at[at == len(table)] = 0
+    return table[at] == x
+
+
+def _ceil(x: float) -> int:
+    return math.ceil(x - 1e-9)
+
+
+def indexed(n: int, t: float) -> int:
+    """How many of n runs are indexed."""
+    return n - _ceil(t * n) + 1
+
+
+def guaranteed(x: int, y: int, t: float) -> int:
+    """The least number of common indexed runs of two texts of x and y runs with Jaccard >= t."""
+    return _ceil(t * (x + y) / (1 + t)) - _ceil(t * max(x, y)) + 1
+
+
+class Records:
+    """The passes over one table of texts: (id, text, side); side tells the two collections of a cross join apart."""
+
+    def __init__(self, df: DataFrame, id_col: Column, text: Column, side: Column, k: int = 5, min_words: int = 20):
+        self.rows = df.select(id_col.cast("bigint").alias("id"), side.cast("int").alias("side"), text.alias("text")).where("id is not null and text is not null")
+        self.k, self.min_words = k, min_words
+        self.frequent = self._frequent()
+
+    def _pass(self, make, schema: str, rows: DataFrame | None = None) -> DataFrame:
+        parts, frequent = Parts(self.k, self.min_words), getattr(self, "frequent", None)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts.of(batches, frequent):
+                out = make(*part)
+                if out is not None:
+                    yield out
+
+        return (self.rows if rows is None else rows).mapInArrow(run, schema)
+
+    def _frequent(self) -> np.ndarray:
+        """Hashes of the runs that stand in at least FREQUENT of a sample of SAMPLE texts, sorted; at most LISTED. They only guide the order."""
+
+        def runs(ids, sides, whole, runs, offsets, rare):
+            return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64))], names=["run"])
+
+        part = hashed_part(self.rows, F.col("id"), SAMPLE, 1)
+        n = part.count()
+        least = max(4, math.ceil(FREQUENT * n))
+        top = self._pass(runs, "run bigint", part.select("id", "side", "text")).groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        top = top.orderBy(F.desc("n"), "run").limit(LISTED).select("run").toPandas()["run"].to_numpy(dtype=np.int64)
+        return np.sort(top.view(K.U64))
+
+    def classes(self, t: float) -> DataFrame:
+        """(id, side, cls, n, whole, hot): one row a text; cls stands for its set of runs, hot: frequent runs are indexed too."""
+
+        def rows(ids, sides, whole, runs, offsets, rare):
+            n = np.diff(offsets)
+            with np.errstate(over="ignore"):
+                cls = np.add.reduceat(K.splitmix(runs), offsets[:-1])
+            most = np.array([indexed(int(x), t) for x in n])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sides, pa.int32()), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(most > rare)], names=["id", "side", "cls", "n", "whole", "hot"])
+
+        return self._pass(rows, "id bigint, side int, cls bigint, n int, whole bigint, hot boolean")
+
+    def postings(self, t: float, rows: DataFrame, hot: bool) -> DataFrame:
+        """(key, id, side, n): the indexed runs of the rows' texts, either the frequent ones or all others."""
+
+        def make(ids, sides, whole, runs, offsets, rare):
+            n = np.diff(offsets)
+            most = np.array([indexed(int(x), t) for x in n])
+            lo, hi = (np.minimum(rare, most), most) if hot else (np.zeros_like(most), np.minimum(rare, most))
+            count = np.maximum(hi - lo, 0)
+            if not count.sum():
+                return None
+            owner = np.repeat(np.arange(len(n)), count)
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + (offsets[:-1] + lo)[owner]
+            return pa.RecordBatch.from_arrays([pa.array(runs[at].view(np.int64)), pa.array(np.array(ids, dtype=np.int64)[owner]), pa.array(np.array(sides, dtype=np.int32)[owner]), pa.array(n[owner].astype(np.int32))], names=["key", "id", "side", "n"])
+
+        return self._pass(make, "key bigint, id bigint, side int, n int", rows)
+
+    def sets(self, rows: DataFrame) -> DataFrame:
+        """(id, n, runs): whole sets."""
+
+        def make(ids, sides, whole, runs, offsets, rare):
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(runs.view(np.int64)))], names=["id", "n", "runs"])
+
+        return self._pass(make, "id bigint, n int, runs array<bigint>", rows)
+
+
+class Parts:
+    """Run sets of batches of (id, side, text); what the tasks get, without any DataFrame."""
+
+    def __init__(self, k: int, min_words: int):
+        self.k, self.min_words = k, min_words
+
+    def of(self, batches: Iterator[pa.RecordBatch], frequent: np.ndarray | None) -> Iterator[tuple]:
         for batch in batches:
             ids, sides, texts = K.columns(batch, "id", "side", "text")
             for rows, part in K.chunks(list(zip(ids, sides)), texts, 1 << 19):
-                places, runs, offsets = run_sets(part, k, min_words)
-                if not len(places):
-                    continue
-                with np.errstate(over="ignore"):
-                    cls = np.add.reduceat(K.splitmix(runs), offsets[:-1])
-                keys = postings_of(runs, offsets, groups)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([rows[p][0] for p in places], pa.int64()), pa.array([rows[p][1] for p in places], pa.int32()),
-                    pa.array(cls.view(np.int64)), pa.array(np.diff(offsets).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1, dtype=np.int32) * groups), pa.array(keys.ravel())),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(runs.view(np.int32))),
-                ], names=["id", "side", "cls", "n", "postings", "runs"])
-
-    return sign
+                places, whole, runs, offsets, rare = run_sets(part, self.k, self.min_words, frequent)
+                if len(places):
+                    yield [rows[p][0] for p in places], [rows[p][1] for p in places], whole, runs, offsets, rare
 
 
-def signatures(df: DataFrame, id_col: Column, text: Column, side: Column, k: int = 5, min_words: int = 20, groups: int = GROUPS) -> DataFrame:
-    rows = df.select(id_col.cast("bigint").alias("id"), side.cast("int").alias("side"), text.alias("text")).where("id is not null and text is not null")
-    return rows.mapInArrow(signer(k, min_words, groups), SIGNED)
+def signatures(df: DataFrame, id_col: Column, text: Column, side: Column, k: int = 5, min_words: int = 20) -> Records:
+    return Records(df, id_col, text, side, k, min_words)
 
 
-def _without(df: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
+def _joined(df: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
     """df left_anti or left_semi joined with a table of n ids, broadcast only if small."""
     return df.join(F.broadcast(ids) if small_enough(n, 64) else ids, "id", how)
 
 
-def similar_pairs(signed: DataFrame, scratch: Scratch, jaccard: float = 0.8, cross: bool = False) -> tuple[DataFrame, DataFrame]:
-    """signed (of signatures()) -> pairs and copies.
+def _met(post: DataFrame, t: float, cross: bool, salts: int = 1) -> DataFrame:
+    """(a, b, na, nb): every common key of two texts that differ in size by no more than t allows."""
+    left, right = (post.where("side = 0"), post.where("side = 1")) if cross else (post, post)
+    on = ["key"]
+    if salts > 1:
+        left = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        on = ["key", "salt"]
+    left, right = left.select(*on, F.col("id").alias("a"), F.col("n").alias("na")), right.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"))
+    ordered = F.expr("a != b" if cross else "a < b")
+    return left.join(right, on).where(ordered & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)).select("a", "b", "na", "nb")
+
+
+def similar_pairs(records: Records, scratch: Scratch, jaccard: float = 0.8, cross: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """pairs, copies and classes.
 
     pairs (a, b, overlap): representatives with Jaccard >= jaccard; with cross, a is of side 0 and b of side 1.
-    copies (id, rep): the other records with the same set (and side) as their representative.
-    """
-    base = scratch.save(signed)
+    copies (id, rep): the other records with the same set (and side) as their representative. classes: of Records.classes."""
+    t = jaccard
+    base = scratch.save(records.classes(t))
+    if base.count() > base.select("id").distinct().count():  # ids in several rows: the least text of each stands for it
+        scratch.drop(base)
+        records.rows = records.rows.groupBy("id").agg(F.min(F.struct("side", "text")).alias("r")).select("id", "r.side", "r.text")
+        base = scratch.save(records.classes(t))
     key = ["cls", "n", "side"]
-    classes = base.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep != other")
-    copies = scratch.save(base.select("id", *key).join(classes.select(*key, "rep"), key).where("id != rep").select("id", "rep").distinct())
-    reps = _without(base, copies.select("id"), copies.count(), "left_anti")
-    post = reps.select("id", "side", F.explode("postings").alias("key"))
-    left, right = post, post
-    if cross:
-        left, right = post.where("side = 0"), post.where("side = 1")
-    left, right = left.select("key", F.col("id").alias("a")), right.select("key", F.col("id").alias("b"))
-    met = left.join(right, "key").where("a != b" if cross else "a < b")
-    pairs = scratch.save(met.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 1").select("a", "b"))
+    groups = base.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep != other")
+    copies = scratch.save(base.select("id", *key).join(groups.select(*key, "rep"), key).where("id != rep").select("id", "rep").distinct())
+    texts = _joined(records.rows, copies.select("id"), copies.count(), "left_anti")
+    met = _met(records.postings(t, texts, False), t, cross)
+    hot = base.where("hot").select("id").distinct()
+    n_hot = hot.count()
+    if n_hot:
+        met = met.unionByName(_met(records.postings(t, _joined(texts, hot, n_hot, "left_semi"), True), t, cross, SALTS))
+    tally = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    up = lambda c: F.ceil(c - 1e-9)
+    least = up(t * (F.col("na") + F.col("nb")) / (1 + t)) - up(t * F.greatest("na", "nb")) + 1
+    pairs = scratch.save(tally.where(F.col("shared") >= least).select("a", "b"))
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _without(base.select("id", "n", "runs"), involved, 2 * pairs.count(), "left_semi").dropDuplicates(["id"])
-    a, b = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("runs").alias("ra")), sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("runs").alias("rb"))
-    both = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= jaccard * F.greatest("na", "nb"))
-    checked = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ra", "rb")).alias("overlap"))
-    return checked.where(F.col("overlap") >= jaccard * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap"), copies
+    sets = records.sets(_joined(texts, involved, 2 * pairs.count(), "left_semi"))
+    a, b = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("runs").alias(f"r{x}")) for x in "ab")
+    checked = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ra", "rb")).alias("overlap"))
+    found = checked.where(F.col("overlap") >= t * (F.col("na") + F.col("nb") - F.col("overlap")) - 1e-9).select("a", "b", "overlap")
+    return found, copies, base
 
 
 def all_pairs(pairs: DataFrame, copies: DataFrame, cross: bool = False) -> DataFrame:

@@ -1,8 +1,11 @@
 """Records of evaluation splits that also stand in the training split.
 
-Records are canonicalised (case, punctuation and white space) and hashed; evaluation hashes are joined with training hashes,
-by name, by whole text, and, for near-equal texts, by the index keys of neardup (hashes of parts of the canonical text).
-Only keys of the evaluation side can join, and nothing of a hot name is gathered in one task.
+Records are canonicalised (case, punctuation and white space) and hashed, and evaluation hashes are joined with training hashes: of
+names, of whole texts, and, for nearly equal texts, of the canonical word runs that neardup indexes. Every overlap is a pair of
+`overlap_pairs`; `overlap_counts` counts the same pairs, and the evaluation records with equal text that are too short for them.
+
+A name or text that very many records share makes as many pairs as its training and evaluation records allow, which is the stated
+result; such names are joined salted, so that no single task makes all of them.
 
 Defined results: rows in neither kind of split take no part; null names and null or short texts match nothing by that field;
 repeated rows of one id count once; empty tables give empty results.
@@ -18,6 +21,7 @@ from . import neardup as N
 
 #: (training, evaluation) values of the split column
 TRAINING, EVALUATION = ("training",), ("mixed_test", "time_offset_test")
+SALTS = 8
 
 
 def side_of(split: Column) -> Column:
@@ -36,18 +40,21 @@ def canonical_name(c: Column) -> Column:
 
 
 def same_key_pairs(df: DataFrame, id_col: str, key: Column, side: Column) -> DataFrame:
-    """(item_id_a, item_id_b), a < b: a training and an evaluation record with equal keys."""
-    d = df.select(F.col(id_col).alias("id"), key.alias("key"), side.alias("side")).where("key is not null and side is not null")
-    t, e = d.where("side = 0").select("key", F.col("id").alias("x")), d.where("side = 1").select("key", F.col("id").alias("y"))
-    return t.join(e, "key").where("x != y").select(F.least("x", "y").alias("item_id_a"), F.greatest("x", "y").alias("item_id_b"))
+    """(item_id_a, item_id_b), a < b: a training and an evaluation record with equal keys; training records are salted over SALTS tasks a key."""
+    d = df.select(F.col(id_col).alias("id"), key.alias("key"), side.alias("side")).where("key is not null and side is not null").distinct()
+    t = d.where("side = 0").select("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.col("id").alias("x"))
+    e = d.where("side = 1").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("id").alias("y"))
+    return t.join(e, ["key", "salt"]).where("x != y").select(F.least("x", "y").alias("item_id_a"), F.greatest("x", "y").alias("item_id_b"))
 
 
 def overlap_pairs(df: DataFrame, id_col: str, name: Column, text: Column, split: Column, scratch: Scratch, jaccard: float = 0.8, k: int = 5, min_words: int = 20) -> DataFrame:
-    """All pairs of a training and an evaluation record with the same name or nearly the same text, each once."""
+    """All pairs of a training and an evaluation record with the same name or the same or nearly the same text, each once."""
     side = side_of(split)
     d = df.where(side.isNotNull())
-    pairs, copies = N.similar_pairs(N.signatures(d, F.col(id_col), text, side, k, min_words), scratch, jaccard, cross=True)
-    return N.all_pairs(pairs, copies, cross=True).unionByName(same_key_pairs(d, id_col, canonical_name(name), side)).distinct()
+    pairs, copies, base = N.similar_pairs(N.signatures(d, F.col(id_col), text, side, k, min_words), scratch, jaccard, cross=True)
+    near = N.all_pairs(pairs, copies, cross=True)
+    equal = same_key_pairs(base, "id", F.col("whole"), F.col("side"))
+    return near.unionByName(equal).unionByName(same_key_pairs(d, id_col, canonical_name(name), side)).distinct()
 
 
 def _evaluation_rows(df: DataFrame, id_col: str, text: Column, split: Column, source: Column) -> DataFrame:

@@ -16,14 +16,15 @@ def _content():
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "p2_found")
     d = neardup.signatures(table(spark, sf, "corpus_item"), F.col("item_id"), _content(), F.lit(0))
-    return neardup.all_pairs(*neardup.similar_pairs(d, scratch, 0.5))
+    pairs, copies, _ = neardup.similar_pairs(d, scratch, 0.5)
+    return neardup.all_pairs(pairs, copies)
 
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     """One row per record that is like another: its group and its number of links to other representatives (copies aside)."""
     scratch = Scratch(spark, "p2_groups")
     d = neardup.signatures(table(spark, sf, "corpus_item"), F.col("item_id"), _content(), F.lit(0))
-    pairs, copies = neardup.similar_pairs(d, scratch, 0.5)
+    pairs, copies, _ = neardup.similar_pairs(d, scratch, 0.5)
     pairs = scratch.save(pairs.select("a", "b"))
     groups = scratch.save(neardup.components(pairs.union(copies.select("rep", "id")), scratch))
     links = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
@@ -37,22 +38,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation records that overlap with training by name or content, and their pairs, per split and source.
-
-    P4_COUNTS states only the share with equal text: its `leaked` is `exact` here."""
+    """Evaluation records that overlap with training by name or content, and their pairs, per split and source."""
     scratch = Scratch(spark, "p4_counts")
     return overlap.overlap_counts(table(spark, sf, "corpus_item"), "item_id", F.col("name"), _content(), F.col("split"), F.col("source"), scratch, 0.5)
 
 
-P4_COUNTS = """
-WITH d AS (SELECT item_id, split, source, CASE WHEN split = 'training' THEN 0 WHEN split IN ('mixed_test', 'time_offset_test') THEN 1 END AS side,
-  nullif(trim(regexp_replace(lower(private.cleancontent.content), '[^\\p{L}\\p{N}]+', ' ', 'g')), '') AS key FROM corpus_item),
-t AS (SELECT DISTINCT key FROM d WHERE side = 0 AND key IS NOT NULL)
-SELECT split, source, count(*) AS rows, count(t.key) AS leaked FROM d LEFT JOIN t ON d.key = t.key WHERE side = 1 GROUP BY split, source
-"""
-
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_counts": p4_counts}
-ORACLE = {"p4_counts": P4_COUNTS}
+ORACLE = {}
 
 
 def _language_model(d: DataFrame):
@@ -171,10 +163,20 @@ n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
 o AS (SELECT a.item_id AS x, b.item_id AS y, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.item_id < b.item_id GROUP BY ALL),
 near AS (SELECT x AS item_id_a, y AS item_id_b FROM o JOIN n a ON a.item_id = x JOIN n b ON b.item_id = y WHERE 2 * o >= a.n + b.n - o)"""
 ORACLE["p2_found"] = f"WITH {_SETS} SELECT * FROM near"
-ORACLE["p4_found"] = f"""WITH {_SETS}, s AS (SELECT item_id, CASE WHEN split = 'training' THEN 0 WHEN split IN ('mixed_test', 'time_offset_test') THEN 1 END AS side,
-nullif(lower(regexp_replace(name, '^\\s+|\\s+$', '', 'g')), '') AS name FROM corpus_item)
-SELECT item_id_a, item_id_b FROM near JOIN s a ON a.item_id = item_id_a JOIN s b ON b.item_id = item_id_b WHERE a.side + b.side = 1
-UNION SELECT a.item_id, b.item_id FROM s a JOIN s b ON a.name = b.name AND a.item_id < b.item_id WHERE a.side + b.side = 1"""
+_CROSS = f"""{_SETS}, s AS (SELECT item_id, split, source, CASE WHEN split = 'training' THEN 0 WHEN split IN ('mixed_test', 'time_offset_test') THEN 1 END AS side,
+nullif(lower(regexp_replace(name, '^\\s+|\\s+$', '', 'g')), '') AS name, nullif(trim(regexp_replace(lower(private.cleancontent.content), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '') AS key FROM corpus_item),
+p AS (SELECT item_id_a, item_id_b FROM near JOIN s a ON a.item_id = item_id_a JOIN s b ON b.item_id = item_id_b WHERE a.side + b.side = 1
+UNION SELECT a.item_id, b.item_id FROM s a JOIN s b ON a.name = b.name AND a.item_id < b.item_id WHERE a.side + b.side = 1)"""
+ORACLE["p4_found"] = f"WITH {_CROSS} SELECT item_id_a, item_id_b FROM p"
+ORACLE["p4_counts"] = f"""WITH {_CROSS}, ends AS (SELECT item_id, count(*) AS n FROM (SELECT item_id_a AS item_id FROM p UNION ALL SELECT item_id_b FROM p) GROUP BY item_id), t AS (SELECT DISTINCT key FROM s WHERE side = 0 AND key IS NOT NULL)
+SELECT split, source, count(*)::BIGINT AS rows, count(*) FILTER (WHERE t.key IS NOT NULL OR ends.n IS NOT NULL)::BIGINT AS leaked, count(t.key)::BIGINT AS exact, coalesce(sum(ends.n), 0)::BIGINT AS pairs FROM s LEFT JOIN t ON s.key = t.key LEFT JOIN ends ON ends.item_id = s.item_id WHERE side = 1 GROUP BY split, source"""
+# groups: the least id reached over the pairs; copies: pairs of equal sets
+ORACLE["p2_groups"] = f"""WITH RECURSIVE {_SETS}, ways AS (SELECT item_id_a AS a, item_id_b AS b FROM near UNION ALL SELECT item_id_b, item_id_a FROM near),
+reach AS (SELECT a AS item_id, b AS r FROM ways UNION SELECT reach.item_id, ways.b FROM reach JOIN ways ON ways.a = reach.r),
+same AS (SELECT x AS a, y AS b FROM o JOIN n p ON p.item_id = x JOIN n q ON q.item_id = y WHERE o = p.n AND o = q.n),
+rep AS (SELECT item_id, least(item_id, coalesce(min(b), item_id)) AS rep FROM (SELECT item_id, s.b FROM n LEFT JOIN (SELECT a, b FROM same UNION ALL SELECT b, a FROM same) s ON s.a = n.item_id) GROUP BY item_id),
+links AS (SELECT u.rep, count(DISTINCT v.rep) AS n_links FROM ways JOIN rep u ON u.item_id = ways.a JOIN rep v ON v.item_id = ways.b WHERE u.rep <> v.rep GROUP BY u.rep)
+SELECT item_id, least(item_id, min(r)) AS group_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links FROM reach JOIN rep USING (item_id) LEFT JOIN links USING (rep) GROUP BY item_id"""
 ORACLE["p9_found"] = f"""WITH e AS (SELECT item_id, {_W.format('text')} AS w FROM eval_item), d AS (SELECT doc_id, {_W.format('text')} AS w FROM documents),
 er AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 19], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS i FROM e WHERE len(w) >= 20)),
 dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 19], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20))

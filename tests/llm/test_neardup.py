@@ -50,20 +50,54 @@ def corpus():
 def test_pairs_equal_brute_force(spark, scratch, least):
     data = corpus()
     df = spark.createDataFrame(data + data[:3], "i bigint, t string").withColumn("id", F.lit("clash")).withColumn("n", F.lit(1))
-    got = N.all_pairs(*N.similar_pairs(N.signatures(df, F.col("i"), F.col("t"), F.lit(0)), scratch, least))
+    pairs, copies, _ = N.similar_pairs(N.signatures(df, F.col("i"), F.col("t"), F.lit(0)), scratch, least)
+    got = N.all_pairs(pairs, copies)
     assert [tuple(r) for r in got.orderBy("item_id_a", "item_id_b").collect()] == brute(data, least)
 
 
 def test_empty(spark, scratch):
     df = spark.createDataFrame([], "i bigint, t string")
-    p, c = N.similar_pairs(N.signatures(df, F.col("i"), F.col("t"), F.lit(0)), scratch, 0.5)
+    p, c, _ = N.similar_pairs(N.signatures(df, F.col("i"), F.col("t"), F.lit(0)), scratch, 0.5)
     assert N.all_pairs(p, c).count() == 0 and N.components(p, scratch).count() == 0
 
 
-def test_index_keys_follow_jaccard():
-    a, b = np.arange(1000, dtype=np.uint32) * np.uint32(2654435761), np.arange(500, 1500, dtype=np.uint32) * np.uint32(2654435761)
-    keys = N.postings_of(np.concatenate([a, b]), np.array([0, 1000, 2000]), 600)
-    assert abs((keys[0] == keys[1]).mean() - (1 / 3) ** 3) < 0.02
+@pytest.mark.parametrize("t", [0.5, 0.8])
+def test_index_shows_the_guaranteed_minimum(t):
+    """Of any two sets that are like enough, in whatever order, the indexed parts have at least the guaranteed number in common."""
+    r, tight = random.Random(3), 0
+    for _ in range(4000):
+        x = r.randrange(1, 60)
+        common = r.randrange(1, x + 1)
+        y = common + r.randrange(0, 30)
+        if common < t * (x + y - common) - 1e-9:
+            continue
+        order = list(range(x + y - common))
+        r.shuffle(order)
+        rank = {e: n for n, e in enumerate(order)}
+        a, b = sorted(range(x), key=rank.get), sorted([*range(common), *range(x, x + y - common)], key=rank.get)
+        shown, least = len(set(a[: N.indexed(x, t)]) & set(b[: N.indexed(y, t)])), N.guaranteed(x, y, t)
+        assert shown >= least >= 1
+        tight += shown == least
+    assert tight > 10
+
+
+def test_frequent_runs_come_last_and_miss_nothing(spark, scratch, monkeypatch):
+    """Texts that are mostly one frequent notice still meet, in the join of their own."""
+    monkeypatch.setattr(N, "FREQUENT", 0.05)
+    notice = text(60)
+    data = [(i, notice + " " + text(10 + i % 25)) for i in range(60)] + [(100 + i, text(40)) for i in range(40)]
+    df = spark.createDataFrame(data, "i bigint, t string")
+    r = N.signatures(df, F.col("i"), F.col("t"), F.lit(0))
+    assert len(r.frequent) >= 56 and r.classes(0.5).where("hot").count() >= 60
+    pairs, copies, _ = N.similar_pairs(r, scratch, 0.5)
+    assert [tuple(x) for x in N.all_pairs(pairs, copies).orderBy("item_id_a", "item_id_b").collect()] == brute(data, 0.5)
+
+
+def test_repeated_ids_are_one_record(spark, scratch):
+    t = text(50)
+    df = spark.createDataFrame([(1, t), (1, edited(t, 1)), (2, t), (2, t)], "i bigint, t string")
+    pairs, copies, _ = N.similar_pairs(N.signatures(df, F.col("i"), F.col("t"), F.lit(0)), scratch, 0.5)
+    assert rows(N.all_pairs(pairs, copies)) == [(1, 2)]
 
 
 def test_words_match_the_definition():
