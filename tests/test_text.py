@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
