@@ -7,8 +7,9 @@ runs (m: the larger of x and y) lie behind that part, so the index shows at leas
 minimum (34 of 101 for two texts of 200 runs at t = 0.5). Pairs are tallied, those below their minimum dropped, the rest verified on
 their whole sets. No pair is missed by chance: the order only decides how many chance pairs are tallied, never which are found.
 
-Frequent runs (notices, mastheads) are listed from a bounded sample, and being last in the order they are hardly ever indexed. Texts
-that have nothing else meet in a join of their own, salted over SALTS tasks. Exact copies (equal sets) are folded into one
+Runs are counted in every window of WINDOW runs that a task reads; those seen SEEN times in one are summed up over all texts, and the
+LISTED most frequent come last in the order, by the power of two of their count, so notices and mastheads are hardly ever indexed.
+The few indexed runs that more than VERY of the texts hold are split into cells, each of which pairs two blocks of texts. Exact copies (equal sets) are folded into one
 representative before the index is built and unfolded at the end, so a group of copies that holds a third of all rows costs one row
 a copy. Texts are read once for each pass; nothing but ids, counts and indexed hashes is stored.
 
@@ -27,39 +28,59 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, hashed_part, small_enough
+from ..storage import Scratch, small_enough
 from . import textkit as K
 
-#: texts the frequent runs are sought in, the share of them a frequent run stands in, how many are listed, and the tasks a frequent key is spread over
-SAMPLE, FREQUENT, LISTED, SALTS = 5000, 0.001, 1 << 16, 16
+#: runs in a window, sightings in one that count, runs listed as frequent, share of the texts from which on a run is split, and into how many blocks
+WINDOW, SEEN, LISTED, VERY, BLOCKS = 4_000_000, 3, 1 << 19, 0.001, 8
 
 
-def run_sets(texts: list[str], k: int, min_words: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Frequent:
+    """The frequent runs: sorted hashes, the level of each in the common order, and whether it is to be split."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, texts: int):
+        order = np.argsort(hashes)
+        self.hashes, counts = hashes[order], counts[order]
+        self.level = np.log2(np.maximum(counts, 2)).astype(np.int8)
+        self.split = counts > VERY * texts
+
+    def _at(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, x)
+        at[at == len(self.hashes)] = 0
+        return at, self.hashes[at] == x
+
+    def levels(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(x), dtype=np.int8)
+        at, hit = self._at(x)
+        return np.where(hit, self.level[at], 0).astype(np.int8)
+
+    def splits(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(x), dtype=bool)
+        at, hit = self._at(x)
+        return hit & self.split[at]
+
+
+def run_sets(texts: list[str], k: int, min_words: int, frequent: Frequent | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts with at least min_words words: their places in the list, the hash of all their words in order, their distinct run
-    hashes in the common order, offsets, and how many of each text's runs are not frequent (these come first)."""
+    hashes in the common order, and offsets."""
     h, _, _, first = K.words(texts)
     runs, begin = K.run_hashes(h, first, k)
     ok = np.diff(first) >= max(min_words, k)
     places = np.flatnonzero(ok)
     keep = np.repeat(ok, np.diff(begin))
     owner, runs = np.repeat(np.cumsum(ok) - 1, np.diff(begin))[keep], runs[keep]
-    late = np.zeros(len(runs), dtype=bool) if frequent is None or not len(frequent) else _member(runs, frequent)
-    order = np.lexsort((runs, late, owner))
-    owner, runs, late = owner[order], runs[order], late[order]
+    level = np.zeros(len(runs), dtype=np.int8) if frequent is None else frequent.levels(runs)
+    order = np.lexsort((runs, level, owner))
+    owner, runs = owner[order], runs[order]
     if len(runs):
         fresh = np.concatenate(([True], (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])))
-        owner, runs, late = owner[fresh], runs[fresh], late[fresh]
+        owner, runs = owner[fresh], runs[fresh]
     offsets = np.searchsorted(owner, np.arange(len(places) + 1))
-    rare = np.bincount(owner[~late], minlength=len(places))
     prefix = K.prefix_hash(K.splitmix(h))
     whole = K.range_hash(prefix, first[places], first[places + 1]) if len(places) else np.zeros(0, dtype=K.U64)
-    return places, whole, runs, offsets, rare
-
-
-def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(table, x)
-    at[at == len(table)] = 0
-    return table[at] == x
+    return places, whole, runs, offsets
 
 
 def _ceil(x: float) -> int:
@@ -76,88 +97,108 @@ def guaranteed(x: int, y: int, t: float) -> int:
     return _ceil(t * (x + y) / (1 + t)) - _ceil(t * max(x, y)) + 1
 
 
-class Records:
-    """The passes over one table of texts: (id, text, side); side tells the two collections of a cross join apart."""
+class Parts:
+    """Run sets of batches of (id, side, text): what the tasks get."""
 
-    def __init__(self, df: DataFrame, id_col: Column, text: Column, side: Column, k: int = 5, min_words: int = 20):
-        self.rows = df.select(id_col.cast("bigint").alias("id"), side.cast("int").alias("side"), text.alias("text")).where("id is not null and text is not null")
-        self.k, self.min_words = k, min_words
-        self.frequent = self._frequent()
+    def __init__(self, k: int, min_words: int, frequent: Frequent | None = None):
+        self.k, self.min_words, self.frequent = k, min_words, frequent
+
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            ids, sides, texts = K.columns(batch, "id", "side", "text")
+            for rows, part in K.chunks(list(zip(ids, sides)), texts, 1 << 19):
+                places, whole, runs, offsets = run_sets(part, self.k, self.min_words, self.frequent)
+                if len(places):
+                    yield np.array([rows[p][0] for p in places], dtype=np.int64), np.array([rows[p][1] for p in places], dtype=np.int32), whole, runs, offsets
 
-    def _pass(self, make, schema: str, rows: DataFrame | None = None) -> DataFrame:
-        parts, frequent = Parts(self.k, self.min_words), getattr(self, "frequent", None)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts.of(batches, frequent):
-                out = make(*part)
-                if out is not None:
-                    yield out
+_CLASSES = {"id": pa.int64(), "side": pa.int32(), "cls": pa.int64(), "n": pa.int32(), "whole": pa.int64()}
 
-        return (self.rows if rows is None else rows).mapInArrow(run, schema)
 
-    def _frequent(self) -> np.ndarray:
-        """Hashes of the runs that stand in at least FREQUENT of a sample of SAMPLE texts, sorted; at most LISTED. They only guide the order."""
+def _batch(columns: dict[str, tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
-        def runs(ids, sides, whole, runs, offsets, rare):
-            return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64))], names=["run"])
 
-        part = hashed_part(self.rows, F.col("id"), SAMPLE, 1)
-        n = part.count()
-        least = max(4, math.ceil(FREQUENT * n))
-        top = self._pass(runs, "run bigint", part.select("id", "side", "text")).groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        top = top.orderBy(F.desc("n"), "run").limit(LISTED).select("run").toPandas()["run"].to_numpy(dtype=np.int64)
-        return np.sort(top.view(K.U64))
+def _classes(parts: Parts):
+    """Rows (id, side, cls, n, whole), one a text, and without an id (cls, n): a run and how often a window shows it."""
 
-    def classes(self, t: float) -> DataFrame:
-        """(id, side, cls, n, whole, hot): one row a text; cls stands for its set of runs, hot: frequent runs are indexed too."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, size = [], 0
 
-        def rows(ids, sides, whole, runs, offsets, rare):
-            n = np.diff(offsets)
+        def seen() -> pa.RecordBatch:
+            runs, count = np.unique(np.concatenate(window), return_counts=True)
+            often = count >= SEEN
+            none = pa.nulls(int(often.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.array(runs[often].view(np.int64)), pa.array(count[often].astype(np.int32)), none], names=list(_CLASSES))
+
+        for ids, sides, whole, runs, offsets in parts.of(batches):
             with np.errstate(over="ignore"):
                 cls = np.add.reduceat(K.splitmix(runs), offsets[:-1])
-            most = np.array([indexed(int(x), t) for x in n])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sides, pa.int32()), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(most > rare)], names=["id", "side", "cls", "n", "whole", "hot"])
+            values = (ids, sides, cls.view(np.int64), np.diff(offsets).astype(np.int32), whole.view(np.int64))
+            yield _batch({c: (v, t) for (c, t), v in zip(_CLASSES.items(), values)})
+            window.append(runs)
+            size += len(runs)
+            if size >= WINDOW:
+                yield seen()
+                window, size = [], 0
+        if size:
+            yield seen()
 
-        return self._pass(rows, "id bigint, side int, cls bigint, n int, whole bigint, hot boolean")
+    return rows
 
-    def postings(self, t: float, rows: DataFrame, hot: bool) -> DataFrame:
-        """(key, id, side, n): the indexed runs of the rows' texts, either the frequent ones or all others."""
 
-        def make(ids, sides, whole, runs, offsets, rare):
+def _postings(parts: Parts, t: float):
+    """Rows (key, cell, id, side, n): the indexed runs. A run that is to be split goes to the cells of its text's block with every block."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sides, whole, runs, offsets in parts.of(batches):
             n = np.diff(offsets)
-            most = np.array([indexed(int(x), t) for x in n])
-            lo, hi = (np.minimum(rare, most), most) if hot else (np.zeros_like(most), np.minimum(rare, most))
-            count = np.maximum(hi - lo, 0)
-            if not count.sum():
-                return None
+            count = np.array([indexed(int(x), t) for x in n])
             owner = np.repeat(np.arange(len(n)), count)
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + (offsets[:-1] + lo)[owner]
-            return pa.RecordBatch.from_arrays([pa.array(runs[at].view(np.int64)), pa.array(np.array(ids, dtype=np.int64)[owner]), pa.array(np.array(sides, dtype=np.int32)[owner]), pa.array(n[owner].astype(np.int32))], names=["key", "id", "side", "n"])
+            key = runs[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][owner]]
+            cell = np.zeros(len(key), dtype=np.int32)
+            if parts.frequent is not None and (wide := parts.frequent.splits(key)).any():
+                own, split = np.repeat(owner[wide], BLOCKS), np.repeat(key[wide], BLOCKS)
+                block, other = block_of(ids[own]), np.tile(np.arange(BLOCKS), int(wide.sum()))
+                owner, key = np.concatenate((owner[~wide], own)), np.concatenate((key[~wide], split))
+                cell = np.concatenate((cell[~wide], 1 + np.minimum(block, other) * BLOCKS + np.maximum(block, other))).astype(np.int32)
+            yield _batch({"key": (key.view(np.int64), pa.int64()), "cell": (cell, pa.int32()), "id": (ids[owner], pa.int64()), "side": (sides[owner], pa.int32()), "n": (n[owner].astype(np.int32), pa.int32())})
 
-        return self._pass(make, "key bigint, id bigint, side int, n int", rows)
+    return rows
 
-    def sets(self, rows: DataFrame) -> DataFrame:
-        """(id, n, runs): whole sets."""
 
-        def make(ids, sides, whole, runs, offsets, rare):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(runs.view(np.int64)))], names=["id", "n", "runs"])
+def block_of(ids: np.ndarray) -> np.ndarray:
+    return (ids % BLOCKS).astype(np.int64)
 
-        return self._pass(make, "id bigint, n int, runs array<bigint>", rows)
 
+def _sets(parts: Parts):
+    """Rows (id, n, runs): whole sets."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sides, whole, runs, offsets in parts.of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(runs.view(np.int64)))], names=["id", "n", "runs"])
+
+    return rows
 
-class Parts:
-    """Run sets of batches of (id, side, text); what the tasks get, without any DataFrame."""
 
-    def __init__(self, k: int, min_words: int):
+class Records:
+    """One table of texts: (id, side, text); side tells the two collections of a cross join apart."""
+
+    def __init__(self, df: DataFrame, id_col: Column, text: Column, side: Column, k: int = 5, min_words: int = 20):
+        self.rows = df.select(id_col.cast("bigint").alias("id"), side.cast("int").alias("side"), text.alias("text")).where("id is not null and text is not null")
         self.k, self.min_words = k, min_words
 
-    def of(self, batches: Iterator[pa.RecordBatch], frequent: np.ndarray | None) -> Iterator[tuple]:
-        for batch in batches:
-            ids, sides, texts = K.columns(batch, "id", "side", "text")
-            for rows, part in K.chunks(list(zip(ids, sides)), texts, 1 << 19):
-                places, whole, runs, offsets, rare = run_sets(part, self.k, self.min_words, frequent)
-                if len(places):
-                    yield [rows[p][0] for p in places], [rows[p][1] for p in places], whole, runs, offsets, rare
+    def read(self, scratch: Scratch) -> tuple[DataFrame, Frequent]:
+        """(id, side, cls, n, whole), one row a text, cls standing for its set of runs; and the frequent runs of all texts."""
+        found = scratch.save(self.rows.mapInArrow(_classes(Parts(self.k, self.min_words)), "id bigint, side int, cls bigint, n int, whole bigint"))
+        base = found.where("id is not null")
+        texts, ids = base.agg(F.count("*"), F.count_distinct("id")).first()
+        if texts > ids:  # ids in several rows: the least text of each stands for it
+            scratch.drop(found)
+            self.rows = self.rows.groupBy("id").agg(F.min(F.struct("side", "text")).alias("r")).select("id", "r.side", "r.text")
+            return self.read(scratch)
+        top = found.where("id is null").groupBy(F.col("cls").alias("run")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "run").limit(LISTED).toPandas()
+        return base, Frequent(top["run"].to_numpy(dtype=np.int64).view(K.U64), top["n"].to_numpy(dtype=np.int64), texts)
 
 
 def signatures(df: DataFrame, id_col: Column, text: Column, side: Column, k: int = 5, min_words: int = 20) -> Records:
@@ -169,45 +210,34 @@ def _joined(df: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small_enough(n, 64) else ids, "id", how)
 
 
-def _met(post: DataFrame, t: float, cross: bool, salts: int = 1) -> DataFrame:
-    """(a, b, na, nb): every common key of two texts that differ in size by no more than t allows."""
-    left, right = (post.where("side = 0"), post.where("side = 1")) if cross else (post, post)
-    on = ["key"]
-    if salts > 1:
-        left = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on = ["key", "salt"]
-    left, right = left.select(*on, F.col("id").alias("a"), F.col("n").alias("na")), right.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"))
-    ordered = F.expr("a != b" if cross else "a < b")
-    return left.join(right, on).where(ordered & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)).select("a", "b", "na", "nb")
+def _met(post: DataFrame, t: float, cross: bool) -> DataFrame:
+    """(a, b, na, nb): every indexed run that two texts have in common, if their sizes differ by no more than t allows."""
+    side = lambda name, s: (post.where(f"side = {s}") if cross else post).select("key", "cell", F.col("id").alias(name), F.col("n").alias(f"n{name}"))
+    block = lambda x: F.pmod(x, F.lit(BLOCKS))
+    own = 1 + F.least(block("a"), block("b")) * BLOCKS + F.greatest(block("a"), block("b"))
+    ok = F.expr("a != b" if cross else "a < b") & ((F.col("cell") == 0) | (F.col("cell") == own)) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)
+    return side("a", 0).join(side("b", 1), ["key", "cell"]).where(ok).select("a", "b", "na", "nb")
 
 
 def similar_pairs(records: Records, scratch: Scratch, jaccard: float = 0.8, cross: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """pairs, copies and classes.
 
     pairs (a, b, overlap): representatives with Jaccard >= jaccard; with cross, a is of side 0 and b of side 1.
-    copies (id, rep): the other records with the same set (and side) as their representative. classes: of Records.classes."""
+    copies (id, rep): the other records with the same set (and side) as their representative. classes: of Records.read."""
     t = jaccard
-    base = scratch.save(records.classes(t))
-    if base.count() > base.select("id").distinct().count():  # ids in several rows: the least text of each stands for it
-        scratch.drop(base)
-        records.rows = records.rows.groupBy("id").agg(F.min(F.struct("side", "text")).alias("r")).select("id", "r.side", "r.text")
-        base = scratch.save(records.classes(t))
+    base, frequent = records.read(scratch)
     key = ["cls", "n", "side"]
     groups = base.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep != other")
-    copies = scratch.save(base.select("id", *key).join(groups.select(*key, "rep"), key).where("id != rep").select("id", "rep").distinct())
+    copies = scratch.save(base.select("id", *key).join(groups.select(*key, "rep"), key).where("id != rep").select("id", "rep"))
     texts = _joined(records.rows, copies.select("id"), copies.count(), "left_anti")
-    met = _met(records.postings(t, texts, False), t, cross)
-    hot = base.where("hot").select("id").distinct()
-    n_hot = hot.count()
-    if n_hot:
-        met = met.unionByName(_met(records.postings(t, _joined(texts, hot, n_hot, "left_semi"), True), t, cross, SALTS))
+    parts = Parts(records.k, records.min_words, frequent)
+    met = _met(texts.mapInArrow(_postings(parts, t), "key bigint, cell int, id bigint, side int, n int"), t, cross)
     tally = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     up = lambda c: F.ceil(c - 1e-9)
     least = up(t * (F.col("na") + F.col("nb")) / (1 + t)) - up(t * F.greatest("na", "nb")) + 1
     pairs = scratch.save(tally.where(F.col("shared") >= least).select("a", "b"))
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = records.sets(_joined(texts, involved, 2 * pairs.count(), "left_semi"))
+    sets = _joined(texts, involved, 2 * pairs.count(), "left_semi").mapInArrow(_sets(Parts(records.k, records.min_words)), "id bigint, n int, runs array<bigint>")
     a, b = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("runs").alias(f"r{x}")) for x in "ab")
     checked = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ra", "rb")).alias("overlap"))
     found = checked.where(F.col("overlap") >= t * (F.col("na") + F.col("nb") - F.col("overlap")) - 1e-9).select("a", "b", "overlap")

@@ -81,16 +81,22 @@ def test_index_shows_the_guaranteed_minimum(t):
     assert tight > 10
 
 
-def test_frequent_runs_come_last_and_miss_nothing(spark, scratch, monkeypatch):
-    """Texts that are mostly one frequent notice still meet, in the join of their own."""
-    monkeypatch.setattr(N, "FREQUENT", 0.05)
+@pytest.mark.parametrize("window", [500, 4_000_000])
+def test_frequent_runs_come_last_and_miss_nothing(spark, scratch, monkeypatch, window):
+    """Texts that are mostly one frequent notice still meet, in the cells of the runs that are split."""
+    monkeypatch.setattr(N, "VERY", 0.1)
+    monkeypatch.setattr(N, "WINDOW", window)
     notice = text(60)
     data = [(i, notice + " " + text(10 + i % 25)) for i in range(60)] + [(100 + i, text(40)) for i in range(40)]
     df = spark.createDataFrame(data, "i bigint, t string")
     r = N.signatures(df, F.col("i"), F.col("t"), F.lit(0))
-    assert len(r.frequent) >= 56 and r.classes(0.5).where("hot").count() >= 60
+    base, frequent = r.read(scratch)
+    assert base.count() == 100 and frequent.split.sum() >= 56
+    post = list(N._postings(N.Parts(5, 20, frequent), 0.5)(iter(df.selectExpr("i AS id", "0 AS side", "t AS text").toArrow().to_batches())))
+    assert sum(b.num_rows for b in post) > 0 and any(c for b in post for c in b.column(1).to_pylist())
     pairs, copies, _ = N.similar_pairs(r, scratch, 0.5)
-    assert [tuple(x) for x in N.all_pairs(pairs, copies).orderBy("item_id_a", "item_id_b").collect()] == brute(data, 0.5)
+    got = [tuple(x) for x in N.all_pairs(pairs, copies).orderBy("item_id_a", "item_id_b").collect()]
+    assert got == brute(data, 0.5) and len(got) > 1000
 
 
 def test_repeated_ids_are_one_record(spark, scratch):
