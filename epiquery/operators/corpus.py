@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Labels that replace those of an item, by its name.
 OVERRIDES = {
-    "10978800000": ["Gastroenteritis"], "12201500000": ["Tuberculosis"], "26127410000": ["Malaria", "Diarrhoea", "Dengue"],
-    "28453610000": ["Dengue"], "28846610000": ["Echinococcosis"], "28824890000": ["Dengue", "Chikungunya"], "29604010000": [], "13487110000": [],
+    "10978800000": ["Gastroenteritis"], "12201500000": ["Tuberculosis"], "26127410000": ["Malaria", "Diarrhoea", "Dengue"], "28453610000": ["Dengue"],
+    "28846610000": ["Echinococcosis"], "29604010000": [], "13487110000": [], "28824890000": ["Dengue", "Chikungunya"],
 }
 TEST_START, TEST_DAYS, GAP_DAYS = "2013-01-08 00:09:12", 180, 210
 
@@ -67,10 +67,17 @@ def earliest_split(rows: DataFrame, label: str, ts: str, tie: str, first: int =
     return rows.join(early, [label, tie], "left").withColumn("split", F.coalesce("split", F.lit("training")))
 
 
-def merged_duplicates(items: DataFrame, name: str, order: str, labels: Column) -> DataFrame:
-    """(name, order of the first, labels): one row a name; the labels of all its rows, distinct and sorted."""
-    l = items.select(name, order, F.explode_outer(labels).alias("l"))
-    return l.groupBy(name).agg(F.min(order).alias(order), F.array_sort(F.collect_set("l")).alias("labels"))
+def merged_duplicates(items: DataFrame, name: str, order: str, meta: str) -> DataFrame:
+    """One row a name: all columns of its first item (lowest order), whose first event lists the diseases of the first events of all
+    items of the name, in their order. Items without events add nothing; a first item without events keeps none.
+
+    Only the lists are gathered by name, so a name with very many rows costs its diseases, not its items."""
+    first = items.groupBy(name).agg(F.min(order).alias(order))
+    own = items.select(name, order, F.get(F.col(f"{meta}.events"), F.lit(0))["diseases"].alias("d")).where("d is not null and size(d) > 0")
+    lists = own.groupBy(name).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "d"))), lambda x: x["d"])).alias("__d"))
+    kept = items.join(first.select(order), order, "left_semi").join(lists.withColumnRenamed(name, "__n"), F.col(name).eqNullSafe(F.col("__n")), "left").drop("__n")
+    event = lambda e, i: F.when((i == 0) & F.col("__d").isNotNull(), e.withField("diseases", F.col("__d"))).otherwise(e)
+    return kept.withColumn(meta, F.when(F.col(meta).isNotNull(), F.col(meta).withField("events", F.transform(F.col(f"{meta}.events"), event)))).drop("__d")
 
 
 def not_in(test: DataFrame, training: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import __version__
+from ..sources import artifacts as A
 from ..storage import Scratch
 from . import features as FE
 from . import hierarchy as H
@@ -16,18 +17,19 @@ from . import scoring as S
 
 class LabelModel:
     """Lexicon, links, ancestors and coefficients made from a label table: every label is a keyword, a class, and linked to its
-    ancestors. Classes score their own keyword with `own` and their linked one with `inferred`."""
+    ancestors. Classes score their own keyword with `own` and their linked one with `inferred`, unless trained coefficients are given.
 
-    def __init__(self, labels: DataFrame, scratch: Scratch, own: float = 2.0, inferred: float = 1.0, intercept: float = -1.0):
-        self.scratch, self.own, self.inferred, self.intercept = scratch, own, inferred, intercept
-        self.edges = scratch.save(H.with_missing_parents(scratch.save(H.parent_edges(labels, "label", "parent_label", "row_no"))))
+    Edges and ancestors are built once for the files of the label table and read from the shared folder by every later query."""
+
+    def __init__(self, labels: DataFrame, scratch: Scratch, own: float = 2.0, inferred: float = 1.0, intercept: float = -1.0, trained: tuple[DataFrame, DataFrame] | None = None):
+        self.labels, self.scratch, self.own, self.inferred, self.intercept, self.trained = labels, scratch, own, inferred, intercept, trained
+        self.edges = A.kept(labels, "label-edges", lambda: H.with_missing_parents(scratch.save(H.parent_edges(labels, "label", "parent_label", "row_no"))))
         self.keywords = self.edges.select("label", FE.X.normalised_keyword(F.col("label")).alias("keyword"))
 
     @functools.cached_property
     def pairs(self) -> DataFrame:
-        """(label, ancestor, distance); the hierarchy is resolved only for queries that need it."""
-        resolved = self.scratch.save(H.resolve_hierarchy(self.edges, self.scratch))
-        return H.ancestor_pairs(self.edges, resolved, self.scratch)
+        """(label, ancestor, distance): the labels each label implies, round cycles too; made only for queries that need them."""
+        return A.kept(self.labels, "label-ancestors", lambda: H.inferred_pairs(self.edges, self.scratch))
 
     @property
     def ancestors(self) -> DataFrame:
@@ -40,12 +42,14 @@ class LabelModel:
 
     @property
     def coefficients(self) -> DataFrame:
+        if self.trained:
+            return self.trained[0]
         one = lambda feature, coef: self.keywords.select(F.col("label").alias("class"), feature.alias("feature"), F.lit(coef).alias("coef"))
         return one(F.col("keyword"), self.own).unionByName(one(F.concat(F.lit(FE.LINKED), "keyword"), self.inferred))
 
     @property
     def intercepts(self) -> DataFrame:
-        return self.keywords.select(F.col("label").alias("class"), F.lit(self.intercept).alias("intercept"))
+        return self.trained[1] if self.trained else self.keywords.select(F.col("label").alias("class"), F.lit(self.intercept).alias("intercept"))
 
     def base(self, docs: DataFrame, doc: str, text: Column) -> DataFrame:
         """Keyword counts, saved: small beside the texts, and read more than once by what follows."""

@@ -6,12 +6,21 @@ zero-vector filter is a semi-join.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..storage import small_enough
 
 LINKED = "[linked] "
+#: X.TOKEN for Python, whose \w holds the same letters and digits
+TOKEN = r"http[^ \t\n\x0b\f\r]*\w|\w+"
 
 
 def token_counts(docs: DataFrame, doc: str, text: Column) -> DataFrame:
@@ -33,14 +42,43 @@ def keyword_windows(toks: Column, most: int = 5) -> Column:
 def keyword_counts(docs: DataFrame, doc: str, text: Column, keywords: DataFrame, keyword: str) -> DataFrame:
     """(doc, keyword, n): how often each keyword of up to five tokens stands in each text, overlaps included.
 
-    Each position carries the five tokens that begin there, and meets the keywords that begin with its token; n-grams of the
-    other lengths are never built."""
+    A lexicon of a checked size goes to the tasks, which read each text once and give its hits only. A larger one is joined: each position
+    carries the five tokens that begin there, and meets the keywords that begin with its token. N-grams of other lengths are never built."""
+    k = keyword_table(keywords, keyword)
+    if small_enough(k.count(), 400):
+        index: dict[str, list[tuple[int, str]]] = {}
+        for r in k.collect():
+            index.setdefault(r["first"], []).append((r["n"], r["keyword"]))
+        kind = docs.schema[doc].dataType
+        found = docs.select(doc, F.lower(text).alias("t")).where("t is not null").mapInArrow(_counted(index, doc), T.StructType([T.StructField(doc, kind), T.StructField("keyword", T.StringType()), T.StructField("n", T.LongType())]))
+        return found.groupBy(doc, "keyword").agg(F.sum("n").alias("n"))
     d = docs.select(doc, X.tokens(text).alias("toks"))  # a column of its own, or each token would cut the text anew
     at = d.select(doc, F.explode(keyword_windows(F.col("toks"))).alias("w")).select(doc, "w.first", "w.run")
-    met = at.join(keyword_table(keywords, keyword), "first").where(F.startswith("run", F.concat("keyword", F.lit(" "))))
+    met = at.join(k, "first").where(F.startswith("run", F.concat("keyword", F.lit(" "))))
     return met.groupBy(doc, "keyword").agg(F.count("*").alias("n"))
 
 
+def _counted(index: dict[str, list[tuple[int, str]]], doc: str):
+    token = re.compile(TOKEN)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, words, counts = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                toks, hits = token.findall(t), Counter()
+                for at in [p for p, w in enumerate(toks) if w in index]:
+                    for n, k in index[toks[at]]:
+                        if n == 1 or toks[at : at + n] == k.split(" "):
+                            hits[k] += 1
+                place += [i] * len(hits)
+                words += hits.keys()
+                counts += hits.values()
+            if place:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int32())), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=[doc, "keyword", "n"])
+
+    return rows
+
+
 def overlaid(insensitive: DataFrame, sensitive: DataFrame, doc: str) -> DataFrame:
     """Counts of case-sensitive keywords replace those of the same feature counted without case."""
     a, b = insensitive.select(doc, "keyword", F.col("n").alias("a")), sensitive.select(doc, "keyword", F.col("n").alias("b"))

@@ -6,7 +6,7 @@ The ends of the chains are found by pointer jumps (log of the chain's length), a
 the number of leaves, however deep the trees are. Each round sends the subtree sizes of its chains' tops to their parents; the
 reverse order of the rounds assigns roots and depths; what no round peels lies on a cycle.
 
-``resolve_hierarchy`` gives the same roots and depths by pointer jumps alone (fewer rounds, no sizes), for use inside other plans.
+``inferred_pairs`` gives the labels that a label implies (its ancestors, round cycles too), for the label model and corpus queries.
 
 Defined results: null and blank labels name no node; blanks around labels and parents are ignored; of several rows the
 last (highest order) with a non-empty parent counts; a parent without a row is a node and, having no parent, a root;
@@ -35,47 +35,6 @@ def parent_edges(rows: DataFrame, label: str, parent: str, order: str) -> DataFr
     return r.where("label is not null").groupBy("label").agg(F.max(F.when(F.col("parent").isNotNull(), F.struct("o", "parent")))["parent"].alias("parent"))
 
 
-def resolve_hierarchy(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """edges (label, parent or null), labels unique -> (label, root_label, depth, in_cycle).
-
-    depth is -1 and root_label the smallest label of the cycle for nodes in or below a cycle; in_cycle marks those on it.
-    """
-    edges = scratch.save(edges)
-    up = edges.where("parent is not null").select(F.col("label").alias("ptr"), F.col("parent").alias("next"))
-    roots = edges.where("parent is null").select("label", F.col("label").alias("root_label"), F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("in_cycle"))
-    # least: the smallest label among the steps already jumped over, the pointer included
-    start = edges.where("parent is not null").join(up.select(F.col("ptr").alias("parent"), F.lit(True).alias("more")), "parent", "left")
-    state = scratch.save(start.select("label", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("dist"), F.col("parent").alias("least"), F.col("more").isNull().alias("done")))
-    finished, known, rounds = [roots], None, 0
-    while True:
-        new, active = state.where("done"), state.where("not done")
-        n_new, n_active = state.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
-        if not n_new:
-            break
-        finished.append(new.select("label", F.col("ptr").alias("root_label"), F.col("dist").alias("depth"), F.lit(False).alias("in_cycle")))
-        known = new if known is None else known.unionByName(new)
-        if not n_active:
-            state = active
-            break
-        state, rounds = scratch.save(_hops(active, known)), rounds + 1
-    # all that is left follows a cycle; 4^rounds must reach the number of these nodes
-    left = state
-    n = left.count()
-    if n:
-        cyc, reach = left, 4**rounds
-        while reach < n:
-            cyc = scratch.save(_jump(cyc, cyc))
-            reach *= 2
-        on = cyc.select(F.col("ptr").alias("label")).distinct()
-        root = cyc.join(on, "label", "left_semi").select(F.col("label").alias("ptr"), F.col("least").alias("root_label"))
-        finished.append(cyc.select("label", "ptr").join(root, "ptr").join(on.withColumn("here", F.lit(True)), "label", "left")
-                        .select("label", "root_label", F.lit(-1).cast("bigint").alias("depth"), F.coalesce("here", F.lit(False)).alias("in_cycle")))
-    out = finished[0]
-    for f in finished[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def _jump(active: DataFrame, state: DataFrame) -> DataFrame:
     """One doubling: every active node's pointer moves to its pointer's pointer."""
     nxt = state.select(F.col("label").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
@@ -105,6 +64,34 @@ def ancestor_pairs(edges: DataFrame, resolved: DataFrame, scratch: Scratch, belo
         full, far = full.unionByName(new), new.where(F.col("distance") == reach)
 
 
+def inferred_pairs(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(label, ancestor, distance): every label met by following parents from a label, at its least distance.
+
+    A label on a cycle meets all labels of the cycle, itself too; one below a cycle meets those of the way and of the cycle. Distances
+    grow fourfold a round. Labels whose way never ends stay active for ever; all others are done once a round ends none, and
+    those go on until each has met a label twice. No group is larger than the way of one label."""
+    full = scratch.save(edges.where("parent is not null").select("label", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")))
+    reach, far, active = 1, full, None
+
+    def further(far: DataFrame, known: DataFrame) -> DataFrame:
+        steps = known.select(F.col("label").alias("ancestor"), F.col("ancestor").alias("a2"), F.col("distance").alias("d2"))
+        return far.join(steps, "ancestor").select("label", F.col("a2").alias("ancestor"), (F.col("distance") + F.col("d2")).alias("distance"))
+
+    while True:
+        once = further(far, full)
+        new = scratch.save(once.unionByName(further(once.where(F.col("distance") == 2 * reach), full.unionByName(once))))
+        reach *= 4
+        full, far = full.unionByName(new), new.where(F.col("distance") == reach)
+        left = far.count()
+        if not left:
+            return full
+        if left == active:
+            ways = full.join(far.select("label"), "label", "left_semi").groupBy("label").agg(F.count_distinct("ancestor").alias("n"))
+            if ways.where(F.col("n") == reach).isEmpty():
+                return full.groupBy("label", "ancestor").agg(F.min("distance").alias("distance"))
+        active = left
+
+
 def hierarchy_paths(edges: DataFrame, resolved: DataFrame, pairs: DataFrame, separator: str = " > ") -> DataFrame:
     """(label, root_label, depth, path, n_descendants). path runs from the root to the label and is null in or below a cycle;
     a path has depth + 1 entries, so no group is larger than the tree is deep. n_descendants is the peeled size without the label

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import small_enough
 from . import features as FE
 
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -19,8 +21,6 @@ COUNT = r"\b(\d{1,7}) (suspected cases?|samples positive|deaths?|patients?|new a
 
 def pattern_spans(docs: DataFrame, doc: str, text: Column, pattern: str) -> DataFrame:
     """(doc, start, end, label): all matches of a pattern, left to right, in one linear pass over each text."""
-    import re
-
     found = re.compile(pattern)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,22 +32,51 @@ def pattern_spans(docs: DataFrame, doc: str, text: Column, pattern: str) -> Data
     return docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(rows, f"{doc} bigint, start int, end int, label string")
 
 
-def keyword_spans(docs: DataFrame, doc: str, text: Column, keywords: DataFrame) -> DataFrame:
-    """(doc, type, start, end, label) of the keywords (type, keyword, case_sensitive) in each text.
+def keyword_spans(docs: DataFrame, doc: str, text: Column, keywords: DataFrame, optimal: bool = False) -> DataFrame:
+    """(doc, type, start, end, label) of the keywords (type, keyword, case_sensitive) of up to five tokens in each text.
 
-    Each token carries the run of five that begins there with its offsets, and meets the keywords that begin with it. The label is the keyword as
-    written for case-sensitive ones, else in lower case."""
+    The label is the keyword as written for case-sensitive ones, else in lower case. With optimal only the spans of optimal_spans, chosen in
+    the same pass. A lexicon of a checked size goes to the tasks, which read each text once; a larger one is joined on first tokens."""
     k = keywords.select("type", "keyword", "case_sensitive", X.tokens(F.col("keyword")).alias("kt"), X.tokens(F.col("keyword"), lower=False).alias("kraw"))
     k = k.where("size(kt) between 1 and 5").select("type", F.array_join("kt", " ").alias("k"), F.array_join("kraw", " ").alias("kraw"), "case_sensitive", F.col("kt")[0].alias("first"), F.size("kt").alias("n")).distinct()
+    if small_enough(k.count(), 400):
+        index: dict[str, list[tuple]] = {}
+        for r in k.collect():
+            index.setdefault(r["first"], []).append((r["n"], r["k"].split(" "), r["kraw"].split(" ") if r["case_sensitive"] else None, r["type"], r["kraw"] if r["case_sensitive"] else r["k"]))
+        return docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(_found(index, doc, optimal), f"{doc} bigint, type string, start int, end int, label string")
     t = docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(_offsets(doc), f"{doc} bigint, first string, run string, starts array<int>, ends array<int>")
     met = t.join(k, "first").where(F.startswith(F.lower("run"), F.concat("k", F.lit(" "))) & (~F.col("case_sensitive") | F.startswith("run", F.concat("kraw", F.lit(" ")))))
-    return met.select(doc, "type", F.expr("starts[0]").alias("start"), F.expr("ends[n - 1]").alias("end"), F.when(F.col("case_sensitive"), F.col("kraw")).otherwise(F.col("k")).alias("label")).distinct()
+    got = met.select(doc, "type", F.expr("starts[0]").alias("start"), F.expr("ends[n - 1]").alias("end"), F.when(F.col("case_sensitive"), F.col("kraw")).otherwise(F.col("k")).alias("label")).distinct()
+    return optimal_spans(got, doc) if optimal else got
 
 
-def _offsets(doc: str):
-    import re
+def _found(index: dict[str, list[tuple]], doc: str, optimal: bool):
+    token = re.compile(FE.TOKEN)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, t in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                at = [(m[0], m.start(), m.end()) for m in token.finditer(t)]
+                low, spans = [x[0].lower() for x in at], set()
+                for p in [p for p, w in enumerate(low) if w in index]:
+                    for n, k, raw, kind, label in index[low[p]]:
+                        if low[p : p + n] == k and (raw is None or [x[0] for x in at[p : p + n]] == raw):
+                            spans.add((kind, at[p][1], at[p + n - 1][2], label))
+                if optimal:
+                    by: dict[str, list] = {}
+                    for kind, *span in sorted(spans):
+                        by.setdefault(kind, []).append(tuple(span))
+                    spans = {(kind, *own[j]) for kind, own in by.items() for j in best_cover(own)}
+                out += [(i, *x) for x in spans]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=[doc, "type", "start", "end", "label"])
+
+    return rows
 
-    token = re.compile(r"http\S*\w|\w+")
+
+def _offsets(doc: str):
+    token = re.compile(FE.TOKEN)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,28 +109,46 @@ def grouped_offsets(spans: DataFrame, doc: str, *by: str) -> DataFrame:
     return g.select(doc, *by, F.array_join(F.transform("o", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ").alias("offsets"))
 
 
+def best_cover(spans: list[tuple]) -> list[int]:
+    """Places of the non-overlapping spans (start, end, label) that cover most characters: weighted interval scheduling.
+
+    Ties prefer the earlier end, then the longer span, then the smaller label; an empty span covers nothing."""
+    order = sorted(range(len(spans)), key=lambda j: (spans[j][1], spans[j][0], spans[j][2]))
+    kept: list[int] = []
+    for j in order:
+        if not kept or spans[kept[-1]][:2] != spans[j][:2]:
+            kept.append(j)
+    ends = [spans[j][1] for j in kept]
+    before = [bisect.bisect_right(ends, spans[j][0]) for j in kept]
+    total = [0] * (len(kept) + 1)
+    for i, j in enumerate(kept):
+        total[i + 1] = max(total[i], total[before[i]] + spans[j][1] - spans[j][0])
+    out, i = [], len(kept)
+    while i:
+        if total[i] == total[i - 1]:
+            i -= 1
+        else:
+            out.append(kept[i - 1])
+            i = before[i - 1]
+    return out[::-1]
+
+
 def optimal_spans(spans: DataFrame, doc: str) -> DataFrame:
-    """(doc, type, start, end, label): for each text and type the non-overlapping spans that cover most characters.
-
-    Weighted interval scheduling over sorted spans; ties prefer the earlier end, then the longer span, then the smaller label."""
-
-    def best(key, pdf):
-        pdf = pdf.sort_values(["end", "start", "label"]).drop_duplicates(["start", "end"]).reset_index(drop=True)
-        ends, starts = pdf["end"].to_numpy(), pdf["start"].to_numpy()
-        before = np.searchsorted(ends, starts, side="right")
-        total = np.zeros(len(pdf) + 1, dtype=np.int64)
-        for i in range(len(pdf)):
-            total[i + 1] = max(total[i], total[before[i]] + ends[i] - starts[i])
-        keep, i = [], len(pdf)
-        while i:
-            if total[i] == total[i - 1]:
-                i -= 1
-            else:
-                keep.append(i - 1)
-                i = before[i - 1]
-        return pdf.iloc[sorted(keep)][[doc, "type", "start", "end", "label"]]
-
-    return spans.select(doc, "type", "start", "end", "label").groupBy(doc, "type").applyInPandas(best, f"{doc} bigint, type string, start int, end int, label string")
+    """(doc, type, start, end, label): for each text and type the spans of best_cover."""
+    g = spans.groupBy(doc).agg(F.sort_array(F.collect_set(F.struct("type", "start", "end", "label"))).alias("s"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, found in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                by: dict[str, list] = {}
+                for x in found:
+                    by.setdefault(x["type"], []).append((x["start"], x["end"], x["label"]))
+                out += [(i, kind, *own[j]) for kind, own in by.items() for j in best_cover(own)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=[doc, "type", "start", "end", "label"])
+
+    return g.mapInArrow(rows, f"{doc} bigint, type string, start int, end int, label string")
 
 
 def date_features(spans: DataFrame, doc: str, year: int) -> DataFrame:

@@ -39,22 +39,17 @@ def label_clean(spark, sf):
     return R.cleaned_labels(table(spark, sf, "label_table").select("row_no", "label", "parent_label", "synonym", *[F.col(c) for c in R.LABEL_FLAGS]))
 
 
-@query(r"""SELECT label, arg_min(coalesce(is_not_disease, not_human_disease), row_no) AS not_human FROM (SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, is_not_disease, not_human_disease FROM label_table
-WHERE coalesce(is_not_disease, not_human_disease) IS NOT NULL) WHERE label <> '' GROUP BY label""")
+@query(r"""SELECT label, first_not_disease OR first_not_human AS not_human FROM (SELECT label, arg_min(coalesce(is_not_disease, false), row_no) AS first_not_disease, arg_min(coalesce(not_human_disease, false), row_no) AS first_not_human
+FROM (SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, is_not_disease, not_human_disease FROM label_table) WHERE label <> '' GROUP BY label)""")
 def label_predicates(spark, sf):
-    """Whether a label is no human disease, by its first row that says so."""
-    t = label_clean(spark, sf).withColumn("v", F.coalesce("is_not_disease", "not_human_disease")).where("v is not null")
-    return t.groupBy("label").agg(F.min_by("v", "row_no").alias("not_human"))
+    """Whether a label is no human disease: its first row says that it is no disease, or that it is none of humans. All labels of the table."""
+    return R.not_human(label_clean(spark, sf))
 
 
-@query(H.with_("SELECT label, ancestor FROM anc UNION ALL SELECT DISTINCT label, label FROM endless", H.LABELS))
+@query(H.with_("SELECT label, ancestor FROM anc", H.LABELS))
 def label_closure(spark, sf):
-    """Ancestors of each label; a label in or below a cycle infers itself."""
-    s = Scratch(spark, "label_closure")
-    edges = H.label_edges(spark, sf, s)
-    resolved = s.save(H.H.resolve_hierarchy(edges, s))
-    pairs = H.H.ancestor_pairs(edges, resolved, s).select("label", "ancestor")
-    return pairs.unionByName(resolved.where("depth < 0").select("label", F.col("label").alias("ancestor")))
+    """Labels that each label implies; a label on a cycle implies itself."""
+    return H.ancestors(spark, sf, Scratch(spark, "label_closure")).select("label", "ancestor")
 
 
 _DIS = "flatten(list_transform(meta.events, lambda e: coalesce(e.diseases, [])))"
@@ -114,10 +109,13 @@ def earliest_split(spark, sf):
     return C.earliest_split(rows, "label", "us", "id").select("label", "id", "split")
 
 
-@query(f"""SELECT name, min(item_id) AS item_id, array_to_string(list_sort(coalesce(list(DISTINCT l) FILTER (WHERE l IS NOT NULL), [])), '|') AS labels FROM (SELECT name, item_id, unnest(CASE WHEN len({_DIS}) > 0 THEN {_DIS} ELSE [NULL] END) AS l FROM corpus_item) GROUP BY name""")
+@query("""WITH f AS (SELECT name, min(item_id) AS item_id FROM corpus_item GROUP BY name), e AS (SELECT name, list_sort(list(DISTINCT l) FILTER (WHERE l IS NOT NULL)) AS l FROM (SELECT name, unnest(meta.events[1].diseases) AS l FROM corpus_item) GROUP BY name)
+SELECT c.name, c.item_id, c.split, c.source, c.meta.date AS date, len(c.meta.events)::BIGINT AS events, array_to_string(coalesce(e.l, []), '|') AS labels FROM f JOIN corpus_item c ON c.item_id = f.item_id LEFT JOIN e ON e.name IS NOT DISTINCT FROM c.name""")
 def dedup_merge(spark, sf):
-    got = C.merged_duplicates(_items(spark, sf), "name", "item_id", H.diseases())
-    return got.select("name", "item_id", F.array_join("labels", "|").alias("labels"))
+    """One item a name: the first, with the diseases of the first event of all items of the name as those of its first event."""
+    got = C.merged_duplicates(_items(spark, sf).select("item_id", "name", "split", "source", "meta"), "name", "item_id", "meta")
+    labels = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.get("meta.events", F.lit(0))["diseases"], F.array().cast("array<string>")), lambda x: x.isNotNull())))
+    return got.select("name", "item_id", "split", "source", F.col("meta.date").alias("date"), F.when(F.col("meta.events").isNotNull(), F.size("meta.events")).cast("bigint").alias("events"), F.array_join(labels, "|").alias("labels"))
 
 
 @query("""SELECT item_id, name FROM corpus_item WHERE split IN ('mixed_test', 'time_offset_test') AND (name IS NULL OR name NOT IN (SELECT name FROM corpus_item WHERE split = 'training' AND name IS NOT NULL))""")
@@ -180,8 +178,8 @@ m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pr, CA
 
 def _evaluated(spark, sf, name):
     s = Scratch(spark, name)
-    edges = H.label_edges(spark, sf, s)
-    up = H.H.ancestor_pairs(edges, s.save(H.H.resolve_hierarchy(edges, s)), s)
+    m = H.model(spark, sf, s)
+    up, edges = m.pairs, m.edges
     o = _items(spark, sf).select("item_id", F.explode(H.diseases()).alias("label")).where("label is not null").distinct()
     truth = o.unionByName(o.join(up, "label").select("item_id", F.col("ancestor").alias("label"))).distinct()
     k = edges.select("label", X.normalised_keyword(F.col("label")).alias("keyword"))

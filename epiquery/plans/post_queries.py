@@ -252,9 +252,9 @@ def span_overlap_anti(spark, sf):
     return n.select("doc_id", F.col("start").cast("bigint").alias("start"), "label").distinct()
 
 
-def _keyword_spans(spark, sf):
+def _keyword_spans(spark, sf, optimal=False):
     k = _lexicon(spark, sf).select(F.coalesce(L.keyword_type(F.col("category")), F.lit("other")).alias("type"), "keyword", L.is_case_sensitive(F.col("keyword")).alias("case_sensitive"))
-    return SP.keyword_spans(_docs(spark, sf), "doc_id", F.col("text"), k)
+    return SP.keyword_spans(_docs(spark, sf), "doc_id", F.col("text"), k, optimal)
 
 
 @query()
@@ -265,7 +265,7 @@ def keyword_spans(spark, sf):
 
 @query()
 def optimal_spans(spark, sf):
-    return SP.optimal_spans(_keyword_spans(spark, sf), "doc_id")
+    return _keyword_spans(spark, sf, True)
 
 
 @query()

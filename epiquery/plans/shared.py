@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import hierarchy as H
+from ..operators.diagnose import LabelModel
 from ..storage import Scratch, table
 
 TOKENS = r"regexp_extract_all({}, 'http\S*[\p{{L}}\p{{N}}_]|[\p{{L}}\p{{N}}_]+')"
@@ -15,7 +15,8 @@ def sql_tokens(expr: str) -> str:
     return TOKENS.format(expr)
 
 
-#: cleaned label rows, parent edges (missing parents added), and all (label, ancestor, distance) of acyclic labels
+#: cleaned label rows, parent edges (missing parents added); anc: every label that is met by following parents, itself too on a
+#: cycle; tree: the ancestors of labels whose way ends; below: as tree, and of labels below a cycle those up to the first label on it
 LABELS = r"""
 lt AS (SELECT regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, nullif(regexp_replace(parent_label, '^\s+|\s+$', '', 'g'), '') AS parent, row_no FROM label_table WHERE label IS NOT NULL),
 own AS (SELECT label, arg_max(parent, row_no) FILTER (WHERE parent IS NOT NULL) AS parent FROM lt WHERE label <> '' GROUP BY label),
@@ -23,7 +24,10 @@ edges AS (SELECT label, parent FROM own UNION ALL SELECT DISTINCT parent, NULL F
 walk AS (SELECT label, parent AS ancestor, 1::BIGINT AS distance FROM edges WHERE parent IS NOT NULL
   UNION ALL SELECT w.label, e.parent, w.distance + 1 FROM walk w JOIN edges e ON e.label = w.ancestor WHERE e.parent IS NOT NULL AND w.distance < 600),
 endless AS (SELECT DISTINCT label FROM walk WHERE distance = 600),
-anc AS (SELECT * FROM walk WHERE label NOT IN (SELECT label FROM endless))"""
+anc AS (SELECT label, ancestor, min(distance) AS distance FROM walk GROUP BY label, ancestor),
+tree AS (SELECT * FROM walk WHERE label NOT IN (SELECT label FROM endless)),
+ring AS (SELECT label, min(distance) AS d FROM walk WHERE label IN (SELECT label FROM endless) AND ancestor IN (SELECT label FROM walk WHERE label = ancestor) GROUP BY label),
+below AS (SELECT w.* FROM walk w LEFT JOIN ring r ON r.label = w.label WHERE w.label NOT IN (SELECT label FROM walk WHERE label = ancestor) AND (r.d IS NULL OR w.distance <= r.d))"""
 
 #: keywords of up to five tokens, and how often they stand in the documents
 KEYWORDS = rf"""
@@ -55,14 +59,16 @@ def with_(select: str, *parts: str) -> str:
 
 
 def label_edges(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
-    own = scratch.save(H.parent_edges(table(spark, sf, "label_table"), "label", "parent_label", "row_no"))
-    return scratch.save(H.with_missing_parents(own))
+    return model(spark, sf, scratch).edges
 
 
 def ancestors(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
-    """(label, ancestor, distance) of acyclic labels."""
-    edges = label_edges(spark, sf, scratch)
-    return H.ancestor_pairs(edges, scratch.save(H.resolve_hierarchy(edges, scratch)), scratch)
+    """(label, ancestor, distance): the labels each label implies."""
+    return model(spark, sf, scratch).pairs
+
+
+def model(spark: SparkSession, sf: str, scratch: Scratch) -> LabelModel:
+    return LabelModel(table(spark, sf, "label_table"), scratch)
 
 
 def inline(spark: SparkSession, values: str, columns: str) -> DataFrame:

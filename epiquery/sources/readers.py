@@ -24,6 +24,12 @@ def cleaned_labels(rows: DataFrame) -> DataFrame:
     return out.where("label is not null")
 
 
+def not_human(labels: DataFrame, order: str = "row_no") -> DataFrame:
+    """(label, not_human) of cleaned labels: by its first row, whether a label is no disease or none of humans. Unknown labels have no row."""
+    first = F.min_by(F.coalesce("is_not_disease", F.lit(False)) | F.coalesce("not_human_disease", F.lit(False)), order)
+    return labels.groupBy("label").agg(first.alias("not_human"))
+
+
 def label_csv(spark: SparkSession, path: str) -> DataFrame:
     return cleaned_labels(spark.read.csv(path, schema=LABEL_COLUMNS, header=True, quote='"', escape='"', multiLine=True))
 

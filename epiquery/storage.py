@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,20 +30,27 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def hashed_part(df: DataFrame, key: Column, rows: int, spare: int = 4) -> DataFrame:
-    """df with `__k`, the hash of a key, cut to about spare x rows rows by that hash: what a bounded sample is drawn from.
+    """df with `__k`, the hash of a key, cut to about spare x rows rows by that hash: what a bounded sample is drawn from. Filter first, so
+    that only rows that may be drawn count.
 
     A top-n over the whole table would send n rows of every partition to the driver; of this part few partitions have any."""
-    n = df.count()  # from Parquet footers
+    n = df.count()
     d = df.withColumn("__k", F.xxhash64(key))
     return d.where(F.col("__k") < F.lit(-(1 << 63) + (1 << 64) * spare * rows // n)) if n > spare * rows else d
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one is set only where none is configured (tests)."""
+    """The shared folder named by the session. Without one only a local master will do (tests), which gets a folder that is deleted at its end."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="epiquery-"))
+        if not configured:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(own := tempfile.mkdtemp(prefix="epiquery-"))
+            atexit.register(shutil.rmtree, own, True)
+        else:
+            sc.setCheckpointDir(configured)
     if configured:
         return configured
     return sc._jsc.sc().getCheckpointDir().get()
@@ -85,10 +93,5 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def rows_of(df: DataFrame) -> int:
-    """Row count of a saved table (answered from Parquet footers)."""
-    return df.count()
-
-
 def small_enough(rows: int, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
     return rows * bytes_per_row <= limit

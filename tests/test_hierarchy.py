@@ -25,10 +25,10 @@ def brute(table):
     return out
 
 
-def resolve(spark, scratch, table, how=H.peel_hierarchy):
+def resolve(spark, scratch, table):
     df = spark.createDataFrame(table, "label string, parent string, o bigint")
     edges = scratch.save(H.with_missing_parents(scratch.save(H.parent_edges(df, "label", "parent", "o"))))
-    return edges, scratch.save(how(edges, scratch))
+    return edges, scratch.save(H.peel_hierarchy(edges, scratch))
 
 
 CASES = {
@@ -44,17 +44,15 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("how", [H.peel_hierarchy, H.resolve_hierarchy])
-def test_roots_and_depths(spark, scratch, name, how):
-    _, got = resolve(spark, scratch, CASES[name], how)
+def test_roots_and_depths(spark, scratch, name):
+    _, got = resolve(spark, scratch, CASES[name])
     assert {r.label: (r.root_label, r.depth) for r in got.collect()} == brute(CASES[name])
 
 
-@pytest.mark.parametrize("how", [H.peel_hierarchy, H.resolve_hierarchy])
-def test_random_forests(spark, scratch, how):
+def test_random_forests(spark, scratch):
     r = random.Random(4)
     table = [(f"x{r.randrange(120)}", f"x{r.randrange(120)}" if r.random() < 0.9 else None, i) for i in range(200)]
-    _, got = resolve(spark, scratch, table, how)
+    _, got = resolve(spark, scratch, table)
     assert {x.label: (x.root_label, x.depth) for x in got.collect()} == brute(table)
 
 
@@ -81,7 +79,7 @@ def test_paths_and_descendants(spark, scratch):
 def test_clashing_columns(spark, scratch):
     df = spark.createDataFrame([("a", "b", 1, "x", "y")], "label string, parent_label string, row_no bigint, ptr string, dist string")
     edges = H.with_missing_parents(H.parent_edges(df, "label", "parent_label", "row_no"))
-    assert rows(H.resolve_hierarchy(edges, scratch).select("label", "root_label", "depth")) == [("a", "b", 1), ("b", "b", 0)]
+    assert rows(H.peel_hierarchy(edges, scratch).select("label", "root_label", "depth")) == [("a", "b", 1), ("b", "b", 0)]
 
 
 def test_descendants_below_cycles(spark, scratch):
@@ -90,3 +88,30 @@ def test_descendants_below_cycles(spark, scratch):
     assert rows(pairs) == [("C", "A", 1), ("D", "A", 2), ("D", "C", 1), ("E", "A", 3), ("E", "C", 2), ("E", "D", 1), ("t", "s", 1), ("u", "r", 1)]
     paths = {r.label: (r.path, r.n_descendants) for r in H.hierarchy_paths(edges, got, H.ancestor_pairs(edges, got, scratch)).collect()}
     assert paths == {"A": (None, 3), "B": (None, 0), "C": (None, 2), "D": (None, 1), "E": (None, 0), "s": (None, 1), "t": (None, 0), "r": ("r", 1), "u": ("r > u", 0)}
+
+
+def implied(table):
+    """label -> {label met: least distance}, by following parents one by one."""
+    parent = {}
+    for label, up, _ in sorted(table, key=lambda r: r[2]):
+        label, up = (label or "").strip(), (up or "").strip()
+        if label and up:
+            parent[label] = up
+    out = {}
+    for x in parent:
+        met, y, n = {}, x, 0
+        while y in parent and parent[y] not in met:
+            y, n = parent[y], n + 1
+            met[y] = n
+        out[x] = met
+    return {(x, y, n) for x, met in out.items() for y, n in met.items()}
+
+
+@pytest.mark.parametrize("name", [*CASES, "ring of 40 and short trees", "random"])
+def test_implied_labels(spark, scratch, name):
+    r = random.Random(8)
+    more = {"ring of 40 and short trees": [(f"r{i:02d}", f"r{(i + 1) % 40:02d}", i) for i in range(40)] + [("s", "t", 50), ("u", "r03", 51)], "random": [(f"x{r.randrange(90)}", f"x{r.randrange(90)}", i) for i in range(150)]}
+    table = (CASES | more)[name]
+    edges = H.with_missing_parents(H.parent_edges(spark.createDataFrame(table, "label string, parent string, o bigint"), "label", "parent", "o"))
+    got = rows(H.inferred_pairs(edges, scratch))
+    assert len(got) == len(set(got)) and set(got) == implied(table)
