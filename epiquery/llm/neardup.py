@@ -197,7 +197,15 @@ class Records:
             scratch.drop(found)
             self.rows = self.rows.groupBy("id").agg(F.min(F.struct("side", "text")).alias("r")).select("id", "r.side", "r.text")
             return self.read(scratch)
-        top = found.where("id is null").groupBy(F.col("cls").alias("run")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "run").limit(LISTED).toPandas()
+        counts = scratch.save(found.where("id is null").groupBy(F.col("cls").alias("run")).agg(F.sum("n").alias("n")))
+        sizes = counts.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(F.count("*").alias("runs")).collect()  # a few hundred rows
+        least, listed = None, 0
+        for r in sorted(sizes, reverse=True):
+            listed += r.runs
+            if listed > LISTED:
+                break
+            least = r.step
+        top = counts.where(F.lit(False) if least is None else F.floor(8 * F.log2("n")) >= least).toPandas()
         return base, Frequent(top["run"].to_numpy(dtype=np.int64).view(K.U64), top["n"].to_numpy(dtype=np.int64), texts)
 
 

@@ -76,7 +76,12 @@ def brute_leaks(docs, items, least):
     return {(d, e) for d, t in docs for x in [w(t)] for k in range(len(x) - least + 1) for e in runs.get(tuple(x[k : k + least]), ())}
 
 
-def test_leaks_equal_brute_force(spark, scratch):
+@pytest.mark.parametrize("plan", ["broadcast", "shuffled", "split templates"])
+def test_leaks_equal_brute_force(spark, scratch, plan, monkeypatch):
+    if plan != "broadcast":
+        monkeypatch.setattr(L, "small_enough", lambda *a: False)
+    if plan == "split templates":
+        monkeypatch.setattr(L, "HOT", 1)
     items = [(i, " ".join(words(R.randrange(0, 80)))) for i in range(30)] + [(98, None), (99, "")]
     docs = [(1000, None), (1001, ""), (1002, items[0][1])]
     for i in range(60):
@@ -101,6 +106,50 @@ def test_reparameterised(spark, scratch):
     assert [(r[0], r[1]) for r in rows(got)] == [(1, 1), (1, 2), (3, 2)]
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_reparameterised_items_are_found(spark, scratch, monkeypatch, hot):
+    """Evaluation items with other numbers and names put in throughout: nine of ten come out, for the right item."""
+    monkeypatch.setattr(L, "HOT", hot)
+    items = spark.read.parquet("/root/testdata/sf0.1/eval_item.parquet").where("text is not null")
+    names = ["Bavor", "Quilmo", "Tesset", "Urbano", "Wexley", "Yandri", "Zorvak", "Kelbin", "Ormond", "Pastiv"]
+    common, docs = set(L.vocabulary(items, F.col("text"))) | set(L.UNITS), []
+    for r in items.collect():
+        w, new = r.text.split(), {}
+        if len(re.findall(r"[^\W_]+", r.text)) < 45 or len(docs) == 150:
+            continue
+        out = []
+        for n, x in enumerate(w):
+            m = re.fullmatch(r"(\W*)(\d+|[A-Z][a-z]+)(\W*)", x)
+            if m and m[2].lower() not in common:
+                new.setdefault(m[2], str(1000 + 7 * len(new)) if m[2].isdigit() else R.choice(names) + "abcdefghijklmnopqrstuvwxyz"[len(new) % 26] * (1 + len(new) // 26))
+                x = m[1] + new[m[2]] + m[3]
+            out.append(x)
+        if new:
+            docs.append((r.item_id, " ".join(out)))
+    d = spark.createDataFrame(docs, "i bigint, t string")
+    got = L.leaked(d, F.col("i"), F.col("t"), items, F.col("item_id"), F.col("text"), scratch, 40, "consistent")
+    found = {r.doc_id for r in got.where("doc_id = item_id and changed > 0").collect()}
+    assert len(docs) > 60 and len(found) >= 0.9 * len(docs), (len(found), len(docs))
+
+
+def test_bloom_filter_loses_nothing():
+    import numpy as np
+
+    from epiquery.llm import textkit as K
+
+    b, x = L.Bloom(1000), K.splitmix(np.arange(3000))
+    b.add(x[:1000])
+    assert b.holds(x[:1000]).all() and b.holds(x[1000:]).mean() < 0.02
+
+
+def test_patterns_tell_equal_fillings():
+    import numpy as np
+
+    fill = np.array([7, 0, 7, 9, 5, 0, 5, 8, 5, 5], dtype=np.uint64)
+    a, b, c = L.patterns(fill, np.array([0, 4, 6]), 4)
+    assert a == b != c
+
+
 @pytest.mark.parametrize("x, y, want", [([1, 2, 1, 3], [5, 6, 5, 7], (4, 4)), ([1, 2, 1, 3], [5, 6, 8, 7], (3, 3)), ([1, 2], [1, 2], (0, 0))])
 def test_consistency(x, y, want):
     assert L._consistency(x, y, 2) == want
