@@ -6,7 +6,8 @@ the gaps are updated, and the sweep goes on with the next smaller size. Texts of
 of one size, so the sweeps run on run-length coded sizes: at most `capacity` sizes and runs of containers, whatever the number of
 texts. Only that table of sizes is gathered; the texts themselves get their container by rank, in parallel.
 
-The result equals best-fit decreasing. A text larger than the capacity is cut into full containers and a rest, which is packed
+The sweeps need all sizes and gaps in one place, which their run-length code makes a table of bounded size; as rounds of joins over saved
+tables they took thirty times as long and 0.7 % more containers (see the README). The result equals best-fit decreasing. A text larger than the capacity is cut into full containers and a rest, which is packed
 like any other text; no other text is split.
 
 Defined results: null, empty and token-less texts go nowhere; repeated rows are packed each; equal sizes are ranked by id, then by

@@ -210,3 +210,14 @@ def test_prediction_in_spans_equals_one_run():
         assert np.allclose(m.predict(x, mask), whole, atol=1e-5)
     finally:
         B.SPAN = span
+
+
+def test_containers_hold_every_text_whole(spark, scratch):
+    """Over whole tables: no container above the capacity, every text complete and unsplit unless larger, and no container more than the tokens need."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = scratch.save(P.token_counts(docs, F.col("doc_id"), F.col("text")))
+    got = scratch.save(P.packed(sizes, scratch))
+    fill = got.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.max("t").alias("most"), F.count("*").alias("n"), F.sum("t").alias("all"), F.max("container").alias("last")).first()
+    assert fill.most <= P.CAPACITY and fill.n == fill.last + 1 == -(-fill.all // P.CAPACITY)
+    per = got.groupBy("id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.count_distinct("start").alias("starts")).join(sizes, "id", "full")
+    assert per.where(f"t is null or t != tokens or n != starts or n != ceil(tokens / {P.CAPACITY})").count() == 0
