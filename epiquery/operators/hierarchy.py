@@ -1,10 +1,11 @@
-"""Parent-child rows to full hierarchies.
+"""Parent-child rows to full hierarchies, by peeling leaves from the bottom up.
 
-``peel_hierarchy`` peels leaves from the bottom up. A plain peel takes one distributed round for each level, which a very long
-chain makes too many, so a round peels whole leaf chains: every leaf with the nodes above it that have no other child left.
-The ends of the chains are found by pointer jumps (log of the chain's length), and the number of rounds is at most the logarithm of
-the number of leaves, however deep the trees are. Each round sends the subtree sizes of its chains' tops to their parents; the
-reverse order of the rounds assigns roots and depths; what no round peels lies on a cycle.
+A round peels all leaves and sends their subtree sizes to their parents; the reverse order of the rounds assigns roots and depths; what
+no round peels lies on a cycle. Forests of at most LOCAL nodes (a checked bound) are peeled round by round in one task, in numpy. Larger
+ones are peeled in distributed rounds, and as a very long chain would take one for each level, such a round peels whole leaf chains:
+every leaf with the nodes above it that have no other child left. The ends of the chains are found by pointer jumps (log of the chain's
+length), sizes along a chain are summed up in blocks, so no task ever holds a whole chain, and the number of rounds is at most the
+logarithm of the number of leaves, however deep the trees are. Both ways give the same rows.
 
 ``inferred_pairs`` gives the labels that a label implies (its ancestors, round cycles too), for the label model and corpus queries.
 
@@ -15,11 +16,18 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
 
+#: nodes of a forest that one task may hold (some 200 bytes each), and nodes of a chain that are summed up in one go
+LOCAL, BLOCK = 1_000_000, 4096
 _BLANKS = r"^\s+|(?<!\s)\s+$"
 
 
@@ -35,6 +43,104 @@ def parent_edges(rows: DataFrame, label: str, parent: str, order: str) -> DataFr
     return r.where("label is not null").groupBy("label").agg(F.max(F.when(F.col("parent").isNotNull(), F.struct("o", "parent")))["parent"].alias("parent"))
 
 
+class Forest:
+    """A forest in memory: labels and the place of each one's parent, -1 for none. Parents that have no row are added as nodes."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        t = pa.Table.from_batches(batches, schema=pa.schema([("label", pa.string()), ("parent", pa.string())]))
+        own, up = t["label"].combine_chunks(), t["parent"].combine_chunks()
+        missing = pc.unique(up.filter(pc.invert(pc.or_kleene(pc.is_null(up), pc.is_in(up, value_set=own)))))
+        self.labels = pa.concat_arrays([own, missing.cast(pa.string())])
+        self.own = len(own)
+        at = pc.fill_null(pc.index_in(up, value_set=self.labels), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.parent = np.concatenate([at, np.full(len(missing), -1)])
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Root, depth, whether on a cycle, and subtree size of every node."""
+        up, n = self.parent, len(self.parent)
+        children, size = np.bincount(up[up >= 0], minlength=n), np.ones(n, dtype=np.int64)
+        rounds, leaves = [], np.flatnonzero(children == 0)
+        while len(leaves):
+            rounds.append(leaves)
+            sent = leaves[up[leaves] >= 0]
+            np.add.at(size, up[sent], size[sent])
+            np.subtract.at(children, up[sent], 1)
+            above = np.unique(up[sent])
+            leaves = above[children[above] == 0]
+        cyclic = children > 0
+        root, depth = np.arange(n), np.where(cyclic, -1, 0)
+        todo = set(np.flatnonzero(cyclic).tolist())
+        while todo:
+            ring = [todo.pop()]
+            while (x := int(up[ring[-1]])) != ring[0]:
+                ring.append(x)
+                todo.discard(x)
+            root[ring] = min(ring, key=lambda x: self.labels[x].as_py())
+        for leaves in reversed(rounds):
+            above = up[leaves]
+            top = above < 0
+            root[leaves] = np.where(top, leaves, root[above])
+            depth[leaves] = np.where(top, 0, np.where(depth[above] < 0, -1, depth[above] + 1))
+        return root, depth, cyclic, size
+
+    def ways(self, start: np.ndarray, ends: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(nodes, the nodes met, steps): the ways up from `start`, until a root, or a node of `ends` is met."""
+        at, steps = start, 0
+        while len(start):
+            at = self.parent[at]
+            keep = at >= 0
+            start, at, steps = start[keep], at[keep], steps + 1
+            if len(start):
+                yield start, at, steps
+            if ends is not None:
+                on = ~ends[at]
+                start, at = start[on], at[on]
+
+
+_RESOLVED = "label string, root_label string, depth bigint, in_cycle boolean, size bigint, own boolean"
+_PAIRS = "label string, ancestor string, distance bigint"
+
+
+def _in_one_task(edges: DataFrame, work: Callable[[Forest], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Forest(batches)
+        if len(f.labels):
+            yield from work(f)
+
+    return edges.select("label", "parent").coalesce(1).mapInArrow(rows, schema)
+
+
+def _resolved(f: Forest) -> Iterator[pa.RecordBatch]:
+    root, depth, cyclic, size = f.peel()
+    yield pa.RecordBatch.from_arrays([f.labels, f.labels.take(pa.array(root)), pa.array(depth, pa.int64()), pa.array(cyclic), pa.array(size), pa.array(np.arange(len(root)) < f.own)], names=["label", "root_label", "depth", "in_cycle", "size", "own"])
+
+
+def _pair_rows(f: Forest, nodes: np.ndarray, met: np.ndarray, steps: int | np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([f.labels.take(pa.array(nodes)), f.labels.take(pa.array(met)), pa.array(np.broadcast_to(steps, nodes.shape), pa.int64())], names=["label", "ancestor", "distance"])
+
+
+def _ancestors(below_cycles: bool):
+    def work(f: Forest) -> Iterator[pa.RecordBatch]:
+        _, depth, cyclic, _ = f.peel()
+        start = np.flatnonzero((depth != 0) & ~cyclic if below_cycles else depth > 0)
+        for nodes, met, steps in f.ways(start, cyclic):
+            yield _pair_rows(f, nodes, met, steps)
+
+    return work
+
+
+def _implied(f: Forest) -> Iterator[pa.RecordBatch]:
+    _, depth, cyclic, _ = f.peel()
+    for nodes, met, steps in f.ways(np.flatnonzero(depth > 0), None):
+        yield _pair_rows(f, nodes, met, steps)
+    for x in np.flatnonzero(depth < 0).tolist():
+        way, seen = [int(f.parent[x])], set()
+        while way[-1] not in seen:
+            seen.add(way[-1])
+            way.append(int(f.parent[way[-1]]))
+        yield _pair_rows(f, np.full(len(way) - 1, x), np.array(way[:-1]), np.arange(1, len(way)))
+
+
 def _jump(active: DataFrame, state: DataFrame) -> DataFrame:
     """One doubling: every active node's pointer moves to its pointer's pointer."""
     nxt = state.select(F.col("label").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
@@ -46,6 +152,8 @@ def ancestor_pairs(edges: DataFrame, resolved: DataFrame, scratch: Scratch, belo
 
     With below_cycles also for labels below a cycle, up to the first label on it: a label on a cycle is the ancestor of the trees
     that hang from it, and has no ancestors itself, so it descends from none and no way round the cycle counts."""
+    if edges.count() <= LOCAL:
+        return _in_one_task(edges, _ancestors(below_cycles), _PAIRS)
     ok = resolved.where("depth != 0 and not in_cycle" if below_cycles else "depth > 0").select("label")
     full = scratch.save(edges.join(ok, "label").select("label", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")))
     reach, far = 1, full
@@ -70,6 +178,8 @@ def inferred_pairs(edges: DataFrame, scratch: Scratch) -> DataFrame:
     A label on a cycle meets all labels of the cycle, itself too; one below a cycle meets those of the way and of the cycle. Distances
     grow fourfold a round. Labels whose way never ends stay active for ever; all others are done once a round ends none, and
     those go on until each has met a label twice. No group is larger than the way of one label."""
+    if edges.count() <= LOCAL:
+        return _in_one_task(edges, _implied, _PAIRS)
     full = scratch.save(edges.where("parent is not null").select("label", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("distance")))
     reach, far, active = 1, full, None
 
@@ -104,7 +214,7 @@ def hierarchy_paths(edges: DataFrame, resolved: DataFrame, pairs: DataFrame, sep
 def with_missing_parents(edges: DataFrame) -> DataFrame:
     """edges plus a row (parent, null) for each parent without a row of its own."""
     extra = edges.where("parent is not null").select(F.col("parent").alias("label")).distinct().join(edges.select("label"), "label", "left_anti")
-    return edges.unionByName(extra.withColumn("parent", F.lit(None).cast("string")))
+    return edges.unionByName(extra, allowMissingColumns=True)
 
 
 def _hops(left: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -135,18 +245,27 @@ def _chains(active: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, int]
 
 
 def peel_hierarchy(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """edges (label, parent or null), labels unique, all parents among them -> (label, root_label, depth, in_cycle, size).
+    """edges (label, parent or null), labels unique -> (label, root_label, depth, in_cycle, size, own).
 
     depth is -1 and root_label the smallest label of the cycle for nodes in or below a cycle; in_cycle marks those on it. size
-    counts the node and all below it (for nodes on a cycle: the node and the trees that hang from it)."""
+    counts the node and all below it (for nodes on a cycle: the node and the trees that hang from it). own: the node has a row."""
+    if edges.count() <= LOCAL:
+        return _in_one_task(edges, _resolved, _RESOLVED)
+    full = scratch.save(with_missing_parents(edges.withColumn("own", F.lit(True))))
+    done = _peel_in_rounds(full.select("label", "parent"), scratch)
+    return done.join(full.select("label", F.coalesce("own", F.lit(False)).alias("own")), "label").select("label", "root_label", "depth", "in_cycle", "size", "own")
+
+
+def _peel_in_rounds(edges: DataFrame, scratch: Scratch) -> DataFrame:
     active = scratch.save(edges.select("label", "parent", F.lit(1).cast("bigint").alias("size")))
     rounds, left = [], active.count()
     while left:
         chains, n = _chains(active, scratch)
         if not n:
             break
-        sizes = F.expr("sum(size) over (partition by leaf order by height)").alias("size")  # one chain is one path
-        peeled = scratch.save(chains.join(active, "label").select("label", "parent", "leaf", "height", sizes))
+        links = scratch.save(chains.join(active, "label").selectExpr("label", "parent", "leaf", "height", "size AS own", f"height div {BLOCK} AS block"))
+        blocks = links.groupBy("leaf", "block").agg(F.sum("own").alias("all")).selectExpr("leaf", "block", "sum(all) OVER (PARTITION BY leaf ORDER BY block) - all AS before")
+        peeled = scratch.save(links.join(blocks, ["leaf", "block"]).selectExpr("label", "parent", "leaf", "height", "before + sum(own) OVER (PARTITION BY leaf, block ORDER BY height) AS size"))
         tops = peeled.groupBy("leaf").agg(F.max(F.struct("height", "label", "parent", "size")).alias("t")).select("leaf", "t.*")
         rounds.append((peeled, tops))
         sent = tops.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.sum("size").alias("more"))

@@ -6,6 +6,13 @@ from conftest import rows
 from epiquery.operators import hierarchy as H
 
 
+@pytest.fixture(autouse=True, params=["one task", "rounds"])
+def way(request, monkeypatch):
+    if request.param == "rounds":
+        monkeypatch.setattr(H, "LOCAL", -1)
+        monkeypatch.setattr(H, "BLOCK", 7)
+
+
 def brute(table):
     """label -> (root, depth) by following parents one by one."""
     parent, labels = {}, set()
