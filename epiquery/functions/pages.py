@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,17 +14,26 @@ from .text import BLANK_ENDS, let, up_to_last, without_elements, without_tags
 LEAST, FALLBACK = 50, 1
 
 
+#: tried in this order where no encoding is named
+TRIED = ("utf-8", "cp1252", "cp1251")
+
+
 @F.pandas_udf(T.StringType())
 def decoded(data: pd.Series, encoding: pd.Series) -> pd.Series:
-    """Bytes to text in the named encoding (UTF-8 if none or unknown); bytes that do not fit become replacement characters."""
+    """Bytes to text in the named encoding, bytes that do not fit becoming replacement characters. Without a known name the first of TRIED
+    that reads all bytes counts, else UTF-8 with replacements."""
 
     def one(b, e):
         if b is None:
             return None
-        try:
-            return bytes(b).decode(e or "utf-8", "replace")
-        except LookupError:
-            return bytes(b).decode("utf-8", "replace")
+        b = bytes(b)
+        if e:
+            with contextlib.suppress(LookupError):
+                return b.decode(e, "replace")
+        for guess in TRIED:
+            with contextlib.suppress(UnicodeDecodeError):
+                return b.decode(guess)
+        return b.decode("utf-8", "replace")
 
     return pd.Series([one(b, e) for b, e in zip(data, encoding)])
 

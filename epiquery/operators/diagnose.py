@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import __version__
+from ..functions import url as U
 from ..sources import artifacts as A
 from ..storage import Scratch
 from . import features as FE
 from . import hierarchy as H
 from . import scoring as S
+from . import timestamps as TS
 
 
 class LabelModel:
@@ -77,6 +79,23 @@ def as_json(guessed: DataFrame, explained: DataFrame, doc: str) -> DataFrame:
     return d.select(doc, F.to_json(F.struct(F.lit(__version__).alias("diagnoserVersion"), "diseases")).alias("result"))
 
 
+def dispatched(requests: DataFrame, content: Column, url: Column, content_date: Column) -> DataFrame:
+    """requests with `action` and `error`: text is diagnosed as it is, else the page of a valid link is fetched; what can't be done has an error.
+
+    An unreadable date is refused first, then content counts before the link; a link needs a host that ends in a word."""
+    bad_date = (content_date != "") & TS.utc_micros(content_date).isNull()
+    error = F.when(bad_date, "Could not parse content date").when(content != "", None).when(url != "", F.when(~U.valid_host(url), "Invalid URL")).otherwise("Please provide a url or content to diagnose.")
+    action = F.when(error.isNull(), F.when(content != "", "text").otherwise("fetch"))
+    return requests.withColumn("action", action).withColumn("error", error)
+
+
+def answered(results: DataFrame, result: str, error: str, source: Column | None = None) -> Column:
+    """The JSON answer of a row: the error alone, or the result, with its source text if that is asked for (null: not)."""
+    failed = F.to_json(F.struct(F.col(error).alias("error")))
+    body = F.col(result) if source is None else F.when(source.isNotNull(), F.concat(F.expr(f"left({result}, length({result}) - 1)"), F.lit(', "source": '), F.to_json(F.struct(F.struct(source.alias("content")).alias("cleanContent"))), F.lit("}"))).otherwise(F.col(result))
+    return F.when(F.col(error).isNotNull(), failed).otherwise(body)
+
+
 def search_and_diagnose(results: DataFrame, position: str, title: Column, content: Column, model: LabelModel, most: int = 200) -> DataFrame:
     """(position, class, p) of the first `most` search results, read as title and content."""
     top = results.orderBy(position).limit(most).select(position, F.concat_ws("\n", title, content).alias("t"))

@@ -4,7 +4,7 @@ Truth and prediction are long tables (doc, label); repeated pairs count once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,11 @@ def by_label(truth: DataFrame, predicted: DataFrame, doc: str) -> DataFrame:
     return c.select("label", "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("support"), precision.alias("precision"), recall.alias("recall"), _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f"))
 
 
+def weakest_first(labels: DataFrame) -> DataFrame:
+    """labels (of by_label) with `place`, from 1, by F-score, then label; a report of all labels."""
+    return labels.withColumn("place", F.row_number().over(Window.orderBy("f", "label")).cast("bigint"))
+
+
 def macro(labels: DataFrame) -> DataFrame:
     return labels.agg(F.coalesce(F.avg("precision"), F.lit(0.0)).alias("precision"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("recall"), F.coalesce(F.avg("f"), F.lit(0.0)).alias("f"), F.count("*").alias("labels"))
 

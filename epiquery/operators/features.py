@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..storage import small_enough
+from ..storage import Scratch, small_enough
+from .hierarchy import inferred_pairs
 
 LINKED = "[linked] "
 #: X.TOKEN for Python, whose \w holds the same letters and digits
@@ -98,6 +99,14 @@ def clamped(features: DataFrame, most: float = 1.0) -> DataFrame:
     return features.withColumn("value", F.least(F.lit(float(most)), "value"))
 
 
+def resolved_renames(mapping: DataFrame, scratch: Scratch) -> DataFrame:
+    """(keyword, target) of renames (keyword, target): chains are followed to their end; in or before a cycle the smallest name met is the target."""
+    met = inferred_pairs(mapping.select(F.col("keyword").alias("label"), F.col("target").alias("parent")), scratch)
+    ends = met.groupBy("label").agg(F.max_by("ancestor", "distance").alias("last"), F.min("ancestor").alias("least"))
+    keys = mapping.select(F.col("keyword").alias("last"), F.lit(True).alias("more")).distinct()
+    return ends.join(keys, "last", "left").select(F.col("label").alias("keyword"), F.when(F.col("more"), F.col("least")).otherwise(F.col("last")).alias("target"))
+
+
 def renamed(features: DataFrame, mapping: DataFrame, doc: str) -> DataFrame:
     """Features renamed by a resolved mapping (keyword, target) and their values summed."""
     f = features.join(mapping, "keyword", "left").select(doc, F.coalesce("target", "keyword").alias("keyword"), "n")

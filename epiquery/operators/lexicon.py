@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trim
+
 # Keywords that must not enter a lexicon, categories used in training, and the annotation type of categories.
 BLOCKED = ["can", "don", "dish", "ad", "mass", "yellow", "the", "Consumption"]
 TRAINING_CATEGORIES = [
@@ -30,7 +32,7 @@ def is_case_sensitive(keyword: Column) -> Column:
 
 def problem(keyword: Column) -> Column:
     """What is wrong with a keyword; null if nothing. Empty keywords are to be skipped, the others to be refused."""
-    return F.when(keyword.isin(BLOCKED), "blocked").when(keyword.isNull() | (keyword == ""), "empty").when(keyword != F.trim(keyword), "untrimmed")
+    return F.when(keyword.isin(BLOCKED), "blocked").when(keyword.isNull() | (keyword == ""), "empty").when(keyword != trim(keyword), "untrimmed")
 
 
 def checked(keywords: DataFrame, keyword: str = "keyword") -> DataFrame:

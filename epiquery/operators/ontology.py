@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
 
-# Predicates whose objects are labels, relations in definitions, hosts in label suffixes.
+# Predicates whose objects are labels, relations in definitions and the pattern of their values, notes and hosts in label suffixes.
 LABEL_PREDICATES = ["hasNarrowSynonym", "hasRelatedSynonym", "hasExactSynonym", "label"]
 RELATIONS = ["has_symptom", "transmitted_by", "has_material_basis_in", "results_in", "located_in"]
+VALUE = r"\s{1,2}(?:the\s{1,2})?(.+?)(?:,|\.|\s(?:or|and|\w+_\w+)\b)"
+NOTES = ["context-dependent category", "qualifier value", "clinical", "acute", "body structure", "category"]
 HOSTS = ["Avian", "Bovine", "Caprine", "Canine", "Cervine", "Feline", "Swine", "Non-Human Primate", "Human", "Honeybee", "Fish", "Rodent", "Equine", "Lagomorph"]
 
 
@@ -57,21 +61,36 @@ def levels(edges: DataFrame, roots: DataFrame, node: str, child: str, parent: st
 
 
 def definition_relations(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, relation, value): values that follow a relation in a definition, up to a comma, stop, "or", "and" or a next relation."""
-    one = lambda r: df.select(key, F.lit(r).alias("relation"), F.explode(F.regexp_extract_all(text, F.lit(rf"(?i){r}\s{{1,2}}(?:the\s{{1,2}})?(.+?)(?:,|\.|\s(?:or|and|\w+_\w+)\b)"), F.lit(1))).alias("value"))
-    out = one(RELATIONS[0])
-    for r in RELATIONS[1:]:
-        out = out.unionByName(one(r))
-    return out
-
-
-def label_suffix(label: Column) -> tuple[Column, Column]:
-    """(label without its bracketed suffix, host named by the suffix or null)."""
-    note = F.regexp_extract(label, r"^(.*?)\s*\(([^)]*)\)\s*$", 2)
-    base = F.regexp_extract(label, r"^(.*?)\s*\(([^)]*)\)\s*$", 1)
-    host = F.array(*map(F.lit, HOSTS))
-    named = F.get(F.filter(host, lambda h: F.lower(note).startswith(F.lower(h))), 0)
-    return F.when(base != "", base).otherwise(label), F.when(note != "", named)
+    """(key, relation, value): values that follow a relation in a definition, up to a comma, stop, "or", "and" or a next relation. One pass."""
+    one = lambda r: F.transform(F.regexp_extract_all(text, F.lit(f"(?i){r}{VALUE}"), F.lit(1)), lambda v: F.struct(F.lit(r).alias("relation"), v.alias("value")))
+    return df.select(key, F.explode(F.concat(*map(one, RELATIONS))).alias("r")).select(key, "r.relation", "r.value")
+
+
+def label_suffix(label: Column) -> tuple[Column, Column, Column]:
+    """(label, note, host): a bracket that names a listed note or host ends the label, case aside; any other stays part of it."""
+    rx = r"(?i)^(.+?)\s+\((" + "|".join(re.escape(x) for x in NOTES + HOSTS) + r")\)"
+    word = F.regexp_extract(label, rx, 2)
+    is_host = F.lower(word).isin([h.lower() for h in HOSTS])
+    return F.when(word != "", F.regexp_extract(label, rx, 1)).otherwise(label), F.when((word != "") & ~is_host, word), F.when(is_host, word)
+
+
+def instances(triples: DataFrame, label: str = "label", synonym: str = "hasExactSynonym") -> DataFrame:
+    """(subject, label, synonym): every label of a subject with each of its synonyms, null where it has none (an optional pattern)."""
+    of = lambda p, name: triples.where(F.col("predicate") == p).select("subject", F.col("object").alias(name)).distinct()
+    return of(label, "label").join(of(synonym, "synonym"), "subject", "left").select("subject", "label", "synonym")
+
+
+def hyponyms(edges: DataFrame, roots: DataFrame, lemma: Column, child: str = "label", parent: str = "parent", most: int = 3) -> DataFrame:
+    """(node, level, lemma, ancestors): what is reached from the roots (node) in at most `most` steps down, over every way, with the lemmas
+    met on the way, the nearest first. lemma: an expression over a column `node`."""
+    named = lambda d: d.withColumn("lemma", lemma)
+    frontier = named(roots.select("node", F.lit(0).alias("level"), F.array().cast("array<string>").alias("ancestors")))
+    out = frontier
+    for level in range(1, most + 1):
+        up = frontier.select(F.col("node").alias(parent), F.concat(F.array("lemma"), "ancestors").alias("ancestors"))
+        frontier = named(edges.join(up, parent).select(F.col(child).alias("node"), F.lit(level).alias("level"), "ancestors"))
+        out = out.unionByName(frontier)
+    return out.select("node", "level", "lemma", "ancestors")
 
 
 def normalised_join(left: DataFrame, left_label: str, right: DataFrame, right_label: str, squash) -> DataFrame:

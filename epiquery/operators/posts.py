@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import timestamps as TS
@@ -44,6 +47,20 @@ def simplified(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("&"), F.lit("and")), F.lit(","), F.lit(""))
 
 
+def subject_labels(posts: DataFrame, post: str, description: Column, labels: DataFrame, label: str, order: str) -> DataFrame:
+    """(post, label, order): labels that stand as whole words in a post's description, in the order of the table.
+
+    Both are simplified; words end as ASCII words do. Labels are found by their first word and then compared as written, case aside, so
+    no label meets a post that lacks its first word. Labels that don't begin with an ASCII letter or digit are never found."""
+    words = r"[A-Za-z0-9_]+"
+    d = posts.select(post, F.lower(simplified(description)).alias("__s")).where("__s <> ''")
+    w = d.select(post, "__s", F.explode(F.array_distinct(F.regexp_extract_all("__s", F.lit(words), F.lit(0)))).alias("__w"))
+    name = F.lower(simplified(F.col(label)))
+    k = labels.select(label, order, name.alias("__n"), F.regexp_extract(name, f"^{words}", 0).alias("__w")).where("__w <> ''")
+    whole = F.expr(r"__s rlike concat('(?<![A-Za-z0-9_])\\Q', __n, '\\E', case when __n rlike '[A-Za-z0-9_]$' then '(?![A-Za-z0-9_])' else '(?=[A-Za-z0-9_])' end)")
+    return w.join(k, "__w").where(F.contains("__s", "__n") & whole).select(post, label, order).distinct()
+
+
 def header(text: Column, field: str) -> Column:
     """The rest of the line after "field: "."""
     return _group(text, rf"{field}:\s(.*)", 1)
@@ -68,6 +85,29 @@ def without_comments(text: Column) -> Column:
     return F.aggregate(moderator_comments(text), text, lambda t, c: F.replace(t, c["comment"], F.lit("")))
 
 
+def parsed_date(text: Column) -> Column:
+    """UTC microseconds of a post's or article's date line; zone-less times count as UTC.
+
+    The last day of a range in days counts; an offset after CST-nCDT or before a zone name counts; SEPT, TUES, WEDS and THUR(S) are understood.
+    Offsets of three, or five and more digits, and blanks before colons make a date unreadable, as does a missing year."""
+    t = F.upper(F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+$", ""))
+    t = F.regexp_replace(t, r"\b\d{1,2}-(\d{1,2}\s\w{3,10}\s\d{4})\b", "$1")
+    t = F.regexp_replace(t, r"CST(-?\d)CDT$", "$1")
+    t = F.regexp_replace(t, r"(-\d{1,4})\s?[A-Z]{1,5}$", "$1")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\bTHURS?\b", "THURSDAY"), r"\bTUES\b", "TUESDAY"), r"\bWEDS\b", "WEDNESDAY"), r"\bSEPT\b", "SEPTEMBER")
+    bad = t.rlike(r"-\d{3}(\d{2,})?$") | t.rlike(r"\s:")
+    hours = F.regexp_replace(t, r" (-?)(\d)$", " GMT$1$2")  # a single digit after a blank is an offset in hours
+    return F.when(~bad, TS.utc_micros(F.when(hours.rlike(r" GMT\d$"), F.regexp_replace(hours, "GMT", "GMT+")).otherwise(hours)))
+
+
+def utc_of(local: Column, offset_s: Column) -> Column:
+    """UTC microseconds of a local time with an offset in seconds; one of 24 to 48 hours is a day less, and the local time a day off."""
+    day = F.lit(86400)
+    reduced = F.when(offset_s >= day, offset_s - day).when(offset_s <= -day, offset_s + day).otherwise(offset_s)
+    moved = F.when(offset_s >= day, local + TS.DAY).when(offset_s <= -day, local - TS.DAY).otherwise(local)
+    return moved - reduced * TS.SECOND
+
+
 def published(text: Column) -> Column:
     """UTC microseconds of a publication time, which is US Eastern: daylight time up to 1 November, else standard time."""
     local = TS.utc_micros(text)
@@ -86,6 +126,33 @@ def sections(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     return s.withColumn("section", F.regexp_replace("section", r"(?U)^\s+|(?<!\s)\s+$", ""))
 
 
+def posts_of(posts: DataFrame, post: str, description: Column, names: DataFrame, name: str, published: str) -> DataFrame:
+    """(name, post, nth): posts whose description holds a name, case aside and inside words too (names are text, not patterns), counted
+    by publication within each name. The names, of a checked size, go to the tasks as one automaton, which reads each description once."""
+    found = [r[0] for r in names.select(name).where(f"{name} <> ''").distinct().collect()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        a: dict[str, list[str]] = {}
+        for x in found:
+            a.setdefault(x.lower(), []).append(x)
+        machine = ahocorasick.Automaton()
+        for k, v in a.items():
+            machine.add_word(k, v)
+        machine.make_automaton()
+        for batch in batches:
+            out = [(i, at, x) for i, at, text in zip(*(batch.column(c).to_pylist() for c in range(3))) if len(machine) for x in sorted({x for _, v in machine.iter(text.lower()) for x in v})]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), batch.schema.field(1).type, pa.string()))], names=[post, published, name])
+
+    d = posts.select(post, published, description.alias("d")).where("d <> ''")
+    kinds = dict(d.dtypes)
+    hits = d.mapInArrow(rows, f"{post} {kinds[post]}, {published} {kinds[published]}, {name} string")
+    order = Window.partitionBy(name).orderBy(F.col(published).asc_nulls_last(), post)
+    return hits.select(name, post, F.row_number().over(order).cast("bigint").alias("nth"))
+
+
 def article_fields(section: Column) -> dict[str, Column]:
     """date_text, source_name, source_edits, source_url, heading, communicated_by, content of one section."""
     date_rx, source_rx = r"(?m)^Date:\s([^(\[\n]+)", r"Source:\s([^\[\n]+)(?:\s(\[.*))?\n(http.+)?"

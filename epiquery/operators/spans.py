@@ -15,8 +15,8 @@ from ..storage import small_enough
 from . import features as FE
 
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
-DATE = rf"\b(?:(\d{{1,2}}) ({MONTH})|({MONTH}) (\d{{1,2}}))\b"
-COUNT = r"\b(\d{1,7}) (suspected cases?|samples positive|deaths?|patients?|new admissions|contacts|cases?)\b"
+DATE = rf"[0-9]{{1,2}} (?:{MONTH})(?: [12][0-9]{{3}})?|(?:{MONTH}) [0-9]{{1,2}}(?:, [12][0-9]{{3}})?"
+COUNT = r"(?:[Aa] total of |[Cc]umulative )?[0-9]{1,7} (?:suspected cases?|samples positive|deaths?|patients?|new admissions|contacts|cases?)"
 
 
 def pattern_spans(docs: DataFrame, doc: str, text: Column, pattern: str) -> DataFrame:
@@ -151,18 +151,39 @@ def optimal_spans(spans: DataFrame, doc: str) -> DataFrame:
     return g.mapInArrow(rows, f"{doc} bigint, type string, start int, end int, label string")
 
 
-def date_features(spans: DataFrame, doc: str, year: int) -> DataFrame:
-    """(doc, type, start, end, label, day) of day-and-month spans, as the begin of a one-day range in the given year."""
-    day = F.coalesce(F.nullif(F.regexp_extract("label", r"(\d{1,2})", 1), F.lit("")), F.lit("0"))
+def date_features(spans: DataFrame, doc: str, years: DataFrame) -> DataFrame:
+    """(doc, type, start, end, label, begin, stop) of date spans: the day named as the range [begin, stop). A date without a year is of the
+    year of its text, from years (doc, year); without that, or if there is no such day, the range is null."""
+    own = F.regexp_extract("label", r"([12][0-9]{3})$", 1)
+    day = F.regexp_extract(F.regexp_replace("label", r"[12][0-9]{3}$", ""), r"([0-9]{1,2})", 1)
     month = F.regexp_extract("label", f"({MONTH})", 1)
-    return spans.select(doc, F.lit("datetime").alias("type"), "start", "end", "label", F.try_to_date(F.concat_ws(" ", day, month, F.lit(str(year))), "d MMMM yyyy").alias("day"))
+    d = spans.join(years.select(doc, "year"), doc, "left")
+    text = F.concat_ws(" ", day, month, F.when(own != "", own).otherwise(F.col("year").cast("string")))
+    begin = F.when((own != "") | F.col("year").isNotNull(), F.try_to_date(text, "d MMMM yyyy"))
+    return d.select(doc, F.lit("datetime").alias("type"), "start", "end", "label", begin.alias("begin"), F.date_add(begin, 1).alias("stop"))
 
 
 def count_features(spans: DataFrame, doc: str) -> DataFrame:
-    """(doc, type, start, end, label, value): each count, and once more as caseCount where its noun is "case"."""
-    value = F.regexp_extract("label", r"^(\d+)", 1).cast("bigint")
+    """(doc, type, start, end, label, value, cumulative): each count, and once more as caseCount where its noun is "case". A count after
+    "a total of" or "cumulative" is cumulative."""
+    value = F.regexp_extract("label", r"([0-9]+)", 1).cast("bigint")
     types = F.when(F.col("label").contains("case"), F.array(F.lit("count"), F.lit("caseCount"))).otherwise(F.array(F.lit("count")))
-    return spans.select(doc, F.explode(types).alias("type"), "start", "end", "label", value.alias("value"))
+    return spans.select(doc, F.explode(types).alias("type"), "start", "end", "label", value.alias("value"), (~F.col("label").rlike("^[0-9]")).alias("cumulative"))
+
+
+def incidents(counts: DataFrame, dates: DataFrame, places: DataFrame, diseases: DataFrame, doc: str) -> DataFrame:
+    """(doc, start, end, type, value, begin, stop, place, disease): each count of cases or deaths with the date, place and disease that
+    stand nearest to it in its text; of two as near, the earlier. What a text doesn't have is null.
+
+    dates: (doc, start, begin, stop); places and diseases: (doc, start, label). Only spans of one text ever meet."""
+    kind = F.when(F.col("label").contains("death"), "deathCount").otherwise("caseCount")
+    c = counts.where(F.col("label").rlike("case|death")).select(doc, "start", "end", kind.alias("type"), "value").distinct()
+    out = c
+    for other, columns in ((dates, {"begin": "begin", "stop": "stop"}), (places, {"label": "place"}), (diseases, {"label": "disease"})):
+        o = other.select(doc, F.col("start").alias("at"), *[F.col(k).alias(v) for k, v in columns.items()])
+        near = c.select(doc, "start", "end").join(o, doc).groupBy(doc, "start", "end").agg(F.min(F.struct(F.abs(F.col("at") - F.col("start")).alias("far"), "at", *columns.values())).alias("n"))
+        out = out.join(near.select(doc, "start", "end", *[F.col(f"n.{v}").alias(v) for v in columns.values()]), [doc, "start", "end"], "left")
+    return out
 
 
 def location_features(spans: DataFrame, gazetteer: DataFrame, doc: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import timestamps as TS
 from ..sources import readers as R
 from ..storage import Scratch, spread, table
 from . import shared as H
+from .general import instants_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -46,27 +47,28 @@ def subject_parse(spark, sf):
     return d.select("doc_id", *[f[c].alias(c) for c in ("ns1", "description", "region", "thread_num", "is_malformed")])
 
 
-_LINES = """('PRO/AH/EDR> Anthrax - USA (05): (TX) update, corr.'), ('PRO> Undiagnosed illness - Chad: RFI'), ('PROMED: Announcement of summary'), ('Unidentified disease, cattle'), ('PRO/PL> Rust, wheat & barley - Kenya (Rift)')"""
+_LINE = "regexp_extract(text, 'Subject: (.*)', 1)"
 
 
-@query(rf"""SELECT col0 AS subject, array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(col0, '(?i)announcement') THEN 'announcement' END, CASE WHEN regexp_matches(col0, '(?i)corr\.|correction') THEN 'correction' END, CASE WHEN regexp_matches(col0, '(?i)\bRFI\b|request for information') THEN 'rfi' END,
-CASE WHEN regexp_matches(col0, '(?i)summary') THEN 'summary' END, CASE WHEN regexp_matches(col0, '(?i)update') THEN 'update' END, CASE WHEN regexp_matches(col0, '(?i)((unknown|unidentified) (illness|disease))|undiagnosed') THEN 'undiagnosed' END], lambda x: x IS NOT NULL)), ' ') AS tags,
-replace(replace(col0, '&', 'and'), ',', '') AS simplified FROM (VALUES {_LINES})""")
+@query(rf"""SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(s, '(?i)announcement') THEN 'announcement' END, CASE WHEN regexp_matches(s, '(?i)corr\.|correction') THEN 'correction' END, CASE WHEN regexp_matches(s, '(?i)\bRFI\b|request for information') THEN 'rfi' END,
+CASE WHEN regexp_matches(s, '(?i)summary') THEN 'summary' END, CASE WHEN regexp_matches(s, '(?i)update') THEN 'update' END, CASE WHEN regexp_matches(coalesce(nullif(regexp_extract(s, '{_RX}', 3), ''), s), '(?i)((unknown|unidentified) (illness|disease))|undiagnosed') THEN 'undiagnosed' END], lambda x: x IS NOT NULL)), ' ') AS tags,
+replace(replace(s, '&', 'and'), ',', '') AS simplified FROM (SELECT doc_id, split_part(text, chr(10), 1) AS s FROM documents WHERE text IS NOT NULL)""")
 def subject_tags(spark, sf):
-    d = H.inline(spark, _LINES, "subject")
-    s = F.col("subject")
-    return d.select("subject", F.array_join(P.subject_tags(s, P.subject_fields(s)["description"]), " ").alias("tags"), P.simplified(s).alias("simplified"))
+    """Tags of every document's first line, read as a subject."""
+    s = F.split_part("text", F.lit("\n"), F.lit(1))
+    d = _docs(spark, sf).where("text is not null").select("doc_id", s.alias("s"))
+    return d.select("doc_id", F.array_join(P.subject_tags(F.col("s"), P.subject_fields(F.col("s"), _RX)["description"]), " ").alias("tags"), P.simplified(F.col("s")).alias("simplified"))
 
 
-@query(H.with_(rf"""SELECT DISTINCT s.doc_id, e.label FROM (SELECT doc_id, {H.sql_tokens("lower(replace(replace(regexp_extract(text, 'Subject: (.*)', 1), '&', 'and'), ',', ''))")} AS toks FROM documents) s, edges e WHERE len(toks) > 0 AND e.parent IS NOT NULL AND contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || array_to_string({H.sql_tokens("lower(e.label)")}, ' ') || ' ') AND len({H.sql_tokens("e.label")}) BETWEEN 1 AND 5""", H.LABELS))
+@query(rf"""WITH s AS (SELECT doc_id, lower(replace(replace(coalesce(nullif(regexp_extract('PRO/EDR> ' || {_LINE}, '{_RX}', 3), ''), {_LINE}), '&', 'and'), ',', '')) AS s FROM documents WHERE {_LINE} <> ''),
+l AS (SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label FROM label_table WHERE regexp_replace(label, '^\s+|\s+$', '', 'g') <> '')
+SELECT DISTINCT doc_id, label, row_no FROM s, l WHERE regexp_matches(s, '\b' || regexp_escape(lower(replace(replace(label, '&', 'and'), ',', ''))) || '\b')""")
 def subject_labels(spark, sf):
-    """Labels that stand as whole words in a post's subject line; a keyword match, not a regex against each label."""
-    from ..operators import features as FE
-
-    edges = H.label_edges(spark, sf, Scratch(spark, "subject_labels")).where("parent is not null")
-    d = _docs(spark, sf).select("doc_id", P.simplified(F.regexp_extract("text", "Subject: (.*)", 1)).alias("s"))
-    k = edges.select("label", X.normalised_keyword(F.col("label")).alias("keyword"))
-    return FE.keyword_counts(d, "doc_id", F.col("s"), edges, "label").join(k, "keyword").select("doc_id", "label").distinct()
+    """Labels of the table that stand as whole words in the description of a post's subject, with their places in the table."""
+    d = _docs(spark, sf).select("doc_id", F.regexp_extract("text", "Subject: (.*)", 1).alias("s")).where("s <> ''")
+    f = P.subject_fields(F.concat(F.lit("PRO/EDR> "), F.col("s")), _RX)
+    labels = R.cleaned_labels(table(spark, sf, "label_table").select("row_no", "label"))
+    return P.subject_labels(d, "doc_id", F.when(f["is_malformed"], F.col("s")).otherwise(f["description"]), labels, "label", "row_no")
 
 
 @query(r"""SELECT doc_id, nullif(regexp_extract(text, 'Archive:\s(.*)', 1), '') AS archive, nullif(regexp_extract(text, 'Subject:\s(.*)', 1), '') AS subject, array_to_string(regexp_extract_all(text, '\d{4}\.\d+'), ' ') AS reports FROM documents WHERE text LIKE 'Subject:%'""")
@@ -95,12 +97,10 @@ def post_articles(spark, sf):
     return P.articles(d, "doc_id", F.col("t")).select("doc_id", "article", *[v.alias(k) for k, v in f.items()])
 
 
-_TZ = """('2014-06-08 10:00 EDT'), ('8 Jun 2014 10:00 CST'), ('2014-06-08T10:00:00+05:30'), ('06/08/2014 10:00 PM'), ('08.06.2014'), ('nonsense'), ('1402221600')"""
-
-
-@query("""SELECT * FROM (VALUES ('2014-06-08 10:00 EDT', 1402236000000000::BIGINT), ('8 Jun 2014 10:00 CST', 1402243200000000), ('2014-06-08T10:00:00+05:30', 1402201800000000), ('06/08/2014 10:00 PM', 1402264800000000), ('08.06.2014', 1402185600000000), ('nonsense', NULL), ('1402221600', 1402221600000000)) t(written, utc_us)""")
+@query("WITH " + instants_sql("SELECT item_id, meta.date AS t, NULL::VARCHAR AS tz FROM corpus_item") + " SELECT item_id, utc_us FROM instants")
 def date_normalize(spark, sf):
-    return TS.with_utc_micros(H.inline(spark, _TZ, "written"), "written", None, "utc_us")
+    """All dates as written, zone-less ones read as UTC; null where they name no instant."""
+    return TS.with_utc_micros(table(spark, sf, "corpus_item").select("item_id", F.col("meta.date").alias("t")).where("t is not null"), "t", None, "utc_us").select("item_id", "utc_us")
 
 
 @query("""SELECT doc_id, (epoch_us(published) + CASE WHEN published > make_timestamp(year(published), 11, 1, 0, 0, 0) THEN 5 ELSE 4 END::BIGINT * 3600000000)::BIGINT AS utc_us FROM documents WHERE published IS NOT NULL""")
@@ -122,12 +122,11 @@ def record_names(spark, sf):
     return d.select("record_key", F.split_part("record_key", F.lit("."), F.lit(1)).alias("head"), X.record_name("eha", F.col("record_key")).alias("record_name"))
 
 
-_PAGES = """('http://lists.example/direct.php?id=20140919.436908'), ('http://lists.example/post/2539532'), ('http://lists.example/about')"""
-
-
-@query(r"""SELECT col0 AS url, nullif(regexp_extract(col0, '(id=|/post/)(\d+\.?\d*)', 2), '') AS post_id FROM (VALUES ('http://lists.example/direct.php?id=20140919.436908'), ('http://lists.example/post/2539532'), ('http://lists.example/about'))""")
+@query(r"""SELECT scrape_id, nullif(regexp_extract(sourceurl, '(id=|/post/)(\d+\.?\d*)', 2), '') AS post_id, nullif(regexp_extract(sourceurl, '[?&]ref=([^&#]*)', 1), '') AS ref FROM scrape_result WHERE sourceurl IS NOT NULL""")
 def post_ids(spark, sf):
-    return H.inline(spark, _PAGES, "url").select("url", U.post_id(F.col("url")).alias("post_id"))
+    """Post number and referrer in the links of the fetched pages."""
+    u = F.col("sourceurl")
+    return table(spark, sf, "scrape_result").where(u.isNotNull()).select("scrape_id", U.post_id(u).alias("post_id"), U.query_value(u, "ref").alias("ref"))
 
 
 _CATS = "[" + ", ".join(f"'{c}'" for c in L.TRAINING_CATEGORIES) + "]"
@@ -156,13 +155,11 @@ def lexicon_last_by_type(spark, sf):
     return L.last_by_type(_lexicon(spark, sf), "row_no")
 
 
-_WORDS = "('the'), ('H5N1'), ('Ebola'), (' padded'), ('MERS'), ('12'), ('NIPAHVI'), ('West Nile'), ('Consumption'), ('')"
-
-
-@query(f"""SELECT col0 AS keyword, CASE WHEN col0 IN ('can', 'don', 'dish', 'ad', 'mass', 'yellow', 'the', 'Consumption') THEN 'blocked' WHEN col0 = '' THEN 'empty' WHEN col0 <> trim(col0) THEN 'untrimmed' END AS problem, NOT contains(col0, ' ') AND length(col0) <= 6 AND upper(col0) = col0 AS case_sensitive FROM (VALUES {_WORDS})""")
+@query(r"""SELECT row_no, CASE WHEN label IN ('can', 'don', 'dish', 'ad', 'mass', 'yellow', 'the', 'Consumption') THEN 'blocked' WHEN label IS NULL OR label = '' THEN 'empty' WHEN label <> regexp_replace(label, '^\s+|\s+$', '', 'g') THEN 'untrimmed' END AS problem, NOT contains(label, ' ') AND length(label) <= 6 AND upper(label) = label AS case_sensitive FROM label_table""")
 def keyword_validate(spark, sf):
-    k = F.col("keyword")
-    return H.inline(spark, _WORDS, "keyword").select("keyword", L.problem(k).alias("problem"), L.is_case_sensitive(k).alias("case_sensitive"))
+    """Every label as it stands in the table, judged as a keyword."""
+    k = F.col("label")
+    return table(spark, sf, "label_table").select("row_no", L.problem(k).alias("problem"), L.is_case_sensitive(k).alias("case_sensitive"))
 
 
 @query(r"""WITH o AS (SELECT source, regexp_replace(lower(source), '[^a-z0-9_]', '', 'g') AS k FROM outlet), h AS (SELECT host, regexp_replace(lower(split_part(host, '.', 1)), '[^a-z0-9_]', '', 'g') AS k FROM outlet) SELECT source, host FROM o JOIN h USING (k)""")
@@ -172,11 +169,18 @@ def normalised_label_join(spark, sf):
     return O.normalised_join(o.select("source"), "source", h, "h", X.squashed_label).select("source", "host")
 
 
-@query(r"""SELECT row_no, CASE WHEN regexp_extract(label, '^(.*?)\s*\(([^)]*)\)\s*$', 1) <> '' THEN regexp_extract(label, '^(.*?)\s*\(([^)]*)\)\s*$', 1) ELSE label END AS base, nullif(regexp_extract(label, '^(.*?)\s*\(([^)]*)\)\s*$', 2), '') AS note FROM label_table WHERE label IS NOT NULL""")
+_SUFFIX = r"(?i)^(.+?)\s+\((" + "|".join(x.replace("-", r"\-") for x in O.NOTES + O.HOSTS) + r")\)"
+_IS_HOST = "list_contains([" + ", ".join(f"'{h.lower()}'" for h in O.HOSTS) + "], lower(w))"
+
+
+@query(rf"""SELECT row_no, CASE WHEN w <> '' THEN regexp_extract(label, '{_SUFFIX}', 1) ELSE label END AS base, CASE WHEN w <> '' AND NOT {_IS_HOST} THEN w END AS note, CASE WHEN {_IS_HOST} THEN w END AS host
+FROM (SELECT row_no, label, regexp_extract(label, '{_SUFFIX}', 2) AS w FROM (SELECT row_no, label FROM label_table UNION ALL SELECT row_no, label || ' (' || source || ')' FROM label_table CROSS JOIN (VALUES ('avian'), ('Clinical'), ('Non-Human Primate')) v(source)) WHERE label IS NOT NULL)""")
 def label_suffixes(spark, sf):
-    base, _ = O.label_suffix(F.col("label"))
-    note = F.regexp_extract("label", r"^(.*?)\s*\(([^)]*)\)\s*$", 2)
-    return table(spark, sf, "label_table").where("label is not null").select("row_no", base.alias("base"), F.when(note != "", note).alias("note"))
+    """Labels without a bracket that names a note or host, and what it names; each label as it is, and with three brackets put behind it."""
+    t = table(spark, sf, "label_table").where("label is not null").select("row_no", "label")
+    more = t.select("row_no", F.explode(F.array(*[F.concat("label", F.lit(f" ({x})")) for x in ("avian", "Clinical", "Non-Human Primate")])).alias("label"))
+    base, note, host = O.label_suffix(F.col("label"))
+    return t.unionByName(more).select("row_no", base.alias("base"), note.alias("note"), host.alias("host"))
 
 
 _DEFS = """('d1', 'A viral disease that has_symptom fever, has_symptom  the rash and transmitted_by ticks. It results_in coma.'), ('d2', 'located_in the liver or located_in lung, has_material_basis_in Yersinia pestis.')"""
@@ -184,6 +188,7 @@ _DEFS = """('d1', 'A viral disease that has_symptom fever, has_symptom  the rash
 
 @query("""SELECT * FROM (VALUES ('d1', 'has_symptom', 'fever'), ('d1', 'has_symptom', 'rash'), ('d1', 'transmitted_by', 'ticks'), ('d1', 'results_in', 'coma'), ('d2', 'located_in', 'liver'), ('d2', 'located_in', 'lung'), ('d2', 'has_material_basis_in', 'Yersinia pestis')) t(subject, relation, value)""")
 def definition_relations(spark, sf):
+    """On two definitions written here: no test table holds any."""
     return O.definition_relations(H.inline(spark, _DEFS, "subject, definition"), "subject", F.col("definition"))
 
 
@@ -217,6 +222,24 @@ def linked_keywords(spark, sf):
 
 
 
+@query(H.with_(f"""SELECT node, level::INTEGER AS level, replace(split_part(node, '.', 1), '_', ' ') AS lemma, array_to_string(list_transform(path, lambda x: replace(split_part(x, '.', 1), '_', ' ')), '|') AS ancestors
+FROM (SELECT {_ROOT} AS node, 0 AS level, []::VARCHAR[] AS path UNION ALL SELECT * FROM w3)""", H.LABELS, f"w3 AS (SELECT label AS node, 1 AS level, [parent] AS path FROM edges WHERE parent = {_ROOT} UNION ALL SELECT e.label, w3.level + 1, list_prepend(e.parent, w3.path) FROM w3 JOIN edges e ON e.parent = w3.node WHERE w3.level < 3)"))
+def hyponym_lemmas(spark, sf):
+    """What lies up to three levels below the label with most children, with the lemmas of all that stand above it on the way."""
+    e = H.label_edges(spark, sf, Scratch(spark, "hyponym_lemmas")).where("parent is not null")
+    top = e.groupBy("parent").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "parent").limit(1).select(F.col("parent").alias("node"))
+    return O.hyponyms(e, top, X.lemma_name(F.col("node"))).select("node", "level", "lemma", F.array_join("ancestors", "|").alias("ancestors"))
+
+
+@query(r"""WITH l AS (SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, nullif(regexp_replace(synonym, '^\s+|\s+$', '', 'g'), '') AS synonym FROM label_table)
+SELECT DISTINCT 'c' || a.row_no AS subject, a.label, b.synonym FROM l a LEFT JOIN l b ON b.row_no = a.row_no AND b.synonym IS NOT NULL WHERE a.label <> ''""")
+def synonym_instances(spark, sf):
+    """Labels of classes with their synonyms where they have any, from triples."""
+    t = R.cleaned_labels(table(spark, sf, "label_table").select("row_no", "label", "synonym")).select(F.concat(F.lit("c"), "row_no").alias("subject"), "label", "synonym")
+    triples = t.select("subject", F.lit("label").alias("predicate"), F.col("label").alias("object")).unionByName(t.where("synonym is not null").select("subject", F.lit("hasExactSynonym").alias("predicate"), F.col("synonym").alias("object")))
+    return O.instances(triples)
+
+
 def _spans(spark, sf, pattern):
     return SP.pattern_spans(_docs(spark, sf), "doc_id", F.col("text"), pattern)
 
@@ -257,10 +280,23 @@ def _keyword_spans(spark, sf, optimal=False):
     return SP.keyword_spans(_docs(spark, sf), "doc_id", F.col("text"), k, optimal)
 
 
-@query()
+_TOKEN_SQL = r"http\S*[\p{L}\p{N}_]|[\p{L}\p{N}_]+"
+_KEYS = rf"""{_LEX}, ky AS (SELECT DISTINCT coalesce({_TYPES}, 'other') AS type, cs, array_to_string({H.sql_tokens("lower(keyword)")}, ' ') AS k, array_to_string({H.sql_tokens("keyword")}, ' ') AS raw, {H.sql_tokens("lower(keyword)")}[1] AS first, len({H.sql_tokens("keyword")}) AS n
+  FROM (SELECT *, NOT contains(keyword, ' ') AND length(keyword) <= 6 AND upper(keyword) = keyword AS cs FROM lex) WHERE len({H.sql_tokens("keyword")}) BETWEEN 1 AND 5),
+tk AS (SELECT doc_id, regexp_extract_all(text, '{_TOKEN_SQL}') AS m, list_transform(regexp_split_to_array(text, '{_TOKEN_SQL}'), lambda x: length(x)) AS g FROM documents WHERE text IS NOT NULL),
+tp AS (SELECT doc_id, i, m[i] AS w, sum(g[i] + length(m[i])) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS stop, array_to_string(m[i:i + 4], ' ') AS run, m FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM tk)),
+ks AS (SELECT DISTINCT a.doc_id, type, a.stop - length(a.w) AS start, b.stop, CASE WHEN cs THEN raw ELSE k END AS label FROM tp a JOIN ky ON lower(a.w) = first JOIN tp b ON b.doc_id = a.doc_id AND b.i = a.i + n - 1
+  WHERE lower(array_to_string(a.m[a.i:a.i + n - 1], ' ')) = k AND (NOT cs OR array_to_string(a.m[a.i:a.i + n - 1], ' ') = raw))"""
+
+
+def _big(spans):
+    return spans.select("doc_id", "type", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("stop"), "label")
+
+
+@query(f"WITH {_KEYS} SELECT doc_id, type, start, stop, label FROM ks")
 def keyword_spans(spark, sf):
     """Offsets of the lexicon's keywords, by annotation type."""
-    return _keyword_spans(spark, sf)
+    return _big(_keyword_spans(spark, sf))
 
 
 @query()
@@ -268,29 +304,91 @@ def optimal_spans(spark, sf):
     return _keyword_spans(spark, sf, True)
 
 
-@query()
+_DATES = rf"""{_sql_spans(SP.DATE, 'd')}, df AS (SELECT d.doc_id, d.s AS start, d.s + length(d.label) AS stop, d.label,
+  try_strptime(regexp_extract(regexp_replace(d.label, '[12][0-9]{{3}}$', ''), '([0-9]{{1,2}})', 1) || ' ' || regexp_extract(d.label, '({SP.MONTH})', 1) || ' ' || coalesce(nullif(regexp_extract(d.label, '([12][0-9]{{3}})$', 1), ''), year(published)::VARCHAR), '%-d %B %Y')::DATE AS begin_day FROM d JOIN documents USING (doc_id))"""
+
+
+def _dates(spark, sf):
+    years = table(spark, sf, "documents").select("doc_id", F.year("published").alias("year"))
+    return SP.date_features(_spans(spark, sf, SP.DATE), "doc_id", years)
+
+
+@query(f"WITH {_DATES} SELECT doc_id, start, stop, label, strftime(begin_day, '%Y-%m-%d') AS begin_day, strftime(begin_day + 1, '%Y-%m-%d') AS end_day FROM df")
 def date_features(spark, sf):
-    return SP.date_features(_spans(spark, sf, SP.DATE), "doc_id", 2016)
+    """Dates in texts as ranges of one day; dates without a year are of the year of publication."""
+    d = _dates(spark, sf)
+    return d.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("stop"), "label", F.col("begin").cast("string").alias("begin_day"), F.col("stop").cast("string").alias("end_day"))
 
 
-@query()
-def annotation_features(spark, sf):
-    """All features of a text in their fixed order: counts, dates, then keywords by type."""
-    c = SP.count_features(_spans(spark, sf, SP.COUNT), "doc_id").select("doc_id", "type", "start", "end", "label", F.lit(0).alias("ordinal"))
-    d = SP.date_features(_spans(spark, sf, SP.DATE), "doc_id", 2016).select("doc_id", "type", "start", "end", "label", F.lit(1).alias("ordinal"))
-    order = F.coalesce(F.create_map(*[F.lit(x) for kv in {"diseases": 2, "hosts": 3, "modes": 4, "pathogens": 5, "symptoms": 6}.items() for x in kv])[F.col("type")], F.lit(7))
-    return c.unionByName(d).unionByName(SP.without_overlaps(_keyword_spans(spark, sf), d, "doc_id").withColumn("ordinal", order))
+_COUNTS = rf"{_sql_spans(SP.COUNT, 'c')}"
+
 
+@query(f"WITH {_COUNTS}, t AS (SELECT unnest(['count', 'caseCount']) AS type) SELECT doc_id, type, s AS start, s + length(label) AS stop, label, regexp_extract(label, '([0-9]+)', 1)::BIGINT AS value, NOT regexp_matches(label, '^[0-9]') AS cumulative FROM c, t WHERE type = 'count' OR contains(label, 'case')")
+def count_features(spark, sf):
+    """Counts of cases, deaths and the like, cumulative ones marked."""
+    c = SP.count_features(_spans(spark, sf, SP.COUNT), "doc_id")
+    return c.select("doc_id", "type", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("stop"), "label", "value", "cumulative")
 
-@query("""SELECT d.label AS disease, p.doc_id FROM (SELECT DISTINCT regexp_replace(label, '^\\s+|\\s+$', '', 'g') AS label FROM label_table WHERE is_promed_label) d JOIN (SELECT doc_id, lower(regexp_extract(text, 'Subject: (.*)', 1)) AS s FROM documents) p ON s <> '' AND contains(s, lower(d.label)) WHERE d.label <> ''""")
+
+_ORDER = "CASE type WHEN 'diseases' THEN 3 WHEN 'hosts' THEN 4 WHEN 'modes' THEN 5 WHEN 'pathogens' THEN 6 WHEN 'symptoms' THEN 7 ELSE 8 END"
+_PLACES = rf"""pn AS (SELECT DISTINCT nullif(regexp_extract('PRO/EDR> ' || {_LINE}, '{_RX}', 4), '') AS name FROM documents WHERE {_LINE} <> ''),
+pk AS (SELECT name, array_to_string({H.sql_tokens("lower(name)")}, ' ') AS k, {H.sql_tokens("lower(name)")}[1] AS first, len({H.sql_tokens("name")}) AS n FROM pn WHERE name IS NOT NULL AND len({H.sql_tokens("name")}) BETWEEN 1 AND 5),
+ps AS (SELECT DISTINCT a.doc_id, a.stop - length(a.w) AS start, b.stop, name AS label FROM tp a JOIN pk ON lower(a.w) = first JOIN tp b ON b.doc_id = a.doc_id AND b.i = a.i + n - 1 WHERE lower(array_to_string(a.m[a.i:a.i + n - 1], ' ')) = k)"""
+
+
+def _places(spark, sf):
+    """(places, spans): the regions that posts name in their subjects, as a gazetteer, and where they stand in texts."""
+    s = _docs(spark, sf).select(F.regexp_extract("text", "Subject: (.*)", 1).alias("s")).where("s <> ''")
+    names = s.select(P.subject_fields(F.concat(F.lit("PRO/EDR> "), F.col("s")), _RX)["region"].alias("name")).where("name is not null").distinct()
+    k = names.select(F.lit("place").alias("type"), F.col("name").alias("keyword"), F.lit(False).alias("case_sensitive"))
+    return names, SP.keyword_spans(_docs(spark, sf), "doc_id", F.col("text"), k)
+
+
+@query(f"WITH {_KEYS}, {_PLACES} SELECT doc_id, md5(label) AS geonameid, label AS name, array_to_string(list_transform(list_sort(list({{'s': start, 'e': stop}})), lambda x: x.s::VARCHAR || '-' || x.e::VARCHAR), ' ') AS offsets FROM ps GROUP BY ALL")
+def location_features(spark, sf):
+    """Places in texts, grouped by place; the gazetteer holds the regions of the posts' subjects."""
+    names, spans = _places(spark, sf)
+    return SP.location_features(spans, names.select(F.md5("name").alias("geonameid"), "name"), "doc_id")
+
+
+@query(f"""WITH {_KEYS}, {_PLACES}, {_COUNTS}, {_DATES} SELECT doc_id, type, start, stop, label, 0::BIGINT AS place FROM (SELECT doc_id, unnest(CASE WHEN contains(label, 'case') THEN ['count', 'caseCount'] ELSE ['count'] END) AS type, s AS start, s + length(label) AS stop, label FROM c)
+UNION ALL SELECT DISTINCT doc_id, 'location', start, stop, label, 1 FROM ps UNION ALL SELECT doc_id, 'datetime', start, stop, label, 2 FROM df
+UNION ALL SELECT doc_id, type, start, stop, label, {_ORDER} FROM ks WHERE NOT EXISTS (SELECT 1 FROM df WHERE df.doc_id = ks.doc_id AND ks.start < df.stop AND df.start < ks.stop)
+UNION ALL SELECT doc_id, 'resolvedKeyword', start, stop, label, 9 FROM ks WHERE type = 'diseases' AND NOT EXISTS (SELECT 1 FROM ps WHERE ps.doc_id = ks.doc_id AND ks.start < ps.stop AND ps.start < ks.stop)""")
+def annotation_features(spark, sf):
+    """All features of a text in their fixed order: counts, places, dates, keywords by type (outside dates), resolved keywords (outside places)."""
+    one = lambda d, kind, place: d.select("doc_id", kind.alias("type"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("stop"), "label", place.cast("bigint").alias("place"))
+    c, d, k, (names, p) = SP.count_features(_spans(spark, sf, SP.COUNT), "doc_id"), _dates(spark, sf), _keyword_spans(spark, sf), _places(spark, sf)
+    p = p.withColumn("k", F.col("label")).join(names.select(F.col("name"), X.normalised_keyword(F.col("name")).alias("k")), "k").withColumn("label", F.col("name"))
+    order = F.coalesce(F.create_map(*[F.lit(x) for kv in {"diseases": 3, "hosts": 4, "modes": 5, "pathogens": 6, "symptoms": 7}.items() for x in kv])[F.col("type")], F.lit(8))
+    out = one(c, F.col("type"), F.lit(0)).unionByName(one(p, F.lit("location"), F.lit(1)).distinct()).unionByName(one(d, F.lit("datetime"), F.lit(2)))
+    out = out.unionByName(one(SP.without_overlaps(k, d, "doc_id"), F.col("type"), order))
+    return out.unionByName(one(SP.without_overlaps(k.where("type = 'diseases'"), p, "doc_id"), F.lit("resolvedKeyword"), F.lit(9)))
+
+
+@query(f"""WITH {_KEYS}, {_PLACES}, {_COUNTS}, {_DATES}, dn AS (SELECT doc_id, start, strftime(begin_day, '%Y-%m-%d') AS begin_day FROM df), ds AS (SELECT doc_id, start, label AS disease FROM ks WHERE type = 'diseases'), pl AS (SELECT doc_id, start, label AS place FROM ps)
+SELECT c.doc_id, c.s AS start, CASE WHEN contains(c.label, 'death') THEN 'deathCount' ELSE 'caseCount' END AS type, regexp_extract(c.label, '([0-9]+)', 1)::BIGINT AS value, n.begin_day, p.place, x.disease FROM c
+LEFT JOIN (SELECT c.doc_id, c.s, arg_min(coalesce(o.begin_day, ''), (abs(o.start - c.s), o.start)) AS begin_day FROM c JOIN dn o ON o.doc_id = c.doc_id GROUP BY ALL) n ON n.doc_id = c.doc_id AND n.s = c.s
+LEFT JOIN (SELECT c.doc_id, c.s, arg_min(o.place, (abs(o.start - c.s), o.start, o.place)) AS place FROM c JOIN pl o ON o.doc_id = c.doc_id GROUP BY ALL) p ON p.doc_id = c.doc_id AND p.s = c.s
+LEFT JOIN (SELECT c.doc_id, c.s, arg_min(o.disease, (abs(o.start - c.s), o.start, o.disease)) AS disease FROM c JOIN ds o ON o.doc_id = c.doc_id GROUP BY ALL) x ON x.doc_id = c.doc_id AND x.s = c.s WHERE regexp_matches(c.label, 'case|death')""")
+def incident_features(spark, sf):
+    """Counts of cases and deaths with the nearest date, place and disease."""
+    names, p = _places(spark, sf)
+    p = p.withColumn("k", F.col("label")).join(names.select("name", X.normalised_keyword(F.col("name")).alias("k")), "k").select("doc_id", "start", F.col("name").alias("label"))
+    dates = _dates(spark, sf).select("doc_id", "start", F.coalesce(F.col("begin").cast("string"), F.lit("")).alias("begin"), "stop")
+    got = SP.incidents(SP.count_features(_spans(spark, sf, SP.COUNT), "doc_id"), dates, p, _keyword_spans(spark, sf).where("type = 'diseases'"), "doc_id")
+    return got.select("doc_id", F.col("start").cast("bigint").alias("start"), "type", "value", F.col("begin").alias("begin_day"), "place", "disease")
+
+
+@query(rf"""SELECT d.label AS disease, p.doc_id, row_number() OVER (PARTITION BY d.label ORDER BY p.published NULLS LAST, p.doc_id) AS nth FROM (SELECT DISTINCT regexp_replace(label, '^\s+|\s+$', '', 'g') AS label FROM label_table WHERE is_promed_label) d
+JOIN (SELECT doc_id, published, lower(coalesce(nullif(regexp_extract('PRO/EDR> ' || {_LINE}, '{_RX}', 3), ''), {_LINE})) AS s FROM documents WHERE {_LINE} <> '' AND len(regexp_split_to_array(text, '(?m)^[*#]{{3,}}[ \t\r\f]*$')) > 1) p ON contains(s, lower(d.label)) WHERE d.label <> ''""")
 def disease_posts(spark, sf):
-    """Posts whose subject holds the name of a list label; names are plain text, not patterns. Subjects are short and the
-    labels come from a fixed list: the pairs are found through the words of the subject."""
-    lab = R.cleaned_labels(table(spark, sf, "label_table").select("label", "is_promed_label")).where("is_promed_label").select(F.col("label").alias("disease")).distinct()
-    subj = _docs(spark, sf).select("doc_id", F.lower(F.regexp_extract("text", "Subject: (.*)", 1)).alias("s")).where("s <> ''")
-    first = lab.select("disease", F.lower("disease").alias("d"), F.get(X.tokens(F.col("disease")), F.lit(0)).alias("w"))
-    w = subj.select("doc_id", "s", F.explode(F.array_distinct(X.tokens(F.col("s")))).alias("w"))
-    return w.join(first, "w").where(F.contains("s", "d")).select("disease", "doc_id").distinct()
+    """Posts with articles whose subject's description holds the name of a list label, within each label by publication."""
+    lab = R.cleaned_labels(table(spark, sf, "label_table").select("label", "is_promed_label")).where("is_promed_label").select(F.col("label").alias("disease"))
+    subject = F.regexp_extract("text", "Subject: (.*)", 1)
+    d = _docs(spark, sf).where((subject != "") & (F.size(F.split("text", P.SECTION)) > 1)).select("doc_id", "published", subject.alias("s"))
+    f = P.subject_fields(F.concat(F.lit("PRO/EDR> "), F.col("s")), _RX)
+    return P.posts_of(d, "doc_id", F.when(f["is_malformed"], F.col("s")).otherwise(f["description"]), lab, "disease", "published")
 
 
 @query("""SELECT scrape_id, len(redirects)::BIGINT AS redirects, regexp_extract(url, '[?&]ref=([^&#]*)', 1) AS ref FROM scrape_result WHERE url LIKE '%ref=%' OR len(redirects) > 0""")

@@ -13,7 +13,7 @@ def diagnose_stream(texts: DataFrame, diagnose: Callable[[DataFrame], DataFrame]
     checkpoint, and a batch that is written again replaces itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        diagnose(batch).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        diagnose(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     w = texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
