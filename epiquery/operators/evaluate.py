@@ -41,3 +41,14 @@ def misclassified(truth: DataFrame, predicted: DataFrame, doc: str, first: int =
     s = lambda d, n: d.join(docs, doc, "left_semi").groupBy(doc).agg(F.array_join(F.array_sort(F.collect_set("label")), "|").alias(n))
     both = docs.join(s(truth, "truth"), doc, "left").join(s(predicted, "predicted"), doc, "left").select(doc, *[F.coalesce(c, F.lit("")).alias(c) for c in ("truth", "predicted")])
     return both.where("truth <> predicted")
+
+
+def by_set(truth: DataFrame, predicted: DataFrame, doc: str, part: str) -> DataFrame:
+    """(part, labels, tp, fp, fn, macro_precision, macro_recall, macro_f, micro_precision, micro_recall, micro_f) of tables (doc, label, part)."""
+    keys = [part, doc, "label"]
+    t, p = truth.select(keys).distinct().withColumn("t", F.lit(1)), predicted.select(keys).distinct().withColumn("p", F.lit(1))
+    c = t.join(p, keys, "full").groupBy(part, "label").agg(F.count_if(F.expr("t = 1 and p = 1")).alias("tp"), F.count_if(F.expr("t is null")).alias("fp"), F.count_if(F.expr("p is null")).alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    c = c.select(part, "tp", "fp", "fn", _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f"))
+    g = c.groupBy(part).agg(F.count("*").alias("labels"), *[F.sum(x).alias(x) for x in ("tp", "fp", "fn")], *[F.avg(x).alias(f"macro_{x}") for x in ("precision", "recall", "f")])
+    return g.select("*", _ratio(tp, tp + fp).alias("micro_precision"), _ratio(tp, tp + fn).alias("micro_recall"), _ratio(2 * tp, 2 * tp + fp + fn).alias("micro_f"))

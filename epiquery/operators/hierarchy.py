@@ -47,8 +47,8 @@ class Forest:
     """A forest in memory: labels and the place of each one's parent, -1 for none. Parents that have no row are added as nodes."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
-        t = pa.Table.from_batches(batches, schema=pa.schema([("label", pa.string()), ("parent", pa.string())]))
-        own, up = t["label"].combine_chunks(), t["parent"].combine_chunks()
+        parts = list(batches)
+        own, up = (pa.chunked_array([b.column(c) for b in parts], pa.string()).combine_chunks() for c in (0, 1))
         missing = pc.unique(up.filter(pc.invert(pc.or_kleene(pc.is_null(up), pc.is_in(up, value_set=own)))))
         self.labels = pa.concat_arrays([own, missing.cast(pa.string())])
         self.own = len(own)

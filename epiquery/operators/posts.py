@@ -95,6 +95,7 @@ def parsed_date(text: Column) -> Column:
     t = F.regexp_replace(t, r"CST(-?\d)CDT$", "$1")
     t = F.regexp_replace(t, r"(-\d{1,4})\s?[A-Z]{1,5}$", "$1")
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\bTHURS?\b", "THURSDAY"), r"\bTUES\b", "TUESDAY"), r"\bWEDS\b", "WEDNESDAY"), r"\bSEPT\b", "SEPTEMBER")
+    t = F.regexp_replace(t, r"^(?:MON|TUES|WEDNES|THURS|FRI|SATUR|SUN)DAY\.?,?\s+", "")
     bad = t.rlike(r"-\d{3}(\d{2,})?$") | t.rlike(r"\s:")
     hours = F.regexp_replace(t, r" (-?)(\d)$", " GMT$1$2")  # a single digit after a blank is an offset in hours
     return F.when(~bad, TS.utc_micros(F.when(hours.rlike(r" GMT\d$"), F.regexp_replace(hours, "GMT", "GMT+")).otherwise(hours)))

@@ -9,18 +9,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import artifacts as A
 from ..storage import Scratch
+from .diagnose import LabelModel
 
 #: the gradient's norm at a solution, as a part of that at zero; coefficients a task returns
 TOLERANCE, CELLS = 1e-6, 2_000_000
 
 
-def vocabulary(features: DataFrame) -> DataFrame:
-    """(feature, index): sorted distinct features, numbered in order without a global window: by range, then by offset."""
-    d = features.select("feature").distinct().repartitionByRange("feature").sortWithinPartitions("feature").withColumn("part", F.spark_partition_id())
+def vocabulary(features: DataFrame, scratch: Scratch) -> DataFrame:
+    """(feature, index): sorted distinct features, numbered in order without a global window: by range, then by offset. The ranges are saved first, so
+    that a stage that runs again can't number otherwise."""
+    d = scratch.save(features.select("feature").distinct().repartitionByRange("feature").sortWithinPartitions("feature").withColumn("part", F.spark_partition_id()))
     local = d.withColumn("r", F.expr("row_number() over (partition by part order by feature) - 1"))
     before = d.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.expr("sum(n) over (order by part) - n")).select("part", "before")
     return local.join(F.broadcast(before), "part").select("feature", (F.col("r") + F.col("before")).alias("index"))
@@ -98,3 +101,17 @@ def one_vs_rest(features: DataFrame, labels: DataFrame, doc: str, scratch: Scrat
 
     w = scratch.save(every.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(solve, "class string, feature string, coef double"))
     return w.where("feature is not null"), w.where("feature is null").select("class", F.col("coef").alias("intercept"))
+
+
+def trained_model(labels: DataFrame, items: DataFrame, item: str, text: Column, diseases: Column, folder: str, scratch: Scratch) -> LabelModel:
+    """A label model with coefficients learned from items: features, training, the next version of the artifacts in `folder`, and that version loaded.
+
+    Items without any feature take no part, as those that are all zero; labels count without their ancestors."""
+    spark = items.sparkSession
+    m = LabelModel(labels, scratch)
+    f = m.features(m.base(items, item, text), item)
+    y = items.select(item, F.explode(diseases).alias("label")).where("label is not null")
+    weights, intercepts = one_vs_rest(f, y, item, scratch)
+    A.save(weights, folder, "coefficients-")
+    A.save(intercepts, folder, "intercepts-")
+    return LabelModel(labels, scratch, trained=(A.load(spark, folder, "coefficients-"), A.load(spark, folder, "intercepts-")))

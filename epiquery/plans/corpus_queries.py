@@ -109,6 +109,14 @@ def earliest_split(spark, sf):
     return C.earliest_split(rows, "label", "us", "id").select("label", "id", "split")
 
 
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY published NULLS LAST, doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL)
+SELECT source, doc_id, CASE WHEN n >= 10 AND rn <= 5 THEN 'test' ELSE 'training' END AS split FROM r""")
+def earliest_split_by_time(spark, sf):
+    """The five earliest documents of a source with ten or more are test documents."""
+    d = table(spark, sf, "documents").where("source is not null").select("source", "published", "doc_id")
+    return C.earliest_split(d, "source", "published", "doc_id").select("source", "doc_id", "split")
+
+
 @query("""WITH f AS (SELECT name, min(item_id) AS item_id FROM corpus_item GROUP BY name), e AS (SELECT name, list_sort(list(DISTINCT l) FILTER (WHERE l IS NOT NULL)) AS l FROM (SELECT name, unnest(meta.events[1].diseases) AS l FROM corpus_item) GROUP BY name)
 SELECT c.name, c.item_id, c.split, c.source, c.meta.date AS date, len(c.meta.events)::BIGINT AS events, array_to_string(coalesce(e.l, []), '|') AS labels FROM f JOIN corpus_item c ON c.item_id = f.item_id LEFT JOIN e ON e.name IS NOT DISTINCT FROM c.name""")
 def dedup_merge(spark, sf):
@@ -193,6 +201,12 @@ def prf_label(spark, sf):
     return got.select("label", "tp", "fp", "fn", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f")])
 
 
+@query(H.with_("SELECT label, round(f, 9) AS f, row_number() OVER (ORDER BY f, label) AS place FROM m", H.LABELS, _LC, _PR))
+def prf_weakest(spark, sf):
+    """Labels by F-score, the weakest first."""
+    return V.weakest_first(V.by_label(*_evaluated(spark, sf, "prf_weakest"), "item_id")).select("label", F.round("f", 9).alias("f"), "place")
+
+
 @query(H.with_("SELECT round(avg(pr), 9) AS precision, round(avg(re), 9) AS recall, round(avg(f), 9) AS f, count(*)::BIGINT AS labels FROM m", H.LABELS, _LC, _PR))
 def prf_macro(spark, sf):
     got = V.macro(V.by_label(*_evaluated(spark, sf, "prf_macro"), "item_id"))
@@ -211,6 +225,63 @@ def misclassified(spark, sf):
     return V.misclassified(*_evaluated(spark, sf, "misclassified"), "item_id")
 
 
+@query(H.with_(f"""SELECT reason, count(*)::BIGINT AS items, count(*) FILTER (WHERE hit)::BIGINT AS with_features FROM (SELECT CASE WHEN bad THEN 'unknown label' WHEN len(labels) = 0 THEN 'no label' ELSE 'accepted' END AS reason, f.item_id IS NOT NULL AS hit
+FROM (SELECT d.item_id, b.item_id IS NOT NULL AS bad, list_filter(ds, lambda x: x IS NOT NULL) AS labels FROM (SELECT item_id, coalesce({_DIS}, []) AS ds FROM corpus_item) d LEFT JOIN (SELECT DISTINCT item_id FROM (SELECT item_id, unnest(coalesce({_DIS}, [])) AS x FROM corpus_item) LEFT JOIN {_KNOWN} k ON k.label = x WHERE k.label IS NULL) b USING (item_id)) o
+LEFT JOIN (SELECT DISTINCT item_id FROM pd) f USING (item_id)) GROUP BY reason""", H.LABELS, _LC, _PR))
+def corpus_report(spark, sf):
+    """Items accepted and rejected, by reason, and how many of them have any feature."""
+    known = label_clean(spark, sf).select("label")
+    got = C.accepted(_items(spark, sf).select("item_id", "name", "meta"), F.col("name"), H.diseases(), known, "label").select("item_id", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+    m = H.model(spark, sf, Scratch(spark, "corpus_report"))
+    some = m.base(spread(_items(spark, sf)), "item_id", F.col("private.cleancontent.content")).select("item_id").distinct().withColumn("hit", F.lit(True))
+    return got.join(some, "item_id", "left").groupBy("reason").agg(F.count("*").alias("items"), F.count("hit").alias("with_features"))
+
+
+def _trained(spark, sf, scratch):
+    """A model trained on the usable training items, saved as the next version of an artifact, and loaded from there."""
+    from ..operators import train as TR
+    from ..storage import checkpoint_dir
+
+    t = _items(spark, sf)
+    return TR.trained_model(table(spark, sf, "label_table"), t.where(C.is_usable() & (F.col("split") == "training")), "item_id", F.col("private.cleancontent.content"), H.diseases(), f"{checkpoint_dir(spark)}/models", scratch)
+
+
+@query()
+def diagnose_trained(spark, sf):
+    """Ranked labels of the documents: trained on the items, saved, loaded, then scored with the learned coefficients."""
+    from ..operators import diagnose as D
+
+    s = Scratch(spark, "diagnose_trained")
+    got = D.diagnose(spread(table(spark, sf, "documents")), "doc_id", F.col("text"), _trained(spark, sf, s))
+    return D.ranked(got, "doc_id").withColumn("p", F.round("p", 6))
+
+
+@query()
+def evaluation_sets(spark, sf):
+    """Scores of the trained model over the three splits: macro and micro. Truth counts with its implied labels."""
+    from ..operators import diagnose as D
+
+    s = Scratch(spark, "evaluation_sets")
+    m = _trained(spark, sf, s)
+    usable = _items(spark, sf).where(C.is_usable() & F.col("split").isNotNull())
+    guessed = s.save(D.diagnose(spread(usable), "item_id", F.col("private.cleancontent.content"), m).select("item_id", F.col("class").alias("label")))
+    own = usable.select("item_id", F.explode(H.diseases()).alias("label")).where("label is not null").distinct()
+    truth = s.save(own.unionByName(own.join(m.pairs, "label").select("item_id", F.col("ancestor").alias("label"))).distinct())
+    split = usable.select("item_id", "split").distinct()
+    return V.by_set(truth.join(split, "item_id"), guessed.join(split, "item_id"), "item_id", "split")
+
+
+@query(r"""SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, nullif(regexp_replace(parent_label, '^\s+|\s+$', '', 'g'), '') AS parent_label, nullif(regexp_replace(synonym, '^\s+|\s+$', '', 'g'), '') AS synonym FROM label_table WHERE regexp_replace(label, '^\s+|\s+$', '', 'g') <> ''""")
+def labels_saved_and_loaded(spark, sf):
+    """The cleaned label table, saved as the next version of an artifact and loaded again as the newest."""
+    from ..sources import artifacts as A
+    from ..storage import checkpoint_dir
+
+    folder = f"{checkpoint_dir(spark)}/lexicons"
+    A.save(label_clean(spark, sf).select("row_no", "label", "parent_label", "synonym"), folder, "labels-")
+    return A.load(spark, folder, "labels-")
+
+
 @query()
 def train_ovr(spark, sf):
     """Coefficients of one logistic regression a label, trained on the usable training items' keyword features."""

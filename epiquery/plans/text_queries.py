@@ -14,6 +14,7 @@ from ..operators import features as FE
 from ..operators import scoring as S
 from ..storage import Scratch, spread, table
 from . import shared as H
+from .general import instants_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -102,16 +103,10 @@ t AS (SELECT doc_id, unnest({H.sql_tokens('lower(text)')}) AS k FROM documents)
 SELECT doc_id, coalesce(target, k) AS keyword, count(*)::BIGINT AS n FROM t LEFT JOIN ends ON k = a WHERE k IN ('deaths', 'death', 'fatality', 'cases', 'case', 'patients') GROUP BY ALL""")
 def rename_merge(spark, sf):
     """Chains of renames are followed to their end; in a cycle the smallest name on the way is the target."""
-    m = dict(tuple(r) for r in H.inline(spark, RENAMES, "a, b").collect())
-    ends = {}
-    for a in m:
-        path = [m[a]]
-        while path[-1] in m and m[path[-1]] not in path:
-            path.append(m[path[-1]])
-        ends[a] = min(path) if path[-1] in m else path[-1]
-    t = _docs(spark, sf).select("doc_id", F.explode(X.tokens(F.col("text"))).alias("keyword")).where(F.col("keyword").isin(sorted({*m, *m.values()})))
-    counts = t.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"))
-    return FE.renamed(counts, F.broadcast(spark.createDataFrame(list(ends.items()), "keyword string, target string")), "doc_id")
+    renames = H.inline(spark, RENAMES, "keyword, target")
+    every = renames.select("keyword").union(renames.select("target")).distinct()
+    counts = _docs(spark, sf).select("doc_id", F.explode(X.tokens(F.col("text"))).alias("keyword")).join(F.broadcast(every), "keyword").groupBy("doc_id", "keyword").agg(F.count("*").alias("n"))
+    return FE.renamed(counts, F.broadcast(FE.resolved_renames(renames, Scratch(spark, "rename_merge"))), "doc_id")
 
 
 _EN = "|".join(sorted(X.ENGLISH_WORDS, key=lambda w: (-len(w), w)))
@@ -188,14 +183,31 @@ def explain_scores(spark, sf):
     return S.explanations(g, f, base.withColumnRenamed("keyword", "feature"), m.coefficients, "doc_id").withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(H.with_(f"""SELECT g.doc_id, (row_number() OVER (PARTITION BY g.doc_id ORDER BY p DESC, class DESC) - 1)::BIGINT AS place, class AS name, round(p, 6) AS probability, coalesce(x.direct, 0)::BIGINT AS keywords, coalesce(x.inferred, 0)::BIGINT AS inferred_keywords
+FROM guess g LEFT JOIN (SELECT doc_id, class, count(*) FILTER (WHERE direct) AS direct, count(*) FILTER (WHERE NOT direct) AS inferred FROM ({_EXPLAIN}) GROUP BY ALL) x USING (doc_id, class)""", H.LABELS, H.KEYWORDS, H.FEATURES, H.SCORES))
 def diagnose_json(spark, sf):
-    """The full answer as JSON, one row a document with a keyword."""
+    """The answers as JSON documents, read back: their diseases in order, with how many keywords explain each."""
     m = _model(spark, sf, "diagnose_json")
     base = m.base(_docs(spark, sf), "doc_id", F.col("text"))
     f = m.features(base, "doc_id")
     g = S.best_guess(m.scratch.save(S.probabilities(f, m.coefficients, m.intercepts, "doc_id")), m.ancestors, "doc_id")
-    return D.as_json(g, S.explanations(g, f, base.withColumnRenamed("keyword", "feature"), m.coefficients, "doc_id"), "doc_id")
+    answers = D.as_json(g, S.explanations(g, f, base.withColumnRenamed("keyword", "feature"), m.coefficients, "doc_id"), "doc_id")
+    read = F.from_json("result", "diseases array<struct<probability: double, name: string, keywords: array<struct<name: string, score: double>>, inferred_keywords: array<struct<name: string, score: double>>>>")
+    d = answers.select("doc_id", F.posexplode(read["diseases"]).alias("place", "d"))
+    size = lambda c: F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0)).cast("bigint")
+    return d.select("doc_id", F.col("place").cast("bigint").alias("place"), F.col("d.name").alias("name"), F.round("d.probability", 6).alias("probability"), size(F.col("d.keywords")).alias("keywords"), size(F.col("d.inferred_keywords")).alias("inferred_keywords"))
+
+
+_HOST = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
+
+
+@query("WITH " + instants_sql("SELECT i.item_id, i.meta.date AS t, NULL::VARCHAR AS tz FROM corpus_item i") + rf""", q AS (SELECT i.item_id, i.meta.date AS date, utc_us, private.cleancontent.content AS content, private.scrapeddata.url AS url FROM corpus_item i LEFT JOIN instants USING (item_id)),
+e AS (SELECT *, CASE WHEN date <> '' AND utc_us IS NULL THEN 'Could not parse content date' WHEN content <> '' THEN NULL WHEN url <> '' THEN CASE WHEN regexp_matches({_HOST}, '^.+\.\D+') THEN NULL ELSE 'Invalid URL' END ELSE 'Please provide a url or content to diagnose.' END AS error FROM q)
+SELECT item_id, CASE WHEN error IS NULL THEN CASE WHEN content <> '' THEN 'text' ELSE 'fetch' END END AS action, error FROM e""")
+def requests_dispatched(spark, sf):
+    """Every stored item as a request: whether its text is diagnosed, its page fetched, or what is wrong with it."""
+    r = table(spark, sf, "corpus_item").select("item_id", F.col("meta.date").alias("date"), F.col("private.cleancontent.content").alias("content"), F.col("private.scrapeddata.url").alias("url"))
+    return D.dispatched(r, F.col("content"), F.col("url"), F.col("date")).select("item_id", "action", "error")
 
 
 @query(H.with_("SELECT g.doc_id AS scrape_position, class, round(p, 9) AS p FROM guess g", H.LABELS, H.KEYWORDS.replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT doc_id, concat_ws(chr(10), doctype, text) AS text FROM documents ORDER BY doc_id LIMIT 200)"), H.FEATURES, H.SCORES))
@@ -237,7 +249,8 @@ def page_content(spark, sf):
     return s.withColumn("malformed", PG.malformed(F.col("content")))
 
 
-@query("""SELECT scrape_id, md5(sourceurl) AS same FROM scrape_result WHERE sourceurl IS NOT NULL""")
+@query("""SELECT scrape_id, md5(htmlcontent) AS text_md5 FROM scrape_result WHERE htmlcontent IS NOT NULL""")
 def decoded_bytes(spark, sf):
-    s = table(spark, sf, "scrape_result").where("sourceurl is not null")
-    return s.select("scrape_id", F.md5(PG.decoded(F.encode("sourceurl", "utf-8"), F.lit("utf-8"))).alias("same"))
+    """Bytes of whole pages, decoded without being told their encoding."""
+    s = table(spark, sf, "scrape_result").where("htmlcontent is not null")
+    return s.select("scrape_id", F.md5(PG.decoded(F.encode("htmlcontent", "utf-8"), F.lit(None).cast("string"))).alias("text_md5"))

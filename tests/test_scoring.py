@@ -117,7 +117,7 @@ def test_training_separates(spark, scratch):
     w, b = T.one_vs_rest(f, y, "id", scratch)
     p = {(r.id, r["class"]): r.p for r in S.probabilities(f, w, b, "id").collect()}
     assert p[1, "Flu"] > 0.7 > 0.3 > p[0, "Flu"]
-    v = [tuple(r) for r in T.vocabulary(f).orderBy("index").collect()]
+    v = [tuple(r) for r in T.vocabulary(f, scratch).orderBy("index").collect()]
     assert v == [("flu", 0), ("noise", 1), ("pox", 2)]
 
 
