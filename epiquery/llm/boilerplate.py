@@ -374,8 +374,9 @@ def training_pages(pages: DataFrame, page_id: Column, page: Column, name: Column
     """At most `sample` (page, contents stored under its name, whether it failed), spread by the hash of the page's id.
 
     Only the sample's names are looked up in the items; at most four contents a name are taken."""
-    p = hashed_part(pages, page_id, sample).select("__k", page.alias("page"), name.alias("name"), F.coalesce(failed, F.lit(False)).alias("failed"))
-    got = p.where("page is not null and (name is not null or failed)").orderBy("__k").limit(sample).collect()
+    usable = pages.where(name.isNotNull() | F.coalesce(failed, F.lit(False)))
+    p = hashed_part(usable, page_id, sample).select("__k", page.alias("page"), name.alias("name"), F.coalesce(failed, F.lit(False)).alias("failed"))
+    got = p.where("page is not null").orderBy("__k").limit(sample).collect()
     names = sorted({r.name for r in got if r.name is not None})
     known: dict[str, list[str]] = defaultdict(list)
     if names:

@@ -117,7 +117,7 @@ def fit(texts: list[str], labels: list[str | None], rounds: int = 3, smoothing:
 def labelled_sample(df: DataFrame, key: Column, text: Column, label: Column, rows: int = 4000) -> tuple[list[str], list[str]]:
     """At most `rows` labelled texts for fit(), spread evenly by the hash of a key; the bound holds at every size of the data."""
     named = F.lower(F.trim(label)).rlike("^([a-z]{2}([-_][a-z0-9]+)*|[a-z]{3}|[a-z]{4,})$") & ~F.lower(label).isin("und", "xx")
-    got = hashed_part(df, key, rows).where(text.isNotNull() & named).select("__k", text.alias("t"), label.alias("l")).orderBy("__k").limit(rows).collect()
+    got = hashed_part(df.where(named), key, rows).where(text.isNotNull()).select("__k", text.alias("t"), label.alias("l")).orderBy("__k").limit(rows).collect()
     return [r.t for r in got], [r.l for r in got]
 
 

@@ -184,6 +184,13 @@ SELECT DISTINCT doc_id, item_id FROM dr JOIN er USING (r)"""
 ORACLE["p10_found"] = """WITH w AS (SELECT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
 s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) SELECT DISTINCT doc_id FROM w JOIN s USING (h)"""
 
+_COVER = """w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), m AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w JOIN s USING (h)),
+g AS (SELECT doc_id, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM m),
+c AS (SELECT doc_id, min(i) - 1 AS span_start, max(i) + 199 AS span_end FROM g GROUP BY doc_id, g)"""
+ORACLE["p10_spans"] = f"WITH {_COVER} SELECT doc_id, span_start::BIGINT AS span_start, span_end::BIGINT AS span_end FROM c"
+ORACLE["p10_share"] = f"WITH {_COVER} SELECT doc_id, length(text)::BIGINT AS chars, sum(span_end - span_start)::BIGINT AS shared_chars, round(sum(span_end - span_start) / length(text), 6) AS share FROM c JOIN documents USING (doc_id) GROUP BY doc_id, text"
+
 
 def p5_leftovers(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of stored contents that are page furniture."""

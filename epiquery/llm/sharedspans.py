@@ -6,8 +6,8 @@ STEPS wider contexts, of which a shared span round the anchor has at least one i
 compared along the anchors' diagonals, which gives every common run exactly.
 
 An anchor that stands in more than HOT texts would give quadratically many pairs. Its texts take another, equally exact way:
-all least-character windows round the anchor are hashed, and a window that stands in two texts is shared: linear work,
-whatever the number of texts. Exact copies of a text are folded first.
+all least-character windows round the anchor are hashed twice, independently, and a window whose 128 bits stand in two texts is shared:
+linear work, whatever the number of texts. Exact copies of a text are folded first.
 
 Defined results: null texts and texts shorter than `least` share nothing; a repeat inside one record does not count, but the same
 text in another row does; positions are code points; copies share their whole text; repeated ids count as one record; an
@@ -27,15 +27,23 @@ from ..storage import Scratch, small_enough
 from . import textkit as K
 
 SEED, HOT, STEPS = 100, 64, 3
-_INDEX = 26  # bits of a position inside a chunk; a single text may have 64 M characters
+INDEX, SPAN = 26, 1 << 25
 
 
 def winnow(h: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
-    """Positions that are the (rightmost) minimum of h in some window of w positions starting where `valid`."""
+    """Positions that are the (rightmost) minimum of h in some window of w positions starting where `valid`; by the upper 64 - INDEX bits.
+
+    Windows are taken SPAN at a time, so that a place within a span fits INDEX bits, however long a text is."""
     n = len(h)
     if n < w or not valid.any():
         return np.zeros(0, dtype=np.int64)
-    mask = K.U64((1 << _INDEX) - 1)
+    found = [lo + _winnowed(h[lo : lo + SPAN + w - 1], valid[lo : lo + SPAN], w) for lo in range(0, n - w + 1, SPAN)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def _winnowed(h: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
+    n = len(h)
+    mask = K.U64((1 << INDEX) - 1)
     v = (h & ~mask) | (mask - np.arange(n, dtype=K.U64))
     padded = np.full(-(-n // w) * w, ~K.U64(0), dtype=K.U64)
     padded[:n] = v
@@ -43,7 +51,7 @@ def winnow(h: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     ahead = np.minimum.accumulate(block, axis=1).ravel()
     back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
     low = np.minimum(back[: n - w + 1], ahead[w - 1 : n])[valid[: n - w + 1]]
-    low = low[np.concatenate(([True], low[1:] != low[:-1]))]
+    low = low[np.concatenate((np.ones(min(1, len(low)), dtype=bool), low[1:] != low[:-1]))]
     return np.unique((mask - (low & mask)).astype(np.int64))
 
 
@@ -83,7 +91,7 @@ def _anchor_rows(least: int):
             for ids, texts in K.chunks(*K.columns(batch, "id", "text"), 1 << 19):
                 text, pos, h = anchors_of(texts, least)
                 if len(text):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[text]), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], names=["id", "pos", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[text]), pa.array(pos), pa.array(h.view(np.int64))], names=["id", "pos", "h"])
 
     return rows
 
@@ -100,7 +108,7 @@ def _compare(least: int):
                     for s, e in long_runs(x, y, d, least):
                         out += [(a, s, e), (b, s - d, e - d)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], names=["id", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64()))], names=["id", "start", "end"])
 
     return rows
 
@@ -129,14 +137,15 @@ def _contexts(least: int):
                     h[ok] = K.range_hash(prefix, b[ok], b[ok] + size)
                     out[3 + c] += [int(x) if y else None for x, y in zip(h.view(np.int64), ok)]
             if out[0]:
-                types = (pa.int64(), pa.int32(), *[pa.int64()] * (1 + STEPS))
+                types = (pa.int64(), pa.int64(), *[pa.int64()] * (1 + STEPS))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["id", "pos", "h", *[f"c{c}" for c in range(STEPS)]])
 
     return rows
 
 
 def _windows(least: int):
-    """Rows (id, text, at) -> (id, start, w): all windows of `least` characters that contain one of the anchors at `at`."""
+    """Rows (id, text, at) -> (id, start, w, t): all windows of `least` characters that contain one of the anchors at `at`, by two independent
+    hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +154,8 @@ def _windows(least: int):
                 spread = np.unique(np.add.outer(np.array(at), np.arange(-(least - SEED), 1)).ravel())
                 spread = spread[(spread >= 0) & (spread + least <= len(cp))]
                 if len(spread):
-                    h = K.range_hash(K.prefix_hash(K.mix(cp)), spread, spread + least)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, dtype=np.int64)), pa.array(spread.astype(np.int32)), pa.array(h.view(np.int64))], names=["id", "start", "w"])
+                    h, again = (K.range_hash(K.prefix_hash(x), spread, spread + least) for x in (K.mix(cp), K.splitmix(K.mix(cp))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, dtype=np.int64)), pa.array(spread), pa.array(h.view(np.int64)), pa.array(again.view(np.int64))], names=["id", "start", "w", "t"])
 
     return rows
 
@@ -169,7 +178,7 @@ class SharedSpans:
         return F.broadcast(df) if small_enough(rows, width * 4) else df
 
     def _anchors(self) -> None:
-        found = self.scratch.save(self.reps.mapInArrow(_anchor_rows(self.least), "id bigint, pos int, h bigint"))
+        found = self.scratch.save(self.reps.mapInArrow(_anchor_rows(self.least), "id bigint, pos bigint, h bigint"))
         shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("h", "n")
         shared = self.scratch.save(shared)
         kept = self.scratch.save(found.join(self._hint(shared, shared.count(), 16), "h"))
@@ -177,7 +186,7 @@ class SharedSpans:
         self.any_hot = not self.hot.isEmpty()
         at = kept.where(F.col("n") <= HOT).groupBy("id").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
         rows = self.reps.dropDuplicates(["id"]).join(self._hint(at, kept.count(), 64), "id")
-        cold = rows.mapInArrow(_contexts(self.least), "id bigint, pos int, h bigint, " + ", ".join(f"c{c} bigint" for c in range(STEPS)))
+        cold = rows.mapInArrow(_contexts(self.least), "id bigint, pos bigint, h bigint, " + ", ".join(f"c{c} bigint" for c in range(STEPS)))
         x, y = (cold.withColumnsRenamed({"id": i, "pos": p} | {f"c{c}": f"{i}{c}" for c in range(STEPS)}) for i, p in (("a", "pa"), ("b", "pb")))
         alike = " or ".join(f"a{c} = b{c}" for c in range(STEPS))
         met = x.join(y, "h").where(f"a < b and ({alike})").groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.count("*").alias("n"))
@@ -189,16 +198,16 @@ class SharedSpans:
         who = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         texts = self.reps.join(self._hint(who, 2 * pairs.count(), 16), "id", "left_semi").dropDuplicates(["id"])
         a, b = (texts.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
-        return pairs.select("a", "b", "shifts").join(a, "a").join(b, "b").mapInArrow(_compare(self.least), "id bigint, start int, end int")
+        return pairs.select("a", "b", "shifts").join(a, "a").join(b, "b").mapInArrow(_compare(self.least), "id bigint, start bigint, end bigint")
 
     def hot_runs(self, done: DataFrame | None = None) -> DataFrame | None:
         """(id, start, end) of shared windows round anchors that stand in many texts."""
         if not self.any_hot:
             return None
         at = self.hot.groupBy("id").agg(F.collect_list("pos").alias("at"))
-        w = self.scratch.save(self.reps.join(at, "id").mapInArrow(_windows(self.least), "id bigint, start int, w bigint"))
-        shared = w.groupBy("w").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("w")
-        return w.join(shared, "w", "left_semi").select("id", "start", (F.col("start") + self.least).alias("end"))
+        w = self.scratch.save(self.reps.join(at, "id").mapInArrow(_windows(self.least), "id bigint, start bigint, w bigint, t bigint"))
+        shared = w.groupBy("w", "t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("w", "t")
+        return w.join(shared, ["w", "t"], "left_semi").select("id", "start", (F.col("start") + self.least).alias("end"))
 
     def found(self) -> DataFrame:
         """(id): records with a shared span. Each text is first compared with the one it shares most anchors with; only what that
@@ -227,7 +236,7 @@ class SharedSpans:
         hot = self.hot_runs()
         if hot is not None:
             runs = runs.union(hot)
-        own = runs.unionByName(self.copies.select("id", F.lit(0).alias("start"), F.col("n").alias("end"))).distinct()
+        own = runs.unionByName(self.copies.select("id", F.lit(0).cast("bigint").alias("start"), F.col("n").cast("bigint").alias("end"))).distinct()
         ordered = "partition by id order by start, end rows between unbounded preceding and 1 preceding"
         marked = own.selectExpr("*", f"max(end) over ({ordered}) as before").selectExpr("*", "case when before >= start then 0 else 1 end as opens")
         grouped = marked.selectExpr("*", "sum(opens) over (partition by id order by start, end rows unbounded preceding) as g")

@@ -153,3 +153,17 @@ def test_patterns_tell_equal_fillings():
 @pytest.mark.parametrize("x, y, want", [([1, 2, 1, 3], [5, 6, 5, 7], (4, 4)), ([1, 2, 1, 3], [5, 6, 8, 7], (3, 3)), ([1, 2], [1, 2], (0, 0))])
 def test_consistency(x, y, want):
     assert L._consistency(x, y, 2) == want
+
+
+def test_winnowing_takes_the_rightmost_minimum_in_spans_too(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for t in range(200):
+        n, w = int(r.integers(1, 300)), int(r.integers(1, 40))
+        h, valid = r.integers(0, 6 if t % 2 else 2**20, n).astype(np.uint64) << np.uint64(S.INDEX), r.random(n) < 0.8
+        want = sorted({i + w - 1 - int(np.argmin(h[i : i + w][::-1])) for i in range(n - w + 1) if valid[i]})
+        assert S.winnow(h, valid, w).tolist() == want
+        monkeypatch.setattr(S, "SPAN", 37)
+        assert S.winnow(h, valid, w).tolist() == want
+        monkeypatch.undo()
