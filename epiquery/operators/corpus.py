@@ -100,6 +100,11 @@ def in_both(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     return left.select(column).distinct().join(right.select(column).distinct(), column, "left_semi")
 
 
+def compared(rows: DataFrame, column: str, left: Column, right: Column) -> DataFrame:
+    """(column, in_left, in_right): each value, and whether rows of either kind have it; one pass for differences and intersections."""
+    return rows.where((left | right) & F.col(column).isNotNull()).groupBy(column).agg(F.bool_or(left).alias("in_left"), F.bool_or(right).alias("in_right"))
+
+
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first n rows with their position from 0 (a top-n: never a global sort)."""
     top = df.orderBy(*order).limit(n)

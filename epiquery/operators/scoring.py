@@ -8,17 +8,12 @@ from pyspark.sql import functions as F
 CUTOFF = 0.65
 
 
-def probabilities(features: DataFrame, coefficients: DataFrame, intercepts: DataFrame, doc: str, docs: DataFrame | None = None) -> DataFrame:
-    """(doc, class, p): logistic probability of every class for every text; features without a coefficient are dropped.
+def probabilities(features: DataFrame, coefficients: DataFrame, intercepts: DataFrame, doc: str) -> DataFrame:
+    """(doc, class, p): logistic probability of every class that a text has a feature of; features without a coefficient are dropped.
 
-    The coefficient table is joined on the feature; with `docs`, texts without any known feature get the intercepts alone.
-    """
+    A text has no row for a class none of whose features it has: its probability is that of the intercept alone."""
     z = features.join(coefficients, "feature").groupBy(doc, "class").agg(F.sum(F.col("coef") * F.col("value")).alias("z"))
-    ids = (docs if docs is not None else features).select(doc).distinct()
-    base = ids.crossJoin(F.broadcast(intercepts)) if docs is not None else z.select(doc, "class").join(intercepts, "class")
-    z = base.join(z, [doc, "class"], "left") if docs is not None else z.join(intercepts, "class")
-    logit = F.coalesce("z", F.lit(0.0)) + F.col("intercept")
-    return z.select(doc, "class", (1 / (1 + F.exp(-logit))).alias("p"))
+    return z.join(intercepts, "class").select(doc, "class", (1 / (1 + F.exp(-(F.col("z") + F.col("intercept"))))).alias("p"))
 
 
 def best_guess(p: DataFrame, ancestors: DataFrame, doc: str, ratio: float = CUTOFF) -> DataFrame:

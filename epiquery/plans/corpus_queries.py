@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..sources import readers as R
 from ..storage import Scratch, spread, table
 from . import shared as H
+from .general import instants_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -153,18 +154,21 @@ def lift_labels(spark, sf):
 _TOK = f"SELECT DISTINCT unnest({H.sql_tokens('lower(text)')}) AS token FROM documents WHERE lang = '%s'"
 
 
+def _tokens(spark, sf):
+    d = table(spark, sf, "documents").where("lang in ('pt', 'es')").select("lang", F.explode(X.tokens(F.col("text"))).alias("token"))
+    return C.compared(d, "token", F.col("lang") == "pt", F.col("lang") == "es")
+
+
 @query(f"({_TOK % 'pt'}) EXCEPT ({_TOK % 'es'})")
 def feature_diff(spark, sf):
-    d = table(spark, sf, "documents")
-    t = lambda lang: d.where(F.col("lang") == lang).select(F.explode(X.tokens(F.col("text"))).alias("token"))
-    return C.only_in(t("pt"), t("es"), "token")
+    """Tokens of the texts labelled pt that none labelled es has."""
+    return _tokens(spark, sf).where("in_left and not in_right").select("token")
 
 
 @query(f"({_TOK % 'pt'}) INTERSECT ({_TOK % 'es'})")
 def keyword_intersect(spark, sf):
-    d = table(spark, sf, "documents")
-    t = lambda lang: d.where(F.col("lang") == lang).select(F.explode(X.tokens(F.col("text"))).alias("token"))
-    return C.in_both(t("pt"), t("es"), "token")
+    """Tokens that both have."""
+    return _tokens(spark, sf).where("in_left and in_right").select("token")
 
 
 @query("""SELECT 'documents' AS origin, source, count(*)::BIGINT AS n FROM documents GROUP BY ALL UNION ALL SELECT 'corpus_item', source, count(*) FROM corpus_item GROUP BY ALL UNION ALL SELECT 'curated_item', NULL, count(*) FROM curated_item""")
@@ -259,16 +263,12 @@ def diagnose_trained(spark, sf):
 @query()
 def evaluation_sets(spark, sf):
     """Scores of the trained model over the three splits: macro and micro. Truth counts with its implied labels."""
-    from ..operators import diagnose as D
+    from ..operators import service as SV
 
     s = Scratch(spark, "evaluation_sets")
     m = _trained(spark, sf, s)
     usable = _items(spark, sf).where(C.is_usable() & F.col("split").isNotNull())
-    guessed = s.save(D.diagnose(spread(usable), "item_id", F.col("private.cleancontent.content"), m).select("item_id", F.col("class").alias("label")))
-    own = usable.select("item_id", F.explode(H.diseases()).alias("label")).where("label is not null").distinct()
-    truth = s.save(own.unionByName(own.join(m.pairs, "label").select("item_id", F.col("ancestor").alias("label"))).distinct())
-    split = usable.select("item_id", "split").distinct()
-    return V.by_set(truth.join(split, "item_id"), guessed.join(split, "item_id"), "item_id", "split")
+    return SV.evaluate(m, spread(usable), "item_id", F.col("private.cleancontent.content"), H.diseases(), "split")
 
 
 @query(r"""SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, nullif(regexp_replace(parent_label, '^\s+|\s+$', '', 'g'), '') AS parent_label, nullif(regexp_replace(synonym, '^\s+|\s+$', '', 'g'), '') AS synonym FROM label_table WHERE regexp_replace(label, '^\s+|\s+$', '', 'g') <> ''""")
@@ -294,3 +294,110 @@ def train_ovr(spark, sf):
     f = m.features(m.base(i, "item_id", F.col("private.cleancontent.content")), "item_id")
     labels = i.select("item_id", F.explode(H.diseases()).alias("label")).where("label is not null")
     return TR.one_vs_rest(f, labels, "item_id", s)[0]
+
+
+def _folder(spark, name: str) -> str:
+    return Scratch(spark, name).root
+
+
+@query(rf"""SELECT regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, nullif(regexp_replace(parent_label, '^\s+|\s+$', '', 'g'), '') AS parent_label, {_FLAGS} FROM label_table WHERE regexp_replace(label, '^\s+|\s+$', '', 'g') <> ''""")
+def label_csv_scan(spark, sf):
+    """The label table, written as the CSV file it comes as and read again."""
+    path = _folder(spark, "label_csv_scan")
+    names = [c.split()[0] for c in R.LABEL_COLUMNS.split(", ")]
+    t = table(spark, sf, "label_table").select(*[F.upper(F.col(c).cast("string")).alias(c) if c in R.LABEL_FLAGS else F.col(c) for c in names])
+    t.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return R.label_csv(spark, path).select("label", "parent_label", *R.LABEL_FLAGS)
+
+
+@query(r"""SELECT DISTINCT regexp_replace(label, '^\s+|\s+$', '', 'g') AS label FROM label_table WHERE regexp_replace(label, '^\s+|\s+$', '', 'g') <> ''""")
+def label_list_scan(spark, sf):
+    """The labels as a YAML list."""
+    path = _folder(spark, "label_list_scan")
+    label_clean(spark, sf).select(F.concat(F.lit("- "), "label").alias("value")).distinct().write.text(path)
+    return R.label_list(spark, path).select(X.trim(F.col("label")).alias("label"))
+
+
+@query("""SELECT name, meta.date AS date, len(meta.events)::BIGINT AS events, md5(private.cleancontent.content) AS content_md5, private.scrapeddata.url AS url FROM corpus_item""")
+def corpus_json_scan(spark, sf):
+    """The stored items as JSON lines."""
+    path = _folder(spark, "corpus_json_scan")
+    _items(spark, sf).select("name", "meta", "private").write.json(path)
+    size = F.when(F.col("meta.events").isNotNull(), F.size("meta.events")).cast("bigint")
+    return R.corpus_items(spark, path).select("name", F.col("meta.date").alias("date"), size.alias("events"), F.md5("private.cleancontent.content").alias("content_md5"), F.col("private.scrapeddata.url").alias("url"))
+
+
+_TRIPLES = r"""SELECT 'c' || row_no AS subject, p AS predicate, CASE p WHEN 'label' THEN label WHEN 'hasExactSynonym' THEN synonym ELSE 'p ' || parent END AS object FROM (SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, nullif(regexp_replace(synonym, '^\s+|\s+$', '', 'g'), '') AS synonym,
+nullif(regexp_replace(parent_label, '^\s+|\s+$', '', 'g'), '') AS parent FROM label_table), (SELECT unnest(['label', 'hasExactSynonym', 'note']) AS p) WHERE label <> '' AND CASE p WHEN 'label' THEN label WHEN 'hasExactSynonym' THEN synonym ELSE parent END IS NOT NULL"""
+
+
+def _class_lines(spark, sf):
+    t = R.cleaned_labels(table(spark, sf, "label_table").select("row_no", "label", "synonym", "parent_label"))
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    return t.select(F.concat(F.lit("http://x.org/o#c"), "row_no").alias("s"), quoted(F.col("label")).alias("label"), quoted(F.col("synonym")).alias("synonym"), quoted(F.concat(F.lit("p "), "parent_label")).alias("parent"))
+
+
+@query(_TRIPLES)
+def triples_scan(spark, sf):
+    """The label table as N-Triples, one statement a line."""
+    path = _folder(spark, "triples_scan")
+    c = _class_lines(spark, sf)
+    line = lambda p, o: F.when(F.col(o).isNotNull(), F.concat(F.lit("<"), "s", F.lit(f"> <http://x.org/o#{p}> "), o, F.lit("@en .")))
+    c.select(F.explode(F.array_compact(F.array(line("label", "label"), line("hasExactSynonym", "synonym"), line("note", "parent")))).alias("value")).write.text(path)
+    return R.rdf_triples(spark, path).select("subject", "predicate", F.regexp_replace(F.regexp_replace("object", r'\\"', '"'), r"\\\\", r"\\").alias("object"))
+
+
+@query(_TRIPLES)
+def turtle_scan(spark, sf):
+    """The label table as Turtle files with a prefix and lists of predicates."""
+    path = _folder(spark, "turtle_scan")
+    c = _class_lines(spark, sf)
+    more = lambda p, o: F.when(F.col(o).isNotNull(), F.concat(F.lit(f" ;\n  o:{p} "), o)).otherwise("")
+    c.select(F.concat(F.lit("@prefix o: <http://x.org/o#> .\n<"), "s", F.lit("> o:label "), "label", F.lit("@en"), more("hasExactSynonym", "synonym"), more("note", "parent"), F.lit(" .")).alias("value")).write.text(path)
+    return R.turtle_triples(spark, path)
+
+
+@query(r"""SELECT row_no, regexp_replace(label || ' (disorder)', '\s\((disorder|(morphologic abnormality)|finding)?\)', '', 'g') AS plain, replace(split_part(label, '.', 1), '_', ' ') AS lemma, array_to_string(list_filter(list_transform(string_split(replace(label, ' ', '/'), '/'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts,
+is_pathogen AS pathogen FROM label_table WHERE label IS NOT NULL""")
+def label_strings(spark, sf):
+    """Labels without a qualifier, as a lemma's name, in parts, and a flag read from text."""
+    t = table(spark, sf, "label_table").where("label is not null")
+    c = F.col("label")
+    return t.select("row_no", X.without_qualifier(F.concat(c, F.lit(" (disorder)"))).alias("plain"), X.lemma_name(c).alias("lemma"), F.array_join(X.split_trimmed(F.replace(c, F.lit(" "), F.lit("/")), "/"), "|").alias("parts"), X.bool_argument(F.upper(F.col("is_pathogen").cast("string"))).alias("pathogen"))
+
+
+@query("""SELECT DISTINCT regexp_replace(label, '^\\s+|\\s+$', '', 'g') AS _id FROM label_table WHERE regexp_replace(label, '^\\s+|\\s+$', '', 'g') <> ''""")
+def label_names_saved(spark, sf):
+    """The label names as they are saved for the list of diseases."""
+    from ..sources import writers as W
+
+    path = _folder(spark, "label_names_saved")
+    W.save_label_names(label_clean(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query("WITH " + instants_sql("SELECT item_id, received_at, meta.date AS t, NULL::VARCHAR AS tz FROM corpus_item") + " SELECT item_id, CASE WHEN year(make_timestamp(utc_us)) >= 1900 AND utc_us <= epoch_us(received_at) + 86400000000 THEN utc_us END AS utc_us FROM instants")
+def sane_dates(spark, sf):
+    """Dates of items, unless they lie before 1900 or more than a day after the item was received."""
+    from ..operators import posts as P
+
+    d = _items(spark, sf).where("meta.date is not null").select("item_id", TS.utc_micros(F.col("meta.date")).alias("u"), F.unix_micros(F.col("received_at").cast("timestamp")).alias("seen"))
+    return d.select("item_id", P.sane_date(F.col("u"), F.col("seen")).alias("utc_us"))
+
+
+@query("""SELECT item_id, md5(to_json({'item_id': item_id, 'name': name, 'split': split, 'received_at': strftime(received_at, '%Y-%m-%dT%H:%M:%S')})::VARCHAR) AS json_md5 FROM corpus_item""")
+def item_json(spark, sf):
+    """Items as JSON objects, nulls kept and times in ISO form."""
+    from ..functions import structs as ST
+
+    return _items(spark, sf).select("item_id", F.md5(ST.json_row("item_id", "name", "split", "received_at")).alias("json_md5"))
+
+
+@query("""SELECT item_id, array_to_string(list_transform(flatten([coalesce(labels, []), ['infection', 'death']]), lambda x: CASE x WHEN 'infection' THEN 'case' WHEN 'death' THEN 'deaths' ELSE x END), '|') AS attributes FROM (SELECT item_id, list_filter(flatten(list_transform(meta.events, lambda e: coalesce(e.diseases, []))), lambda x: x IS NOT NULL) AS labels FROM corpus_item)""")
+def remapped_attributes(spark, sf):
+    """Nested lists flattened, and attributes replaced by a map."""
+    from ..functions import structs as ST
+
+    own = F.filter(F.coalesce(H.diseases(), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    both = ST.flattened(F.array(own, F.array(F.lit("infection"), F.lit("death"))), 1)
+    return _items(spark, sf).select("item_id", F.array_join(ST.remapped(both, {"infection": "case", "death": "deaths"}), "|").alias("attributes"))

@@ -412,3 +412,31 @@ def grouped_fetches(spark, sf):
 def first_rows(spark, sf):
     got = C.first_rows(table(spark, sf, "corpus_item").where("split = 'mixed_test'").select("item_id"), 100, "item_id")
     return got.select("item_id", F.col("position").cast("bigint").alias("position"))
+
+
+@query(f"WITH {_LEX}, t AS (SELECT {_TYPES} AS type, * FROM lex) SELECT DISTINCT type AS collection, keyword FROM t WHERE type IS NOT NULL")
+def keyword_collections(spark, sf):
+    """The lexicon, saved as one collection a type and read again; a keyword that repeats within one would be refused."""
+    from ..sources import writers as W
+
+    path = Scratch(spark, "keyword_collections").root
+    W.save_collections(_lexicon(spark, sf).select("keyword", "category").withColumn("type", L.keyword_type(F.col("category"))).where("type is not null").dropDuplicates(["type", "keyword"]), path)
+    return spark.read.parquet(path).select(F.col("collection").cast("string").alias("collection"), "keyword")
+
+
+@query(r"""WITH l AS (SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, nullif(regexp_replace(synonym, '^\s+|\s+$', '', 'g'), '') AS synonym FROM label_table WHERE regexp_replace(label, '^\s+|\s+$', '', 'g') <> ''), q AS (SELECT lower(max(coalesce(synonym, label))) AS q FROM l)
+SELECT DISTINCT row_no AS entity_id, label FROM l, q WHERE lower(label) = q.q OR lower(synonym) = q.q""")
+def entity_lookups(spark, sf):
+    """Entities with a synonym equal to the last one by name, in capitals."""
+    t = R.cleaned_labels(table(spark, sf, "label_table").select("row_no", "label", "synonym"))
+    e = t.select(F.col("row_no").alias("entity_id"), "label", F.lit("disease").alias("kind"))
+    s = t.select(F.col("row_no").alias("entity_id"), F.explode(F.array_compact(F.array("label", "synonym"))).alias("synonym"))
+    asked = t.agg(F.max(F.coalesce("synonym", "label"))).first()[0] or ""
+    return R.entity_lookup(e, s, asked.upper()).select("entity_id", "label")
+
+
+@query(r"""SELECT scrape_id, regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1) AS path, url_decode(replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '/', '%2F')) AS decoded FROM scrape_result WHERE url IS NOT NULL""")
+def url_paths(spark, sf):
+    """Paths of links, as they stand and with percent escapes read."""
+    p = U.path(F.col("url"))
+    return table(spark, sf, "scrape_result").where("url is not null").select("scrape_id", p.alias("path"), F.try_url_decode(F.replace(p, F.lit("/"), F.lit("%2F"))).alias("decoded"))

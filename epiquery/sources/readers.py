@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -61,15 +62,91 @@ def rdf_triples(spark: SparkSession, *paths: str) -> DataFrame:
     return lines.where(F.col("value").rlike(rx)).select(short(g(1)).alias("subject"), short(g(2)).alias("predicate"), F.when(g(3) != "", short(g(3))).otherwise(g(4)).alias("object"))
 
 
+_TERM = re.compile(r'''\s+|\#[^\n]*|(?P<iri><[^>]*>)|"""(?P<long>(?:[^"\\]|\\.|"(?!""))*)"""|"(?P<text>(?:[^"\\\n]|\\.)*)"|(?P<at>@[A-Za-z-]+)|(?P<type>\^\^)|(?P<mark>[;,.\[\]()])|(?P<name>[^\s;,<>"\[\]()]*[^\s;,.<>"\[\]()])''')
+
+
+def _turtle(text: str) -> list[tuple[str, str, str]]:
+    """Triples of a Turtle document by local names: prefixes, predicate and object lists, literals with language or type. Blank nodes are skipped."""
+    out, subject, predicate, depth, directive, typed = [], None, None, 0, False, False
+    short = lambda x: re.sub(r"^.*[/#:]", "", x.strip("<>"))
+    for m in _TERM.finditer(text):
+        kind = m.lastgroup
+        if kind is None:
+            continue
+        if kind == "mark":
+            depth += {"[": 1, "(": 1, "]": -1, ")": -1}.get(m[0], 0)
+            if not depth and m[0] in ".;":
+                predicate = None
+                if m[0] == ".":
+                    subject, directive = None, False
+            continue
+        if kind == "at" and m[0] in ("@prefix", "@base") or kind == "name" and m[0].upper() in ("PREFIX", "BASE") and subject is None:
+            directive = m[0][0] == "@" or None
+            continue
+        if directive is None:  # without @, a directive ends with its link
+            directive = None if kind == "name" else False
+            continue
+        if depth or directive or kind == "at":
+            continue
+        if kind == "type" or typed:
+            typed = kind == "type"
+            continue
+        value = m["long"] if kind == "long" else m["text"] if kind == "text" else short(m[0])
+        if kind in ("long", "text"):
+            value = re.sub(r'\\(["\\])', r"\1", value)
+        if subject is None:
+            subject = value
+        elif predicate is None:
+            predicate = "type" if m[0] == "a" else value
+        else:
+            out.append((subject, predicate, value))
+    return out
+
+
+def turtle_triples(spark: SparkSession, *paths: str) -> DataFrame:
+    """(subject, predicate, object) of Turtle files, local names only, each file read by one task; missing files are skipped."""
+
+    def rows(batches):
+        for batch in batches:
+            got = [t for text in batch.column(0).to_pylist() for t in _turtle(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in got], pa.string()) for i in range(3)], names=["subject", "predicate", "object"])
+
+    found = [x for x in paths if _exists(spark, x)]
+    files = spark.read.option("ignoreMissingFiles", "true").text(found, wholetext=True) if found else spark.createDataFrame([], "value string")
+    return files.mapInArrow(rows, "subject string, predicate string, object string")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+
+
+#: elements of an RDF/XML class that hold text, by the name of their predicate
+TEXTS = {"label": "rdfs:label", "hasExactSynonym": "oboInOwl:hasExactSynonym", "hasRelatedSynonym": "oboInOwl:hasRelatedSynonym", "hasNarrowSynonym": "oboInOwl:hasNarrowSynonym", "definition": "obo:IAO_0000115"}
+
+
 def rdf_xml(spark: SparkSession, path: str, row_tag: str = "owl:Class") -> DataFrame:
-    """Triples of the classes of an RDF/XML ontology: label and subClassOf."""
-    schema = "`_rdf:about` string, `rdfs:label` array<struct<_VALUE string>>, `rdfs:subClassOf` array<struct<`_rdf:resource` string>>"
+    """Triples of the classes of an RDF/XML ontology: labels, synonyms, definition and subClassOf."""
+    schema = "`_rdf:about` string, " + ", ".join(f"`{e}` array<struct<_VALUE string>>" for e in TEXTS.values()) + ", `rdfs:subClassOf` array<struct<`_rdf:resource` string>>"
     x = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
     short = lambda c: F.regexp_replace(c, r"^.*[/#]", "")
-    s = short(F.col("`_rdf:about`")).alias("subject")
-    labels = x.select(s, F.explode("rdfs:label").alias("o")).select("subject", F.lit("label").alias("predicate"), F.col("o._VALUE").alias("object"))
-    parents = x.select(s, F.explode("rdfs:subClassOf").alias("o")).select("subject", F.lit("subClassOf").alias("predicate"), short(F.col("o.`_rdf:resource`")).alias("object"))
-    return labels.unionByName(parents).where("object is not null")
+    texts = [F.transform(F.coalesce(F.col(f"`{e}`"), F.array()), lambda o, p=p: F.struct(F.lit(p).alias("predicate"), o["_VALUE"].alias("object"))) for p, e in TEXTS.items()]
+    parents = F.transform(F.coalesce(F.col("`rdfs:subClassOf`"), F.array()), lambda o: F.struct(F.lit("subClassOf").alias("predicate"), short(o["_rdf:resource"]).alias("object")))
+    t = x.select(short(F.col("`_rdf:about`")).alias("subject"), F.explode(F.concat(*texts, parents)).alias("t"))
+    return t.select("subject", "t.predicate", "t.object").where("object is not null")
+
+
+def synsets(spark: SparkSession, path: str) -> DataFrame:
+    """Word senses as JSON lines: (synset, pos, lemmas, hyponyms, derived); synset names are "<lemma>.<pos>.<number>"."""
+    return spark.read.schema("synset string, pos string, lemmas array<string>, hyponyms array<string>, derived array<string>").json(path)
+
+
+def senses(words: DataFrame, word: str, first: int = 0, past: int | None = None, nouns_only: bool = False) -> DataFrame:
+    """The synsets of a word in the order of their numbers, cut to [first, past)."""
+    n = F.regexp_extract("synset", r"\.(\d+)$", 1).cast("int")
+    own = words.where(F.array_contains("lemmas", word) & ((F.col("pos") == "n") if nouns_only else F.lit(True)))
+    r = own.withColumn("place", F.row_number().over(Window.orderBy(n, "synset")) - 1)  # the senses of one word
+    return r.where((F.col("place") >= first) & (F.col("place") < past if past is not None else F.lit(True))).drop("place")
 
 
 def sheet_key(url: str) -> str | None:
