@@ -130,7 +130,8 @@ def rdf_xml(spark: SparkSession, path: str, row_tag: str = "owl:Class") -> DataF
     schema = "`_rdf:about` string, " + ", ".join(f"`{e}` array<struct<_VALUE string>>" for e in TEXTS.values()) + ", `rdfs:subClassOf` array<struct<`_rdf:resource` string>>"
     x = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
     short = lambda c: F.regexp_replace(c, r"^.*[/#]", "")
-    texts = [F.transform(F.coalesce(F.col(f"`{e}`"), F.array()), lambda o, p=p: F.struct(F.lit(p).alias("predicate"), o["_VALUE"].alias("object"))) for p, e in TEXTS.items()]
+    named = lambda p: lambda o: F.struct(F.lit(p).alias("predicate"), o["_VALUE"].alias("object"))
+    texts = [F.transform(F.coalesce(F.col(f"`{e}`"), F.array()), named(p)) for p, e in TEXTS.items()]
     parents = F.transform(F.coalesce(F.col("`rdfs:subClassOf`"), F.array()), lambda o: F.struct(F.lit("subClassOf").alias("predicate"), short(o["_rdf:resource"]).alias("object")))
     t = x.select(short(F.col("`_rdf:about`")).alias("subject"), F.explode(F.concat(*texts, parents)).alias("t"))
     return t.select("subject", "t.predicate", "t.object").where("object is not null")

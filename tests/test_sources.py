@@ -52,3 +52,43 @@ def test_breaker():
         assert b.allows(t)
         b.record(False, t)
     assert not b.allows(5) and b.allows(11)
+
+
+def test_turtle(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text('''@prefix o: <http://x.org/o#> . # a comment
+PREFIX r: <http://www.w3.org/2000/01/rdf-schema#>
+<http://x.org/o#a> a o:Class ; r:label "Bog; or \\"fen\\"."@en , "Moor"^^<http://x.org/string> ;
+  r:subClassOf o:b ; o:part [ o:q "skipped" ; o:z (1 2) ] ; o:note """two
+lines""" .
+o:b r:label "Wet. land" .
+''')
+    (tmp_path / "b.ttl").write_text("")
+    got = rows(R.turtle_triples(spark, f"{tmp_path}/a.ttl", f"{tmp_path}/b.ttl", f"{tmp_path}/missing.ttl"))
+    assert got == sorted([("a", "type", "Class"), ("a", "label", 'Bog; or "fen".'), ("a", "label", "Moor"), ("a", "subClassOf", "b"), ("a", "note", "two\nlines"), ("b", "label", "Wet. land")], key=repr)
+    assert R.turtle_triples(spark, f"{tmp_path}/missing.ttl").count() == 0
+
+
+def test_rdf_xml_synonyms_and_definitions(spark, tmp_path):
+    (tmp_path / "o.owl").write_text("""<rdf:RDF xmlns:rdf="r" xmlns:rdfs="s" xmlns:owl="o" xmlns:oboInOwl="i" xmlns:obo="b">
+<owl:Class rdf:about="http://x/DOID_4"><rdfs:label lang="en">disease</rdfs:label></owl:Class>
+<owl:Class rdf:about="http://x/DOID_5"><rdfs:label lang="en">flu</rdfs:label><oboInOwl:hasExactSynonym type="t">grippe</oboInOwl:hasExactSynonym><oboInOwl:hasNarrowSynonym type="t">bird flu</oboInOwl:hasNarrowSynonym>
+<obo:IAO_0000115 type="t">A disease that has_symptom fever.</obo:IAO_0000115><rdfs:subClassOf rdf:resource="http://x/DOID_4"/></owl:Class></rdf:RDF>""")
+    assert rows(R.rdf_xml(spark, f"{tmp_path}/o.owl")) == sorted([("DOID_4", "label", "disease"), ("DOID_5", "label", "flu"), ("DOID_5", "hasExactSynonym", "grippe"), ("DOID_5", "hasNarrowSynonym", "bird flu"), ("DOID_5", "definition", "A disease that has_symptom fever."), ("DOID_5", "subClassOf", "DOID_4")], key=repr)
+
+
+def test_senses_in_order(spark, tmp_path):
+    (tmp_path / "s.json").write_text("\n".join(f'{{"synset": "{s}", "pos": "{s.split(".")[1]}", "lemmas": ["host", "x"], "hyponyms": ["h"]}}' for s in ("host.n.10", "host.n.02", "host.v.01", "army.n.01")))
+    w = R.synsets(spark, f"{tmp_path}/s.json")
+    assert [r.synset for r in R.senses(w, "host").collect()] == ["army.n.01", "host.v.01", "host.n.02", "host.n.10"]
+    assert [r.synset for r in R.senses(w, "host", 1, 3, nouns_only=True).collect()] == ["host.n.02", "host.n.10"] and R.senses(w, "none").count() == 0
+
+
+def test_mining_saves_and_compares(spark, tmp_path):
+    from epiquery.operators import service as SV
+
+    one = spark.createDataFrame([(["flu", "grippe", "bad"], ["disease", None], "hm/disease")], "synonyms array<string>, parent_synonyms array<string>, category string")
+    two = spark.createDataFrame([(["Fever", "flu"], [], "eha/symptom")], one.schema)
+    assert SV.mine([one], f"{tmp_path}/k", ["bad"]) == {"keywords": 2, "new": 2, "removed": 0}
+    assert SV.mine([two], f"{tmp_path}/k") == {"keywords": 2, "new": 1, "removed": 1}
+    with pytest.raises(Exception, match="untrimmed keyword"):
+        SV.mine([spark.createDataFrame([(["a\t"], [], "x")], one.schema)], f"{tmp_path}/k")

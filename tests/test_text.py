@@ -90,8 +90,8 @@ def test_pages(spark):
 
     html = "<nav><a href=/>Home</a> <a href=/x>News</a></nav><p>" + "Long enough sentence about an outbreak. " * 3 + "</p><div>Share this</div>"
     assert one(spark, PG.main_text, html, "<p>short</p>", None) == [("Long enough sentence about an outbreak. " * 3).strip(), "short", None]
-    df = spark.createDataFrame([(bytearray("é".encode("latin-1")), "latin-1"), (bytearray(b"\xff"), "nope"), (None, None)], "b binary, e string")
-    assert [r[0] for r in df.select(PG.decoded("b", "e")).collect()] == ["é", "�", None]
+    df = spark.createDataFrame([(bytearray("é".encode("latin-1")), "latin-1"), (bytearray(b"\xff"), "nope"), (None, None), (bytearray("é".encode()), None), (bytearray(b"\xe9t\xe9"), None), (bytearray(b"\x81\x9f"), None)], "b binary, e string")
+    assert [r[0] for r in df.select(PG.decoded("b", "e")).collect()] == ["é", "�", None, "é", "été", "Ѓџ"]
 
 
 def test_locations(spark):
@@ -126,3 +126,12 @@ def test_markup_takes_linear_time(spark, piece):
 
     took(1000)
     assert took(4_000_000) < 10 * max(took(1_000_000), 0.3)
+
+
+def test_page_text_leaves_out_scripts_titles_and_comments(spark):
+    from epiquery.functions import pages as PG
+
+    body = "This is the first sentence of the article, and it is long enough. " * 2
+    page = f"<html><head><title>T it le</title><style>p {{x}}</style></head><body><!-- <p>no</p> --><script>if (a<b) 'x'</script><p>{body}</p><ul><li><a href='#'>More</a></li></ul><noscript>off</noscript></body></html>"
+    got = spark.createDataFrame([(page,), (None,), ("",), ("plain",)], "t string").coalesce(1).select(PG.main_text(F.col("t")), F.array_join(F.transform(PG.paragraphs(F.col("t")), lambda p: p["text"]), "|")).collect()
+    assert got[0][0] == body.strip() and got[0][1] == f"{body.strip()}|More" and got[1][0] is None and got[2][0] == "" and got[3][0] == "plain"
