@@ -29,14 +29,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
-def hashed_part(df: DataFrame, key: Column, rows: int, spare: int = 4) -> DataFrame:
-    """df with `__k`, the hash of a key, cut to about spare x rows rows by that hash: what a bounded sample is drawn from. Filter first, so
-    that only rows that may be drawn count.
+def bounded_sample(df: DataFrame, key: Column, rows: int, spare: int = 4) -> DataFrame:
+    """df with `__k`, the hash of a key, cut to the first `rows` rows by that hash.
 
-    A top-n over the whole table would send n rows of every partition to the driver; of this part few partitions have any."""
+    Filter first, so that only rows that may be drawn count. Only hashes of about spare x rows rows are ranked, so what follows reads no more
+    rows than are drawn, at any size of the table."""
     n = df.count()
     d = df.withColumn("__k", F.xxhash64(key))
-    return d.where(F.col("__k") < F.lit(-(1 << 63) + (1 << 64) * spare * rows // n)) if n > spare * rows else d
+    part = d.where(F.col("__k") < F.lit(-(1 << 63) + (1 << 64) * spare * rows // n)) if n > spare * rows else d
+    last = part.select("__k").orderBy("__k").limit(rows).agg(F.max("__k")).first()[0]
+    return part.where(F.lit(False) if last is None else F.col("__k") <= last)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
