@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import hashed_part
+from ..storage import bounded_sample
 from . import textkit as K
 
 SAMPLE, STEPS, BATCH, HIDDEN, SPAN = 2000, 500, 32, 24, 4096
+#: the longest page and content of the sample, contents a name in it; pages on which a line stands (whole, or by its end, if short) that is a notice
+LONGEST, CONTENTS, OFTEN, TAILS, TAIL, SHORT, LONG = 200_000, 4, 4, 6, 40, 150, 130
 BLOCK_TAGS = frozenset(
     """address article aside blockquote body br button center dd details dialog div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hr html li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead tr ul""".split()
@@ -373,17 +375,17 @@ def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def training_pages(pages: DataFrame, page_id: Column, page: Column, name: Column, items: DataFrame, item_name: Column, content: Column, failed: Column, sample: int = SAMPLE) -> list[tuple[str, list[str], bool]]:
     """At most `sample` (page, contents stored under its name, whether it failed), spread by the hash of the page's id.
 
-    Only the sample's names are looked up in the items; at most four contents a name are taken."""
+    Only the sample's names are looked up in the items; at most CONTENTS of a name are taken. Nothing longer than LONGEST is."""
     usable = pages.where(name.isNotNull() | F.coalesce(failed, F.lit(False)))
-    p = hashed_part(usable, page_id, sample).select("__k", page.alias("page"), name.alias("name"), F.coalesce(failed, F.lit(False)).alias("failed"))
-    got = p.where("page is not null").orderBy("__k").limit(sample).collect()
+    p = bounded_sample(usable, page_id, sample).select("__k", page.alias("page"), name.alias("name"), F.coalesce(failed, F.lit(False)).alias("failed"))
+    got = sorted(p.where(F.length("page") <= LONGEST).collect(), key=lambda r: r["__k"])
     names = sorted({r.name for r in got if r.name is not None})
     known: dict[str, list[str]] = defaultdict(list)
     if names:
         wanted = pages.sparkSession.createDataFrame([(x,) for x in names], "name string")
-        i = items.select(item_name.alias("name"), content.alias("content")).where("content is not null").join(F.broadcast(wanted), "name", "left_semi")
+        i = items.select(item_name.alias("name"), content.alias("content")).where(f"length(content) <= {LONGEST}").join(F.broadcast(wanted), "name", "left_semi")
         order = Window.partitionBy("name").orderBy(F.xxhash64("content"), "content")  # cut at four before the shuffle too
-        for r in i.withColumn("r", F.row_number().over(order)).where("r <= 4").collect():
+        for r in i.withColumn("r", F.row_number().over(order)).where(f"r <= {CONTENTS}").collect():
             known[r.name].append(r.content)
     return [(r.page, known.get(r.name, []), r.failed) for r in got]
 
@@ -397,8 +399,8 @@ def fit(sample: list[tuple[str, list[str], bool]]) -> Labeller:
         lines = [{k for line in c.split("\n") if (k := squeezed(line))} for c in contents]
         parsed.append((b, title, keys, lines, failed))
     seen = Counter(k for _, _, keys, _, _ in parsed for k in set(keys))
-    tails = Counter(t for _, _, keys, _, _ in parsed for t in {k[-40:] for k in keys})
-    notice = lambda k: seen[k] >= 4 or len(k) <= 150 and tails[k[-40:]] >= 6
+    tails = Counter(t for _, _, keys, _, _ in parsed for t in {k[-TAIL:] for k in keys})
+    notice = lambda k: seen[k] >= OFTEN or len(k) <= SHORT and tails[k[-TAIL:]] >= TAILS
     xs, ys = [], []
     for b, title, keys, lines, failed in parsed:
         if not b:
@@ -408,7 +410,7 @@ def fit(sample: list[tuple[str, list[str], bool]]) -> Labeller:
         own = {k for k in best if not notice(k)}
         if not failed and len(own & have) < 0.9 * max(1, len(own)):
             continue  # another text was stored under the name, or it was edited
-        if any(seen[k] >= 4 and len(k) > 130 for k in best):
+        if any(seen[k] >= OFTEN and len(k) > LONG for k in best):
             continue  # an article that stands on many pages: its lines can't be told from notices
         xs.append(vectors([b], [title]))
         ys.append(np.array([not failed and k in own for k in keys], dtype=np.float32))

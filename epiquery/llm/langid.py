@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import hashed_part
+from ..storage import bounded_sample
 from . import textkit as K
 
 #: code -> three-letter codes and English name
@@ -29,6 +29,8 @@ LANGUAGES = {
 }
 CODES = list(LANGUAGES)
 BITS = 15
+#: characters of the longest text in the sample
+LONGEST = 50_000
 #: nats a character: what a paragraph needs against the language of its text, and a sample's paragraph against its label
 MARGIN, RELABEL = 0.6, 0.5
 _NAMES = {x: c for c, xs in LANGUAGES.items() for x in (c, *xs)}
@@ -115,9 +117,10 @@ def fit(texts: list[str], labels: list[str | None], rounds: int = 3, smoothing:
 
 
 def labelled_sample(df: DataFrame, key: Column, text: Column, label: Column, rows: int = 4000) -> tuple[list[str], list[str]]:
-    """At most `rows` labelled texts for fit(), spread evenly by the hash of a key; the bound holds at every size of the data."""
+    """At most `rows` labelled texts for fit(), none longer than LONGEST, spread evenly by the hash of a key; the bounds hold at every size of the data."""
     named = F.lower(F.trim(label)).rlike("^([a-z]{2}([-_][a-z0-9]+)*|[a-z]{3}|[a-z]{4,})$") & ~F.lower(label).isin("und", "xx")
-    got = hashed_part(df.where(named), key, rows).where(text.isNotNull()).select("__k", text.alias("t"), label.alias("l")).orderBy("__k").limit(rows).collect()
+    got = bounded_sample(df.where(named), key, rows).where(F.length(text) <= LONGEST).select("__k", text.alias("t"), label.alias("l")).collect()
+    got.sort(key=lambda r: r["__k"])
     return [r.t for r in got], [r.l for r in got]
 
 
