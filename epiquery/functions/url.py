@@ -29,6 +29,14 @@ def unwrapped(url: Column) -> Column:
     return F.when(F.contains(host(url), F.lit("news.google.com")), F.coalesce(query_value(url, "url"), url)).otherwise(url)
 
 
+def followed(url: Column, redirects: Column, most: int = 3) -> Column:
+    """Where a link leads: the last of its redirects, and out of news search links, up to `most` of them one inside another."""
+    out = F.coalesce(F.get(redirects, F.size(redirects) - 1)["url"], url)
+    for _ in range(most):
+        out = unwrapped(out)
+    return out
+
+
 def route(url: Column) -> Column:
     """How a link is fetched; the rules apply in this order."""
     h = host(url)

@@ -39,9 +39,13 @@ def closure(edges: DataFrame, child: str, parent: str, scratch: Scratch) -> Data
 
 
 def within(pairs: DataFrame, child: str, root: str) -> DataFrame:
-    """Closure pairs of the nodes below `root`, the root itself left out as an ancestor."""
-    below = pairs.where(F.col("ancestor") == root).select(child).distinct()
-    return pairs.join(below, child, "left_semi").join(below.select(F.col(child).alias("ancestor")), "ancestor", "left_semi").select(child, "ancestor")
+    """Closure pairs of the nodes below `root`, the root itself left out as an ancestor. A root that nothing leads to is an error, raised when
+    the first row is read."""
+    below = pairs.where((F.col("ancestor") == root) & (F.col(child) != root)).select(child).distinct()
+    inside = pairs.join(below, child, "left_semi").join(below.select(F.col(child).alias("ancestor")), "ancestor", "left_semi").select(child, "ancestor")
+    n = pairs.where(F.col("ancestor") == root).limit(1).agg(F.count("*").alias("n"))
+    missing = n.where("n = 0").select(F.raise_error(F.lit(f"no way leads to {root}")).cast("string").alias(child)).select(child, F.col(child).alias("ancestor"))
+    return inside.unionByName(missing)
 
 
 def linked_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:

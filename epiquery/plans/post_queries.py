@@ -440,3 +440,72 @@ def url_paths(spark, sf):
     """Paths of links, as they stand and with percent escapes read."""
     p = U.path(F.col("url"))
     return table(spark, sf, "scrape_result").where("url is not null").select("scrape_id", p.alias("path"), F.try_url_decode(F.replace(p, F.lit("/"), F.lit("%2F"))).alias("decoded"))
+
+
+_SECTIONS = r"""sec AS (SELECT doc_id, i - 1 AS idx, regexp_replace(s[i], '^\s+|\s+$', '', 'g') AS section FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(?m)^\[\d\] (\w+)$', 'Source: \1' || chr(10), 'g'), '(?m)^[*#]{3,}[ \t\r\f]*$') AS s FROM documents WHERE text LIKE 'Subject:%')))"""
+_NOTICE_SQL = P.NOTICE.replace("'", "''")
+
+
+def _post_texts(spark, sf):
+    return _docs(spark, sf).where(F.col("text").startswith("Subject:")).select("doc_id", F.regexp_replace("text", r"(?m)^\[\d\] (\w+)$", "Source: $1\n").alias("t"))
+
+
+@query(rf"""WITH {_SECTIONS}, k AS (SELECT *, CASE WHEN regexp_matches(section, 'Source:\s[^\[\n]+(\s(\[.*))?\n') OR regexp_matches(section, '(?m)^Date:\s[^(\[\n]+') THEN 'article' WHEN regexp_matches(section, '{_NOTICE_SQL}') THEN 'notice' WHEN regexp_matches(section, '{P.CONTENTS}') THEN 'contents'
+  WHEN regexp_matches(section, '{P.VARIOUS}') THEN 'various' WHEN section = '' THEN 'empty' WHEN idx = 0 AND length(section) - length(replace(section, chr(10), '')) < 2 THEN 'title' ELSE 'text' END AS kind FROM sec),
+o AS (SELECT *, last_value(CASE WHEN kind <> 'text' THEN kind END IGNORE NULLS) OVER w AS open, count(*) FILTER (WHERE kind = 'article') OVER w AS article FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
+SELECT doc_id, (article - 1)::BIGINT AS article, md5(string_agg(section, chr(10) || '#####' || chr(10) ORDER BY idx)) AS article_md5 FROM o WHERE kind = 'article' OR kind = 'text' AND open = 'article' GROUP BY doc_id, article""")
+def post_article_texts(spark, sf):
+    """The articles of the posts, with the sections that continue them."""
+    return P.articles(_post_texts(spark, sf), "doc_id", F.col("t")).select("doc_id", F.col("article").cast("bigint").alias("article"), F.md5("section").alias("article_md5"))
+
+
+@query(rf"""WITH {_SECTIONS} SELECT doc_id, idx::BIGINT AS idx, nullif(regexp_extract(section, '(?m)^Date:\s([^(\[\n]+)', 1), '') AS date_text, nullif(regexp_extract(section, 'Source:\s([^\[\n]+)(?:\s(\[.*))?\n(http.+)?', 1), '') AS source_name,
+nullif(regexp_extract(section, 'Source:\s([^\[\n]+)(?:\s(\[.*))?\n(http.+)?', 2), '') AS source_edits, nullif(regexp_extract(section, 'Source:\s([^\[\n]+)(?:\s(\[.*))?\n(http.+)?', 3), '') AS source_url FROM sec""")
+def article_sources(spark, sf):
+    """Date and source of every section of the posts."""
+    f = P.article_fields(F.col("section"))
+    return P.sections(_post_texts(spark, sf), F.col("t"), "doc_id").select("doc_id", F.col("idx").cast("bigint").alias("idx"), *[f[c].alias(c) for c in ("date_text", "source_name", "source_edits", "source_url")])
+
+
+@query(r"""WITH c AS (SELECT doc_id, text, list_filter(regexp_extract_all(text, '(?s)\[.+?\]'), lambda x: regexp_matches(x, '-\s?Mod\.\s?(\w+)')) AS c FROM documents WHERE text LIKE 'Subject:%')
+SELECT doc_id, len(c)::BIGINT AS comments, array_to_string(list_transform(c, lambda x: regexp_extract(x, '-\s?Mod\.\s?(\w+)', 1)), ' ') AS moderators, array_to_string(regexp_extract_all(text, '\d{8}\.\d+'), ' ') AS reports,
+md5(list_reduce(list_prepend(text, c), lambda a, x: replace(a, x, ''))) AS text_md5 FROM c""")
+def post_comments(spark, sf):
+    """Moderators' comments and linked reports of the posts, and the texts without the comments."""
+    t = F.col("text")
+    m = P.moderator_comments(t)
+    d = _docs(spark, sf).where(t.startswith("Subject:"))
+    return d.select("doc_id", F.size(m).cast("bigint").alias("comments"), F.array_join(m["moderator"], " ").alias("moderators"), F.array_join(P.linked_reports(t), " ").alias("reports"), F.md5(P.without_comments(t)).alias("text_md5"))
+
+
+@query(r"""SELECT scrape_id, CASE WHEN contains(h, 'news.google.com') THEN coalesce(nullif(regexp_extract(u, '[?&]url=([^&#]*)', 1), ''), u) ELSE u END AS target FROM (SELECT scrape_id, u, regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS h
+FROM (SELECT scrape_id, coalesce(redirects[len(redirects)].url, sourceurl) AS u FROM scrape_result)) WHERE u IS NOT NULL""")
+def followed_links(spark, sf):
+    """Where the links of the fetched pages lead in the end."""
+    t = table(spark, sf, "scrape_result").select("scrape_id", U.followed(F.col("sourceurl"), F.col("redirects")).alias("target"))
+    return t.where("target is not null")
+
+
+_SYNSETS = r"""sy AS (SELECT row_no, list_filter([regexp_replace(label, '^\s+|\s+$', '', 'g'), nullif(regexp_replace(synonym, '^\s+|\s+$', '', 'g'), '')], lambda x: x IS NOT NULL AND x <> '' AND x NOT IN ('Fever', 'Plague')) AS synonyms, nullif(regexp_replace(parent_label, '^\s+|\s+$', '', 'g'), '') AS parent FROM label_table WHERE regexp_replace(label, '^\s+|\s+$', '', 'g') <> '')"""
+
+
+@query(rf"""WITH {_SYNSETS}, k AS (SELECT unnest(list_distinct(synonyms)) AS keyword, CASE WHEN parent IS NULL THEN '' ELSE '[linked] ' || parent END AS linked FROM sy)
+SELECT keyword, linked, NOT contains(keyword, ' ') AND length(keyword) <= 6 AND upper(keyword) = keyword AS case_sensitive, row_number() OVER (PARTITION BY keyword ORDER BY linked) > 1 AS duplicate FROM k""")
+def lexicon_build(spark, sf):
+    """A lexicon of the label table's names and synonyms without excluded terms, linked to parents."""
+    t = R.cleaned_labels(table(spark, sf, "label_table").select("label", "synonym", "parent_label"))
+    synsets = t.select(F.array_compact(F.array("label", "synonym")).alias("synonyms"), F.array("parent_label").alias("parent_synonyms"), F.lit("hm/disease").alias("category"))
+    built = L.checked(L.build(L.excluding(synsets, ["Fever", "Plague"], "synonyms")))
+    return built.select("keyword", F.array_join("linked_keywords", "|").alias("linked"), "case_sensitive", "duplicate")
+
+
+_DEEPEST = "(SELECT ancestor FROM anc ORDER BY distance DESC, ancestor LIMIT 1)"
+
+
+@query(H.with_(f"SELECT DISTINCT w.label AS child, w.ancestor FROM walk w WHERE w.label <> w.ancestor AND w.label <> {_DEEPEST} AND w.ancestor <> {_DEEPEST} AND w.label IN (SELECT label FROM walk WHERE ancestor = {_DEEPEST}) AND w.ancestor IN (SELECT label FROM walk WHERE ancestor = {_DEEPEST})", H.LABELS))
+def closure_within(spark, sf):
+    """Ancestors of what lies below the label that stands highest above another, that label left out."""
+    s = Scratch(spark, "closure_within")
+    top = H.ancestors(spark, sf, s).orderBy(F.desc("distance"), "ancestor").first()
+    pairs = O.closure(H.label_edges(spark, sf, s).withColumnRenamed("label", "child"), "child", "parent", s)
+    return O.within(pairs, "child", top.ancestor) if top else pairs

@@ -254,3 +254,41 @@ def decoded_bytes(spark, sf):
     """Bytes of whole pages, decoded without being told their encoding."""
     s = table(spark, sf, "scrape_result").where("htmlcontent is not null")
     return s.select("scrape_id", F.md5(PG.decoded(F.encode("htmlcontent", "utf-8"), F.lit(None).cast("string"))).alias("text_md5"))
+
+
+@query(H.with_("SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS index FROM (SELECT DISTINCT feature FROM feat)", H.LABELS, H.KEYWORDS, H.FEATURES))
+def feature_vocabulary(spark, sf):
+    """All features of the documents, numbered in their order."""
+    from ..operators import train as TR
+
+    m = _model(spark, sf, "feature_vocabulary")
+    return TR.vocabulary(m.features(m.base(_docs(spark, sf), "doc_id", F.col("text")), "doc_id"), m.scratch)
+
+
+@query("""WITH e AS (SELECT item_id, CASE WHEN private.cleancontent.content <> '' THEN NULL WHEN private.scrapeddata.url <> '' THEN CASE WHEN regexp_matches(regexp_extract(private.scrapeddata.url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^.+\\.\\D+') THEN NULL ELSE 'Invalid URL' END ELSE 'Please provide a url or content to diagnose.' END AS error, private.cleancontent.content AS t FROM corpus_item)
+SELECT item_id, md5(CASE WHEN error IS NOT NULL THEN '{"error":"' || error || '"}' WHEN t IS NOT NULL THEN '{"n":' || length(t) || ', "source": {"cleanContent":' || to_json({'content': t})::VARCHAR || '}}' ELSE '{"n":0}' END) AS answer_md5 FROM e""")
+def answers_json(spark, sf):
+    """The JSON answer to each item as a request: an error, or a result with its source text."""
+    r = table(spark, sf, "corpus_item").select("item_id", F.col("private.cleancontent.content").alias("t"), F.col("private.scrapeddata.url").alias("url"))
+    d = D.dispatched(r, F.col("t"), F.col("url"), F.lit(None).cast("string")).withColumn("result", F.concat(F.lit('{"n":'), F.coalesce(F.length("t"), F.lit(0)).cast("string"), F.lit("}")))
+    return d.select("item_id", F.md5(D.answered(d, "result", "error", F.col("t"))).alias("answer_md5"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL""")
+def stream_windows(spark, sf):
+    """The windowed counts as a stream gives them: the event files read as micro-batches, with a watermark, until all is read."""
+    from ..streaming.jobs import collected_windows
+
+    got = collected_windows(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema, Scratch(spark, "stream_windows").root)
+    return got.withColumn("value", F.round("value", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(H.with_("SELECT doc_id, class, round(p, 9) AS p FROM guess", H.LABELS, H.KEYWORDS, H.FEATURES, H.SCORES))
+def stream_diagnosed(spark, sf):
+    """The documents read as a stream and diagnosed batch by batch."""
+    from ..streaming.jobs import diagnose_stream, file_stream
+
+    m, root = _model(spark, sf, "stream_diagnosed"), Scratch(spark, "stream_diagnosed").root
+    texts = file_stream(spark, f"{sf}/documents.parquet", table(spark, sf, "documents").schema)
+    diagnose_stream(texts, lambda d: D.diagnose(d, "doc_id", F.col("text"), m), f"{root}/out", f"{root}/progress").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("doc_id", "class", F.round("p", 9).alias("p"))

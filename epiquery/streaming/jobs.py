@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def diagnose_stream(texts: DataFrame, diagnose: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True):
@@ -19,17 +20,36 @@ def diagnose_stream(texts: DataFrame, diagnose: Callable[[DataFrame], DataFrame]
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
 
 
-def file_stream(spark: SparkSession, path: str, schema: str, per_batch: int = 64) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, per_batch: int = 64) -> DataFrame:
+    """The Parquet files of a folder as they come, or a single file."""
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        return r.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return r.parquet(path)
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """(window_start, kind, n, value) per tumbling window; rows later than the watermark are dropped."""
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     g = e.groupBy(F.window(ts, window).alias("w"), kind).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return g.select(F.col("w.start").alias("window_start"), kind, "n", "value")
 
 
+def collected_windows(spark: SparkSession, path: str, schema, root: str, per_batch: int = 64) -> DataFrame:
+    """windowed_counts of a folder (or file) of events read as a stream until its end: every window with all that was counted for it."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/windows-{epoch % 2}")
+        seen.append(epoch % 2)
+
+    seen: list[int] = []
+    counts = windowed_counts(file_stream(spark, path, schema, per_batch))
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/windows-{seen[-1]}") if seen else windowed_counts(spark.createDataFrame([], schema))
+
+
 class Breaker:
     """After more than `most` failures in a row, calls are refused until `rest` seconds after the last one. Driver side."""
 
