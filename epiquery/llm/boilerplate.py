@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import bounded_sample
+from ..storage import bounded_sample, spread
 from . import textkit as K
 
 SAMPLE, STEPS, BATCH, HIDDEN, SPAN = 2000, 500, 32, 24, 4096
@@ -455,7 +455,7 @@ def main_text(df: DataFrame, page_id: Column, page: Column, model: Labeller) ->
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.string(), pa.float64()))], names=["id", "position", "text", "probability"])
 
     d = df.select(page_id.cast("bigint").alias("id"), page.alias("page")).where("id is not null and page is not null")
-    return d.mapInArrow(rows, "id bigint, position int, text string, probability double")
+    return spread(d).mapInArrow(rows, "id bigint, position int, text string, probability double")
 
 
 def paragraph_keys(df: DataFrame, page_id: Column, page: Column, model: Labeller) -> DataFrame:
@@ -469,7 +469,7 @@ def paragraph_keys(df: DataFrame, page_id: Column, page: Column, model: Labeller
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string()))], names=["id", "para_key"])
 
     d = df.select(page_id.cast("bigint").alias("id"), page.alias("page")).where("id is not null and page is not null")
-    return d.mapInArrow(rows, "id bigint, para_key string")
+    return spread(d).mapInArrow(rows, "id bigint, para_key string")
 
 
 def _line_hash(text: str) -> int:
@@ -495,7 +495,7 @@ def line_counts(df: DataFrame, page_id: Column, page: Column, model: Labeller, n
 
     named = F.lit(None) if name is None else name
     d = df.select(page_id.cast("bigint").alias("id"), page.alias("page"), named.cast("string").alias("name")).where("id is not null and page is not null")
-    return d.mapInArrow(rows, "name string, key bigint, article bigint, pages bigint").groupBy("name", "key").agg(F.sum("article").alias("article"), F.sum("pages").alias("pages"))
+    return spread(d).mapInArrow(rows, "name string, key bigint, article bigint, pages bigint").groupBy("name", "key").agg(F.sum("article").alias("article"), F.sum("pages").alias("pages"))
 
 
 def furniture(counts: DataFrame, least_pages: int = 1) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import bounded_sample
+from ..storage import bounded_sample, spread
 from . import textkit as K
 
 #: code -> three-letter codes and English name
@@ -136,7 +136,7 @@ def label_paragraphs(df: DataFrame, logp: np.ndarray, id_col: Column, fields: di
             yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t in text], pa.int64()), pa.array([field] * len(text), pa.string()), pa.array(n, pa.int64()), pa.array([CODES[c] for c in lang], pa.string()), pa.array(sure, pa.float64())], names=["id", "field", "paragraph", "lang", "confidence"])
 
     rows = df.select(id_col.cast("bigint").alias("id"), *[c.alias(f) for f, c in fields.items()])
-    return rows.mapInArrow(label, "id bigint, field string, paragraph bigint, lang string, confidence double")
+    return spread(rows).mapInArrow(label, "id bigint, field string, paragraph bigint, lang string, confidence double")
 
 
 def _scored(batches: Iterator[pa.RecordBatch], logp: np.ndarray, fields: list[str], min_words: int, min_text_words: int) -> Iterator[tuple]:
@@ -175,4 +175,4 @@ def wrong_labels(df: DataFrame, logp: np.ndarray, id_col: Column, fields: dict[s
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))], names=["id", "field", "lang"])
 
     cols = [c.alias(n) for f, (t, lab) in fields.items() for n, c in ((f, t), (f"{f}_label", lab))]
-    return df.select(id_col.cast("bigint").alias("id"), *cols).mapInArrow(found, "id bigint, field string, lang string")
+    return spread(df.select(id_col.cast("bigint").alias("id"), *cols)).mapInArrow(found, "id bigint, field string, lang string")

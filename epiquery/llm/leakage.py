@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, small_enough
+from ..storage import Scratch, small_enough, spread
 from . import textkit as K
 from .sharedspans import long_runs, winnow
 
@@ -207,7 +207,7 @@ def _consistency(x: list, y: list, least: int) -> tuple[int, int]:
 
 
 def _rows(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
-    return df.select(id_col.cast("bigint").alias("id"), text.alias("text")).where("id is not null and text is not null")
+    return spread(df.select(id_col.cast("bigint").alias("id"), text.alias("text")).where("id is not null and text is not null"))
 
 
 def leaked(docs: DataFrame, doc_id: Column, doc_text: Column, items: DataFrame, item_id: Column, item_text: Column, scratch: Scratch, least: int = 20, mode: str = "same", window: int | None = None) -> DataFrame:

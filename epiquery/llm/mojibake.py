@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
+from ..storage import spread
 from . import textkit as K
 
 #: gain at which a restoration counts, cost at which a word is garbled without one, most expansions of a first search and of the second
@@ -297,4 +298,4 @@ def repaired_rows(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
 def _texts(df: DataFrame, id_col: Column, text: Column) -> DataFrame:
     # most texts are wholly ASCII; the JVM drops those that can hold neither a non-ASCII character nor an escape nor a lost one
     d = df.select(id_col.cast("bigint").alias("id"), text.alias("text"))
-    return d.where("id is not null and text is not null").where(d.text.rlike(r"[^\x00-\x7f]|&#?\w{2,8};|\\u[0-9a-fA-F]{4}|[A-Za-z]\?[a-z]"))
+    return spread(d.where("id is not null and text is not null").where(d.text.rlike(r"[^\x00-\x7f]|&#?\w{2,8};|\\u[0-9a-fA-F]{4}|[A-Za-z]\?[a-z]")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, small_enough
+from ..storage import Scratch, small_enough, spread
 from . import textkit as K
 
 #: runs in a window, sightings in one that count, runs listed as frequent, share of the texts from which on a run is split, and into how many blocks
@@ -185,7 +185,7 @@ class Records:
     """One table of texts: (id, side, text); side tells the two collections of a cross join apart."""
 
     def __init__(self, df: DataFrame, id_col: Column, text: Column, side: Column, k: int = 5, min_words: int = 20):
-        self.rows = df.select(id_col.cast("bigint").alias("id"), side.cast("int").alias("side"), text.alias("text")).where("id is not null and text is not null")
+        self.rows = spread(df.select(id_col.cast("bigint").alias("id"), side.cast("int").alias("side"), text.alias("text")).where("id is not null and text is not null"))
         self.k, self.min_words = k, min_words
 
     def read(self, scratch: Scratch) -> tuple[DataFrame, Frequent]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, small_enough
+from ..storage import Scratch, small_enough, spread
 from . import textkit as K
 
 TOKENIZERS = "/opt/tokenizers"
@@ -54,7 +54,7 @@ def token_counts(df: DataFrame, id_col: Column, text: Column, tokenizers: str =
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names=["id", "tokens"])
 
-    return df.select(id_col.cast("bigint").alias("id"), text.alias("text")).where("id is not null and text <> ''").mapInArrow(rows, "id bigint, tokens bigint")
+    return spread(df.select(id_col.cast("bigint").alias("id"), text.alias("text")).where("id is not null and text <> ''")).mapInArrow(rows, "id bigint, tokens bigint")
 
 
 def pieces(sizes: DataFrame, capacity: int) -> DataFrame:

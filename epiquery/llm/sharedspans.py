@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, small_enough
+from ..storage import Scratch, small_enough, spread
 from . import textkit as K
 
 SEED, HOT, STEPS = 100, 64, 3
@@ -165,7 +165,7 @@ class SharedSpans:
 
     def __init__(self, df: DataFrame, id_col: Column, text: Column, scratch: Scratch, least: int = 200):
         self.scratch, self.least = scratch, least
-        d = df.select(id_col.cast("bigint").alias("id"), text.alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least))
+        d = spread(df.select(id_col.cast("bigint").alias("id"), text.alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= least)))
         keyed = d.select("id", F.md5(F.col("text").cast("binary")).alias("key"), F.length("text").alias("n"))
         classes = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last")
         #: (id, rep, n): all members of groups of copies, the representative too
