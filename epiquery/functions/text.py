@@ -68,6 +68,12 @@ def selected_text(translation: Column, content: Column) -> Column:
     return F.coalesce(F.when(translation != "", translation), content)
 
 
+def training_text(translation: Column, error: Column, translated: Column, content: Column) -> Column:
+    """The text to train on: the translation of an item that has one (translated), else the content. A translation with an error, or without text, raises."""
+    bad = translated & (error.isNotNull() | translation.isNull() | (translation == ""))
+    return F.when(bad, F.raise_error(F.concat(F.lit("bad translation: "), F.coalesce(error, F.lit("empty")))).cast("string")).when(translated, translation).otherwise(content)
+
+
 def chunks(text: Column, most: int = 5000) -> Column:
     """The text in greedy pieces of at most `most` characters plus the white space they end at; longer words fall out."""
     return F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{most}}}(?:\s|$))"), F.lit(1))

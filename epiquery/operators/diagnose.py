@@ -97,9 +97,9 @@ def answered(results: DataFrame, result: str, error: str, source: Column | None
 
 
 def search_and_diagnose(results: DataFrame, position: str, title: Column, content: Column, model: LabelModel, most: int = 200) -> DataFrame:
-    """(position, class, p) of the first `most` search results, read as title and content."""
+    """(position, class, p) of the first `most` search results, read as title and content; one without any label has a row without a class."""
     top = results.orderBy(position).limit(most).select(position, F.concat_ws("\n", title, content).alias("t"))
-    return diagnose(top, position, F.col("t"), model)
+    return top.select(position).distinct().join(diagnose(top, position, F.col("t"), model), position, "left")
 
 
 def versions() -> dict[str, str]:

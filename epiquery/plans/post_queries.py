@@ -509,3 +509,20 @@ def closure_within(spark, sf):
     top = H.ancestors(spark, sf, s).orderBy(F.desc("distance"), "ancestor").first()
     pairs = O.closure(H.label_edges(spark, sf, s).withColumnRenamed("label", "child"), "child", "parent", s)
     return O.within(pairs, "child", top.ancestor) if top else pairs
+
+
+def _post_date_sql() -> str:
+    steps = [(r"\b\d{1,2}-(\d{1,2}\s\w{3,10}\s\d{4})\b", r"\1"), (r"CST(-?\d)CDT$", r"\1"), (r"(-\d{1,4})\s?[A-Z]{1,5}$", r"\1"), (r"\bTHURS?\b", "THURSDAY"), (r"\bTUES\b", "TUESDAY"), (r"\bWEDS\b", "WEDNESDAY"), (r"\bSEPT\b", "SEPTEMBER"),
+             (r"^(?:MON|TUES|WEDNES|THURS|FRI|SATUR|SUN)DAY\.?,?\s+", "")]
+    x = r"upper(regexp_replace(meta.date, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
+    for rx, to in steps:
+        x = f"regexp_replace({x}, '{rx}', '{to}', 'g')"
+    bad = rf"regexp_matches(s, '-\d{{3}}(\d{{2,}})?$') OR regexp_matches(s, '\s:')"
+    hours = r"regexp_replace(regexp_replace(s, ' (-?)(\d)$', ' GMT\1\2'), ' GMT(\d)$', ' GMT+\1')"
+    return f"SELECT item_id, CASE WHEN NOT ({bad}) THEN {hours} END AS t, NULL::VARCHAR AS tz FROM (SELECT item_id, meta, {x} AS s FROM corpus_item)"
+
+
+@query("WITH " + instants_sql(_post_date_sql()) + " SELECT i.item_id, utc_us FROM corpus_item i LEFT JOIN instants USING (item_id) WHERE i.meta.date IS NOT NULL")
+def post_dates(spark, sf):
+    """All dates read by the rules for the date lines of posts."""
+    return table(spark, sf, "corpus_item").where("meta.date is not null").select("item_id", P.parsed_date(F.col("meta.date")).alias("utc_us"))

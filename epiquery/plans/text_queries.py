@@ -210,7 +210,10 @@ def requests_dispatched(spark, sf):
     return D.dispatched(r, F.col("content"), F.col("url"), F.col("date")).select("item_id", "action", "error")
 
 
-@query(H.with_("SELECT g.doc_id AS scrape_position, class, round(p, 9) AS p FROM guess g", H.LABELS, H.KEYWORDS.replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT doc_id, concat_ws(chr(10), doctype, text) AS text FROM documents ORDER BY doc_id LIMIT 200)"), H.FEATURES, H.SCORES))
+_TOP = "(SELECT doc_id, concat_ws(chr(10), doctype, text) AS text FROM documents ORDER BY doc_id LIMIT 200)"
+
+
+@query(H.with_(f"SELECT t.doc_id AS scrape_position, class, round(p, 9) AS p FROM {_TOP} t LEFT JOIN guess USING (doc_id)", H.LABELS, H.KEYWORDS.replace("FROM documents WHERE text IS NOT NULL", f"FROM {_TOP}"), H.FEATURES, H.SCORES))
 def search_top200(spark, sf):
     """The first 200 search results, title and content, diagnosed."""
     got = D.search_and_diagnose(_docs(spark, sf), "doc_id", F.col("doctype"), F.col("text"), _model(spark, sf, "search_top200"))

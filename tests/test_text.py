@@ -135,3 +135,11 @@ def test_page_text_leaves_out_scripts_titles_and_comments(spark):
     page = f"<html><head><title>T it le</title><style>p {{x}}</style></head><body><!-- <p>no</p> --><script>if (a<b) 'x'</script><p>{body}</p><ul><li><a href='#'>More</a></li></ul><noscript>off</noscript></body></html>"
     got = spark.createDataFrame([(page,), (None,), ("",), ("plain",)], "t string").coalesce(1).select(PG.main_text(F.col("t")), F.array_join(F.transform(PG.paragraphs(F.col("t")), lambda p: p["text"]), "|")).collect()
     assert got[0][0] == body.strip() and got[0][1] == f"{body.strip()}|More" and got[1][0] is None and got[2][0] == "" and got[3][0] == "plain"
+
+
+def test_training_text_refuses_bad_translations(spark):
+    f = lambda *row: spark.createDataFrame([row], "t string, e string, d boolean, c string").select(X.training_text(F.col("t"), F.col("e"), F.col("d"), F.col("c"))).first()[0]
+    assert f("tr", None, True, "own") == "tr" and f(None, None, False, "own") == "own"
+    for row in (("tr", "failed", True, "own"), ("", None, True, "own"), (None, None, True, "own")):
+        with pytest.raises(Exception, match="bad translation"):
+            f(*row)
