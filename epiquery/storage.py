@@ -86,6 +86,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Frees the shuffle files of finished jobs now, and not when the driver happens to collect its garbage: called after a save whose
+        shuffle was large and before the next large one, which then doesn't come on top of it."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame | None) -> None:
         jvm = self.spark._jvm
         for df in frames:
