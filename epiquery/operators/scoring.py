@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import small_enough
+
 CUTOFF = 0.65
 
 
-def probabilities(features: DataFrame, coefficients: DataFrame, intercepts: DataFrame, doc: str) -> DataFrame:
+def probabilities(features: DataFrame, coefficients: DataFrame, intercepts: DataFrame, doc: str, docs: DataFrame | None = None) -> DataFrame:
     """(doc, class, p): logistic probability of every class that a text has a feature of; features without a coefficient are dropped.
 
-    A text has no row for a class none of whose features it has: its probability is that of the intercept alone."""
+    With `docs` every text gets every class, those without any known feature from the intercepts alone: as many rows as texts times
+    classes, for few classes. The list of classes is put to each text as a whole if it fits the checked bound; a longer one is refused.
+    """
     z = features.join(coefficients, "feature").groupBy(doc, "class").agg(F.sum(F.col("coef") * F.col("value")).alias("z"))
-    return z.join(intercepts, "class").select(doc, "class", (1 / (1 + F.exp(-(F.col("z") + F.col("intercept"))))).alias("p"))
+    if docs is None:
+        z = z.join(intercepts, "class")
+    else:
+        if not small_enough(intercepts.count(), 64):
+            raise ValueError("too many classes to give each text all of them")
+        every = [(r["class"], r["intercept"]) for r in intercepts.select("class", "intercept").collect()]
+        kind = "array<struct<class: string, intercept: double>>"
+        listed = F.from_json(F.lit(json.dumps([{"class": c, "intercept": i} for c, i in every])), kind)
+        base = docs.select(doc).distinct().select(doc, F.explode(listed).alias("c")).select(doc, "c.class", "c.intercept")
+        z = base.join(z, [doc, "class"], "left")
+    return z.select(doc, "class", (1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) + F.col("intercept"))))).alias("p"))
 
 
 def best_guess(p: DataFrame, ancestors: DataFrame, doc: str, ratio: float = CUTOFF) -> DataFrame:
