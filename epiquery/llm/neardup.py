@@ -244,6 +244,7 @@ def similar_pairs(records: Records, scratch: Scratch, jaccard: float = 0.8, cros
     up = lambda c: F.ceil(c - 1e-9)
     least = up(t * (F.col("na") + F.col("nb")) / (1 + t)) - up(t * F.greatest("na", "nb")) + 1
     pairs = scratch.save(tally.where(F.col("shared") >= least).select("a", "b"))
+    scratch.release()
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = _joined(texts, involved, 2 * pairs.count(), "left_semi").mapInArrow(_sets(Parts(records.k, records.min_words)), "id bigint, n int, runs array<bigint>")
     a, b = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("runs").alias(f"r{x}")) for x in "ab")

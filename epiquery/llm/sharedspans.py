@@ -191,7 +191,12 @@ class SharedSpans:
         alike = " or ".join(f"a{c} = b{c}" for c in range(STEPS))
         met = x.join(y, "h").where(f"a < b and ({alike})").groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.count("*").alias("n"))
         #: (a, b, n, shifts): pairs of texts that share anchors in context, and the diagonals these lie on
-        self.pairs = self.scratch.save(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.collect_list("shift").alias("shifts")))
+        self.pairs = self._saved(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.collect_list("shift").alias("shifts")))
+
+    def _saved(self, df: DataFrame) -> DataFrame:
+        out = self.scratch.save(df)
+        self.scratch.release()
+        return out
 
     def runs(self, pairs: DataFrame) -> DataFrame:
         """(id, start, end) of all runs the pairs share, in either text."""
