@@ -283,10 +283,10 @@ def _keyword_spans(spark, sf, optimal=False):
 _TOKEN_SQL = r"http\S*[\p{L}\p{N}_]|[\p{L}\p{N}_]+"
 _KEYS = rf"""{_LEX}, ky AS (SELECT DISTINCT coalesce({_TYPES}, 'other') AS type, cs, array_to_string({H.sql_tokens("lower(keyword)")}, ' ') AS k, array_to_string({H.sql_tokens("keyword")}, ' ') AS raw, {H.sql_tokens("lower(keyword)")}[1] AS first, len({H.sql_tokens("keyword")}) AS n
   FROM (SELECT *, NOT contains(keyword, ' ') AND length(keyword) <= 6 AND upper(keyword) = keyword AS cs FROM lex) WHERE len({H.sql_tokens("keyword")}) BETWEEN 1 AND 5),
-tk AS (SELECT doc_id, regexp_extract_all(text, '{_TOKEN_SQL}') AS m, list_transform(regexp_split_to_array(text, '{_TOKEN_SQL}'), lambda x: length(x)) AS g FROM documents WHERE text IS NOT NULL),
-tp AS (SELECT doc_id, i, m[i] AS w, sum(g[i] + length(m[i])) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS stop, array_to_string(m[i:i + 4], ' ') AS run, m FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM tk)),
-ks AS (SELECT DISTINCT a.doc_id, type, a.stop - length(a.w) AS start, b.stop, CASE WHEN cs THEN raw ELSE k END AS label FROM tp a JOIN ky ON lower(a.w) = first JOIN tp b ON b.doc_id = a.doc_id AND b.i = a.i + n - 1
-  WHERE lower(array_to_string(a.m[a.i:a.i + n - 1], ' ')) = k AND (NOT cs OR array_to_string(a.m[a.i:a.i + n - 1], ' ') = raw))"""
+tk AS (SELECT doc_id, unnest(m) AS w, unnest(g[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN_SQL}') AS m, list_transform(regexp_split_to_array(text, '{_TOKEN_SQL}'), lambda x: length(x)) AS g FROM documents WHERE text IS NOT NULL)),
+ts AS (SELECT doc_id, i, w, sum(gap + length(w)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS stop FROM tk),
+tp AS (SELECT doc_id, w, stop - length(w) AS start, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS r, [stop, lead(stop, 1) OVER o, lead(stop, 2) OVER o, lead(stop, 3) OVER o, lead(stop, 4) OVER o] AS stops FROM ts WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ks AS (SELECT DISTINCT doc_id, type, start, stops[n] AS stop, CASE WHEN cs THEN raw ELSE k END AS label FROM tp JOIN ky ON lower(w) = first WHERE stops[n] IS NOT NULL AND lower(array_to_string(r[1:n], ' ')) = k AND (NOT cs OR array_to_string(r[1:n], ' ') = raw))"""
 
 
 def _big(spans):
@@ -333,7 +333,7 @@ def count_features(spark, sf):
 _ORDER = "CASE type WHEN 'diseases' THEN 3 WHEN 'hosts' THEN 4 WHEN 'modes' THEN 5 WHEN 'pathogens' THEN 6 WHEN 'symptoms' THEN 7 ELSE 8 END"
 _PLACES = rf"""pn AS (SELECT DISTINCT nullif(regexp_extract('PRO/EDR> ' || {_LINE}, '{_RX}', 4), '') AS name FROM documents WHERE {_LINE} <> ''),
 pk AS (SELECT name, array_to_string({H.sql_tokens("lower(name)")}, ' ') AS k, {H.sql_tokens("lower(name)")}[1] AS first, len({H.sql_tokens("name")}) AS n FROM pn WHERE name IS NOT NULL AND len({H.sql_tokens("name")}) BETWEEN 1 AND 5),
-ps AS (SELECT DISTINCT a.doc_id, a.stop - length(a.w) AS start, b.stop, name AS label FROM tp a JOIN pk ON lower(a.w) = first JOIN tp b ON b.doc_id = a.doc_id AND b.i = a.i + n - 1 WHERE lower(array_to_string(a.m[a.i:a.i + n - 1], ' ')) = k)"""
+ps AS (SELECT DISTINCT doc_id, start, stops[n] AS stop, name AS label FROM tp JOIN pk ON lower(w) = first WHERE stops[n] IS NOT NULL AND lower(array_to_string(r[1:n], ' ')) = k)"""
 
 
 def _places(spark, sf):
