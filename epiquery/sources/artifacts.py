@@ -1,7 +1,7 @@
 """Versioned artifacts: tables saved as "<prefix><number>.parquet" in a folder, listed, loaded, and fetched again when newer.
 
 A version appears as a whole or not at all: it is written under another name and renamed. `kept` holds what is built from files in the
-session's shared folder, named by a fingerprint of those files (paths, lengths, times), so that each later query reads it.
+session's shared folder, named by the package's version and a fingerprint of those files (paths, lengths, times), so that each later query reads it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import __version__
 from ..storage import checkpoint_dir
 
 
@@ -82,7 +83,7 @@ def kept(source: DataFrame, name: str, build: Callable[[], DataFrame]) -> DataFr
     spark, mark = source.sparkSession, fingerprint(source)
     if mark is None:
         return build()
-    path = f"{checkpoint_dir(spark)}/kept/{name}-{mark}.parquet"
+    path = f"{checkpoint_dir(spark)}/kept/{name}-{__version__}-{mark}.parquet"
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         _write(build(), path)
