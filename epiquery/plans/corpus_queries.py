@@ -101,7 +101,8 @@ def earliest_split_by_key(spark, sf):
     return C.earliest_split(rows, "label", "k", "id").select("label", "id", "split")
 
 
-@query()
+@query("WITH " + instants_sql("SELECT DISTINCT id, created AS t, curator_tz AS tz FROM curated_item") + """, c AS (SELECT DISTINCT label, id FROM (SELECT id, unnest(labels) AS label FROM curated_item) WHERE label IS NOT NULL), t AS (SELECT i.id, min(utc_us) AS us FROM curated_item i LEFT JOIN instants USING (id) GROUP BY i.id),
+r AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY us NULLS LAST, id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM c JOIN t USING (id)) SELECT label, id, CASE WHEN n >= 10 AND rn <= 5 THEN 'test' ELSE 'training' END AS split FROM r""")
 def earliest_split(spark, sf):
     """As above by the instant of creation: the five earliest items of a label with ten or more are test items."""
     c = TS.with_utc_micros(table(spark, sf, "curated_item"), "created", "curator_tz", "us")
