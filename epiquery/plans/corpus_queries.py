@@ -120,9 +120,10 @@ def earliest_split_by_time(spark, sf):
 
 
 @query("""WITH f AS (SELECT name, min(item_id) AS item_id FROM corpus_item GROUP BY name), e AS (SELECT name, list_sort(list(DISTINCT l) FILTER (WHERE l IS NOT NULL)) AS l FROM (SELECT name, unnest(meta.events[1].diseases) AS l FROM corpus_item) GROUP BY name)
-SELECT c.name, c.item_id, c.split, c.source, c.meta.date AS date, len(c.meta.events)::BIGINT AS events, array_to_string(coalesce(e.l, []), '|') AS labels FROM f JOIN corpus_item c ON c.item_id = f.item_id LEFT JOIN e ON e.name IS NOT DISTINCT FROM c.name""")
+SELECT c.name, c.item_id, c.split, c.source, c.meta.date AS date, len(c.meta.events)::BIGINT AS events, CASE WHEN len(c.meta.events) > 0 THEN array_to_string(coalesce(e.l, []), '|') ELSE '' END AS labels FROM f JOIN corpus_item c ON c.item_id = f.item_id LEFT JOIN e ON e.name IS NOT DISTINCT FROM c.name""")
 def dedup_merge(spark, sf):
-    """One item a name: the first, with the diseases of the first event of all items of the name as those of its first event."""
+    """One item a name: the first, with the diseases of the first event of all items of the name as those of its first event; a first item
+    without any event has none to hold them (the original fails there)."""
     got = C.merged_duplicates(_items(spark, sf).select("item_id", "name", "split", "source", "meta"), "name", "item_id", "meta")
     labels = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.get("meta.events", F.lit(0))["diseases"], F.array().cast("array<string>")), lambda x: x.isNotNull())))
     return got.select("name", "item_id", "split", "source", F.col("meta.date").alias("date"), F.when(F.col("meta.events").isNotNull(), F.size("meta.events")).cast("bigint").alias("events"), F.array_join(labels, "|").alias("labels"))
