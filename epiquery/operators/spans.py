@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from . import features as FE
 
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 DATE = rf"[0-9]{{1,2}} (?:{MONTH})(?: [12][0-9]{{3}})?|(?:{MONTH}) [0-9]{{1,2}}(?:, [12][0-9]{{3}})?"
+#: hits that a task holds at once; bits of a lexicon's filter at most (32 MB), and for each keyword
+ROWS, MOST_BITS, BITS_EACH = 65_536, 1 << 28, 64
 COUNT = r"(?:[Aa] total of |[Cc]umulative )?[0-9]{1,7} (?:suspected cases?|samples positive|deaths?|patients?|new admissions|contacts|cases?)"
 
 
@@ -36,20 +39,68 @@ def keyword_spans(docs: DataFrame, doc: str, text: Column, keywords: DataFrame,
     """(doc, type, start, end, label) of the keywords (type, keyword, case_sensitive) of up to five tokens in each text.
 
     The label is the keyword as written for case-sensitive ones, else in lower case. With optimal only the spans of optimal_spans, chosen in
-    the same pass. A lexicon of a checked size goes to the tasks, which read each text once; a larger one is joined on first tokens."""
+    the same pass. A lexicon of a checked size goes to the tasks, which read each text once; of a larger one a bitmap of its keywords' hashes
+    goes there, and only the runs that pass it are joined with the keywords."""
     k = keywords.select("type", "keyword", "case_sensitive", X.tokens(F.col("keyword")).alias("kt"), X.tokens(F.col("keyword"), lower=False).alias("kraw"))
     k = k.where("size(kt) between 1 and 5").select("type", F.array_join("kt", " ").alias("k"), F.array_join("kraw", " ").alias("kraw"), "case_sensitive", F.col("kt")[0].alias("first"), F.size("kt").alias("n")).distinct()
-    if small_enough(k.count(), 400):
+    size = k.count()
+    if small_enough(size, 400):
         index: dict[str, list[tuple]] = {}
         for r in k.collect():
             index.setdefault(r["first"], []).append((r["n"], r["k"].split(" "), r["kraw"].split(" ") if r["case_sensitive"] else None, r["type"], r["kraw"] if r["case_sensitive"] else r["k"]))
         return docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(_found(index, doc, optimal), f"{doc} bigint, type string, start int, end int, label string")
-    t = docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(_offsets(doc), f"{doc} bigint, first string, run string, starts array<int>, ends array<int>")
-    met = t.join(k, "first").where(F.startswith(F.lower("run"), F.concat("k", F.lit(" "))) & (~F.col("case_sensitive") | F.startswith("run", F.concat("kraw", F.lit(" ")))))
-    got = met.select(doc, "type", F.expr("starts[0]").alias("start"), F.expr("ends[n - 1]").alias("end"), F.when(F.col("case_sensitive"), F.col("kraw")).otherwise(F.col("k")).alias("label")).distinct()
+    bits = min(MOST_BITS, 1 << max(15, (size * BITS_EACH - 1).bit_length()))
+    t = docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(_likely(_bitmap(k, bits), bits, doc), f"{doc} bigint, k string, run string, start int, end int")
+    met = t.join(k.select("type", "k", "kraw", "case_sensitive"), "k").where("not case_sensitive or run = kraw")
+    got = met.select(doc, "type", "start", "end", F.when(F.col("case_sensitive"), F.col("kraw")).otherwise(F.col("k")).alias("label")).distinct()
     return optimal_spans(got, doc) if optimal else got
 
 
+def _bitmap(k: DataFrame, bits: int) -> bytes:
+    """A bit for the hash of each keyword k, and of each first token after a blank; at most bits / 8 bytes whatever the lexicon's size."""
+    h = k.select(F.explode(F.array("k", F.concat(F.lit(" "), "first"))).alias("x")).select((F.crc32(F.col("x").cast("binary")) % bits + 1).alias("h"))
+    out = bytearray(bits // 8)
+    for r in h.groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).toLocalIterator():
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
+    return bytes(out)
+
+
+def _likely(bitmap: bytes, bits: int, doc: str):
+    """(doc, k, run, start, end): runs of up to five tokens whose hash is in the bitmap, in lower case and as written."""
+    token, last = re.compile(FE.TOKEN), bits - 1
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def there(x: str) -> int:
+            h = crc32(x.encode()) & last
+            return bitmap[h >> 3] >> (h & 7) & 1
+
+        class Begins(dict):
+            def __missing__(self, w: str) -> int:
+                self[w] = found = there(" " + w)
+                return found
+
+        def hits(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()))], names=[doc, "k", "run", "start", "end"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            begins = Begins()
+            for i, t in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                at = list(token.finditer(t))
+                low = [x[0].lower() for x in at]
+                for p in [p for p, w in enumerate(low) if begins[w]]:
+                    for e in range(p + 1, min(p + 5, len(at)) + 1):
+                        if there(k := " ".join(low[p:e])):
+                            out.append((i, k, " ".join([x[0] for x in at[p:e]]), at[p].start(), at[e - 1].end()))
+                    if len(out) >= ROWS:
+                        yield hits(out)
+                        out = []
+            if out:
+                yield hits(out)
+
+    return rows
+
+
 def _found(index: dict[str, list[tuple]], doc: str, optimal: bool):
     token = re.compile(FE.TOKEN)
 
@@ -75,23 +126,6 @@ def _found(index: dict[str, list[tuple]], doc: str, optimal: bool):
     return rows
 
 
-def _offsets(doc: str):
-    token = re.compile(FE.TOKEN)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for i, t in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
-                found = [(m[0], m.start(), m.end()) for m in token.finditer(t)]
-                for n in range(len(found)):
-                    run = found[n : n + 5]
-                    for column, value in zip(out, (i, found[n][0].lower(), " ".join(x[0] for x in run) + " ", [x[1] for x in run], [x[2] for x in run])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=[doc, "first", "run", "starts", "ends"])
-
-    return rows
-
-
 def without_overlaps(spans: DataFrame, others: DataFrame, doc: str) -> DataFrame:
     """Spans that overlap none of the others in the same text.
 

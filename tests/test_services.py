@@ -4,6 +4,7 @@ import itertools
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -150,6 +151,27 @@ def test_both_ways_of_matching_a_lexicon_agree(spark, monkeypatch):
     assert a == b and len(a[0]) > 20 and len(a[1]) > 40
 
 
+def test_a_large_lexicon_meets_only_likely_runs_in_bounded_batches(spark, monkeypatch):
+    """Every token of every text once came out as a row, 10,000 texts at a time in one task's memory."""
+    monkeypatch.setattr(SP, "small_enough", lambda *x: False)
+    sent = []
+    kind = type(spark.range(1))
+    whole = kind.mapInArrow
+
+    def spied(self, f, schema, *more):
+        sent.append((f, whole(self, f, schema, *more)))
+        return sent[-1][1]
+
+    monkeypatch.setattr(kind, "mapInArrow", spied)
+    monkeypatch.setattr(SP, "ROWS", 50, raising=False)
+    d = spark.createDataFrame([(i, "Bird  Flu " * (i % 3) + "word nothing other " * 300) for i in range(90)], "id bigint, t string")
+    k = spark.createDataFrame([("bird flu", "x", False)], "keyword string, type string, case_sensitive boolean")
+    assert SP.keyword_spans(d, "id", F.col("t"), k).count() == 90
+    assert sent[0][1].count() < 300
+    batches = list(sent[0][0](iter([pa.RecordBatch.from_pydict({"id": [r.id for r in d.collect()], "t": ["bird flu " * 40] * 90})])))
+    assert max(b.num_rows for b in batches) < 60 and sum(b.num_rows for b in batches) >= 3600
+
+
 def test_trained_model_is_saved_and_loaded(spark, scratch, tmp_path):
     labels = spark.createDataFrame([("Flu", None, 1), ("Bird flu", "Flu", 2), ("Pox", None, 3)], "label string, parent_label string, row_no bigint")
     items = spark.createDataFrame([(i, "bird flu seen" if i % 2 else "pox again", ["Bird flu"] if i % 2 else ["Pox"]) for i in range(40)] + [(99, "nothing", ["Flu"])], "id bigint, t string, ds array<string>")
