@@ -151,7 +151,8 @@ def test_both_ways_of_matching_a_lexicon_agree(spark, monkeypatch):
     assert a == b and len(a[0]) > 20 and len(a[1]) > 40
 
 
-def test_a_large_lexicon_meets_only_likely_runs_in_bounded_batches(spark, monkeypatch):
+@pytest.mark.parametrize("optimal", [False, True])
+def test_a_large_lexicon_meets_only_likely_runs_in_bounded_batches(spark, monkeypatch, optimal):
     """Every token of every text once came out as a row, 10,000 texts at a time in one task's memory."""
     monkeypatch.setattr(SP, "small_enough", lambda *x: False)
     sent = []
@@ -166,7 +167,7 @@ def test_a_large_lexicon_meets_only_likely_runs_in_bounded_batches(spark, monkey
     monkeypatch.setattr(SP, "ROWS", 50, raising=False)
     d = spark.createDataFrame([(i, "Bird  Flu " * (i % 3) + "word nothing other " * 300) for i in range(90)], "id bigint, t string")
     k = spark.createDataFrame([("bird flu", "x", False)], "keyword string, type string, case_sensitive boolean")
-    assert SP.keyword_spans(d, "id", F.col("t"), k).count() == 90
+    assert SP.keyword_spans(d, "id", F.col("t"), k, optimal).count() == 90
     assert sent[0][1].count() < 300
     batches = list(sent[0][0](iter([pa.RecordBatch.from_pydict({"id": [r.id for r in d.collect()], "t": ["bird flu " * 40] * 90})])))
     assert max(b.num_rows for b in batches) < 60 and sum(b.num_rows for b in batches) >= 3600
