@@ -336,10 +336,11 @@ pk AS (SELECT name, array_to_string({H.sql_tokens("lower(name)")}, ' ') AS k, {H
 ps AS (SELECT DISTINCT doc_id, start, stops[n] AS stop, name AS label FROM tp JOIN pk ON lower(w) = first WHERE stops[n] IS NOT NULL AND lower(array_to_string(r[1:n], ' ')) = k)"""
 
 
-def _places(spark, sf):
-    """(places, spans): the regions that posts name in their subjects, as a gazetteer, and where they stand in texts."""
+def _places(spark, sf, scratch):
+    """(places, spans): the regions that posts name in their subjects, as a gazetteer, and where they stand in texts. The gazetteer is saved."""
     s = _docs(spark, sf).select(F.regexp_extract("text", "Subject: (.*)", 1).alias("s")).where("s <> ''")
     names = s.select(P.subject_fields(F.concat(F.lit("PRO/EDR> "), F.col("s")), _RX)["region"].alias("name")).where("name is not null").distinct()
+    names = scratch.save(names)
     k = names.select(F.lit("place").alias("type"), F.col("name").alias("keyword"), F.lit(False).alias("case_sensitive"))
     return names, SP.keyword_spans(_docs(spark, sf), "doc_id", F.col("text"), k)
 
@@ -347,7 +348,7 @@ def _places(spark, sf):
 @query(f"WITH {_KEYS}, {_PLACES} SELECT doc_id, md5(label) AS geonameid, label AS name, array_to_string(list_transform(list_sort(list({{'s': start, 'e': stop}})), lambda x: x.s::VARCHAR || '-' || x.e::VARCHAR), ' ') AS offsets FROM ps GROUP BY ALL")
 def location_features(spark, sf):
     """Places in texts, grouped by place; the gazetteer holds the regions of the posts' subjects."""
-    names, spans = _places(spark, sf)
+    names, spans = _places(spark, sf, Scratch(spark, "location_features"))
     return SP.location_features(spans, names.select(F.md5("name").alias("geonameid"), "name"), "doc_id")
 
 
@@ -356,10 +357,13 @@ UNION ALL SELECT DISTINCT doc_id, 'location', start, stop, label, 1 FROM ps UNIO
 UNION ALL SELECT doc_id, type, start, stop, label, {_ORDER} FROM ks WHERE NOT EXISTS (SELECT 1 FROM df WHERE df.doc_id = ks.doc_id AND ks.start < df.stop AND df.start < ks.stop)
 UNION ALL SELECT doc_id, 'resolvedKeyword', start, stop, label, 9 FROM ks WHERE type = 'diseases' AND NOT EXISTS (SELECT 1 FROM ps WHERE ps.doc_id = ks.doc_id AND ks.start < ps.stop AND ps.start < ks.stop)""")
 def annotation_features(spark, sf):
-    """All features of a text in their fixed order: counts, places, dates, keywords by type (outside dates), resolved keywords (outside places)."""
+    """All features of a text in their fixed order: counts, places, dates, keywords by type (outside dates), resolved keywords (outside places).
+
+    Spans that are met more than once are saved, small beside the texts: each pattern and lexicon reads the texts once."""
+    s = Scratch(spark, "annotation_features")
     one = lambda d, kind, place: d.select("doc_id", kind.alias("type"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("stop"), "label", place.cast("bigint").alias("place"))
-    c, d, k, (names, p) = SP.count_features(_spans(spark, sf, SP.COUNT), "doc_id"), _dates(spark, sf), _keyword_spans(spark, sf), _places(spark, sf)
-    p = p.withColumn("k", F.col("label")).join(names.select(F.col("name"), X.normalised_keyword(F.col("name")).alias("k")), "k").withColumn("label", F.col("name"))
+    c, d, k, (names, p) = SP.count_features(_spans(spark, sf, SP.COUNT), "doc_id"), s.save(_dates(spark, sf)), s.save(_keyword_spans(spark, sf)), _places(spark, sf, s)
+    p = s.save(p.withColumn("k", F.col("label")).join(names.select(F.col("name"), X.normalised_keyword(F.col("name")).alias("k")), "k").withColumn("label", F.col("name")))
     order = F.coalesce(F.create_map(*[F.lit(x) for kv in {"diseases": 3, "hosts": 4, "modes": 5, "pathogens": 6, "symptoms": 7}.items() for x in kv])[F.col("type")], F.lit(8))
     out = one(c, F.col("type"), F.lit(0)).unionByName(one(p, F.lit("location"), F.lit(1)).distinct()).unionByName(one(d, F.lit("datetime"), F.lit(2)))
     out = out.unionByName(one(SP.without_overlaps(k, d, "doc_id"), F.col("type"), order))
@@ -373,7 +377,8 @@ LEFT JOIN (SELECT c.doc_id, c.s, arg_min(o.place, (abs(o.start - c.s), o.start,
 LEFT JOIN (SELECT c.doc_id, c.s, arg_min(o.disease, (abs(o.start - c.s), o.start, o.disease)) AS disease FROM c JOIN ds o ON o.doc_id = c.doc_id GROUP BY ALL) x ON x.doc_id = c.doc_id AND x.s = c.s WHERE regexp_matches(c.label, 'case|death')""")
 def incident_features(spark, sf):
     """Counts of cases and deaths with the nearest date, place and disease."""
-    names, p = _places(spark, sf)
+    s = Scratch(spark, "incident_features")
+    names, p = _places(spark, sf, s)
     p = p.withColumn("k", F.col("label")).join(names.select("name", X.normalised_keyword(F.col("name")).alias("k")), "k").select("doc_id", "start", F.col("name").alias("label"))
     dates = _dates(spark, sf).select("doc_id", "start", F.coalesce(F.col("begin").cast("string"), F.lit("")).alias("begin"), "stop")
     got = SP.incidents(SP.count_features(_spans(spark, sf, SP.COUNT), "doc_id"), dates, p, _keyword_spans(spark, sf).where("type = 'diseases'"), "doc_id")

@@ -9,6 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from epiquery.operators import corpus as C
 from epiquery.operators import diagnose as D
 from epiquery.operators import features as FE
@@ -180,3 +181,10 @@ def test_trained_model_is_saved_and_loaded(spark, scratch, tmp_path):
     assert [v[0] for v in A.versions(spark, f"{tmp_path}/m", "coefficients-")] == [1]
     got = {(r.id, r["class"]) for r in D.diagnose(items, "id", F.col("t"), m).collect()}
     assert (1, "Bird flu") in got and (0, "Pox") in got and (1, "Pox") not in got and not any(i == 99 for i, _ in got)
+
+
+@pytest.mark.parametrize("name, most", [("annotation_features", 1)])
+def test_features_read_the_texts_once_a_pattern(spark, name, most):
+    """What several joins meet is saved; once each of them matched all the texts again."""
+    plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= most
