@@ -376,12 +376,12 @@ LEFT JOIN (SELECT c.doc_id, c.s, arg_min(coalesce(o.begin_day, ''), (abs(o.start
 LEFT JOIN (SELECT c.doc_id, c.s, arg_min(o.place, (abs(o.start - c.s), o.start, o.place)) AS place FROM c JOIN pl o ON o.doc_id = c.doc_id GROUP BY ALL) p ON p.doc_id = c.doc_id AND p.s = c.s
 LEFT JOIN (SELECT c.doc_id, c.s, arg_min(o.disease, (abs(o.start - c.s), o.start, o.disease)) AS disease FROM c JOIN ds o ON o.doc_id = c.doc_id GROUP BY ALL) x ON x.doc_id = c.doc_id AND x.s = c.s WHERE regexp_matches(c.label, 'case|death')""")
 def incident_features(spark, sf):
-    """Counts of cases and deaths with the nearest date, place and disease."""
+    """Counts of cases and deaths with the nearest date, place and disease. Counts, met four times, are saved, as places are."""
     s = Scratch(spark, "incident_features")
     names, p = _places(spark, sf, s)
     p = p.withColumn("k", F.col("label")).join(names.select("name", X.normalised_keyword(F.col("name")).alias("k")), "k").select("doc_id", "start", F.col("name").alias("label"))
     dates = _dates(spark, sf).select("doc_id", "start", F.coalesce(F.col("begin").cast("string"), F.lit("")).alias("begin"), "stop")
-    got = SP.incidents(SP.count_features(_spans(spark, sf, SP.COUNT), "doc_id"), dates, p, _keyword_spans(spark, sf).where("type = 'diseases'"), "doc_id")
+    got = SP.incidents(s.save(SP.count_features(_spans(spark, sf, SP.COUNT), "doc_id")), dates, p, _keyword_spans(spark, sf).where("type = 'diseases'"), "doc_id")
     return got.select("doc_id", F.col("start").cast("bigint").alias("start"), "type", "value", F.col("begin").alias("begin_day"), "place", "disease")
 
 

@@ -183,7 +183,7 @@ def test_trained_model_is_saved_and_loaded(spark, scratch, tmp_path):
     assert (1, "Bird flu") in got and (0, "Pox") in got and (1, "Pox") not in got and not any(i == 99 for i, _ in got)
 
 
-@pytest.mark.parametrize("name, most", [("annotation_features", 1)])
+@pytest.mark.parametrize("name, most", [("annotation_features", 1), ("incident_features", 3)])
 def test_features_read_the_texts_once_a_pattern(spark, name, most):
     """What several joins meet is saved; once each of them matched all the texts again."""
     plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
