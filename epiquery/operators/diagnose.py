@@ -62,9 +62,13 @@ class LabelModel:
 
 
 def diagnose(docs: DataFrame, doc: str, text: Column, model: LabelModel, ratio: float = S.CUTOFF) -> DataFrame:
-    """(doc, class, p): the labels of each text. Texts without any keyword have none."""
-    p = model.scratch.save(S.probabilities(model.features(model.base(docs, doc, text), doc), model.coefficients, model.intercepts, doc))
-    return S.best_guess(p, model.ancestors, doc, ratio)
+    """(doc, class, p): the labels of each text. Texts without any keyword have none.
+
+    Trained coefficients give each text a probability of every class, so there texts with the same features are scored once."""
+    f = model.features(model.base(docs, doc, text), doc)
+    if model.trained:
+        return S.guesses(f, model.coefficients, model.intercepts, model.ancestors, doc, ratio, model.scratch)
+    return S.best_guess(model.scratch.save(S.probabilities(f, model.coefficients, model.intercepts, doc)), model.ancestors, doc, ratio)
 
 
 def ranked(guessed: DataFrame, doc: str) -> DataFrame:

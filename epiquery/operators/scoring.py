@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import small_enough
+from ..storage import Scratch, small_enough
 
-CUTOFF = 0.65
+#: rows that a task holds at once
+CUTOFF, ROWS = 0.65, 65_536
 
 
 def probabilities(features: DataFrame, coefficients: DataFrame, intercepts: DataFrame, doc: str, docs: DataFrame | None = None) -> DataFrame:
@@ -43,6 +48,62 @@ def best_guess(p: DataFrame, ancestors: DataFrame, doc: str, ratio: float = CUTO
     return chosen.unionByName(lifted).unionByName(own).groupBy(doc, "class").agg(F.max("p").alias("p"))
 
 
+def guesses(features: DataFrame, coefficients: DataFrame, intercepts: DataFrame, ancestors: DataFrame, doc: str, ratio: float, scratch: Scratch) -> DataFrame:
+    """best_guess of probabilities, for coefficients of most classes: texts with the same features and values are scored once.
+
+    If every class has a coefficient for every feature, and they and the ancestors fit the checked bound, they go to the tasks, which
+    give the chosen classes only; else each distinct text gets a row for every class first."""
+    x = scratch.save(features.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("feature", "value"))).alias("x")))
+    one = scratch.save(x.groupBy("x").agg(F.min(doc).alias("first")))
+    n, names, classes = coefficients.agg(F.count("*"), F.count_distinct("feature"), F.count_distinct("class")).first()
+    own = coefficients.select("class").distinct()
+    above = scratch.save(ancestors.join(own, "class", "left_semi").join(own.withColumnRenamed("class", "ancestor"), "ancestor", "left_semi").select("class", "ancestor").distinct())
+    texts = one.select(F.col("first").alias(doc), "x")
+    if n == names * classes and small_enough(n, 8) and small_enough(above.count(), 64):
+        kind = T.StructType([T.StructField(doc, features.schema[doc].dataType), T.StructField("class", T.StringType()), T.StructField("p", T.DoubleType())])
+        got = texts.mapInArrow(_guessed(coefficients, intercepts, above, doc, ratio), kind)
+    else:
+        f = texts.select(doc, F.explode("x").alias("f")).select(doc, "f.feature", "f.value")
+        got = best_guess(scratch.save(probabilities(f, coefficients, intercepts, doc)), ancestors, doc, ratio)
+    got = scratch.save(got)
+    return x.join(one, "x").select(doc, "first").join(got.withColumnRenamed(doc, "first"), "first").select(doc, "class", "p")
+
+
+def _guessed(coefficients: DataFrame, intercepts: DataFrame, above: DataFrame, doc: str, ratio: float):
+    place = {r["feature"]: i for i, r in enumerate(coefficients.select("feature").distinct().orderBy("feature").collect())}
+    w = coefficients.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("feature", "coef"))).alias("w")).join(intercepts, "class").select("class", F.col("w")["coef"].alias("w"), "intercept").toArrow()
+    classes, base = w["class"].to_pylist(), w["intercept"].to_numpy()
+    by = np.ascontiguousarray(w["w"].combine_chunks().values.to_numpy().reshape(len(classes), len(place)).T) if classes else np.zeros((0, 0))
+    number, up = {c: i for i, c in enumerate(classes)}, {}
+    for r in above.collect():
+        up.setdefault(number[r["class"]], []).append(number[r["ancestor"]])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, x in enumerate(batch.column(1).to_pylist()):
+                known = [(place[f["feature"]], f["value"]) for f in x if f["feature"] in place]
+                if known:
+                    with np.errstate(over="ignore"):
+                        p = 1 / (1 + np.exp(-(sum(v * by[j] for j, v in known) + base)))
+                    best: dict[int, float] = {}
+                    for c in np.flatnonzero(p >= p.max() * ratio).tolist():
+                        for a in (c, *up.get(c, ())):
+                            best[a] = max(best.get(a, p[a]), p[c])
+                    out += [(i, classes[c], v) for c, v in best.items()]
+                if len(out) >= ROWS:
+                    yield sent(batch, out)
+                    out = []
+            if out:
+                yield sent(batch, out)
+
+    def sent(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        i, c, p = zip(*out)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int32())), pa.array(c, pa.string()), pa.array(p, pa.float64())], names=[doc, "class", "p"])
+
+    return rows
+
+
 def explanations(guessed: DataFrame, features: DataFrame, base: DataFrame, coefficients: DataFrame, doc: str) -> DataFrame:
     """(doc, class, feature, score, direct): positive contributions coef x value, scaled to unit length and by the probability.
 

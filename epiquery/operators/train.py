@@ -16,8 +16,8 @@ from ..sources import artifacts as A
 from ..storage import Scratch
 from .diagnose import LabelModel
 
-#: the gradient's norm at a solution, as a part of that at zero; coefficients a task returns
-TOLERANCE, CELLS = 1e-6, 2_000_000
+#: the gradient's norm at a solution, as a part of that at zero; coefficients a task returns; multiplications up to which a Newton step is solved directly
+TOLERANCE, CELLS, DIRECT = 1e-6, 2_000_000, 1 << 24
 
 
 def vocabulary(features: DataFrame, scratch: Scratch) -> DataFrame:
@@ -32,9 +32,15 @@ def vocabulary(features: DataFrame, scratch: Scratch) -> DataFrame:
 def _solve(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: np.ndarray, pos: np.ndarray, width: int, tolerance: float) -> np.ndarray:
     """Weights, the intercept last, that minimise |w|^2 / 2 plus the log loss of patterns of which n texts exist, pos with the label.
 
-    Newton steps by conjugate gradients, until the gradient's norm is at most `tolerance` times that at zero (or times 1)."""
-    down = lambda w: np.bincount(row, value * w[col], len(n)) + w[width]
-    up = lambda r: np.append(np.bincount(col, value * r[row], width), r.sum())
+    Newton steps, of few patterns and features solved directly, else by conjugate gradients, until the gradient's norm is at most `tolerance` times that
+    at zero (or times 1)."""
+    x = None
+    if len(n) * (width + 1) ** 2 <= DIRECT:
+        x = np.zeros((len(n), width + 1))
+        np.add.at(x, (row, col), value)
+        x[:, width] = 1
+    down = lambda w: np.bincount(row, value * w[col], len(n)) + w[width] if x is None else x @ w
+    up = lambda r: np.append(np.bincount(col, value * r[row], width), r.sum()) if x is None else r @ x
     share = lambda z: 0.5 * (1 + np.tanh(0.5 * z))
 
     def state(w: np.ndarray) -> tuple:
@@ -45,18 +51,7 @@ def _solve(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: np.ndarray, p
     least = tolerance * max(1.0, np.linalg.norm(g))
     while (size := np.linalg.norm(g)) > least:
         curve = n * p * (1 - p)
-        scale = 1 + np.append(np.bincount(col, value * value * curve[row], width), curve.sum())
-        step, rest = np.zeros_like(w), -g
-        way = rest / scale
-        energy = rest @ way
-        for _ in range(10 * len(w)):
-            turned = way + up(curve * down(way))
-            far = energy / (way @ turned)
-            step, rest = step + far * way, rest - far * turned
-            if np.linalg.norm(rest) <= min(0.1, np.sqrt(size)) * size:
-                break
-            energy, before = rest @ (rest / scale), energy
-            way = rest / scale + energy / before * way
+        step = _step(curve, g, size, row, col, value, width, down, up) if x is None else -np.linalg.solve(np.eye(len(w)) + x.T @ (curve[:, None] * x), g)
         slope, t = g @ step, 1.0
         while True:
             new = state(w + t * step)
@@ -69,6 +64,32 @@ def _solve(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: np.ndarray, p
     return w
 
 
+def _step(curve: np.ndarray, g: np.ndarray, size: float, row: np.ndarray, col: np.ndarray, value: np.ndarray, width: int, down, up) -> np.ndarray:
+    """A Newton step by conjugate gradients, the more exact the smaller the gradient g."""
+    scale = 1 + np.append(np.bincount(col, value * value * curve[row], width), curve.sum())
+    step, rest = np.zeros_like(g), -g
+    way = rest / scale
+    energy = rest @ way
+    for _ in range(10 * len(g)):
+        turned = way + up(curve * down(way))
+        far = energy / (way @ turned)
+        step, rest = step + far * way, rest - far * turned
+        if np.linalg.norm(rest) <= min(0.1, np.sqrt(size)) * size:
+            break
+        energy, before = rest @ (rest / scale), energy
+        way = rest / scale + energy / before * way
+    return step
+
+
+def _solve_each(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: np.ndarray, positive: dict[str, np.ndarray], width: int, tolerance: float) -> list[np.ndarray]:
+    """_solve for each class; classes with the same positives are one problem."""
+    solved: dict[bytes, np.ndarray] = {}
+    for pos in positive.values():
+        if (k := pos.tobytes()) not in solved:
+            solved[k] = _solve(row, col, value, n, pos, width, tolerance)
+    return [solved[pos.tobytes()] for pos in positive.values()]
+
+
 def one_vs_rest(features: DataFrame, labels: DataFrame, doc: str, scratch: Scratch, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """(coefficients (class, feature, coef), intercepts (class, intercept)) from (doc, feature, value) and (doc, label).
 
@@ -84,6 +105,7 @@ def one_vs_rest(features: DataFrame, labels: DataFrame, doc: str, scratch: Scrat
     own = y.withColumn("part", F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int"))
 
     def solve(x: pa.Table, own: pa.Table) -> pa.Table:
+        x = x.sort_by("pattern")  # the same problem has the same solution in every task
         place = {k: i for i, k in enumerate(x["pattern"].to_pylist())}
         lists = x["feature"].combine_chunks()
         lengths = np.array([len(v) for v in lists], dtype=np.int64)
@@ -95,7 +117,7 @@ def one_vs_rest(features: DataFrame, labels: DataFrame, doc: str, scratch: Scrat
         n, positive = x["n"].to_numpy().astype(np.float64), {}
         for c, k, pos in zip(own["class"].to_pylist(), own["pattern"].to_pylist(), own["pos"].to_pylist()):
             positive.setdefault(c, np.zeros(len(n)))[place[k]] += pos
-        coef = [_solve(row, col, value, n, pos, len(names), tolerance) for pos in positive.values()]
+        coef = _solve_each(row, col, value, n, positive, len(names), tolerance)
         each = [c for c in positive for _ in range(len(names) + 1)]
         return pa.table({"class": pa.array(each, pa.string()), "feature": pa.array((names + [None]) * len(coef), pa.string()), "coef": pa.array(np.concatenate(coef) if coef else [], pa.float64())})
 

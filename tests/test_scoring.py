@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -134,3 +135,22 @@ def test_training_reaches_the_optimum(spark, scratch):
         assert abs(b[k] + sum(err.values())) < 1e-4
         assert all(abs(w[k, c] + sum(err[i] * x[i].get(c, 0) for i in x)) < 1e-4 for c in ["a", "all", "b", "c", "d", "e"])
     assert T.one_vs_rest(f.where("false"), spark.createDataFrame([], "id bigint, label string"), "id", scratch)[0].count() == 0
+
+
+def test_a_direct_newton_step_finds_what_conjugate_gradients_find(monkeypatch):
+    r = np.random.default_rng(3)
+    row, col = np.repeat(np.arange(40), 3), np.concatenate([r.choice(12, 3, replace=False) for _ in range(40)])
+    value, n = r.uniform(0.2, 1, 120), r.integers(1, 300, 40).astype(float)
+    for most in (0, 0.01, 1):
+        pos = np.floor(n * r.uniform(0, most, 40))
+        got = [w for direct in (1 << 24, 0) if not monkeypatch.setattr(T, "DIRECT", direct, raising=False) for w in [T._solve(row, col, value, n, pos, 12, 1e-9)]]
+        assert np.abs(got[0] - got[1]).max() < 1e-6
+
+
+def test_classes_with_the_same_positives_are_solved_once(monkeypatch):
+    """Each of thousands of rare classes was once a problem of its own."""
+    calls = []
+    monkeypatch.setattr(T, "_solve", lambda *a: calls.append(a) or a[4] * 2)
+    pos = {f"c{i}": np.array([i % 3, 1.0]) for i in range(30)}
+    got = T._solve_each(None, None, None, None, pos, 2, 1e-6)
+    assert len(calls) == 3 and [w.tolist() for w in got] == [[i % 3 * 2.0, 2.0] for i in range(30)]

@@ -15,6 +15,7 @@ from epiquery.operators import diagnose as D
 from epiquery.operators import features as FE
 from epiquery.operators import ontology as O
 from epiquery.operators import posts as P
+from epiquery.operators import scoring as S
 from epiquery.operators import spans as SP
 from epiquery.operators import train as T
 from epiquery.sources import artifacts as A
@@ -188,3 +189,22 @@ def test_features_read_the_texts_once_a_pattern(spark, name, most):
     """What several joins meet is saved; once each of them matched all the texts again."""
     plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") <= most
+
+
+def test_texts_with_the_same_features_are_scored_once_by_a_trained_model(spark, scratch, tmp_path, monkeypatch):
+    """Every text once got a row for every class before any was chosen."""
+    labels = spark.createDataFrame([("Flu", None, 1), ("Bird flu", "Flu", 2), ("Pox", None, 3), ("Cow pox", "Pox", 4)], "label string, parent_label string, row_no bigint")
+    said = ["bird flu seen", "pox again", "cow pox and flu", "flu", "nothing"]
+    items = spark.createDataFrame([(i, said[i % 5], [["Bird flu", "rare"], ["Pox"], ["Cow pox", "Flu"], ["Flu", "Pox"], ["Flu"]][i % 5]) for i in range(60)], "id bigint, t string, ds array<string>")
+    m = T.trained_model(labels, items, "id", F.col("t"), F.col("ds"), f"{tmp_path}/m", scratch)
+    f = m.features(m.base(items, "id", F.col("t")), "id")
+    each = rows(S.best_guess(S.probabilities(f, m.coefficients, m.intercepts, "id"), m.ancestors, "id"))
+    read, kind = [], type(f)
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, g, schema, *a: read.append(self) or whole(self, g, schema, *a))
+    for dense in (True, False):
+        monkeypatch.setattr(S, "small_enough", lambda *a: dense)
+        got = rows(S.guesses(f, m.coefficients, m.intercepts, m.ancestors, "id", S.CUTOFF, scratch))
+        assert len(got) > 60 and [x[:2] for x in got] == [x[:2] for x in each]
+        assert max(abs(a[2] - b[2]) for a, b in zip(got, each)) < 1e-12
+    assert [d.count() for d in read] == [4] and rows(D.diagnose(items, "id", F.col("t"), m)) == got
