@@ -16,6 +16,7 @@ from epiquery.operators import features as FE
 from epiquery.operators import ontology as O
 from epiquery.operators import posts as P
 from epiquery.operators import scoring as S
+from epiquery.operators import service as SV
 from epiquery.operators import spans as SP
 from epiquery.operators import train as T
 from epiquery.sources import artifacts as A
@@ -208,3 +209,12 @@ def test_texts_with_the_same_features_are_scored_once_by_a_trained_model(spark,
         assert len(got) > 60 and [x[:2] for x in got] == [x[:2] for x in each]
         assert max(abs(a[2] - b[2]) for a, b in zip(got, each)) < 1e-12
     assert [d.count() for d in read] == [4] and rows(D.diagnose(items, "id", F.col("t"), m)) == got
+
+
+def test_a_trained_model_is_evaluated_without_a_row_for_every_class_of_every_text(spark, scratch, tmp_path, monkeypatch):
+    labels = spark.createDataFrame([("Flu", None, 1), ("Bird flu", "Flu", 2), ("Pox", None, 3)], "label string, parent_label string, row_no bigint")
+    items = spark.createDataFrame([(i, ["bird flu seen", "pox again", "flu"][i % 3], [["Bird flu"], ["Pox"], ["Flu"]][i % 3], "even" if i % 2 else "odd") for i in range(48)], "id bigint, t string, ds array<string>, part string")
+    m = T.trained_model(labels, items, "id", F.col("t"), F.col("ds"), f"{tmp_path}/m", scratch)
+    monkeypatch.setattr(S, "probabilities", None)
+    got = {r.part: (r.labels, r.tp, r.fp, r.fn) for r in SV.evaluate(m, items, "id", F.col("t"), F.col("ds"), "part").collect()}
+    assert got == {"even": (3, 32, 0, 0), "odd": (3, 32, 0, 0)}
