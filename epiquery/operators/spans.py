@@ -17,8 +17,8 @@ from . import features as FE
 
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 DATE = rf"[0-9]{{1,2}} (?:{MONTH})(?: [12][0-9]{{3}})?|(?:{MONTH}) [0-9]{{1,2}}(?:, [12][0-9]{{3}})?"
-#: hits that a task holds at once; bits of a lexicon's filter at most (32 MB), and for each keyword
-ROWS, MOST_BITS, BITS_EACH = 65_536, 1 << 28, 64
+#: hits that a task holds at once, and texts; bits of a lexicon's filter at most (32 MB), and for each keyword
+ROWS, TEXTS, MOST_BITS, BITS_EACH = 65_536, 500, 1 << 28, 64
 COUNT = r"(?:[Aa] total of |[Cc]umulative )?[0-9]{1,7} (?:suspected cases?|samples positive|deaths?|patients?|new admissions|contacts|cases?)"
 
 
@@ -52,8 +52,8 @@ def keyword_spans(docs: DataFrame, doc: str, text: Column, keywords: DataFrame,
     bits = min(MOST_BITS, 1 << max(15, (size * BITS_EACH - 1).bit_length()))
     t = docs.select(doc, text.alias("t")).where("t is not null").mapInArrow(_likely(_bitmap(k, bits), bits, doc), f"{doc} bigint, k string, run string, start int, end int")
     met = t.join(k.select("type", "k", "kraw", "case_sensitive"), "k").where("not case_sensitive or run = kraw")
-    got = met.select(doc, "type", "start", "end", F.when(F.col("case_sensitive"), F.col("kraw")).otherwise(F.col("k")).alias("label")).distinct()
-    return optimal_spans(got, doc) if optimal else got
+    got = met.select(doc, "type", "start", "end", F.when(F.col("case_sensitive"), F.col("kraw")).otherwise(F.col("k")).alias("label"))
+    return optimal_spans(got, doc) if optimal else got.distinct()
 
 
 def _bitmap(k: DataFrame, bits: int) -> bytes:
@@ -85,7 +85,7 @@ def _likely(bitmap: bytes, bits: int, doc: str):
         for batch in batches:
             out: list[tuple] = []
             begins = Begins()
-            for i, t in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+            for i, t in (x for b in range(0, batch.num_rows, TEXTS) for x in zip(*(batch.column(c).slice(b, TEXTS).to_pylist() for c in (0, 1)))):
                 at = list(token.finditer(t))
                 low = [x[0].lower() for x in at]
                 for p in [p for p, w in enumerate(low) if begins[w]]:
@@ -168,21 +168,34 @@ def best_cover(spans: list[tuple]) -> list[int]:
 
 
 def optimal_spans(spans: DataFrame, doc: str) -> DataFrame:
-    """(doc, type, start, end, label): for each text and type the spans of best_cover."""
-    g = spans.groupBy(doc).agg(F.sort_array(F.collect_set(F.struct("type", "start", "end", "label"))).alias("s"))
+    """(doc, type, start, end, label): for each text and type the spans of best_cover; repeated spans count once.
+
+    The spans come to the tasks in the order of the texts, so a task holds a batch of spans and those of one text, not those of a batch of texts."""
+    names = [doc, "type", "start", "end", "label"]
+    s = spans.select(doc, "type", F.col("start").cast("int"), F.col("end").cast("int"), "label").repartition(doc).sortWithinPartitions(doc)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, by = None, {}
+
+        def chosen() -> list[tuple]:
+            return [(at, kind, *own[j]) for kind, own in ((k, list(v)) for k, v in by.items()) for j in best_cover(own)]
+
+        def sent(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=names)
+
         for batch in batches:
             out: list[tuple] = []
-            for i, found in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
-                by: dict[str, list] = {}
-                for x in found:
-                    by.setdefault(x["type"], []).append((x["start"], x["end"], x["label"]))
-                out += [(i, kind, *own[j]) for kind, own in by.items() for j in best_cover(own)]
+            for i, kind, *span in zip(*(c.to_pylist() for c in batch.columns)):
+                if i != at:
+                    out += chosen()
+                    at, by = i, {}
+                by.setdefault(kind, set()).add(tuple(span))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=[doc, "type", "start", "end", "label"])
+                yield sent(out)
+        if out := chosen():
+            yield sent(out)
 
-    return g.mapInArrow(rows, f"{doc} bigint, type string, start int, end int, label string")
+    return s.mapInArrow(rows, f"{doc} bigint, type string, start int, end int, label string")
 
 
 def date_features(spans: DataFrame, doc: str, years: DataFrame) -> DataFrame:

@@ -218,3 +218,24 @@ def test_a_trained_model_is_evaluated_without_a_row_for_every_class_of_every_tex
     monkeypatch.setattr(S, "probabilities", None)
     got = {r.part: (r.labels, r.tp, r.fp, r.fn) for r in SV.evaluate(m, items, "id", F.col("t"), F.col("ds"), "part").collect()}
     assert got == {"even": (3, 32, 0, 0), "odd": (3, 32, 0, 0)}
+
+
+def test_optimal_spans_are_chosen_from_batches_of_spans(spark, monkeypatch):
+    """All spans of a batch of texts once came to a task at once, gathered in sets before."""
+    r = random.Random(5)
+    made = [(i, r.choice("xy"), a := r.randrange(400), a + r.randrange(1, 9), r.choice("pq")) for i in range(12) for _ in range(r.randrange(200))]
+    d = spark.createDataFrame(made + made[::3], "id bigint, type string, start int, end int, label string")
+    sent, kind = [], type(d)
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a: sent.append((self, f)) or whole(self, f, schema, *a))
+    got = rows(SP.optimal_spans(d, "id"))
+    want = []
+    for i, k in {x[:2] for x in made}:
+        own = sorted({x[2:] for x in made if x[:2] == (i, k)})
+        want += [(i, k, *own[j]) for j in SP.best_cover(own)]
+    assert got == sorted(want, key=repr) and len(got) > 300
+    given, f = sent[0]
+    assert given.columns == ["id", "type", "start", "end", "label"] and "collect_set" not in given._jdf.queryExecution().optimizedPlan().toString()
+    for n in (1, 7, 1000):  # texts that go on in the next batch
+        flat = pa.Table.from_pylist(sorted((dict(zip(given.columns, x)) for x in made), key=lambda x: x["id"]))
+        assert sorted((tuple(x.values()) for b in f(iter(flat.to_batches(n))) for x in b.to_pylist()), key=repr) == got
