@@ -65,7 +65,11 @@ def diagnose(docs: DataFrame, doc: str, text: Column, model: LabelModel, ratio:
     """(doc, class, p): the labels of each text. Texts without any keyword have none.
 
     Trained coefficients give each text a probability of every class, so there texts with the same features are scored once."""
-    f = model.features(model.base(docs, doc, text), doc)
+    return by_features(model.features(model.base(docs, doc, text), doc), doc, model, ratio)
+
+
+def by_features(f: DataFrame, doc: str, model: LabelModel, ratio: float = S.CUTOFF) -> DataFrame:
+    """diagnose, of the saved features of the texts."""
     if model.trained:
         return S.guesses(f, model.coefficients, model.intercepts, model.ancestors, doc, ratio, model.scratch)
     return S.best_guess(model.scratch.save(S.probabilities(f, model.coefficients, model.intercepts, doc)), model.ancestors, doc, ratio)

@@ -42,9 +42,10 @@ def loaded(labels: DataFrame, folder: str, scratch: Scratch, version: int | None
     return D.LabelModel(labels, scratch, trained=(A.load(spark, folder, "coefficients-", version), A.load(spark, folder, "intercepts-", version)))
 
 
-def evaluate(model: D.LabelModel, items: DataFrame, item: str, text: Column, diseases: Column, part: str) -> DataFrame:
-    """Scores of a model over each part of the items (V.by_set); true labels count with those they imply."""
-    guessed = model.scratch.save(D.diagnose(items, item, text, model).select(item, F.col("class").alias("label")))
+def evaluate(model: D.LabelModel, items: DataFrame, item: str, text: Column, diseases: Column, part: str, features: DataFrame | None = None) -> DataFrame:
+    """Scores of a model over each part of the items (V.by_set); true labels count with those they imply. Texts whose features are given aren't read."""
+    found = D.diagnose(items, item, text, model) if features is None else D.by_features(features, item, model)
+    guessed = model.scratch.save(found.select(item, F.col("class").alias("label")))
     own = items.select(item, F.explode(diseases).alias("label")).where("label is not null").distinct()
     truth = model.scratch.save(own.unionByName(own.join(model.pairs, "label").select(item, F.col("ancestor").alias("label"))).distinct())
     parts = items.select(item, part).distinct()

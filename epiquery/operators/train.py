@@ -125,13 +125,16 @@ def one_vs_rest(features: DataFrame, labels: DataFrame, doc: str, scratch: Scrat
     return w.where("feature is not null"), w.where("feature is null").select("class", F.col("coef").alias("intercept"))
 
 
-def trained_model(labels: DataFrame, items: DataFrame, item: str, text: Column, diseases: Column, folder: str, scratch: Scratch) -> LabelModel:
+def trained_model(labels: DataFrame, items: DataFrame, item: str, text: Column, diseases: Column, folder: str, scratch: Scratch, features: DataFrame | None = None) -> LabelModel:
     """A label model with coefficients learned from items: features, training, the next version of the artifacts in `folder`, and that version loaded.
 
-    Items without any feature take no part, as those that are all zero; labels count without their ancestors."""
+    Items without any feature take no part, as those that are all zero; labels count without their ancestors. Given are the features of the items
+    if they are there already; else the texts are read for them."""
     spark = items.sparkSession
-    m = LabelModel(labels, scratch)
-    f = m.features(m.base(items, item, text), item)
+    f = features
+    if f is None:
+        m = LabelModel(labels, scratch)
+        f = m.features(m.base(items, item, text), item)
     y = items.select(item, F.explode(diseases).alias("label")).where("label is not null")
     weights, intercepts = one_vs_rest(f, y, item, scratch)
     A.save(weights, folder, "coefficients-")

@@ -243,13 +243,13 @@ def corpus_report(spark, sf):
     return got.join(some, "item_id", "left").groupBy("reason").agg(F.count("*").alias("items"), F.count("hit").alias("with_features"))
 
 
-def _trained(spark, sf, scratch):
-    """A model trained on the usable training items, saved as the next version of an artifact, and loaded from there."""
+def _trained(spark, sf, scratch, features=None):
+    """A model trained on the usable training items, or on their features, saved as the next version of an artifact, and loaded from there."""
     from ..operators import train as TR
     from ..storage import checkpoint_dir
 
     t = _items(spark, sf)
-    return TR.trained_model(table(spark, sf, "label_table"), t.where(C.is_usable() & (F.col("split") == "training")), "item_id", F.col("private.cleancontent.content"), H.diseases(), f"{checkpoint_dir(spark)}/models", scratch)
+    return TR.trained_model(table(spark, sf, "label_table"), t.where(C.is_usable() & (F.col("split") == "training")), "item_id", F.col("private.cleancontent.content"), H.diseases(), f"{checkpoint_dir(spark)}/models", scratch, features)
 
 
 @query()
@@ -264,13 +264,17 @@ def diagnose_trained(spark, sf):
 
 @query()
 def evaluation_sets(spark, sf):
-    """Scores of the trained model over the three splits: macro and micro. Truth counts with its implied labels."""
+    """Scores of the trained model over the three splits: macro and micro. Truth counts with its implied labels.
+
+    The training items are among those evaluated, so the texts are read once, for the features of both."""
     from ..operators import service as SV
 
     s = Scratch(spark, "evaluation_sets")
-    m = _trained(spark, sf, s)
-    usable = _items(spark, sf).where(C.is_usable() & F.col("split").isNotNull())
-    return SV.evaluate(m, spread(usable), "item_id", F.col("private.cleancontent.content"), H.diseases(), "split")
+    usable, text = _items(spark, sf).where(C.is_usable() & F.col("split").isNotNull()), F.col("private.cleancontent.content")
+    m, key = H.model(spark, sf, s), F.struct("item_id", "split").alias("item")
+    f = m.features(m.base(spread(usable.select(key, "private")), "item", text), "item").select("item.item_id", "item.split", "feature", "value")
+    m = _trained(spark, sf, s, f.where("split = 'training'").drop("split"))
+    return SV.evaluate(m, usable, "item_id", text, H.diseases(), "split", f.drop("split"))
 
 
 @query(r"""SELECT row_no, regexp_replace(label, '^\s+|\s+$', '', 'g') AS label, nullif(regexp_replace(parent_label, '^\s+|\s+$', '', 'g'), '') AS parent_label, nullif(regexp_replace(synonym, '^\s+|\s+$', '', 'g'), '') AS synonym FROM label_table WHERE regexp_replace(label, '^\s+|\s+$', '', 'g') <> ''""")

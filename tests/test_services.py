@@ -19,6 +19,8 @@ from epiquery.operators import scoring as S
 from epiquery.operators import service as SV
 from epiquery.operators import spans as SP
 from epiquery.operators import train as T
+from epiquery.plans import corpus_queries as CQ
+from epiquery.plans import shared as H
 from epiquery.sources import artifacts as A
 
 US = 1_000_000
@@ -220,6 +222,18 @@ def test_a_trained_model_is_evaluated_without_a_row_for_every_class_of_every_tex
     assert got == {"even": (3, 32, 0, 0), "odd": (3, 32, 0, 0)}
 
 
+def test_items_are_read_once_to_train_a_model_and_to_evaluate_it(spark, scratch, monkeypatch):
+    """The training items' texts were once matched a second time for their scores."""
+    sf, text = "/root/testdata/sf0.001", F.col("private.cleancontent.content")
+    usable = CQ._items(spark, sf).where(C.is_usable() & F.col("split").isNotNull())
+    apart = rows(SV.evaluate(CQ._trained(spark, sf, scratch), usable, "item_id", text, H.diseases(), "split"))
+    read, whole = [], FE.keyword_counts
+    monkeypatch.setattr(FE, "keyword_counts", lambda *a: read.append(a) or whole(*a))
+    got = rows(E.queries()["evaluation_sets"](spark, sf))
+    assert len(got) == 3 and [x[:5] for x in got] == [x[:5] for x in apart] and max(abs(a - b) for x, y in zip(got, apart) for a, b in zip(x[5:], y[5:])) < 1e-12
+    assert len(read) == 1
+
+
 def test_optimal_spans_are_chosen_from_batches_of_spans(spark, monkeypatch):
     """All spans of a batch of texts once came to a task at once, gathered in sets before."""
     r = random.Random(5)
