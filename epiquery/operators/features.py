@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,8 @@ from ..functions import text as X
 from ..storage import Scratch, small_enough
 from .hierarchy import inferred_pairs
 
-LINKED = "[linked] "
+#: texts of a batch that are counted at once
+LINKED, TEXTS = "[linked] ", 500
 #: X.TOKEN for Python, whose \w holds the same letters and digits
 TOKEN = r"http[^ \t\n\x0b\f\r]*\w|\w+"
 
@@ -35,28 +37,25 @@ def keyword_table(keywords: DataFrame, keyword: str, most: int = 5) -> DataFrame
     return k.select(F.array_join("t", " ").alias("keyword"), F.col("t")[0].alias("first"), F.size("t").alias("n")).distinct()
 
 
-def keyword_windows(toks: Column, most: int = 5) -> Column:
-    """For each token a struct of it and of the run of up to `most` tokens it begins, each followed by a blank."""
-    return F.transform(toks, lambda x, i: F.struct(x.alias("first"), F.concat(F.array_join(F.slice(toks, i + 1, most), " "), F.lit(" ")).alias("run")))
-
-
 def keyword_counts(docs: DataFrame, doc: str, text: Column, keywords: DataFrame, keyword: str) -> DataFrame:
     """(doc, keyword, n): how often each keyword of up to five tokens stands in each text, overlaps included.
 
-    A lexicon of a checked size goes to the tasks, which read each text once and give its hits only. A larger one is joined: each position
-    carries the five tokens that begin there, and meets the keywords that begin with its token. N-grams of other lengths are never built."""
+    A lexicon of a checked size goes to the tasks, which read each text once and give its hits only. Of a larger one a bitmap of its keywords'
+    hashes goes there (as for spans), and only the runs that pass it, counted by text, meet the keywords."""
+    from . import spans as SP
+
     k = keyword_table(keywords, keyword)
-    if small_enough(k.count(), 400):
+    kind, size = docs.schema[doc].dataType, k.count()
+    counted, texts = T.StructType([T.StructField(doc, kind), T.StructField("keyword", T.StringType()), T.StructField("n", T.LongType())]), docs.select(doc, F.lower(text).alias("t")).where("t is not null")
+    if small_enough(size, 400):
         index: dict[str, list[tuple[int, str]]] = {}
         for r in k.collect():
             index.setdefault(r["first"], []).append((r["n"], r["keyword"]))
-        kind = docs.schema[doc].dataType
-        found = docs.select(doc, F.lower(text).alias("t")).where("t is not null").mapInArrow(_counted(index, doc), T.StructType([T.StructField(doc, kind), T.StructField("keyword", T.StringType()), T.StructField("n", T.LongType())]))
-        return found.groupBy(doc, "keyword").agg(F.sum("n").alias("n"))
-    d = docs.select(doc, X.tokens(text).alias("toks"))  # a column of its own, or each token would cut the text anew
-    at = d.select(doc, F.explode(keyword_windows(F.col("toks"))).alias("w")).select(doc, "w.first", "w.run")
-    met = at.join(k, "first").where(F.startswith("run", F.concat("keyword", F.lit(" "))))
-    return met.groupBy(doc, "keyword").agg(F.count("*").alias("n"))
+        found = texts.mapInArrow(_counted(index, doc), counted)
+    else:
+        bits = min(SP.MOST_BITS, 1 << max(15, (size * SP.BITS_EACH - 1).bit_length()))
+        found = texts.mapInArrow(_likely(SP._bitmap(k.withColumnRenamed("keyword", "k"), bits), bits, doc), counted).join(k.select("keyword"), "keyword", "left_semi")
+    return found.groupBy(doc, "keyword").agg(F.sum("n").alias("n"))
 
 
 def _counted(index: dict[str, list[tuple[int, str]]], doc: str):
@@ -80,6 +79,39 @@ def _counted(index: dict[str, list[tuple[int, str]]], doc: str):
     return rows
 
 
+def _likely(bitmap: bytes, bits: int, doc: str):
+    """(doc, keyword, n) of the runs of up to five tokens whose hash is in the bitmap."""
+    token, last = re.compile(TOKEN), bits - 1
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def there(x: str) -> int:
+            h = crc32(x.encode()) & last
+            return bitmap[h >> 3] >> (h & 7) & 1
+
+        class Begins(dict):
+            def __missing__(self, w: str) -> int:
+                self[w] = found = there(" " + w)
+                return found
+
+        for batch in batches:
+            begins = Begins()
+            for b in range(0, batch.num_rows, TEXTS):
+                part, place, words, counts = batch.slice(b, TEXTS), [], [], []
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    toks, hits = token.findall(t), Counter()
+                    for at in [p for p, w in enumerate(toks) if begins[w]]:
+                        for e in range(at + 1, min(at + 5, len(toks)) + 1):
+                            if there(k := " ".join(toks[at:e])):
+                                hits[k] += 1
+                    place += [i] * len(hits)
+                    words += hits.keys()
+                    counts += hits.values()
+                if place:
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(place, pa.int32())), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=[doc, "keyword", "n"])
+
+    return rows
+
+
 def overlaid(insensitive: DataFrame, sensitive: DataFrame, doc: str) -> DataFrame:
     """Counts of case-sensitive keywords replace those of the same feature counted without case."""
     a, b = insensitive.select(doc, "keyword", F.col("n").alias("a")), sensitive.select(doc, "keyword", F.col("n").alias("b"))

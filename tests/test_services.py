@@ -234,6 +234,19 @@ def test_items_are_read_once_to_train_a_model_and_to_evaluate_it(spark, scratch,
     assert len(read) == 1
 
 
+def test_counts_of_a_large_lexicon_meet_only_likely_runs(spark, monkeypatch):
+    """Every token of every text was once a row, and all of them were shuffled."""
+    d = spark.createDataFrame([(i, "Bird  Flu " * (i % 3) + "word nothing other " * 300) for i in range(90)] + [(None, "flu"), (91, None)], "id bigint, t string").select(F.struct("id").alias("key"), "t")
+    k = spark.createDataFrame([("bird flu",), ("flu",), ("nothing else",)], "keyword string")
+    small = rows(FE.keyword_counts(d, "key", F.col("t"), k, "keyword"))
+    monkeypatch.setattr(FE, "small_enough", lambda *x: False)
+    sent, kind = [], type(d)
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a: sent.append(whole(self, f, schema, *a)) or sent[-1])
+    assert rows(FE.keyword_counts(d, "key", F.col("t"), k, "keyword")) == small and len(small) == 121
+    assert sent[0].count() < 250
+
+
 def test_optimal_spans_are_chosen_from_batches_of_spans(spark, monkeypatch):
     """All spans of a batch of texts once came to a task at once, gathered in sets before."""
     r = random.Random(5)
